@@ -196,7 +196,7 @@ ROUTE_VERBS = ["GET", "POST", "PATCH", "DELETE", "PUT"]
 
 def _route_type(t: Column) -> Column:
     m = F.create_map(*[x for kv in ROUTE_TYPES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    return F.element_at(m, t)
+    return F.try_element_at(m, t)
 
 
 def expand_routes(routes: DataFrame) -> DataFrame:
@@ -282,7 +282,8 @@ def product_fold(df: DataFrame, keys: list[str], pos_col: str, alts_col: str,
                  max_alternatives: int | None = None, sep: str = "") -> DataFrame:
     """Ordered cartesian concatenation of per-step alternatives, one row per result.
 
-    Steps of a key are gathered once (ordered by ``pos``) and multiplied with
+    Steps of a key are gathered once (ordered by ``pos``; equal positions are
+    ordered by their alternatives, so ties are deterministic) and multiplied with
     ``aggregate``; the output of a key is inherently the product of its steps.
     ``max_alternatives`` optionally bounds the running product (the reference
     stops growing above 100); default: no bound, whole results.
@@ -332,7 +333,7 @@ def rebuild_urls(catalog: DataFrame, filled_queries: DataFrame | None = None) ->
     ``(project, base_url, endpoint, key, value)`` when given (G2).
     """
     eps = catalog.filter(F.col("endpoint").isNotNull())
-    frag = F.element_at(F.array_sort("fragments"), -1)
+    frag = F.try_element_at(F.array_sort("fragments"), F.lit(-1))
 
     def render(path, queries, fragment):
         q = F.array_join(F.transform(F.array_sort(queries),
