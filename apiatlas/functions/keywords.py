@@ -1,0 +1,53 @@
+"""Multi-keyword containment in one pass per text (Aho-Corasick automaton).
+
+Used by F5 when ``pyahocorasick`` is importable: each text is scanned once
+for all keywords (overlapping matches included), instead of one ``contains``
+per (text, keyword) pair. Arrow-batched pandas UDF; the keyword list is a
+small fixed dimension shipped with the function.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+try:  # optional accelerator
+    import ahocorasick  # type: ignore
+except ImportError:  # pragma: no cover
+    ahocorasick = None
+
+_AUTOMATA: dict[tuple, object] = {}
+
+
+def available() -> bool:
+    return ahocorasick is not None
+
+
+def _automaton(keywords: tuple):
+    a = _AUTOMATA.get(keywords)
+    if a is None:
+        a = ahocorasick.Automaton()
+        for kw in keywords:
+            a.add_word(kw, kw)
+        a.make_automaton()
+        _AUTOMATA[keywords] = a
+    return a
+
+
+def contained_keywords_udf(keywords: list[str]):
+    """UDF: lower-cased text -> sorted distinct keywords (lower-cased) it contains."""
+    kws = tuple(sorted({k.lower() for k in keywords if k}))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def contained(texts: pd.Series) -> pd.Series:
+        a = _automaton(kws)
+        out = []
+        for t in texts:
+            if t is None:
+                out.append([])
+            else:
+                out.append(sorted({kw for _, kw in a.iter(t)}))
+        return pd.Series(out)
+
+    return contained

@@ -37,8 +37,10 @@ def extract_literals(texts: DataFrame, text_col: str = "content", keys=("project
 def collect_string_vars(texts: DataFrame, text_col: str = "content", project_col: str = "project") -> DataFrame:
     """``name = "value"`` assignments -> one row per (project, name) with the
     sorted set of values. Partial aggregation dedupes values before the shuffle."""
-    m = texts.select(F.col(project_col).alias("project"),
-                     F.explode(F.regexp_extract_all(F.col(text_col), F.lit(STRING_ASSIGNMENT), 0)).alias("_m"))
+    # every match needs '=': the cheap containment test skips the regex on most texts
+    m = texts.filter(F.col(text_col).contains("=")).select(
+        F.col(project_col).alias("project"),
+        F.explode(F.regexp_extract_all(F.col(text_col), F.lit(STRING_ASSIGNMENT), 0)).alias("_m"))
     pairs = m.select("project", F.regexp_extract("_m", STRING_ASSIGNMENT, 1).alias("name"),
                      F.regexp_extract("_m", STRING_ASSIGNMENT, 2).alias("value"))
     return pairs.groupBy("project", "name").agg(F.sort_array(F.collect_set("value")).alias("values"))
@@ -46,8 +48,8 @@ def collect_string_vars(texts: DataFrame, text_col: str = "content", project_col
 
 def string_var_sites(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
     """The (project, path, name, value) sites behind P2, one row per assignment."""
-    m = texts.select(*keys, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(STRING_ASSIGNMENT), 0))
-                     .alias("_m"))
+    m = texts.filter(F.col(text_col).contains("=")).select(
+        *keys, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(STRING_ASSIGNMENT), 0)).alias("_m"))
     return m.select(*keys, F.regexp_extract("_m", STRING_ASSIGNMENT, 1).alias("name"),
                     F.regexp_extract("_m", STRING_ASSIGNMENT, 2).alias("value"))
 

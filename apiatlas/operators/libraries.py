@@ -6,9 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from apiatlas.functions import keywords as kwscan
+
 LEGACY_HTTP = "org.apache.http.legacy"
 ANDROID_CORE = "android.core"
 UNKNOWN_VARIABLE_VALUE = "UNKNOWN_VARIABLE_VALUE"
+# keyword dimensions up to this size are scanned with one automaton per text;
+# larger ones use the broadcast nested-loop containment join
+MAX_SCAN_KEYWORDS = 100_000
 
 
 def match_keywords(texts: DataFrame, keyword_dim: DataFrame, text_col: str = "content",
@@ -16,15 +21,25 @@ def match_keywords(texts: DataFrame, keyword_dim: DataFrame, text_col: str = "co
     """case-insensitive keyword containment.
 
     ``keyword_dim(library, keyword, lib_order, kw_order)`` is a fixed ~60-row
-    table and is broadcast; the text side streams through a broadcast
-    nested-loop join, so cost is linear in the corpus. Output one row per
+    table. With the automaton available (and the dimension below
+    ``MAX_SCAN_KEYWORDS``) every text is scanned once for all keywords and
+    the hits meet the broadcast dimension in an equi-join; otherwise the text
+    side streams through a broadcast nested-loop containment join. Either
+    way cost is linear in the corpus. Output one row per
     (keys, library) with the matching keyword count, or with ``first_only``
     the first library in dictionary order.
     """
     keys = list(keys)
     lt = texts.select(*keys, F.lower(F.col(text_col)).alias("_lt"))
     kw = F.broadcast(keyword_dim.select("library", "lib_order", F.lower("keyword").alias("_kw")))
-    hits = lt.join(kw, F.col("_lt").contains(F.col("_kw")), "inner").drop("_lt")
+    small = keyword_dim.limit(MAX_SCAN_KEYWORDS + 1).count() <= MAX_SCAN_KEYWORDS
+    if small and kwscan.available():
+        # one automaton pass per text, then an equi-join on the matched keyword
+        words = [r[0] for r in keyword_dim.select("keyword").collect()]
+        found = lt.select(*keys, F.explode(kwscan.contained_keywords_udf(words)("_lt")).alias("_kw"))
+        hits = found.join(kw, "_kw", "inner")
+    else:
+        hits = lt.join(kw, F.col("_lt").contains(F.col("_kw")), "inner").drop("_lt")
     per_lib = hits.groupBy(*keys, "library").agg(F.min("lib_order").alias("lib_order"),
                                                  F.count("*").alias("n_keywords"))
     if not first_only:
