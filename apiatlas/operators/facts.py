@@ -78,3 +78,84 @@ def keep_maximal_spans(spans: DataFrame, key: str = "path", start: str = "start"
     prev = F.max(end).over(w)
     return spans.withColumn("_prev_end", prev) \
         .filter(F.col("_prev_end").isNull() | (F.col(end) > F.col("_prev_end"))).drop("_prev_end")
+
+
+# ------------------------------------------------------------------ P3-P5
+CREATION = r"new\s+([A-Za-z_][\w.]*)\s*(?:<[^<>()]*>)?\s*\(([^()]*)\)?"
+CALL = r"(?:([A-Za-z_][\w]*(?:\(\))?)\s*\.\s*)?([a-z_][\w]*)\s*\(([^()]*)\)?"
+CAST = r"\(\s*([A-Z][\w.]*)\s*\)\s*(?:[\w.]+\s*\.\s*)?([a-z_][\w]*)\s*\("
+ROUTE = (r"@(GET|POST|PUT|PATCH|DELETE)\s*\(\s*\"([^\"]*)\"\s*\)\s*(?:@\w+(?:\s*\([^)]*\))?\s*)*"
+         r"[\w.<>\[\], ?]+?\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*)\)")
+ROUTE_PARAM = r"@(\w+)\s*(?:\(\s*\"([^\"]*)\"\s*\))?\s*(?:final\s+)?([\w.]+(?:<[^>]*>)?)\s+\w+"
+FIELD = (r"(?m)^[ \t]*((?:@\w+(?:\([^)]*\))?\s*)*)(?:(public|protected|private)\s+)?((?:static|final|transient|volatile)\s+)*"
+         r"([A-Za-z_][\w.]*)(?:<([^;=()]*)>)?(?:\[\])?\s+([A-Za-z_]\w*)\s*(?:=[^;]*)?;")
+ANNOTATION = r"@(\w+)(?:\(([^)]*)\))?"
+
+
+def _args(col):
+    return F.when(F.trim(col) == "", F.array().cast("array<string>")).otherwise(
+        F.transform(F.split(col, ","), lambda a: F.trim(a)))
+
+
+def extract_calls(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
+    """Call, creation and cast sites per line -> ``call_site(keys, line, kind,
+    name, scope, scope_type, args, arg_types)``. A regex projection, line by line:
+    arguments are the text up to the first closing parenthesis; types are unknown
+    (NULL) unless a real parser supplies the table."""
+    lines = texts.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "_l"))
+
+    def sites(pattern, kind, name_idx, scope_idx, args_idx):
+        m = lines.select(*keys, "line", F.posexplode(F.regexp_extract_all("_l", F.lit(pattern), 0)).alias("pos", "_m"))
+        name = F.regexp_extract("_m", pattern, name_idx)
+        return m.select(*keys, "line", "pos", F.lit(kind).alias("kind"),
+                        F.substring_index(name, ".", -1).alias("name"),
+                        (F.regexp_extract("_m", pattern, scope_idx) if scope_idx else F.lit("")).alias("scope"),
+                        F.lit(None).cast("string").alias("scope_type"),
+                        (_args(F.regexp_extract("_m", pattern, args_idx)) if args_idx
+                         else F.array().cast("array<string>")).alias("args"),
+                        F.lit(None).cast("array<string>").alias("arg_types"))
+
+    creations = sites(CREATION, "creation", 1, None, 2)
+    calls = sites(CALL, "call", 2, 1, 3).filter(~F.col("name").isin("if", "for", "while", "switch", "catch",
+                                                                     "return", "new", "synchronized"))
+    casts = sites(CAST, "cast", 1, 2, None)
+    return creations.unionByName(calls).unionByName(casts) \
+        .withColumn("scope", F.when(F.col("scope") == "", None).otherwise(F.col("scope")))
+
+
+def extract_routes(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
+    """Annotated interface methods -> ``route(keys, iface, method, verb,
+    template, params ARRAY<STRUCT<ann,arg,type,pos>>)``. Parameters with one
+    annotation keep it; ``iface`` is the first interface declared in the text."""
+    f = texts.select(*keys, F.regexp_extract(F.col(text_col), r"interface\s+(\w+)", 1).alias("iface"),
+                     F.explode(F.regexp_extract_all(F.col(text_col), F.lit(ROUTE), 0)).alias("_m"))
+    params = F.transform(F.split(F.regexp_extract("_m", ROUTE, 4), ","), lambda p, i: F.struct(
+        F.regexp_extract(p, ROUTE_PARAM, 1).alias("ann"), F.regexp_extract(p, ROUTE_PARAM, 2).alias("arg"),
+        F.regexp_extract(p, ROUTE_PARAM, 3).alias("type"), i.alias("pos")))
+    return f.select(*keys, "iface", F.regexp_extract("_m", ROUTE, 3).alias("method"),
+                    F.regexp_extract("_m", ROUTE, 1).alias("verb"), F.regexp_extract("_m", ROUTE, 2).alias("template"),
+                    F.filter(params, lambda p: p["ann"] != "").alias("params"))
+
+
+def extract_fields(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
+    """P5: field declarations -> ``class_field(keys, class, field, type, type_args,
+    is_transient, visibility, annotations ARRAY<STRUCT<name,key,value>>)``.
+    ``class`` is the first class declared in the text (one class per file)."""
+    f = texts.select(*keys, F.regexp_extract(F.col(text_col), r"class\s+(\w+)", 1).alias("class"),
+                     F.explode(F.regexp_extract_all(F.col(text_col), F.lit(FIELD), 0)).alias("_m"))
+    anns = F.transform(F.regexp_extract_all(F.regexp_extract("_m", FIELD, 1), F.lit(ANNOTATION), 0), lambda a: F.struct(
+        F.regexp_extract(a, ANNOTATION, 1).alias("name"),
+        F.when(F.regexp_extract(a, ANNOTATION, 2).contains("="),
+               F.trim(F.regexp_extract(a, r"\(\s*(\w+)\s*=", 1))).alias("key"),
+        F.regexp_extract(F.regexp_extract(a, ANNOTATION, 2), r"(?:=\s*)?\"?([^\")]*)\"?\s*$", 1).alias("value")))
+    mods = F.regexp_extract("_m", FIELD, 3)
+    targs = F.regexp_extract("_m", FIELD, 5)
+    return f.select(*keys, "class", F.regexp_extract("_m", FIELD, 6).alias("field"),
+                    F.regexp_extract("_m", FIELD, 4).alias("type"),
+                    F.when(targs == "", F.array().cast("array<string>"))
+                    .otherwise(F.transform(F.split(targs, ","), lambda a: F.trim(a))).alias("type_args"),
+                    F.lit(False).alias("is_enum"),
+                    F.col("_m").rlike(r"(^|\s)transient\s").alias("is_transient"),
+                    F.coalesce(F.nullif(F.regexp_extract("_m", FIELD, 2), F.lit("")), F.lit("default")).alias("visibility"),
+                    anns.alias("annotations")) \
+        .filter(~mods.contains("static"))

@@ -7,7 +7,7 @@ aggregation, one level per round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apiatlas.functions import encoding as enc
@@ -150,6 +150,7 @@ def fold_json_puts(puts: DataFrame) -> DataFrame:
     rendered = (F.when(v.isNull() | (v == "null"), F.lit("null"))
                 .when(vt == "number", F.coalesce(v.try_cast("double").cast("string"), json_string(v)))
                 .when(vt == "boolean", F.lower(v))
+                .when(vt == "json", v)
                 .otherwise(json_string(v)))
     key_json = json_string(F.col("key"))
     pairs = last.select("project", "object", "key", F.concat(key_json, F.lit(":"), rendered).alias("kv"))
@@ -157,3 +158,220 @@ def fold_json_puts(puts: DataFrame) -> DataFrame:
         F.count("*").alias("n_keys"),
         F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "kv"))),
                                                       lambda e: e["kv"]), ","), F.lit("}")).alias("doc"))
+
+
+# --------------------------------------------------------------------------- J5
+def nest_json_values(puts: DataFrame, max_depth: int = 15) -> DataFrame:
+    """A put whose value is another built object (``value_type = 'object'``,
+    ``value`` = that object's id) embeds the other object's document.
+
+    Objects are rendered innermost first: each round renders the objects
+    whose referenced objects all have documents already (join + J4
+    aggregation), up to ``max_depth`` rounds; reference cycles never render.
+    Lineage is cut with a reliable checkpoint per round.
+    Output ``(project, object, n_keys, doc)``.
+    """
+    spark = puts.sparkSession
+    from apiatlas.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    last = puts.groupBy("project", "object", "key").agg(F.max_by(F.struct("value", "value_type"), "pos").alias("lv")) \
+        .select("project", "object", "key", F.col("lv.value").alias("value"), F.col("lv.value_type").alias("value_type"))
+    refs = last.filter(F.col("value_type") == "object")
+    done = fold_json_puts(last.join(refs.select("project", "object").distinct(), ["project", "object"], "left_anti")
+                          .withColumn("pos", F.lit(0)))
+    done = done.checkpoint(eager=True)
+    for _ in range(max_depth):
+        pending = refs.join(done.select("project", "object"), ["project", "object"], "left_anti") \
+            .select("project", "object").distinct()
+        # a pending object is ready when every referenced object has a document
+        missing = refs.join(pending, ["project", "object"], "left_semi") \
+            .join(done.select("project", F.col("object").alias("value"), F.lit(1).alias("_ok")),
+                  ["project", "value"], "left").filter(F.col("_ok").isNull()).select("project", "object").distinct()
+        ready = pending.join(missing, ["project", "object"], "left_anti")
+        if ready.isEmpty():
+            break
+        rows = last.join(ready, ["project", "object"], "left_semi") \
+            .join(done.select("project", F.col("object").alias("value"), F.col("doc").alias("_doc")),
+                  ["project", "value"], "left")
+        rows = rows.withColumn("value", F.when(F.col("value_type") == "object", F.col("_doc")).otherwise(F.col("value"))) \
+            .withColumn("value_type", F.when(F.col("value_type") == "object", F.lit("json")).otherwise(F.col("value_type"))) \
+            .withColumn("pos", F.lit(0)).drop("_doc")
+        done = done.unionByName(fold_json_puts(rows)).checkpoint(eager=True)
+    return done
+
+
+# --------------------------------------------------------------------------- J6
+# Simple field types -> JSON type tag; other primitives box to a
+# type the tag switch does not know and default to STRING.
+SIMPLE_TAGS = {"String": "STRING", "java.lang.String": "STRING", "Double": "NUMBER_DOUBLE",
+               "java.lang.Double": "NUMBER_DOUBLE", "double": "NUMBER_DOUBLE", "Float": "NUMBER_DOUBLE",
+               "java.lang.Float": "NUMBER_DOUBLE", "float": "NUMBER_DOUBLE", "Integer": "NUMBER_INT",
+               "java.lang.Integer": "NUMBER_INT", "int": "NUMBER_INT", "Boolean": "BOOLEAN",
+               "java.lang.Boolean": "BOOLEAN", "boolean": "BOOLEAN", "long": "STRING", "short": "STRING",
+               "byte": "STRING", "char": "STRING"}
+# Collection types (simple names are accepted too).
+COLLECTION_TYPES = [
+    "java.util.List", "java.util.Vector", "java.util.AbstractSequentialList", "java.util.AbstractList",
+    "java.util.AbstractQueue", "java.util.AbstractSet", "java.util.ArrayDeque", "java.util.ConcurrentLinkedDeque",
+    "java.util.ArrayList", "java.util.LinkedList", "java.util.concurrent.ArrayBlockingQueue",
+    "java.util.concurrent.ConcurrentLinkedQueue", "java.util.concurrent.DelayQueue",
+    "java.util.concurrent.LinkedBlockingDeque", "java.util.concurrent.LinkedTransferQueue",
+    "java.util.concurrent.PriorityBlockingQueue", "java.util.PriorityQueue", "java.util.concurrent.SynchronousQueue",
+    "java.util.concurrent.BlockingDeque", "java.util.concurrent.TransferQueue", "java.util.concurrent.BlockingQueue",
+    "java.util.Deque", "java.util.NavigableSet", "java.util.SortedSet", "java.util.TreeSet",
+    "java.util.concurrent.ConcurrentSkipListSet", "java.util.concurrent.CopyOnWriteArraySet", "java.util.HashSet",
+    "java.util.LinkedHashSet", "java.util.Set", "java.util.Queue", "java.util.AbstractCollection",
+    "java.util.concurrent.CopyOnWriteArrayList", "java.util.concurrent.LinkedBlockingQueue", "java.util.Stack",
+    "java.util.Map"]
+
+
+def _lookup(mapping: dict, col) -> F.Column:
+    return F.try_element_at(F.create_map(*[x for kv in mapping.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]), col)
+
+
+def effective_fields(class_fields: DataFrame, enums: DataFrame | None = None) -> DataFrame:
+    """J6 field rules: skip transient fields; rename by ``SerializedName`` /
+    ``Json(name=)``; when any field of a class is ``Expose``d keep only exposed
+    ones (bare or ``serialize=true``). Adds the node shape of each field:
+    ``leaf`` (tag), ``array`` (element tag or element class), ``map`` (String
+    keys; value tag or class) or ``object`` (class)."""
+    ann = F.coalesce(F.col("annotations"), F.array().cast("array<struct<name:string,key:string,value:string>>"))
+    nm = lambda a: F.coalesce(a["name"], F.lit(""))  # noqa: E731  (annotation parts may be NULL)
+    ky = lambda a: F.coalesce(a["key"], F.lit(""))
+    vl = lambda a: F.lower(F.coalesce(a["value"], F.lit("")))
+    has_expose = F.exists(ann, lambda a: nm(a) == "Expose")
+    serialize_false = F.exists(ann, lambda a: (nm(a) == "Expose") & (ky(a) == "serialize") & (vl(a) != "true"))
+    exposed_ok = has_expose & ~serialize_false
+    rename = F.try_element_at(F.filter(ann, lambda a: (nm(a) == "SerializedName")
+                                       | ((nm(a) == "Json") & (ky(a) == "name"))), F.lit(-1))["value"]
+    w = Window.partitionBy("project", "class")
+    cf = class_fields.withColumn("_exp", F.max(has_expose.cast("int")).over(w)) \
+        .filter(~F.coalesce(F.col("is_transient"), F.lit(False))) \
+        .filter((F.col("_exp") == 0) | exposed_ok) \
+        .withColumn("key", F.coalesce(rename, F.col("field")))
+    enum_types = (enums.select(F.col("class").alias("_enum")) if enums is not None else None)
+    simple = lambda t: _lookup(SIMPLE_TAGS, t)
+    short = lambda t: F.regexp_replace(t, r"^.*\.", "")
+    is_coll = F.col("type").isin(COLLECTION_TYPES) | F.concat(F.lit("java.util."), F.col("type")).isin(COLLECTION_TYPES) \
+        | F.concat(F.lit("java.util.concurrent."), F.col("type")).isin(COLLECTION_TYPES)
+    is_map = short(F.col("type")) == "Map"
+    targs = F.coalesce(F.col("type_args"), F.array().cast("array<string>"))
+    elem = F.when(is_map, targs[1]).otherwise(targs[0])
+    shaped = cf.withColumn("_is_enum", F.coalesce(F.col("is_enum"), F.lit(False))) \
+        .withColumn("shape", F.when(is_coll & ~is_map & (F.size(targs) == 1), "array")
+                    .when(is_map & (F.size(targs) == 2) & (short(targs[0]) == "String"), "map")
+                    .when(is_coll, None)
+                    .when(simple(F.col("type")).isNotNull() | F.col("_is_enum"), "leaf")
+                    .otherwise("object")) \
+        .filter(F.col("shape").isNotNull()) \
+        .withColumn("elem", F.when(F.col("shape").isin("array", "map"), elem)) \
+        .withColumn("tag", F.when(F.col("shape") == "leaf", F.coalesce(simple(F.col("type")), F.lit("STRING")))
+                    .when(F.col("shape").isin("array", "map"), simple(F.col("elem")))) \
+        .withColumn("ref_class", F.when(F.col("shape") == "object", short(F.col("type")))
+                    .when(F.col("shape").isin("array", "map") & F.col("tag").isNull(), short(F.col("elem"))))
+    if enum_types is not None:
+        shaped = shaped.join(F.broadcast(enum_types), F.col("ref_class") == F.col("_enum"), "left") \
+            .withColumn("tag", F.when(F.col("_enum").isNotNull(), F.lit("STRING")).otherwise(F.col("tag"))) \
+            .withColumn("ref_class", F.when(F.col("_enum").isNotNull(), None).otherwise(F.col("ref_class"))) \
+            .withColumn("shape", F.when((F.col("shape") == "object") & F.col("_enum").isNotNull(), "leaf")
+                        .otherwise(F.col("shape"))).drop("_enum")
+    return shaped.select("project", "class", "field", "key", "shape", "tag", "ref_class")
+
+
+def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int = 15,
+                       enums: DataFrame | None = None) -> DataFrame:
+    """Class-field table -> JSON skeleton per root class.
+
+    ``roots(project, class)``; fields come from ``effective_fields``. The tree
+    is expanded one class level per round (equi-join of the frontier's
+    referenced class with the field table, frontier only, reliable checkpoint
+    per round) up to ``max_depth`` rounds. A nested class is an object; a
+    collection of a class lists one ``{key: value}`` object per field; a
+    ``Map<String, V>`` is ``[{"": V}]``. Rendering is J3 (keys sorted).
+    Output ``(project, class, skeleton)``.
+    """
+    spark = class_fields.sparkSession
+    from apiatlas.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    ef = effective_fields(class_fields, enums)
+    cols = ["project", "root", "path", "parent_path", "key", "idx", "depth", "jtype", "expand", "mode"]
+    none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+    frontier = roots.select("project", F.col("class").alias("root"), F.lit("$").alias("path"),
+                            none_s.alias("parent_path"), none_s.alias("key"), none_i.alias("idx"),
+                            F.lit(0).alias("depth"), F.lit("OBJECT").alias("jtype"),
+                            F.col("class").alias("expand"), F.lit("object").alias("mode"))
+    levels = [frontier]
+    for _ in range(max_depth):
+        k = frontier.alias("f").join(ef.alias("e"), (F.col("f.project") == F.col("e.project"))
+                                     & (F.col("f.expand") == F.col("e.class"))) \
+            .select(F.col("f.project").alias("project"), "root", F.col("f.path").alias("parent"),
+                    F.col("f.depth").alias("pdepth"), "mode", F.col("e.key").alias("key"), "shape", "tag", "ref_class")
+        k = k.withColumn("eidx", (F.row_number().over(Window.partitionBy("project", "root", "parent")
+                                                      .orderBy("key")) - 1).cast("int"))
+        as_el = F.col("mode") == "elements"
+        k = k.withColumn("fparent", F.when(as_el, F.concat("parent", F.lit("["), F.col("eidx").cast("string"),
+                                                          F.lit("]"))).otherwise(F.col("parent"))) \
+            .withColumn("fdepth", F.col("pdepth") + 1 + as_el.cast("int")) \
+            .withColumn("fpath", F.concat("fparent", F.lit("."), "key"))
+        elements = k.filter(as_el).select(
+            "project", "root", F.col("fparent").alias("path"), F.col("parent").alias("parent_path"),
+            none_s.alias("key"), F.col("eidx").alias("idx"), (F.col("pdepth") + 1).alias("depth"),
+            F.lit("OBJECT").alias("jtype"), none_s.alias("expand"), none_s.alias("mode"))
+        shape = F.col("shape")
+        fields = k.select(
+            "project", "root", F.col("fpath").alias("path"), F.col("fparent").alias("parent_path"), "key",
+            none_i.alias("idx"), F.col("fdepth").alias("depth"),
+            F.when(shape == "leaf", F.col("tag")).when(shape == "object", F.lit("OBJECT"))
+            .otherwise(F.lit("ARRAY")).alias("jtype"),
+            F.when(shape == "object", F.col("ref_class"))
+            .when((shape == "array") & F.col("tag").isNull(), F.col("ref_class")).alias("expand"),
+            F.when(shape == "object", F.lit("object"))
+            .when((shape == "array") & F.col("tag").isNull(), F.lit("elements")).alias("mode"))
+        arr_leaf = k.filter((shape == "array") & F.col("tag").isNotNull()).select(
+            "project", "root", F.concat("fpath", F.lit("[0]")).alias("path"), F.col("fpath").alias("parent_path"),
+            none_s.alias("key"), F.lit(0).alias("idx"), (F.col("fdepth") + 1).alias("depth"),
+            F.col("tag").alias("jtype"), none_s.alias("expand"), none_s.alias("mode"))
+        map_el = k.filter(shape == "map").select(
+            "project", "root", F.concat("fpath", F.lit("[0]")).alias("path"), F.col("fpath").alias("parent_path"),
+            none_s.alias("key"), F.lit(0).alias("idx"), (F.col("fdepth") + 1).alias("depth"),
+            F.lit("OBJECT").alias("jtype"), none_s.alias("expand"), none_s.alias("mode"))
+        map_val = k.filter(shape == "map").select(
+            "project", "root", F.concat("fpath", F.lit("[0].")).alias("path"),
+            F.concat("fpath", F.lit("[0]")).alias("parent_path"), F.lit("").alias("key"), none_i.alias("idx"),
+            (F.col("fdepth") + 2).alias("depth"), F.coalesce(F.col("tag"), F.lit("OBJECT")).alias("jtype"),
+            F.when(F.col("tag").isNull(), F.col("ref_class")).alias("expand"),
+            F.when(F.col("tag").isNull(), F.lit("object")).alias("mode"))
+        new = elements.select(*cols).unionByName(fields.select(*cols)).unionByName(arr_leaf.select(*cols)) \
+            .unionByName(map_el.select(*cols)).unionByName(map_val.select(*cols)).checkpoint(eager=True)
+        levels.append(new)
+        frontier = new.filter(F.col("expand").isNotNull())
+        if frontier.isEmpty():
+            break
+    allnodes = levels[0]
+    for lv in levels[1:]:
+        allnodes = allnodes.unionByName(lv)
+    fields_df = allnodes.select("project", F.concat_ws("#", "project", "root").alias("model_id"), "path",
+                                "parent_path", "key", "idx", "depth", "jtype",
+                                F.lit(None).cast("string").alias("value"))
+    sk = json_skeleton(fields_df)
+    return sk.select("project", F.regexp_replace("model_id", r"^[^#]*#", "").alias("class"), "skeleton")
+
+
+# --------------------------------------------------------------------------- J7
+def request_body_models(body_texts: DataFrame, body_routes: DataFrame | None = None,
+                        class_fields: DataFrame | None = None, max_depth: int = 15) -> DataFrame:
+    """Request bodies -> models. Text bodies (second argument of a body
+    ``create(type, text)``) go through J1 with library ``OkHttp``; route
+    ``@Body`` parameter types go through J6 with the route's converter library.
+    ``body_texts(project, path, text, ord)``, ``body_routes(project, type, library)``.
+    Output ``(project, model, library, kind)``."""
+    t = build_json_models(body_texts.withColumn("library", F.lit("OkHttp"))) \
+        .select("project", F.col("canonical").alias("model"), "library", F.lit("text").alias("kind"))
+    if body_routes is None or class_fields is None:
+        return t
+    roots = body_routes.select("project", F.col("type").alias("class")).distinct()
+    sk = schema_from_fields(class_fields, roots, max_depth)
+    libs = body_routes.select("project", F.col("type").alias("class"), "library").distinct()
+    c = sk.join(libs, ["project", "class"]).select("project", F.col("skeleton").alias("model"), "library",
+                                                   F.lit("class").alias("kind"))
+    return t.unionByName(c)

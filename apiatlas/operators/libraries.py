@@ -104,11 +104,27 @@ def match_available_version(project_libs: DataFrame, available: DataFrame, libra
 
 
 def match_call_rules(call_sites: DataFrame, rules: DataFrame) -> DataFrame:
-    """L3: call sites -> library by rule (kind, name) plus residual filters on
-    scope type and argument count. The rule table is small and broadcast; a
-    type filter applies only when the fact row carries a type."""
-    r = F.broadcast(rules.withColumnRenamed("library", "rule_library"))
-    j = call_sites.join(r, ["kind", "name"], "inner")
-    type_ok = F.col("type").isNull() | F.col("scope_type").isNull() | (F.col("scope_type") == F.col("type"))
-    args_ok = F.col("min_args").isNull() | (F.size(F.coalesce("args", F.array())) >= F.col("min_args"))
-    return j.filter(type_ok & args_ok).withColumnRenamed("rule_library", "library")
+    """L3: call sites -> library by rule.
+
+    Equi-join with the fixed rule table (broadcast) on (kind, name), then the
+    rule's residual test: the expression's ``result_type``, the ``scope_type``
+    or one of ``arg_types`` must equal the rule type, and ``args`` must reach
+    ``min_args``. A type test applies only when the fact row carries that type
+    (regex facts carry none); one row per (site, library).
+    """
+    cs = call_sites
+    for c, t in (("result_type", "string"), ("scope_type", "string"), ("arg_types", "array<string>")):
+        if c not in cs.columns:
+            cs = cs.withColumn(c, F.lit(None).cast(t))
+    r = F.broadcast(rules.withColumnRenamed("library", "rule_library").withColumnRenamed("type", "rule_type"))
+    j = cs.join(r, ["kind", "name"], "inner")
+    m = F.col("match")
+    type_ok = (m.isNull()
+               | ((m == "result") & (F.col("result_type").isNull() | (F.col("result_type") == F.col("rule_type"))))
+               | ((m == "scope") & (F.col("scope_type").isNull() | (F.col("scope_type") == F.col("rule_type"))))
+               | ((m == "arg") & (F.col("arg_types").isNull()
+                                  | F.array_contains(F.col("arg_types"), F.col("rule_type")))))
+    args_ok = F.col("min_args").isNull() | (F.size(F.coalesce("args", F.array().cast("array<string>")))
+                                             >= F.col("min_args"))
+    return j.filter(type_ok & args_ok).select(
+        *[c for c in call_sites.columns], F.coalesce("rule_library", "rule_type").alias("library")).distinct()

@@ -189,3 +189,42 @@ def enclosing_block(positions: DataFrame, blocks: DataFrame, bucket_width: int,
         F.min_by(F.struct("kind", "name", "start_line", "end_line"), order).alias("b")) \
         .select("path", *ids, "pos", F.col("b.kind").alias("block_kind"), F.col("b.name").alias("block_name"),
                 F.col("b.start_line").alias("block_start"), F.col("b.end_line").alias("block_end"))
+
+
+# --------------------------------------------------------------------------- R9
+def alias_through_params(edges: DataFrame, max_depth: int = 15) -> DataFrame:
+    """An object passed as an argument is the same object as the callee's
+    parameter. ``edges(project, caller_var, callee_var)`` (ids such as
+    ``Class.method.name``); every variable is mapped to the root variables it
+    stems from by following edges callee -> caller, frontier only, with a
+    ``visited`` array against cycles and a reliable checkpoint per round.
+    A variable with several callers has several roots. Output
+    ``(project, var, root, depth)``; builder/put/append facts keyed by ``var``
+    are then regrouped by ``root``.
+    """
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    e = edges.select("project", F.col("callee_var").alias("cur"), F.col("caller_var").alias("up"))
+    nodes = edges.select("project", F.col("callee_var").alias("var")).union(
+        edges.select("project", F.col("caller_var").alias("var"))).distinct()
+    frontier = nodes.select("project", "var", F.col("var").alias("cur"), F.lit(0).alias("depth"),
+                            F.array("var").alias("visited"))
+    roots = []
+    for step in range(max_depth + 1):
+        j = frontier.join(e, ["project", "cur"], "left")
+        roots.append(j.filter(F.col("up").isNull() | F.array_contains("visited", F.col("up"))
+                              | F.lit(step == max_depth))
+                     .select("project", "var", F.col("cur").alias("root"), "depth"))
+        if step == max_depth:
+            break
+        nxt = j.filter(F.col("up").isNotNull() & ~F.array_contains("visited", F.col("up"))) \
+            .select("project", "var", F.col("up").alias("cur"), (F.col("depth") + 1).alias("depth"),
+                    F.array_append("visited", F.col("up")).alias("visited")) \
+            .dropDuplicates(["project", "var", "cur"]).checkpoint(eager=True)
+        if nxt.isEmpty():
+            break
+        frontier = nxt
+    out = roots[0]
+    for r in roots[1:]:
+        out = out.unionByName(r)
+    return out.groupBy("project", "var", "root").agg(F.min("depth").alias("depth"))

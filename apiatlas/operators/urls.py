@@ -72,28 +72,22 @@ def url_query_pairs(candidates: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- U2
-def build_url_catalog(candidates: DataFrame) -> DataFrame:
-    """Merge decomposed URLs into one row per (project, base_url, endpoint).
+PARTIAL_KEYS = ["project", "base_url", "endpoint", "key"]
 
-    Rules (explicit ``ord`` replaces traversal order):
-    * base row: ``first_path`` = path of the first occurrence; ``library`` = the
-      last writer among rows that carry an endpoint, else the first row's;
-    * endpoint row: queries = first value per key; ``http_methods`` = union;
-      ``fragments`` = those of the endpoint's first occurrence;
-    * a base seen without any endpoint gives one row with ``endpoint`` NULL.
 
-    Plan: one scan + projection, then three aggregations of shrinking size
-    (key level -> endpoint level -> base level) and one join of the two
-    aggregated tables; no raw row is ever collected into a group.
+def catalog_partials(candidates: DataFrame) -> DataFrame:
+    """U2, step 1: one row per (project, base_url, endpoint, query key).
+
+    Rows without queries keep key NULL, rows without endpoint keep endpoint
+    NULL. Every column is a decomposable aggregate (min/max/min_by/max_by/set
+    union), so partials of different batches merge with ``merge_partials``.
     """
-    cols = candidates.columns
-    verb = F.col("verb") if "verb" in cols else F.lit(None).cast("string")
+    verb = F.col("verb") if "verb" in candidates.columns else F.lit(None).cast("string")
     d = decompose_urls(candidates).select(
         "project", "base_url", "scheme", "authority", "library", "path", "ord", "endpoint",
         "queries", "fragments", verb.alias("verb"))
     ep_ord = F.when(F.col("endpoint").isNotNull(), F.col("ord"))
-    # level 1: (project, base, endpoint, query key); rows without queries keep key NULL
-    lvl1 = d.select("*", F.explode_outer("queries").alias("q")) \
+    return d.select("*", F.explode_outer("queries").alias("q")) \
         .groupBy("project", "base_url", "endpoint", F.col("q.key").alias("key")) \
         .agg(F.min("ord").alias("first_ord"),
              F.min_by("path", "ord").alias("first_path"),
@@ -102,10 +96,27 @@ def build_url_catalog(candidates: DataFrame) -> DataFrame:
              F.max_by("library", ep_ord).alias("last_ep_library"),
              F.min_by("q.value", "ord").alias("value"),
              F.min_by("fragments", "ord").alias("fragments"),
-             F.collect_set("verb").alias("verbs"),
+             F.array_sort(F.collect_set("verb")).alias("verbs"),
              F.first("scheme").alias("scheme"), F.first("authority").alias("authority"))
-    # level 2: endpoint
-    lvl2 = lvl1.groupBy("project", "base_url", "endpoint").agg(
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Combine partial rows with the same key (e.g. old state + a new batch)."""
+    return partials.groupBy(*PARTIAL_KEYS).agg(
+        F.min("first_ord").alias("first_ord"),
+        F.min_by("first_path", "first_ord").alias("first_path"),
+        F.min_by("first_library", "first_ord").alias("first_library"),
+        F.max("last_ep_ord").alias("last_ep_ord"),
+        F.max_by("last_ep_library", "last_ep_ord").alias("last_ep_library"),
+        F.min_by("value", "first_ord").alias("value"),
+        F.min_by("fragments", "first_ord").alias("fragments"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("verbs")))).alias("verbs"),
+        F.first("scheme").alias("scheme"), F.first("authority").alias("authority"))
+
+
+def finalize_catalog(partials: DataFrame) -> DataFrame:
+    """U2, step 2: partial rows -> one row per (project, base_url, endpoint)."""
+    lvl2 = partials.groupBy("project", "base_url", "endpoint").agg(
         F.min("first_ord").alias("first_ord"),
         F.min_by("first_path", "first_ord").alias("first_path"),
         F.min_by("first_library", "first_ord").alias("first_library"),
@@ -116,7 +127,6 @@ def build_url_catalog(candidates: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(),
                                            F.struct("key", "value")))).alias("queries"),
         F.first("scheme").alias("scheme"), F.first("authority").alias("authority"))
-    # level 3: base
     base = lvl2.groupBy("project", "base_url").agg(
         F.first("scheme").alias("scheme"), F.first("authority").alias("authority"),
         F.min_by("first_path", "first_ord").alias("first_path"),
@@ -126,13 +136,30 @@ def build_url_catalog(candidates: DataFrame) -> DataFrame:
     eps = lvl2.select("project", "base_url", "endpoint", "queries", "fragments", "http_methods")
     joined_df = base.join(eps, ["project", "base_url"], "inner") \
         .filter(F.col("endpoint").isNotNull() | ~F.col("_has_ep"))
+    has = F.col("endpoint").isNotNull()
     return joined_df.select(
         "project", "base_url", "scheme", "authority", "library", "first_path", "endpoint",
-        F.when(F.col("endpoint").isNotNull(), F.col("queries")).otherwise(F.array().cast(QUERY_T)).alias("queries"),
-        F.when(F.col("endpoint").isNotNull(), F.col("fragments"))
-        .otherwise(F.array().cast("array<string>")).alias("fragments"),
-        F.when(F.col("endpoint").isNotNull(), F.col("http_methods"))
-        .otherwise(F.array().cast("array<string>")).alias("http_methods"))
+        F.when(has, F.col("queries")).otherwise(F.array().cast(QUERY_T)).alias("queries"),
+        F.when(has, F.col("fragments")).otherwise(F.array().cast("array<string>")).alias("fragments"),
+        F.when(has, F.col("http_methods")).otherwise(F.array().cast("array<string>")).alias("http_methods"))
+
+
+def build_url_catalog(candidates: DataFrame) -> DataFrame:
+    """Merge decomposed URLs into one row per (project, base_url, endpoint).
+
+    Rules (explicit ``ord`` replaces traversal order):
+    * base row: ``first_path`` = path of the first occurrence; ``library`` = the
+      last writer among rows that carry an endpoint, else the first row's;
+    * endpoint row: queries = first value per key; ``http_methods`` = union;
+      ``fragments`` = those of the endpoint's first occurrence;
+    * a base seen without any endpoint gives one row with ``endpoint`` NULL.
+
+    Plan: one scan + projection, then three aggregations of shrinking size
+    (key level -> endpoint level -> base level, each with map-side partial
+    aggregation) and one join of the two aggregated tables; no raw row is
+    ever collected into a group, so a hot base costs one row per map task.
+    """
+    return finalize_catalog(catalog_partials(candidates))
 
 
 def flatten_catalog(catalog: DataFrame) -> DataFrame:

@@ -60,3 +60,43 @@ def library_keyword_dim(spark: SparkSession) -> DataFrame:
 
 def model_library_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x,) for x in MODEL_LIBRARIES], "library string")
+
+
+# Call-site rules (kind, name, match, type, min_args, library).
+# match: "result" = type of the expression, "scope" = type of the call's scope,
+# "arg" = one argument has this type, NULL = name alone. Library NULL = the
+# matched type itself.
+CALL_RULES = [
+    ("creation", "JsonObjectRequest", "arg", "Response.Listener", 3, "com.android.volley"),
+    ("creation", "JsonArrayRequest", "arg", "Response.Listener", 3, "com.android.volley"),
+    ("creation", "StringRequest", "arg", "Response.Listener", 3, "com.android.volley"),
+    ("creation", "ImageRequest", "arg", "Response.Listener", 3, "com.android.volley"),
+    ("creation", "Builder", "result", "okhttp3.Request.Builder", None, "com.squareup.okhttp3"),
+    ("creation", "Builder", "result", "com.squareup.okhttp.Request.Builder", None, "com.squareup.okhttp"),
+    ("creation", "Builder", "result", "retrofit.Retrofit.Builder", None, "com.squareup.retrofit"),
+    ("creation", "Builder", "result", "retrofit2.Retrofit.Builder", None, "com.squareup.retrofit"),
+    ("creation", "Builder", "result", "retrofit.RestAdapter.Builder", None, "com.squareup.retrofit"),
+    ("creation", "Builder", "result", "retrofit2.RestAdapter.Builder", None, "com.squareup.retrofit"),
+    ("creation", "Socket", "result", "java.net.Socket", None, "java.net.Socket"),
+    ("creation", "SSLSocket", "result", "javax.net.ssl.SSLSocket", None, "javax.net.ssl.SSLSocket"),
+    ("call", "openConnection", "result", "java.net.URLConnection", None, "java.net.URLConnection"),
+    ("call", "openConnection", "result", "java.net.HttpURLConnection", None, "java.net.HttpURLConnection"),
+    ("call", "openStream", "result", "java.net.URLConnection", None, "java.net.URLConnection"),
+    ("call", "openStream", "result", "java.net.HttpURLConnection", None, "java.net.HttpURLConnection"),
+    ("call", "execute", "scope", "org.apache.http.client.HttpClient", None, "org.apache.httpcomponents"),
+    ("call", "execute", "scope", "org.apache.http.impl.client.CloseableHttpClient", None, "org.apache.httpcomponents"),
+    ("call", "execute", "scope", "org.apache.http.impl.client.DefaultHttpClient", None, "org.apache.httpcomponents"),
+    ("call", "execute", "scope", "android.net.http.AndroidHttpClient", None, "android.core"),
+    ("call", "get", "arg", "com.loopj.android.http.AsyncHttpResponseHandler", 2, "com.loopj.android"),
+    ("call", "post", "arg", "com.loopj.android.http.AsyncHttpResponseHandler", 2, "com.loopj.android"),
+    ("call", "with", "result", "com.koushikdutta.ion.builder.LoadBuilder", None, "com.koushikdutta.ion"),
+    ("call", "with", "scope", "com.bumptech.glide.Glide", None, "com.github.bumptech.glide"),
+    ("call", "with", "scope", "com.koushikdutta.ion.Ion", None, "com.koushikdutta.ion"),
+    ("cast", "HttpURLConnection", "scope", "java.net.URLConnection", None, "java.net.HttpURLConnection"),
+    ("cast", "HttpsURLConnection", "scope", "java.net.URLConnection", None, "javax.net.ssl.HttpsURLConnection"),
+]
+
+
+def call_rule_dim(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CALL_RULES, "kind string, name string, match string, type string, "
+                                             "min_args int, library string")
