@@ -198,13 +198,14 @@ def assemble_urls(parts: DataFrame) -> DataFrame:
                         & F.forall("args", lambda a: F.size(a["alternatives"]) > 0))
     sep = {1: [], 2: [""], 3: ["://", ""], 4: ["://", ":", ""]}
 
+    def times(acc: Column, i: int, s: str) -> Column:
+        nxt = F.col("args")[i]["alternatives"]
+        return F.flatten(F.transform(acc, lambda p: F.transform(nxt, lambda x: F.concat(p, F.lit(s), x))))
+
     def product_with(n: int) -> Column:
-        seps = sep[n]
         acc = F.col("args")[0]["alternatives"]
         for i in range(1, n):
-            s = seps[i - 1]
-            acc = F.flatten(F.transform(acc, lambda p, i=i, s=s: F.transform(
-                F.col("args")[i]["alternatives"], lambda x: F.concat(p, F.lit(s), x))))
+            acc = times(acc, i, sep[n][i - 1])
         return acc
 
     texts = reduce(lambda c, n: c.when(F.col("n_args") == n, product_with(n)),

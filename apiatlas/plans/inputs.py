@@ -109,3 +109,92 @@ def page_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.regexp_extract("url", PROJECT_OF_URL, 1).alias("project"),
                     F.regexp_extract("url", URL_BASE, 1).alias("url")).distinct() \
         .withColumn("client", F.col("project")).withColumn("converter", F.lit(None).cast("string"))
+
+
+def library_ids() -> list[str]:
+    from apiatlas.plans.dims import LIBRARY_KEYWORDS
+    return [lib for lib, _ in LIBRARY_KEYWORDS]
+
+
+def part_group(brand_no):
+    """Coordinate group of a part: the n-th library id for brands 1..21, else an unknown group."""
+    ids = F.array(*[F.lit(x) for x in library_ids()])
+    return F.coalesce(F.try_element_at(ids, brand_no), F.concat(F.lit("com.brand"), brand_no.cast("string")))
+
+
+def part_build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One build file per part (project = p_type, ord = p_partkey): an import
+    line, an sdk line and one dependency coordinate ``<group>:<name>:<size>``."""
+    p = table(spark, sf_dir, "part")
+    brand_no = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
+    coord = F.concat(part_group(brand_no), F.lit(":"), F.regexp_replace("p_name", " ", "-"), F.lit(":"),
+                     F.col("p_size").cast("string"))
+    return p.select(F.col("p_type").alias("project"), F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))
+                    .alias("path"), F.col("p_partkey").alias("ord"),
+                    F.concat(F.lit("import org.gradle.X\nandroid {\n    compileSdkVersion "),
+                             F.col("p_size").cast("string"), F.lit("\n}\ndependencies {\n    implementation '"),
+                             coord, F.lit("'\n}\n")).alias("content"))
+
+
+def part_library_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Available library folders: ``<group>-<size>`` of the SMALL parts."""
+    p = table(spark, sf_dir, "part").filter(F.col("p_type") == "SMALL")
+    brand_no = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
+    return p.select(F.concat(part_group(brand_no), F.lit("-"), F.col("p_size").cast("string")).alias("folder")) \
+        .distinct()
+
+
+def page_builder_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL-builder calls for each page URL: scheme, host, one addPathSegment per
+    segment, one addQueryParameter per pair, fragment."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    b = F.col("page_id").cast("string")
+    path = F.regexp_extract("url", URL_PATH, 1)
+    qs = F.regexp_extract("url", URL_QUERY, 1)
+    frag = F.regexp_extract("url", r"#(.*)$", 1)
+    head = p.select(b.alias("builder"), F.explode(F.array(
+        F.struct(F.lit(0).alias("pos"), F.lit("scheme").alias("step"),
+                 F.array(F.regexp_extract("url", r"^([^:]+)://", 1)).alias("alts"),
+                 F.lit(None).cast("array<string>").alias("alts2")),
+        F.struct(F.lit(1).alias("pos"), F.lit("host").alias("step"),
+                 F.array(F.regexp_extract("url", r"^[^:]+://([^/?#]+)", 1)).alias("alts"),
+                 F.lit(None).cast("array<string>").alias("alts2")))).alias("s"))
+    segs = p.select(b.alias("builder"), F.posexplode(F.split(path, "/")).alias("i", "seg")).filter("i > 0") \
+        .select("builder", F.struct((F.col("i") + 1).alias("pos"), F.lit("addPathSegment").alias("step"),
+                                    F.array("seg").alias("alts"),
+                                    F.lit(None).cast("array<string>").alias("alts2")).alias("s"))
+    qp = p.filter(qs != "").select(b.alias("builder"), F.posexplode(F.split(qs, "&")).alias("i", "kv")) \
+        .select("builder", F.struct((F.col("i") + 1000).alias("pos"), F.lit("addQueryParameter").alias("step"),
+                                    F.array(F.split("kv", "=")[0]).alias("alts"),
+                                    F.array(F.split("kv", "=")[1]).alias("alts2")).alias("s"))
+    fr = p.filter(F.col("url").contains("#")).select(b.alias("builder"), F.struct(
+        F.lit(100000).alias("pos"), F.lit("fragment").alias("step"), F.array(frag).alias("alts"),
+        F.lit(None).cast("array<string>").alias("alts2")).alias("s"))
+    allsteps = head.unionByName(segs).unionByName(qp).unionByName(fr)
+    return allsteps.select(F.lit("pages").alias("project"), F.lit("pages").alias("path"), "builder", "s.*")
+
+
+def part_class_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class fields: one class per part type, one field per part name in it.
+    The field type follows the smallest size: String, int, Double, a list of
+    the next type's class, or the next type's class itself; Brand#1 parts are
+    transient, Brand#2 parts carry a SerializedName."""
+    p = table(spark, sf_dir, "part")
+    types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    nxt = F.create_map(*[x for i, t in enumerate(types) for x in (F.lit(t), F.lit(types[(i + 1) % len(types)]))])
+    g = p.groupBy("p_type", "p_name").agg(F.min("p_size").alias("s"), F.min("p_brand").alias("b"))
+    cls = F.initcap(F.lower("p_type"))
+    next_cls = F.initcap(F.lower(F.try_element_at(nxt, F.col("p_type"))))
+    typ = (F.when(F.col("s") <= 10, "String").when(F.col("s") <= 20, "int").when(F.col("s") <= 30, "Double")
+           .when(F.col("s") <= 40, "List").otherwise(next_cls))
+    ann = F.when(F.col("b") == "Brand#2", F.array(F.struct(F.lit("SerializedName").alias("name"),
+                                                             F.lit(None).cast("string").alias("key"),
+                                                             F.upper(F.regexp_replace("p_name", " ", "_"))
+                                                             .alias("value")))) \
+        .otherwise(F.array().cast("array<struct<name:string,key:string,value:string>>"))
+    return g.select(F.lit("tpch").alias("project"), cls.alias("class"),
+                    F.regexp_replace("p_name", " ", "_").alias("field"), typ.alias("type"),
+                    F.when(F.col("s").between(31, 40), F.array(next_cls)).otherwise(F.array().cast("array<string>"))
+                    .alias("type_args"),
+                    F.lit(False).alias("is_enum"), (F.col("b") == "Brand#1").alias("is_transient"),
+                    ann.alias("annotations"))

@@ -416,3 +416,201 @@ b AS (SELECT project, count(DISTINCT base_url) AS n_base_urls FROM cat GROUP BY
 SELECT coalesce(m.project, b.project) AS project, coalesce(m.n_models, 0) AS n_models,
        coalesce(b.n_base_urls, 0) AS n_base_urls
 FROM m FULL OUTER JOIN b ON b.project = m.project"""
+
+
+# ------------------------------------------------------------------ code facts
+from apiatlas.functions import encoding as _enc  # noqa: E402
+from apiatlas.operators import facts as _facts  # noqa: E402
+
+_CALL_KEYWORDS = "('if', 'for', 'while', 'switch', 'catch', 'return', 'new', 'synchronized')"
+
+
+def _n_args(x: str) -> str:
+    return f"CASE WHEN trim({x}) = '' THEN 0 ELSE len(string_split({x}, ',')) END"
+
+
+CALLS = r"""
+l0 AS (SELECT page_id, string_split(html, chr(10)) AS ls FROM pages),
+l1 AS (SELECT page_id, unnest(ls) AS lt, generate_subscripts(ls, 1) - 1 AS line FROM l0),
+c0 AS (SELECT page_id, line, regexp_extract_all(lt, '""" + _facts.CREATION + r"""') AS cm,
+              regexp_extract_all(lt, '""" + _facts.CALL + r"""') AS km,
+              regexp_extract_all(lt, '""" + _facts.CAST + r"""') AS sm FROM l1),
+cr AS (SELECT page_id, line, unnest(cm) AS m, generate_subscripts(cm, 1) - 1 AS pos FROM c0),
+ca AS (SELECT page_id, line, unnest(km) AS m, generate_subscripts(km, 1) - 1 AS pos FROM c0),
+cs AS (SELECT page_id, line, unnest(sm) AS m, generate_subscripts(sm, 1) - 1 AS pos FROM c0),
+calls AS (
+  SELECT page_id, line, pos, 'creation' AS kind,
+         string_split(regexp_extract(m, '""" + _facts.CREATION + r"""', 1), '.')[-1] AS name,
+         CAST(NULL AS VARCHAR) AS scope, """ + _n_args("regexp_extract(m, '" + _facts.CREATION + "', 2)") + r""" AS n_args
+  FROM cr
+  UNION ALL
+  SELECT page_id, line, pos, 'call', regexp_extract(m, '""" + _facts.CALL + r"""', 2),
+         nullif(regexp_extract(m, '""" + _facts.CALL + r"""', 1), ''),
+         """ + _n_args("regexp_extract(m, '" + _facts.CALL + "', 3)") + r"""
+  FROM ca WHERE regexp_extract(m, '""" + _facts.CALL + r"""', 2) NOT IN """ + _CALL_KEYWORDS + r"""
+  UNION ALL
+  SELECT page_id, line, pos, 'cast', string_split(regexp_extract(m, '""" + _facts.CAST + r"""', 1), '.')[-1],
+         nullif(regexp_extract(m, '""" + _facts.CAST + r"""', 2), ''), 0
+  FROM cs)"""
+
+ORACLE["extract_calls"] = "WITH " + CALLS + "\nSELECT page_id, line, pos, kind, name, scope, n_args FROM calls"
+
+
+def _rules_values() -> str:
+    def q(v):
+        return "NULL" if v is None else (str(v) if isinstance(v, int) else f"'{v}'")
+    rows = ", ".join("(" + ", ".join(q(x) for x in r) + ")" for r in dims.CALL_RULES)
+    return f"rules(kind, name, match, type, min_args, library) AS (VALUES {rows})"
+
+
+ORACLE["match_call_rules"] = "WITH " + CALLS + ", " + _rules_values() + r"""
+SELECT DISTINCT c.page_id, c.line, c.pos, c.kind, c.name, coalesce(r.library, r.type) AS library
+FROM calls c JOIN rules r ON r.kind = c.kind AND r.name = c.name
+WHERE r.min_args IS NULL OR c.n_args >= r.min_args"""
+
+
+def _library_list() -> str:
+    return "[" + ", ".join(f"'{lib}'" for lib, _ in dims.LIBRARY_KEYWORDS) + "]"
+
+
+PART_DEPS = r"""
+pg AS (
+  SELECT p_type AS project, p_partkey AS ord, p_size,
+         coalesce(""" + _library_list() + r"""[CAST(regexp_extract(p_brand, '#(\d+)', 1) AS INTEGER)],
+                  'com.brand' || regexp_extract(p_brand, '#(\d+)', 1)) AS grp
+  FROM part),
+occ AS (
+  SELECT project, grp AS library, CAST(p_size AS VARCHAR) AS version, ord, 0 AS pos FROM pg
+  WHERE list_contains(""" + _library_list() + r""", grp)
+  UNION ALL
+  SELECT project, 'android.core', CAST(p_size AS VARCHAR), ord, 1048576 FROM pg),
+deps AS (
+  SELECT project, library, version FROM (
+    SELECT *, row_number() OVER (PARTITION BY project, library ORDER BY ord DESC, pos DESC) AS rn FROM occ)
+  WHERE rn = 1)"""
+
+ORACLE["extract_dependencies"] = "WITH " + PART_DEPS + "\nSELECT project, library, version FROM deps"
+
+ORACLE["match_available_version"] = "WITH " + PART_DEPS + ", " + _libraries_values() + r""",
+folders AS (SELECT DISTINCT pg.grp || '-' || CAST(pg.p_size AS VARCHAR) AS folder FROM pg JOIN part ON part.p_partkey = pg.ord
+            WHERE part.p_type = 'SMALL'),
+fb AS (SELECT l.library, max(f.folder) AS fallback FROM folders f JOIN libdim l ON contains(f.folder, l.library)
+       GROUP BY l.library)
+SELECT d.project, d.library, d.version, coalesce(f.folder, fb.fallback) AS folder, f.folder IS NOT NULL AS exact
+FROM deps d LEFT JOIN folders f ON f.folder = d.library || '-' || d.version
+LEFT JOIN fb ON fb.library = d.library"""
+
+
+def _is_url(x: str) -> str:
+    return (f"((starts_with({x}, 'https://') AND length(regexp_extract(substr({x}, 9), '^([^/?#]*)', 1)) > 0) OR "
+            f"(starts_with({x}, 'www.') AND length(regexp_extract({x}, '^([^/?#]*)', 1)) > 0) OR "
+            f"(starts_with({x}, 'http://') AND length(regexp_extract(substr({x}, 8), '^([^/?#]*)', 1)) > 0) OR "
+            f"(starts_with({x}, 'ws://') AND length(regexp_extract(substr({x}, 6), '^([^/?#]*)', 1)) > 0) OR "
+            f"(starts_with({x}, 'wss://') AND length(regexp_extract(substr({x}, 7), '^([^/?#]*)', 1)) > 0))")
+
+
+ORACLE["urls_from_candidates"] = r"""
+WITH a AS (SELECT CAST(page_id AS VARCHAR) AS expr_id,
+                  unnest([url, regexp_extract(url, '^[^:]+://[^/?#]+(/[^?#]*)?', 1)]) AS t FROM pages)
+SELECT 'pages' AS project, expr_id, bool_or(""" + _is_url("t") + r""") AS any_url,
+       count(*) FILTER (WHERE """ + _is_url("t") + r""") AS n_urls
+FROM a GROUP BY expr_id"""
+
+ORACLE["assemble_urls"] = r"""
+WITH u AS (SELECT page_id, regexp_extract(url, '^([^:]+)://', 1) AS proto,
+                  regexp_extract(url, '^[^:]+://([^/?#]+)', 1) AS host,
+                  regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS base,
+                  regexp_extract(url, '^[^:]+://[^/?#]+(.*)$', 1) AS file FROM pages)
+SELECT 'a' || CAST(page_id AS VARCHAR) AS expr_id, proto || '://' || host || file AS text FROM u
+UNION ALL SELECT 'b' || CAST(page_id AS VARCHAR), base || file FROM u
+UNION ALL SELECT 'b' || CAST(page_id AS VARCHAR), base || '/' FROM u"""
+
+
+def _encode_sql(x: str, escapes: str) -> str:
+    out = f"replace({x}, '%', '%25')"
+    for ch in escapes:
+        lit = ch.replace("'", "''")
+        out = f"replace({out}, '{lit}', '%{ord(ch):02X}')"
+    return out
+
+
+_QK = _encode_sql("split_part(kv, '=', 1)", _enc.QUERY_COMPONENT_ESCAPES)
+_QV = _encode_sql("string_split(kv, '=')[2]", _enc.QUERY_COMPONENT_ESCAPES)
+
+ORACLE["fold_builder_steps"] = r"""
+WITH u AS (SELECT page_id, url, regexp_extract(url, '^([^:]+)://', 1) AS scheme,
+                  regexp_extract(url, '^[^:]+://([^/?#]+)', 1) AS host,
+                  regexp_extract(url, '^[^:]+://[^/?#]+(/[^?#]*)?', 1) AS path,
+                  regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS qs,
+                  regexp_extract(url, '#(.*)$', 1) AS frag FROM pages),
+segs AS (SELECT page_id, string_split(path, '/') AS sl FROM u),
+sp AS (SELECT page_id, string_agg('/' || """ + _encode_sql("s", _enc.PATH_SEGMENT_ESCAPES) + r""", '' ORDER BY i) AS p
+       FROM (SELECT page_id, unnest(sl) AS s, generate_subscripts(sl, 1) AS i FROM segs) WHERE i > 1
+       GROUP BY page_id),
+qp AS (SELECT page_id, string_agg('&' || """ + _QK + r""" || '=' || """ + _QV + r""", '' ORDER BY i) AS q
+       FROM (SELECT page_id, unnest(string_split(qs, '&')) AS kv, generate_subscripts(string_split(qs, '&'), 1) AS i
+             FROM u WHERE qs <> '')
+       GROUP BY page_id),
+t AS (SELECT u.page_id, scheme || '://' || host || coalesce(sp.p, '') || coalesce(qp.q, '') ||
+             CASE WHEN contains(url, '#') THEN '#' || """ + _encode_sql("frag", _enc.FRAGMENT_ESCAPES) + r""" ELSE '' END AS x
+      FROM u LEFT JOIN sp ON sp.page_id = u.page_id LEFT JOIN qp ON qp.page_id = u.page_id)
+SELECT CAST(page_id AS VARCHAR) AS builder,
+       CASE WHEN strpos(x, '&') > 0 THEN substr(x, 1, strpos(x, '&') - 1) || '?' || substr(x, strpos(x, '&') + 1)
+            ELSE x END AS text
+FROM t"""
+
+ORACLE["stream_url_catalog"] = ORACLE["build_url_catalog"]
+
+ORACLE["resolve_return"] = r"""
+SELECT 'tpch' AS project, 'ordersOf' || CAST(c.c_custkey AS VARCHAR) AS callee,
+       'c' || CAST(c.c_custkey AS VARCHAR) AS call_id, 'o' || CAST(o.o_orderkey AS VARCHAR) AS return_id
+FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey"""
+
+ORACLE["resolve_field_access"] = r"""
+SELECT 'tpch' AS project, 'Part' AS class, 'f' || CAST(l.l_partkey AS VARCHAR) AS name,
+       'l' || CAST(l.l_orderkey AS VARCHAR) || '_' || CAST(l.l_linenumber AS VARCHAR) AS access_id,
+       'p' || CAST(p.p_partkey AS VARCHAR) AS def_id
+FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey WHERE p.p_size <= 37"""
+
+ORACLE["alias_through_params"] = r"""
+WITH RECURSIVE e AS (
+  SELECT DISTINCT 'cust' || CAST(o_custkey AS VARCHAR) AS caller_var, 'order' || CAST(o_orderkey AS VARCHAR) AS callee_var
+  FROM orders
+  UNION
+  SELECT DISTINCT 'order' || CAST(l_orderkey AS VARCHAR),
+         'line' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) FROM lineitem),
+nodes AS (SELECT callee_var AS v FROM e UNION SELECT caller_var FROM e),
+walk(var, cur, depth) AS (
+  SELECT v, v, 0 FROM nodes
+  UNION ALL
+  SELECT w.var, e.caller_var, w.depth + 1 FROM walk w JOIN e ON e.callee_var = w.cur WHERE w.depth < 15)
+SELECT 'tpch' AS project, var, cur AS root, min(depth) AS depth
+FROM walk w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.callee_var = w.cur)
+GROUP BY var, cur"""
+
+ORACLE["nest_json_values"] = r"""
+WITH lv AS (
+  SELECT user_id, event_type, value,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+ud AS (
+  SELECT user_id, count(*) AS n_keys,
+         '{' || string_agg('"' || event_type || '":' || CAST(value AS VARCHAR), ',' ORDER BY event_type) || '}' AS doc
+  FROM lv WHERE rn = 1 GROUP BY user_id),
+tu AS (SELECT DISTINCT event_type, user_id FROM events),
+td AS (
+  SELECT 't_' || tu.event_type AS object, count(*) AS n_keys,
+         '{' || string_agg('"user_' || CAST(tu.user_id AS VARCHAR) || '":' || ud.doc, ','
+                           ORDER BY 'user_' || CAST(tu.user_id AS VARCHAR)) || '}' AS doc
+  FROM tu JOIN ud ON ud.user_id = tu.user_id GROUP BY tu.event_type)
+SELECT 'events' AS project, 'u' || CAST(user_id AS VARCHAR) AS object, n_keys, doc FROM ud
+UNION ALL SELECT 'events', object, n_keys, doc FROM td"""
+
+ORACLE["request_body_models"] = "WITH " + EVENT_MODELS + r"""
+SELECT project, canonical AS model, 'OkHttp' AS library, 'text' AS kind FROM models"""
+
+ORACLE["read_report"] = "WITH " + PAGE_CAND + "," + DECOMPOSE + "," + CATALOG + "," + REBUILD + "," + EVENT_MODELS + r"""
+SELECT project, 'ENDPOINTS' AS section,
+       row_number() OVER (PARTITION BY project ORDER BY base_url || '/' || endpoint) AS idx, populated_url AS value
+FROM rb
+UNION ALL
+SELECT project, 'JSON', row_number() OVER (PARTITION BY project ORDER BY canonical), canonical FROM models"""

@@ -309,6 +309,142 @@ def q_project_summary(spark, sf):
     return stats.project_summary(_event_models(spark, sf), cat)
 
 
+# ------------------------------------------------------------------ code facts and libraries
+def q_extract_calls(spark, sf):
+    c = facts.extract_calls(I.page_texts(spark, sf), keys=("page_id",))
+    return c.select("page_id", "line", "pos", "kind", "name", "scope", F.size("args").cast("long").alias("n_args"))
+
+
+def q_match_call_rules(spark, sf):
+    c = facts.extract_calls(I.page_texts(spark, sf), keys=("page_id",))
+    m = libraries.match_call_rules(c, dims.call_rule_dim(spark))
+    return m.select("page_id", "line", "pos", "kind", "name", "library")
+
+
+def q_extract_dependencies(spark, sf):
+    return libraries.extract_dependencies(I.part_build_files(spark, sf), dims.library_dim(spark))
+
+
+def q_match_available_version(spark, sf):
+    deps = libraries.extract_dependencies(I.part_build_files(spark, sf), dims.library_dim(spark))
+    return libraries.match_available_version(deps, I.part_library_folders(spark, sf), dims.library_dim(spark))
+
+
+# ------------------------------------------------------------------ more URL jobs
+def q_urls_from_candidates(spark, sf):
+    p = I.table(spark, sf, "pages")
+    exprs = p.select(F.lit("pages").alias("project"), F.col("page_id").cast("string").alias("expr_id"),
+                     F.array("url", F.regexp_extract("url", I.URL_PATH, 1)).alias("alternatives"))
+    return U.urls_from_candidates(exprs).select("project", "expr_id", "any_url",
+                                                F.col("n_urls").cast("long").alias("n_urls"))
+
+
+def q_assemble_urls(spark, sf):
+    p = I.table(spark, sf, "pages")
+    pid = F.col("page_id").cast("string")
+    file_part = F.regexp_extract("url", r"^[^:]+://[^/?#]+(.*)$", 1)
+    three = p.select(F.concat(F.lit("a"), pid).alias("expr_id"), F.lit(3).alias("n_args"), F.explode(F.array(
+        F.struct(F.lit(0).alias("arg_pos"), F.array(F.regexp_extract("url", r"^([^:]+)://", 1)).alias("alternatives")),
+        F.struct(F.lit(1).alias("arg_pos"), F.array(F.regexp_extract("url", r"^[^:]+://([^/?#]+)", 1))
+                 .alias("alternatives")),
+        F.struct(F.lit(2).alias("arg_pos"), F.array(file_part).alias("alternatives")))).alias("a"))
+    two = p.select(F.concat(F.lit("b"), pid).alias("expr_id"), F.lit(2).alias("n_args"), F.explode(F.array(
+        F.struct(F.lit(0).alias("arg_pos"), F.array(F.regexp_extract("url", I.URL_BASE, 1)).alias("alternatives")),
+        F.struct(F.lit(1).alias("arg_pos"), F.array(file_part, F.lit("/")).alias("alternatives")))).alias("a"))
+    parts = three.unionByName(two).select("expr_id", "n_args", "a.arg_pos", "a.alternatives")
+    return U.assemble_urls(parts)
+
+
+def q_fold_builder_steps(spark, sf):
+    return U.fold_builder_steps(I.page_builder_steps(spark, sf)).select("builder", "text")
+
+
+def q_stream_url_catalog(spark, sf):
+    """Catalog built by the streaming job (availableNow over the candidate files)."""
+    import os
+    import uuid
+    from apiatlas.session import ensure_checkpoint_dir
+    from apiatlas.streaming import catalog_stream as CS
+    root = os.path.join(ensure_checkpoint_dir(spark), "stream-" + uuid.uuid4().hex)
+    I.page_candidates(spark, sf).write.parquet(os.path.join(root, "source"))
+    q = CS.stream_url_catalog(spark, os.path.join(root, "source"), os.path.join(root, "state"),
+                              os.path.join(root, "checkpoint"))
+    q.awaitTermination()
+    return U.flatten_catalog(CS.current_catalog(spark, os.path.join(root, "state")))
+
+
+# ------------------------------------------------------------------ more resolution
+def q_resolve_return(spark, sf):
+    c = I.table(spark, sf, "customer")
+    o = I.table(spark, sf, "orders")
+    calls = c.select(F.lit("tpch").alias("project"), F.concat(F.lit("ordersOf"), F.col("c_custkey").cast("string"))
+                     .alias("callee"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("expr_id"))
+    rets = o.select(F.lit("tpch").alias("project"), F.concat(F.lit("ordersOf"), F.col("o_custkey").cast("string"))
+                    .alias("callee"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("expr_id"))
+    return resolve.resolve_return(calls, rets)
+
+
+def q_resolve_field_access(spark, sf):
+    li = I.table(spark, sf, "lineitem")
+    acc = li.select(F.lit("tpch").alias("project"), F.lit("Part").alias("class"),
+                    F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("name"),
+                    F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("_"),
+                             F.col("l_linenumber").cast("string")).alias("expr_id"))
+    defs = _part_field_defs(spark, sf).withColumn("class", F.lit("Part")) \
+        .withColumn("role", F.when(F.col("visibility") == "private", "assign").otherwise("init"))
+    return resolve.resolve_field_access(acc, defs)
+
+
+def q_alias_through_params(spark, sf):
+    o = I.table(spark, sf, "orders")
+    li = I.table(spark, sf, "lineitem")
+    e1 = o.select(F.lit("tpch").alias("project"), F.concat(F.lit("cust"), F.col("o_custkey").cast("string"))
+                  .alias("caller_var"), F.concat(F.lit("order"), F.col("o_orderkey").cast("string")).alias("callee_var"))
+    e2 = li.select(F.lit("tpch").alias("project"), F.concat(F.lit("order"), F.col("l_orderkey").cast("string"))
+                   .alias("caller_var"), F.concat(F.lit("line"), F.col("l_orderkey").cast("string"), F.lit("_"),
+                                                  F.col("l_linenumber").cast("string")).alias("callee_var"))
+    return resolve.alias_through_params(e1.unionByName(e2)) \
+        .select("project", "var", "root", F.col("depth").cast("long").alias("depth"))
+
+
+# ------------------------------------------------------------------ more JSON
+def q_nest_json_values(spark, sf):
+    ev = I.table(spark, sf, "events")
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    leaf = ev.select(F.lit("events").alias("project"), user.alias("object"), F.struct("ts", "event_id").alias("pos"),
+                     F.col("event_type").alias("key"), F.col("value").cast("string").alias("value"),
+                     F.lit("number").alias("value_type"))
+    refs = ev.select(F.lit("events").alias("project"), F.concat(F.lit("t_"), F.col("event_type")).alias("object"),
+                     F.struct("ts", "event_id").alias("pos"), F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+                     .alias("key"), user.alias("value"), F.lit("object").alias("value_type"))
+    return jsonmodel.nest_json_values(leaf.unionByName(refs)).select(
+        "project", "object", F.col("n_keys").cast("long").alias("n_keys"), "doc")
+
+
+def q_schema_from_fields(spark, sf):
+    cf = I.part_class_fields(spark, sf)
+    roots = cf.select("project", "class").distinct()
+    return jsonmodel.schema_from_fields(cf, roots, max_depth=15)
+
+
+def q_request_body_models(spark, sf):
+    cands = I.event_candidates(spark, sf).select("project", "path", "text", "ord")
+    return jsonmodel.request_body_models(cands)
+
+
+def q_read_report(spark, sf):
+    from apiatlas.sources import readers, sinks
+    urls = U.rebuild_urls(U.build_url_catalog(I.page_candidates(spark, sf)))
+    fields = jsonmodel.explode_json_fields(_event_models(spark, sf))
+    sk = jsonmodel.json_skeleton(fields)
+    filled = jsonmodel.json_skeleton(fields, with_values=True).withColumnRenamed("skeleton", "populated")
+    models = sk.join(filled, ["project", "model_id"]).join(
+        _event_models(spark, sf).select("project", "model_id", "canonical"), ["project", "model_id"]) \
+        .withColumn("model_id", F.col("canonical"))
+    report = sinks.build_report(urls=urls, models=models.select("project", "model_id", "skeleton", "populated"))
+    return readers.read_report(sinks.report_lines(report))
+
+
 QUERIES: dict[str, Query] = {
     "decompose_urls": q_decompose_urls,
     "url_query_pairs": q_url_query_pairs,
@@ -340,4 +476,19 @@ QUERIES: dict[str, Query] = {
     "models_per_library": q_models_per_library,
     "project_counters": q_project_counters,
     "project_summary": q_project_summary,
+    "extract_calls": q_extract_calls,
+    "match_call_rules": q_match_call_rules,
+    "extract_dependencies": q_extract_dependencies,
+    "match_available_version": q_match_available_version,
+    "urls_from_candidates": q_urls_from_candidates,
+    "assemble_urls": q_assemble_urls,
+    "fold_builder_steps": q_fold_builder_steps,
+    "stream_url_catalog": q_stream_url_catalog,
+    "resolve_return": q_resolve_return,
+    "resolve_field_access": q_resolve_field_access,
+    "alias_through_params": q_alias_through_params,
+    "nest_json_values": q_nest_json_values,
+    "schema_from_fields": q_schema_from_fields,
+    "request_body_models": q_request_body_models,
+    "read_report": q_read_report,
 }
