@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apiatlas.functions import encoding as enc
@@ -115,8 +115,15 @@ def merge_partials(partials: DataFrame) -> DataFrame:
 
 
 def finalize_catalog(partials: DataFrame) -> DataFrame:
-    """U2, step 2: partial rows -> one row per (project, base_url, endpoint)."""
-    lvl2 = partials.groupBy("project", "base_url", "endpoint").agg(
+    """U2, step 2: partial rows -> one row per (project, base_url, endpoint).
+
+    The partials (already one row per distinct endpoint/key) are shuffled once
+    by (project, base_url); the endpoint aggregation and the base-level
+    attributes (a window over the same key) reuse that partitioning, so the
+    source is read once and no join is needed.
+    """
+    by_base = partials.repartition("project", "base_url")
+    lvl2 = by_base.groupBy("project", "base_url", "endpoint").agg(
         F.min("first_ord").alias("first_ord"),
         F.min_by("first_path", "first_ord").alias("first_path"),
         F.min_by("first_library", "first_ord").alias("first_library"),
@@ -127,18 +134,17 @@ def finalize_catalog(partials: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(),
                                            F.struct("key", "value")))).alias("queries"),
         F.first("scheme").alias("scheme"), F.first("authority").alias("authority"))
-    base = lvl2.groupBy("project", "base_url").agg(
-        F.first("scheme").alias("scheme"), F.first("authority").alias("authority"),
-        F.min_by("first_path", "first_ord").alias("first_path"),
-        F.coalesce(F.max_by("last_ep_library", "last_ep_ord"),
-                   F.min_by("first_library", "first_ord")).alias("library"),
-        F.max(F.col("endpoint").isNotNull()).alias("_has_ep"))
-    eps = lvl2.select("project", "base_url", "endpoint", "queries", "fragments", "http_methods")
-    joined_df = base.join(eps, ["project", "base_url"], "inner") \
-        .filter(F.col("endpoint").isNotNull() | ~F.col("_has_ep"))
+    w = Window.partitionBy("project", "base_url")
     has = F.col("endpoint").isNotNull()
-    return joined_df.select(
-        "project", "base_url", "scheme", "authority", "library", "first_path", "endpoint",
+    with_base = lvl2.select(
+        "*",
+        F.min_by("first_path", "first_ord").over(w).alias("base_first_path"),
+        F.coalesce(F.max_by("last_ep_library", "last_ep_ord").over(w),
+                   F.min_by("first_library", "first_ord").over(w)).alias("library"),
+        F.max(has.cast("int")).over(w).alias("_has_ep"))
+    return with_base.filter(has | (F.col("_has_ep") == 0)).select(
+        "project", "base_url", "scheme", "authority", "library",
+        F.col("base_first_path").alias("first_path"), "endpoint",
         F.when(has, F.col("queries")).otherwise(F.array().cast(QUERY_T)).alias("queries"),
         F.when(has, F.col("fragments")).otherwise(F.array().cast("array<string>")).alias("fragments"),
         F.when(has, F.col("http_methods")).otherwise(F.array().cast("array<string>")).alias("http_methods"))
@@ -154,10 +160,10 @@ def build_url_catalog(candidates: DataFrame) -> DataFrame:
       ``fragments`` = those of the endpoint's first occurrence;
     * a base seen without any endpoint gives one row with ``endpoint`` NULL.
 
-    Plan: one scan + projection, then three aggregations of shrinking size
-    (key level -> endpoint level -> base level, each with map-side partial
-    aggregation) and one join of the two aggregated tables; no raw row is
-    ever collected into a group, so a hot base costs one row per map task.
+    Plan: one scan + projection, a key-level aggregation with map-side
+    partial aggregation (a hot base costs one row per distinct endpoint/key
+    per map task, never one per occurrence), then one shuffle of those
+    partials by base for the endpoint aggregation and the base-level window.
     """
     return finalize_catalog(catalog_partials(candidates))
 
