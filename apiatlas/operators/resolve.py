@@ -42,22 +42,28 @@ def resolve_field(uses: DataFrame, defs: DataFrame) -> DataFrame:
 
     Visibility decides the scope: public -> whole project; protected/default
     -> same package, or same file when there is no package; private -> same
-    file. Three equi-joins with their own keys, unioned (no theta join).
+    file. Each definition has exactly one scope key (kind, value); each use
+    lists the three keys it can see (project / its package / its file). One
+    scan of each side and one equi-join on (project, name, scope, scope_value):
+    no theta join and no fan-out beyond real matches.
     """
     u = uses.filter(F.col("method").isNotNull()).select(
-        "project", "package", "path", "name", F.col("expr_id").alias("use_id"))
-    f = defs.filter(F.col("kind") == "field").select(
-        "project", "package", "path", "name", "visibility", F.col("expr_id").alias("def_id"))
+        "project", "name", F.col("expr_id").alias("use_id"),
+        F.explode(F.array(
+            F.struct(F.lit("project").alias("scope"), F.lit("").alias("scope_value")),
+            F.struct(F.lit("package").alias("scope"), F.coalesce("package", F.lit("\u0000")).alias("scope_value")),
+            F.struct(F.lit("file").alias("scope"), F.col("path").alias("scope_value")))).alias("s")) \
+        .select("project", "name", "use_id", "s.scope", "s.scope_value")
     vis = F.col("visibility")
-    pub = f.filter(vis == "public").select("project", "name", "def_id")
-    pkg = f.filter(vis.isin("protected", "default") & F.col("package").isNotNull()) \
-        .select("project", "package", "name", "def_id")
-    same_file = f.filter((vis == "private") | (vis.isin("protected", "default") & F.col("package").isNull())) \
-        .select("project", "path", "name", "def_id")
-    cols = ["project", "use_id", "def_id"]
-    return u.join(pub, ["project", "name"]).select(*cols, F.lit("project").alias("scope")) \
-        .unionByName(u.join(pkg, ["project", "package", "name"]).select(*cols, F.lit("package").alias("scope"))) \
-        .unionByName(u.join(same_file, ["project", "path", "name"]).select(*cols, F.lit("file").alias("scope")))
+    scope = (F.when(vis == "public", "project")
+             .when(vis.isin("protected", "default") & F.col("package").isNotNull(), "package")
+             .when((vis == "private") | vis.isin("protected", "default"), "file"))
+    value = (F.when(scope == "project", F.lit("")).when(scope == "package", F.col("package"))
+             .otherwise(F.col("path")))
+    f = defs.filter(F.col("kind") == "field").select(
+        "project", "name", F.col("expr_id").alias("def_id"), scope.alias("scope"), value.alias("scope_value")) \
+        .filter(F.col("scope").isNotNull())
+    return u.join(f, ["project", "name", "scope", "scope_value"]).select("project", "use_id", "def_id", "scope")
 
 
 # --------------------------------------------------------------------------- R3

@@ -92,7 +92,8 @@ def q_enclosing_block(spark, sf):
                     .alias("path"), I.epoch_seconds(ev, "ts").alias("pos"), "event_type")
     methods = pos.groupBy("path", F.col("event_type").alias("name")).agg(
         F.min("pos").alias("start_line"), F.max("pos").alias("end_line")).withColumn("kind", F.lit("method"))
-    classes = pos.groupBy("path").agg(F.min("pos").alias("start_line"), F.max("pos").alias("end_line")) \
+    classes = methods.groupBy("path").agg(F.min("start_line").alias("start_line"),
+                                          F.max("end_line").alias("end_line")) \
         .withColumn("name", F.lit("user")).withColumn("kind", F.lit("class"))
     blocks = methods.unionByName(classes)
     return resolve.enclosing_block(pos, blocks, bucket_width=86400, id_cols=("id",))
