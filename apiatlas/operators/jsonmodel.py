@@ -60,6 +60,10 @@ def explode_json_fields(models: DataFrame, json_col: str = "canonical", max_dept
     such as ``"<INTEGER>"`` become typed unknowns (value NULL).
     """
     spark = models.sparkSession
+    # the depth bound limits the walk; Spark's default cap on recursive-CTE rows
+    # (1M) would cut results on real corpora, so it is lifted for this session
+    if spark.conf.get("spark.sql.cteRecursionRowLimit", "-1") != "-1":
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     roots = models.select("project", "model_id", F.try_parse_json(json_col).alias("v")).filter("v IS NOT NULL")
     nodes = spark.sql(f"""
         WITH RECURSIVE walk(project, model_id, path, parent_path, key, idx, depth, v) AS (
@@ -174,8 +178,11 @@ def nest_json_values(puts: DataFrame, max_depth: int = 15) -> DataFrame:
     spark = puts.sparkSession
     from apiatlas.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    last = puts.groupBy("project", "object", "key").agg(F.max_by(F.struct("value", "value_type"), "pos").alias("lv")) \
-        .select("project", "object", "key", F.col("lv.value").alias("value"), F.col("lv.value_type").alias("value_type"))
+    from apiatlas.session import materialize
+    last = materialize(puts.groupBy("project", "object", "key")
+                       .agg(F.max_by(F.struct("value", "value_type"), "pos").alias("lv"))
+                       .select("project", "object", "key", F.col("lv.value").alias("value"),
+                               F.col("lv.value_type").alias("value_type")))
     refs = last.filter(F.col("value_type") == "object")
     done = fold_json_puts(last.join(refs.select("project", "object").distinct(), ["project", "object"], "left_anti")
                           .withColumn("pos", F.lit(0)))
@@ -293,7 +300,8 @@ def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int
     spark = class_fields.sparkSession
     from apiatlas.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    ef = effective_fields(class_fields, enums)
+    from apiatlas.session import materialize
+    ef = materialize(effective_fields(class_fields, enums), ["project", "class"])
     cols = ["project", "root", "path", "parent_path", "key", "idx", "depth", "jtype", "expand", "mode"]
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
     frontier = roots.select("project", F.col("class").alias("root"), F.lit("$").alias("path"),

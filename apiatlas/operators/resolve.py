@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apiatlas.operators.urls import product_fold
-from apiatlas.session import ensure_checkpoint_dir
+from apiatlas.session import ensure_checkpoint_dir, materialize
 
 # Declared type -> placeholder for an unresolved value.
 TYPE_PLACEHOLDER = {"String": "<STRING>", "Double": "<DOUBLE>", "Float": "<DOUBLE>",
@@ -148,13 +148,14 @@ def resolve_iterative(starts: DataFrame, defs: DataFrame, max_depth: int = 15,
     """
     spark = starts.sparkSession
     ensure_checkpoint_dir(spark)
-    d = defs.select("project", "name", "value_kind", "value", "ref")
+    d = materialize(defs.select("project", F.col("name").alias("cur"), "value_kind", "value", "ref"),
+                    ["project", "cur"])
     frontier = starts.select("project", "start", F.col("name").alias("cur"), F.lit(0).alias("depth"),
                              F.array("name").alias("visited"))
     found = []
     for step in range(max_depth + 1):
-        j = frontier.join(d, (frontier["project"] == d["project"]) & (frontier["cur"] == d["name"])) \
-            .select(frontier["project"], "start", "depth", "visited", "value_kind", "value", "ref")
+        j = frontier.join(d, ["project", "cur"]) \
+            .select("project", "start", "depth", "visited", "value_kind", "value", "ref")
         found.append(j.filter(F.col("value_kind") == "literal").select("project", "start", "value", "depth"))
         if step == max_depth:
             break
@@ -210,11 +211,12 @@ def alias_through_params(edges: DataFrame, max_depth: int = 15) -> DataFrame:
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select("project", F.col("callee_var").alias("cur"), F.col("caller_var").alias("up"))
-    nodes = edges.select("project", F.col("callee_var").alias("var")).union(
-        edges.select("project", F.col("caller_var").alias("var"))).distinct()
-    frontier = nodes.select("project", "var", F.col("var").alias("cur"), F.lit(0).alias("depth"),
-                            F.array("var").alias("visited"))
+    e = materialize(edges.select("project", F.col("callee_var").alias("cur"), F.col("caller_var").alias("up"))
+                    .distinct(), ["project", "cur"])
+    nodes = e.select("project", F.col("cur").alias("var")).union(e.select("project", F.col("up").alias("var"))) \
+        .distinct()
+    frontier = materialize(nodes.select("project", "var", F.col("var").alias("cur"), F.lit(0).alias("depth"),
+                                        F.array("var").alias("visited")))
     roots = []
     for step in range(max_depth + 1):
         j = frontier.join(e, ["project", "cur"], "left")

@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # recursive CTEs are bounded by depth; never by a row cap
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 
@@ -51,3 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="apiatlas-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df, keys: list[str] | None = None):
+    """Write ``df`` once to the shared checkpoint folder (reliable checkpoint),
+    hash-partitioned on ``keys`` when given. Iterative jobs use it for their
+    static side, so later rounds neither recompute its lineage nor reshuffle
+    it: the checkpoint keeps the partitioning and only the frontier moves."""
+    ensure_checkpoint_dir(df.sparkSession)
+    if keys:
+        df = df.repartition(*keys)
+    return df.checkpoint(eager=True)
