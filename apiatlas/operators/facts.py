@@ -66,18 +66,31 @@ def extract_imports(texts: DataFrame, library_dim: DataFrame, text_col: str = "c
     return imps.join(libs, F.col("import").contains(F.col("library")), "inner")
 
 
-def keep_maximal_spans(spans: DataFrame, key: str = "path", start: str = "start", end: str = "end") -> DataFrame:
+def keep_maximal_spans(spans: DataFrame, key: str = "path", start: str = "start", end: str = "end",
+                       num_partitions: int | None = None) -> DataFrame:
     """of nested spans keep only the outermost.
 
-    Ordered by (start asc, end desc) inside a key, a span survives when it ends
-    after every span before it. A running max over a ROWS frame: one sort per
-    key partition, streaming, no self-join.
+    Ordered by (start asc, end desc) inside a key, a span survives when it
+    ends after every span before it (a running max). The rows are
+    range-partitioned on (key, start, -end), so one file with a third of all
+    spans is spread over many tasks: each partition computes its local
+    running max, and the max of the earlier partitions of the same key (a
+    small per-partition table) is carried in.
     """
-    w = Window.partitionBy(key).orderBy(F.col(start).asc(), F.col(end).desc()) \
+    from apiatlas.session import materialize
+    spark = spans.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(spans.repartitionByRange(n, F.col(key), F.col(start), F.col(end).desc())
+                         .withColumn("_pid", F.spark_partition_id()))
+    local = Window.partitionBy("_pid", key).orderBy(F.col(start).asc(), F.col(end).desc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max(end).over(w)
-    return spans.withColumn("_prev_end", prev) \
-        .filter(F.col("_prev_end").isNull() | (F.col(end) > F.col("_prev_end"))).drop("_prev_end")
+    part_max = ranged.groupBy("_pid", key).agg(F.max(end).alias("_pmax"))
+    carry = part_max.withColumn("_carry", F.max("_pmax").over(
+        Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).drop("_pmax")
+    prev = F.greatest(F.max(end).over(local), F.col("_carry"))
+    return ranged.join(carry, ["_pid", key]).withColumn("_prev_end", prev) \
+        .filter(F.col("_prev_end").isNull() | (F.col(end) > F.col("_prev_end"))) \
+        .drop("_prev_end", "_carry", "_pid")
 
 
 # ------------------------------------------------------------------ P3-P5

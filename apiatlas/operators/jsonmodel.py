@@ -98,45 +98,50 @@ def explode_json_fields(models: DataFrame, json_col: str = "canonical", max_dept
 
 
 # --------------------------------------------------------------------------- J3
-def json_skeleton(fields: DataFrame, with_values: bool = False) -> DataFrame:
+def json_skeleton(fields: DataFrame, with_values: bool = False, both: bool = False) -> DataFrame:
     """Render each model from its nodes, bottom-up, one depth level per round.
 
     Without values leaves render as their tag (``"<NUMBER_INT>"``; NULL stays
     ``null``); with values they render as JSON literals (strings quoted through
-    ``to_json`` so they stay valid JSON). Object keys come in sorted order,
-    array elements in source order. Output ``(project, model_id, skeleton)``.
+    ``to_json`` so they stay valid JSON), unknown leaves as their tag. Object
+    keys come in sorted order, array elements in source order. Output
+    ``(project, model_id, skeleton)``; with ``both`` the two renderings come
+    from one pass as ``skeleton`` and ``populated``.
     """
     max_depth = fields.agg(F.max("depth")).first()[0] or 0
     tag = F.when(F.col("jtype") == "NULL", F.lit("null")).otherwise(
         F.concat(F.lit('"<'), F.col("jtype"), F.lit('>"')))
-    if with_values:
-        lit = F.when(F.col("jtype") == "STRING", json_string(F.col("value"))) \
-            .otherwise(F.col("value"))
-        leaf = F.when(F.col("value").isNotNull(), lit).otherwise(tag)
-    else:
-        leaf = tag
-    base = fields.withColumn("r", F.when(~F.col("jtype").isin("OBJECT", "ARRAY"), leaf))
+    lit = F.when(F.col("jtype") == "STRING", json_string(F.col("value"))).otherwise(F.col("value"))
+    valued = F.when(F.col("value").isNotNull(), lit).otherwise(tag)
+    leaf = F.when(~F.col("jtype").isin("OBJECT", "ARRAY"), tag)
+    leafv = F.when(~F.col("jtype").isin("OBJECT", "ARRAY"), valued)
+    base = fields.withColumn("r", leafv if (with_values and not both) else leaf).withColumn("rv", leafv)
+
+    def container(kids_col: str, field: str):
+        kids = F.coalesce(F.col(kids_col), F.array().cast("array<struct<i:int,k:string,r:string,rv:string>>"))
+        obj = F.concat(F.lit("{"), F.array_join(F.transform(
+            kids, lambda e: F.concat(json_string(e["k"]), F.lit(":"), e[field])), ","), F.lit("}"))
+        arr = F.concat(F.lit("["), F.array_join(F.transform(kids, lambda e: e[field]), ","), F.lit("]"))
+        return F.when(F.col("jtype") == "OBJECT", obj).when(F.col("jtype") == "ARRAY", arr)
+
     rendered = None
     for d in range(max_depth, -1, -1):
         level = base.filter(F.col("depth") == d)
         if rendered is not None:
             kids = rendered.groupBy("project", "model_id", F.col("parent_path").alias("path")).agg(
                 F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("idx"), F.lit(0)).alias("i"),
-                                                     F.col("key").alias("k"), F.col("r").alias("r"))))
-                .alias("kids"))
+                                                     F.col("key").alias("k"), F.col("r").alias("r"),
+                                                     F.col("rv").alias("rv")))).alias("kids"))
             level = level.join(kids, ["project", "model_id", "path"], "left")
-            obj = F.concat(F.lit("{"), F.array_join(F.transform(
-                F.coalesce(F.col("kids"), F.array()),
-                lambda e: F.concat(json_string(e["k"]), F.lit(":"), e["r"])), ","), F.lit("}"))
-            arr = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(F.col("kids"), F.array()),
-                                                                lambda e: e["r"]), ","), F.lit("]"))
-            level = level.withColumn("r", F.when(F.col("jtype") == "OBJECT", obj)
-                                     .when(F.col("jtype") == "ARRAY", arr).otherwise(F.col("r")))
         else:
-            level = level.withColumn("r", F.when(F.col("jtype") == "OBJECT", F.lit("{}"))
-                                     .when(F.col("jtype") == "ARRAY", F.lit("[]")).otherwise(F.col("r")))
-        rendered = level.select("project", "model_id", "path", "parent_path", "key", "idx", "r")
-    return rendered.filter(F.col("path") == "$").select("project", "model_id", F.col("r").alias("skeleton"))
+            level = level.withColumn("kids", F.lit(None).cast("array<struct<i:int,k:string,r:string,rv:string>>"))
+        level = level.withColumn("r", F.coalesce(container("kids", "r"), F.col("r"))) \
+            .withColumn("rv", F.coalesce(container("kids", "rv"), F.col("rv")))
+        rendered = level.select("project", "model_id", "path", "parent_path", "key", "idx", "r", "rv")
+    top = rendered.filter(F.col("path") == "$")
+    if both:
+        return top.select("project", "model_id", F.col("r").alias("skeleton"), F.col("rv").alias("populated"))
+    return top.select("project", "model_id", F.col("r").alias("skeleton"))
 
 
 # --------------------------------------------------------------------------- J4

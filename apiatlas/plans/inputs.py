@@ -177,15 +177,17 @@ def page_builder_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_class_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class fields: one class per part type, one field per part name in it.
     The field type follows the smallest size: String, int, Double, a list of
-    the next type's class, or the next type's class itself; Brand#1 parts are
-    transient, Brand#2 parts carry a SerializedName."""
+    the next type's class, or the next type's class itself (types in name
+    order; the last type has no next class, so nesting is at most six deep);
+    Brand#1 parts are transient, Brand#2 parts carry a SerializedName."""
     p = table(spark, sf_dir, "part")
     types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    nxt = F.create_map(*[x for i, t in enumerate(types) for x in (F.lit(t), F.lit(types[(i + 1) % len(types)]))])
+    nxt = F.create_map(*[x for i, t in enumerate(types[:-1]) for x in (F.lit(t), F.lit(types[i + 1]))])
     g = p.groupBy("p_type", "p_name").agg(F.min("p_size").alias("s"), F.min("p_brand").alias("b"))
     cls = F.initcap(F.lower("p_type"))
     next_cls = F.initcap(F.lower(F.try_element_at(nxt, F.col("p_type"))))
-    typ = (F.when(F.col("s") <= 10, "String").when(F.col("s") <= 20, "int").when(F.col("s") <= 30, "Double")
+    typ = (F.when(F.col("s") <= 10, "String").when(F.col("s") <= 20, "int")
+           .when((F.col("s") <= 30) | next_cls.isNull(), "Double")
            .when(F.col("s") <= 40, "List").otherwise(next_cls))
     ann = F.when(F.col("b") == "Brand#2", F.array(F.struct(F.lit("SerializedName").alias("name"),
                                                              F.lit(None).cast("string").alias("key"),

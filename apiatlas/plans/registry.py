@@ -437,9 +437,8 @@ def q_read_report(spark, sf):
     from apiatlas.sources import readers, sinks
     urls = U.rebuild_urls(U.build_url_catalog(I.page_candidates(spark, sf)))
     fields = jsonmodel.explode_json_fields(_event_models(spark, sf))
-    sk = jsonmodel.json_skeleton(fields)
-    filled = jsonmodel.json_skeleton(fields, with_values=True).withColumnRenamed("skeleton", "populated")
-    models = sk.join(filled, ["project", "model_id"]).join(
+    both = jsonmodel.json_skeleton(fields, both=True)
+    models = both.join(
         _event_models(spark, sf).select("project", "model_id", "canonical"), ["project", "model_id"]) \
         .withColumn("model_id", F.col("canonical"))
     report = sinks.build_report(urls=urls, models=models.select("project", "model_id", "skeleton", "populated"))

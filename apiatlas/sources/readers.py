@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGES_SCHEMA = "package_name string, version long"
@@ -48,18 +48,21 @@ def read_report(report_lines: DataFrame) -> DataFrame:
     """Report lines ``(project, line_no, value)`` -> populated lines of the
     ENDPOINTS and JSON sections.
 
-    The section of a line is the last marker at or before it (window per
-    project ordered by line number, ``last(..., ignorenulls)``); inside a
-    section raw and populated lines alternate, the populated one is every
-    second line. Output ``(project, section, idx, value)``.
+    The section of a line is the last marker at or before it: the few marker
+    lines of a project (at most six) meet its lines in an equi-join on
+    ``project`` and a partial ``max_by`` keeps the nearest one, so no project
+    is gathered into one task. Inside a section raw and populated lines
+    alternate; the populated one is every second line.
+    Output ``(project, section, idx, value)``.
     """
-    marker = F.when(F.col("value").isin(REPORT_SECTIONS), F.col("value"))
-    marker_line = F.when(F.col("value").isin(REPORT_SECTIONS), F.col("line_no"))
-    w = Window.partitionBy("project").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = report_lines.withColumn("section", F.last(marker, ignorenulls=True).over(w)) \
-        .withColumn("marker_line", F.last(marker_line, ignorenulls=True).over(w)) \
-        .withColumn("idx", F.col("line_no") - F.col("marker_line"))
-    return lines.filter(F.col("section").isin("ENDPOINTS:", "JSON:") & (F.col("idx") > 0)
-                        & (F.col("idx") % 2 == 0)) \
+    markers = report_lines.filter(F.col("value").isin(REPORT_SECTIONS)).select(
+        "project", F.col("line_no").alias("marker_line"), F.col("value").alias("section"))
+    lines = report_lines.filter(~F.col("value").isin(REPORT_SECTIONS))
+    j = lines.join(markers, "project").filter(F.col("marker_line") < F.col("line_no"))
+    nearest = j.groupBy("project", "line_no").agg(
+        F.max_by(F.struct("section", "marker_line"), "marker_line").alias("m"), F.first("value").alias("value"))
+    sec = nearest.select("project", "line_no", "value", F.col("m.section").alias("section"),
+                         (F.col("line_no") - F.col("m.marker_line")).alias("idx"))
+    return sec.filter(F.col("section").isin("ENDPOINTS:", "JSON:") & (F.col("idx") % 2 == 0)) \
         .select("project", F.regexp_replace("section", ":$", "").alias("section"),
                 (F.col("idx") / 2).cast("long").alias("idx"), "value")
