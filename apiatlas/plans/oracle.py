@@ -614,3 +614,75 @@ SELECT project, 'ENDPOINTS' AS section,
 FROM rb
 UNION ALL
 SELECT project, 'JSON', row_number() OVER (PARTITION BY project ORDER BY canonical), canonical FROM models"""
+
+
+def _skeleton_levels(max_depth: int = 10) -> str:
+    """Bottom-up rendering of `fields` nodes, one CTE per depth (deepest first)."""
+    parts = []
+    tag = "CASE WHEN jtype = 'NULL' THEN 'null' ELSE '\"<' || jtype || '>\"' END"
+    for d in range(max_depth, -1, -1):
+        if d == max_depth:
+            parts.append(f"r{d} AS (SELECT project, model_id, path, parent_path, key, idx, {tag} AS r "
+                         f"FROM fields WHERE depth = {d})")
+            continue
+        parts.append(f"""k{d} AS (
+  SELECT project, model_id, parent_path AS path,
+         '{{' || string_agg(to_json(key)::VARCHAR || ':' || r, ',' ORDER BY key) || '}}' AS obj,
+         '[' || string_agg(r, ',' ORDER BY idx) || ']' AS arr
+  FROM r{d + 1} GROUP BY project, model_id, parent_path),
+r{d} AS (
+  SELECT f.project, f.model_id, f.path, f.parent_path, f.key, f.idx,
+         CASE WHEN f.jtype = 'OBJECT' THEN coalesce(k.obj, '{{}}') WHEN f.jtype = 'ARRAY' THEN coalesce(k.arr, '[]')
+              ELSE {tag.replace('jtype', 'f.jtype')} END AS r
+  FROM fields f LEFT JOIN k{d} k ON k.project = f.project AND k.model_id = f.model_id AND k.path = f.path
+  WHERE f.depth = {d})""")
+    return ",\n".join(parts)
+
+
+ORACLE["json_skeleton"] = "WITH " + EVENT_MODELS + "," + REGION_MODELS + ",\n" + _skeleton_levels() + r"""
+SELECT project, model_id, r AS skeleton FROM r0"""
+
+ORACLE["schema_from_fields"] = r"""
+WITH RECURSIVE
+g AS (SELECT p_type, p_name, min(p_size) AS s, min(p_brand) AS b FROM part GROUP BY p_type, p_name),
+nt(t, nxt) AS (VALUES ('ECONOMY', 'LARGE'), ('LARGE', 'MEDIUM'), ('MEDIUM', 'PROMO'), ('PROMO', 'SMALL'),
+                      ('SMALL', 'STANDARD'), ('STANDARD', NULL)),
+cf AS (
+  SELECT upper(substr(g.p_type, 1, 1)) || lower(substr(g.p_type, 2)) AS class,
+         CASE WHEN g.b = 'Brand#2' THEN upper(replace(g.p_name, ' ', '_')) ELSE replace(g.p_name, ' ', '_') END AS key,
+         CASE WHEN g.s <= 10 THEN 'leaf' WHEN g.s <= 20 THEN 'leaf' WHEN g.s <= 30 OR nt.nxt IS NULL THEN 'leaf'
+              WHEN g.s <= 40 THEN 'array' ELSE 'object' END AS shape,
+         CASE WHEN g.s <= 10 THEN 'STRING' WHEN g.s <= 20 THEN 'NUMBER_INT'
+              WHEN g.s <= 30 OR nt.nxt IS NULL THEN 'NUMBER_DOUBLE' END AS tag,
+         CASE WHEN g.s > 30 AND nt.nxt IS NOT NULL THEN upper(substr(nt.nxt, 1, 1)) || lower(substr(nt.nxt, 2)) END
+           AS ref_class
+  FROM g JOIN nt ON nt.t = g.p_type
+  WHERE g.b <> 'Brand#1'),
+ef AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY key) - 1 AS eidx FROM cf),
+nodes(root, path, parent_path, key, idx, depth, jtype, expand, mode) AS (
+  SELECT DISTINCT class, '$', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), 0, 'OBJECT',
+         class, 'object' FROM cf
+  UNION ALL
+  SELECT n.root, x.path, x.parent_path, x.key, x.idx, x.depth, x.jtype, x.expand, x.mode
+  FROM nodes n JOIN ef ON ef.class = n.expand,
+       LATERAL (SELECT unnest([
+         CASE WHEN n.mode = 'elements' THEN {'path': n.path || '[' || CAST(ef.eidx AS VARCHAR) || ']',
+                                             'parent_path': n.path, 'key': CAST(NULL AS VARCHAR),
+                                             'idx': CAST(ef.eidx AS INTEGER), 'depth': n.depth + 1,
+                                             'jtype': 'OBJECT', 'expand': CAST(NULL AS VARCHAR),
+                                             'mode': CAST(NULL AS VARCHAR)} END,
+         {'path': CASE WHEN n.mode = 'elements' THEN n.path || '[' || CAST(ef.eidx AS VARCHAR) || '].' || ef.key
+                       ELSE n.path || '.' || ef.key END,
+          'parent_path': CASE WHEN n.mode = 'elements' THEN n.path || '[' || CAST(ef.eidx AS VARCHAR) || ']'
+                              ELSE n.path END,
+          'key': ef.key, 'idx': CAST(NULL AS INTEGER),
+          'depth': n.depth + CASE WHEN n.mode = 'elements' THEN 2 ELSE 1 END,
+          'jtype': CASE ef.shape WHEN 'leaf' THEN ef.tag WHEN 'object' THEN 'OBJECT' ELSE 'ARRAY' END,
+          'expand': CASE WHEN ef.shape IN ('object', 'array') THEN ef.ref_class END,
+          'mode': CASE ef.shape WHEN 'object' THEN 'object' WHEN 'array' THEN 'elements' END}
+       ]) AS x) AS u(x)
+  WHERE x IS NOT NULL AND n.depth < 40),
+fields AS (SELECT 'tpch' AS project, 'tpch#' || root AS model_id, path, parent_path, key, idx, depth, jtype
+           FROM nodes),
+""" + _skeleton_levels(24) + r"""
+SELECT project, regexp_replace(model_id, '^[^#]*#', '') AS class, r AS skeleton FROM r0"""
