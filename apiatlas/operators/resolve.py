@@ -70,14 +70,18 @@ def resolve_field(uses: DataFrame, defs: DataFrame) -> DataFrame:
 def resolve_param(params: DataFrame, call_args: DataFrame) -> DataFrame:
     """A parameter -> the argument at its position in every matching call.
 
-    Public callees match project-wide on (project, callee, arg_pos), others
-    only from the same file. Literal and name arguments are kept, other
-    expressions ignored; a call that passes the parameter to itself stops.
+    Public callees match project-wide, others only from the same file: each
+    parameter has one scope key (``''`` or its file), each call argument
+    lists both keys it can reach, and one equi-join on (project, callee,
+    arg_pos, scope key) finds the matches without a per-callee fan-out.
+    Literal and name arguments are kept, other expressions ignored; a call
+    that passes the parameter to itself stops.
     """
     a = call_args.filter(F.col("arg_kind").isin("literal", "name"))
-    p = params.select("project", F.col("path").alias("param_path"), "callee", "arg_pos", "name", "visibility")
-    j = p.join(a, ["project", "callee", "arg_pos"], "inner") \
-        .filter((F.col("visibility") == "public") | (F.col("param_path") == F.col("path")))
+    a = a.select("*", F.explode(F.array(F.lit(""), F.col("path"))).alias("_scope"))
+    p = params.select("project", "callee", "arg_pos", "name",
+                      F.when(F.col("visibility") == "public", F.lit("")).otherwise(F.col("path")).alias("_scope"))
+    j = p.join(a, ["project", "callee", "arg_pos", "_scope"], "inner")
     if "caller" in call_args.columns and "arg_ref" in call_args.columns:
         j = j.filter(~((F.col("caller") == F.col("callee")) & (F.col("arg_ref") == F.col("name")))
                      | F.col("caller").isNull() | F.col("arg_ref").isNull())

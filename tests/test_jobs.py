@@ -207,3 +207,16 @@ def test_builder_fold_encoding(spark):
     assert got == [("b1", "http://okhttptestapi4.com/api/path1_%2F_1/path2"),
                    ("b2", "http://okhttptestapi5.com/api/pat%231?q n=<STRING>#fragment/1"),  # placeholder: raw
                    ("b2", "http://okhttptestapi5.com/api/pat%231?q%20n=v%201#fragment/1")]
+
+
+def test_resolve_param_scope_and_self_reference(spark):
+    params = spark.createDataFrame([("p", "A.java", "A.pub", 0, "x", "public"), ("p", "A.java", "A.priv", 0, "y", "private")],
+                                   "project string, path string, callee string, arg_pos int, name string, visibility string")
+    args = spark.createDataFrame([
+        ("p", "B.java", "A.pub", 0, "e1", "literal", "B.m", None), ("p", "A.java", "A.pub", 0, "e2", "name", "A.n", "v"),
+        ("p", "B.java", "A.priv", 0, "e3", "literal", "B.m", None), ("p", "A.java", "A.priv", 0, "e4", "literal", "A.n", None),
+        ("p", "A.java", "A.pub", 0, "e5", "call", "A.n", None), ("p", "A.java", "A.pub", 0, "e6", "name", "A.pub", "x")],
+        "project string, path string, callee string, arg_pos int, expr_id string, arg_kind string, caller string, "
+        "arg_ref string")
+    got = rows(resolve.resolve_param(params, args), "callee", "expr_id")
+    assert got == [("A.priv", "e4"), ("A.pub", "e1"), ("A.pub", "e2")]
