@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apiatlas.operators.urls import product_fold
-from apiatlas.session import ensure_checkpoint_dir, materialize
+from apiatlas.session import cache_partitioned, ensure_checkpoint_dir, shuffle_partitions
 
 # Declared type -> placeholder for an unresolved value.
 TYPE_PLACEHOLDER = {"String": "<STRING>", "Double": "<DOUBLE>", "Float": "<DOUBLE>",
@@ -139,39 +139,38 @@ def fold_appends(appends: DataFrame, max_alternatives: int | None = None) -> Dat
 
 
 # --------------------------------------------------------------------------- R10
-def resolve_iterative(starts: DataFrame, defs: DataFrame, max_depth: int = 15,
-                      checkpoint_every: int = 1) -> DataFrame:
+def resolve_iterative(starts: DataFrame, defs: DataFrame, max_depth: int = 15) -> DataFrame:
     """Follow name -> definition edges until literals, up to ``max_depth`` hops.
 
     ``starts(project, start, name)``; ``defs(project, name, value_kind, value, ref)``
     where value_kind ``literal`` ends a path and ``name`` continues at ``ref``.
-    Frontier-only iteration: each round joins the current frontier with the
-    definitions, emits literals and moves on; a ``visited`` array stops cycles.
-    Lineage is cut with reliable ``checkpoint()`` into the shared checkpoint
-    folder. Output ``(project, start, value, depth)`` with the fewest hops.
+    The definitions are hash-partitioned on (project, name) once and cached;
+    each round shuffles only the frontier to the same partitioning (its
+    de-duplication on (project, start, name) then needs no other exchange),
+    joins, and writes the joined rows with a reliable ``checkpoint()`` into
+    the shared checkpoint folder, from which both the literals found and the
+    next frontier are read. A ``visited`` array stops cycles. Output
+    ``(project, start, value, depth)`` with the fewest hops.
     """
     spark = starts.sparkSession
     ensure_checkpoint_dir(spark)
-    d = materialize(defs.select("project", F.col("name").alias("cur"), "value_kind", "value", "ref"),
-                    ["project", "cur"])
-    frontier = starts.select("project", "start", F.col("name").alias("cur"), F.lit(0).alias("depth"),
-                             F.array("name").alias("visited"))
+    n = shuffle_partitions(spark)
+    d = cache_partitioned(defs.select("project", F.col("name").alias("cur"), "value_kind", "value", "ref"),
+                          ["project", "cur"])
+    raw = starts.select("project", "start", F.col("name").alias("cur"), F.lit(0).alias("depth"),
+                        F.array("name").alias("visited"))
     found = []
     for step in range(max_depth + 1):
+        frontier = raw.repartition(n, "project", "cur").dropDuplicates(["project", "start", "cur"])
         j = frontier.join(d, ["project", "cur"]) \
-            .select("project", "start", "depth", "visited", "value_kind", "value", "ref")
+            .select("project", "start", "depth", "visited", "value_kind", "value", "ref").checkpoint(eager=True)
         found.append(j.filter(F.col("value_kind") == "literal").select("project", "start", "value", "depth"))
-        if step == max_depth:
+        cont = j.filter((F.col("value_kind") == "name") & ~F.array_contains("visited", F.col("ref")))
+        if step == max_depth or cont.isEmpty():
             break
-        nxt = j.filter((F.col("value_kind") == "name") & ~F.array_contains("visited", F.col("ref"))) \
-            .select("project", "start", F.col("ref").alias("cur"), (F.col("depth") + 1).alias("depth"),
-                    F.array_append("visited", F.col("ref")).alias("visited")) \
-            .dropDuplicates(["project", "start", "cur"])
-        if checkpoint_every and (step + 1) % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        if nxt.isEmpty():
-            break
-        frontier = nxt
+        raw = cont.select("project", "start", F.col("ref").alias("cur"), (F.col("depth") + 1).alias("depth"),
+                          F.array_append("visited", F.col("ref")).alias("visited"))
+    d.unpersist()
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -207,35 +206,33 @@ def alias_through_params(edges: DataFrame, max_depth: int = 15) -> DataFrame:
     """An object passed as an argument is the same object as the callee's
     parameter. ``edges(project, caller_var, callee_var)`` (ids such as
     ``Class.method.name``); every variable is mapped to the root variables it
-    stems from by following edges callee -> caller, frontier only, with a
-    ``visited`` array against cycles and a reliable checkpoint per round.
-    A variable with several callers has several roots. Output
+    stems from by following edges callee -> caller. Same round structure as
+    R10: cached, hash-partitioned edges; one frontier shuffle, one join and
+    one reliable checkpoint per round; a ``visited`` array against cycles. A
+    variable with several callers has several roots. Output
     ``(project, var, root, depth)``; builder/put/append facts keyed by ``var``
     are then regrouped by ``root``.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = materialize(edges.select("project", F.col("callee_var").alias("cur"), F.col("caller_var").alias("up"))
-                    .distinct(), ["project", "cur"])
-    nodes = e.select("project", F.col("cur").alias("var")).union(e.select("project", F.col("up").alias("var"))) \
-        .distinct()
-    frontier = materialize(nodes.select("project", "var", F.col("var").alias("cur"), F.lit(0).alias("depth"),
-                                        F.array("var").alias("visited")))
+    n = shuffle_partitions(spark)
+    e = cache_partitioned(edges.select("project", F.col("callee_var").alias("cur"), F.col("caller_var").alias("up"))
+                          .distinct(), ["project", "cur"])
+    raw = e.select("project", F.col("cur").alias("var")).union(e.select("project", F.col("up").alias("var"))) \
+        .distinct().select("project", "var", F.col("var").alias("cur"), F.lit(0).alias("depth"),
+                           F.array("var").alias("visited"))
     roots = []
     for step in range(max_depth + 1):
-        j = frontier.join(e, ["project", "cur"], "left")
-        roots.append(j.filter(F.col("up").isNull() | F.array_contains("visited", F.col("up"))
-                              | F.lit(step == max_depth))
-                     .select("project", "var", F.col("cur").alias("root"), "depth"))
-        if step == max_depth:
-            break
-        nxt = j.filter(F.col("up").isNotNull() & ~F.array_contains("visited", F.col("up"))) \
-            .select("project", "var", F.col("up").alias("cur"), (F.col("depth") + 1).alias("depth"),
-                    F.array_append("visited", F.col("up")).alias("visited")) \
-            .dropDuplicates(["project", "var", "cur"]).checkpoint(eager=True)
-        if nxt.isEmpty():
+        frontier = raw.repartition(n, "project", "cur").dropDuplicates(["project", "var", "cur"])
+        j = frontier.join(e, ["project", "cur"], "left").checkpoint(eager=True)
+        stop = F.col("up").isNull() | F.array_contains("visited", F.col("up")) | F.lit(step == max_depth)
+        roots.append(j.filter(stop).select("project", "var", F.col("cur").alias("root"), "depth"))
+        cont = j.filter(~stop)
+        if step == max_depth or cont.isEmpty():
             break
-        frontier = nxt
+        raw = cont.select("project", "var", F.col("up").alias("cur"), (F.col("depth") + 1).alias("depth"),
+                          F.array_append("visited", F.col("up")).alias("visited"))
+    e.unpersist()
     out = roots[0]
     for r in roots[1:]:
         out = out.unionByName(r)

@@ -55,12 +55,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def shuffle_partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def materialize(df, keys: list[str] | None = None):
-    """Write ``df`` once to the shared checkpoint folder (reliable checkpoint),
-    hash-partitioned on ``keys`` when given. Iterative jobs use it for their
-    static side, so later rounds neither recompute its lineage nor reshuffle
-    it: the checkpoint keeps the partitioning and only the frontier moves."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Write ``df`` once to the shared checkpoint folder (reliable checkpoint,
+    lineage cut), hash-partitioned on ``keys`` when given. The written copy
+    does not carry the partitioning into later plans; see ``cache_partitioned``
+    for a side that is joined again and again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     if keys:
-        df = df.repartition(*keys)
+        df = df.repartition(shuffle_partitions(spark), *keys)
     return df.checkpoint(eager=True)
+
+
+def cache_partitioned(df, keys: list[str]):
+    """Hash-partition ``df`` on ``keys`` (explicit partition count) and keep it
+    cached (memory, spilling to disk). Cached blocks keep their partitioning,
+    so every later join on ``keys`` with a frame partitioned the same way runs
+    without an exchange on this side; a lost executor's blocks are recomputed
+    from the (short) lineage. Release with ``df.unpersist()``."""
+    from pyspark import StorageLevel
+    out = df.repartition(shuffle_partitions(df.sparkSession), *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
