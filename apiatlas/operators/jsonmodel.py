@@ -145,28 +145,54 @@ def json_skeleton(fields: DataFrame, with_values: bool = False, both: bool = Fal
 
 
 # --------------------------------------------------------------------------- J4
-def fold_json_puts(puts: DataFrame) -> DataFrame:
-    """Ordered ``put(key, value)`` events per JSON object -> one document.
+def _render_put_value(vt, v) -> F.Column:
+    return (F.when(v.isNull() | (v == "null"), F.lit("null"))
+            .when(vt == "number", F.coalesce(v.try_cast("double").cast("string"), json_string(v)))
+            .when(vt == "boolean", F.lower(v))
+            .when(vt == "json", v)
+            .otherwise(json_string(v)))
+
 
-    Last value per key wins (``max_by`` on the order key, partial aggregation
-    first), ``null`` text becomes JSON null, values are typed by
-    ``value_type`` (number / boolean / string). ``puts(project, object, pos,
-    key, value, value_type)``. Output ``(project, object, n_keys, doc)``.
+def fold_json_puts(puts: DataFrame) -> DataFrame:
+    """J4/J4s: ordered ``put`` events per JSON object -> documents.
+
+    ``puts(project, object, pos, key, value, value_type[, is_new])``.
+    ``put(key, value)`` builds an object, the last value per key winning
+    (``max_by`` on the order key, partial aggregation first); ``put(value)``
+    (key NULL) appends to an array in ``pos`` order. ``null`` text becomes JSON
+    null and values are typed by ``value_type`` (number / boolean / string /
+    json). With ``is_new``, a re-assignment starts a new document: each put
+    belongs to the nearest ``is_new`` put at or before it, found through an
+    equi-join with those few marker rows of its object (no per-object window).
+    Output ``(project, object, doc_no, n_keys, doc)``; ``doc_no`` is the
+    position of the document's first put (0 before any re-assignment).
     """
-    last = puts.groupBy("project", "object", "key").agg(
-        F.max_by(F.struct("value", "value_type"), "pos").alias("lv"))
-    vt, v = F.col("lv.value_type"), F.col("lv.value")
-    rendered = (F.when(v.isNull() | (v == "null"), F.lit("null"))
-                .when(vt == "number", F.coalesce(v.try_cast("double").cast("string"), json_string(v)))
-                .when(vt == "boolean", F.lower(v))
-                .when(vt == "json", v)
-                .otherwise(json_string(v)))
-    key_json = json_string(F.col("key"))
-    pairs = last.select("project", "object", "key", F.concat(key_json, F.lit(":"), rendered).alias("kv"))
-    return pairs.groupBy("project", "object").agg(
+    if "is_new" in puts.columns:
+        markers = puts.filter(F.col("is_new")).select("project", "object", F.col("pos").alias("_mpos"))
+        sect = puts.join(markers, ["project", "object"], "left") \
+            .groupBy(*[c for c in puts.columns]).agg(
+                F.max(F.when(F.col("_mpos") <= F.col("pos"), F.col("_mpos"))).alias("doc_no"))
+        puts = sect.withColumn("doc_no", F.coalesce(F.col("doc_no").cast("string"), F.lit("0")))
+    else:
+        puts = puts.withColumn("doc_no", F.lit("0"))
+    keys = ["project", "object", "doc_no"]
+    keyed = puts.filter(F.col("key").isNotNull())
+    last = keyed.groupBy(*keys, "key").agg(F.max_by(F.struct("value", "value_type"), "pos").alias("lv"))
+    pairs = last.select(*keys, "key", F.concat(json_string(F.col("key")), F.lit(":"),
+                                               _render_put_value(F.col("lv.value_type"), F.col("lv.value"))).alias("kv"))
+    objects = pairs.groupBy(*keys).agg(
         F.count("*").alias("n_keys"),
         F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "kv"))),
                                                       lambda e: e["kv"]), ","), F.lit("}")).alias("doc"))
+    elems = puts.filter(F.col("key").isNull()).select(
+        *keys, "pos", _render_put_value(F.col("value_type"), F.col("value")).alias("ev"))
+    arrays = elems.groupBy(*keys).agg(
+        F.lit(0).cast("long").alias("n_keys"),
+        F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ev"))),
+                                                      lambda e: e["ev"]), ","), F.lit("]")).alias("doc"))
+    # an object that got both kinds of put keeps its keyed form
+    arrays = arrays.join(objects.select(*keys), keys, "left_anti")
+    return objects.unionByName(arrays).select("project", "object", "doc_no", "n_keys", "doc")
 
 
 # --------------------------------------------------------------------------- J5

@@ -259,7 +259,7 @@ def q_fold_json_puts(spark, sf):
     puts = ev.select(F.lit("events").alias("project"), F.col("user_id").alias("object"),
                      F.struct("ts", "event_id").alias("pos"), F.col("event_type").alias("key"),
                      F.col("value").cast("string").alias("value"), F.lit("number").alias("value_type"))
-    return jsonmodel.fold_json_puts(puts)
+    return jsonmodel.fold_json_puts(puts).select("project", "object", "n_keys", "doc")
 
 
 # ------------------------------------------------------------------ samples

@@ -220,3 +220,15 @@ def test_resolve_param_scope_and_self_reference(spark):
         "arg_ref string")
     got = rows(resolve.resolve_param(params, args), "callee", "expr_id")
     assert got == [("A.priv", "e4"), ("A.pub", "e1"), ("A.pub", "e2")]
+
+
+def test_fold_json_puts_arrays_and_reassignment(spark):
+    puts = spark.createDataFrame([
+        ("p", "arr", 1, None, "a", "string", False), ("p", "arr", 2, None, "1", "number", False),
+        ("p", "arr", 3, None, "true", "boolean", False),
+        ("p", "o", 1, "k", "1", "number", False), ("p", "o", 2, "k", "2", "number", False),
+        ("p", "o", 3, "x", "v", "string", True), ("p", "o", 4, "k", "3", "number", False)],
+        "project string, object string, pos int, key string, value string, value_type string, is_new boolean")
+    got = {(r["object"], r["doc_no"]): json.loads(r["doc"]) for r in jsonmodel.fold_json_puts(puts).collect()}
+    assert got[("arr", "0")] == ["a", 1.0, True]
+    assert got[("o", "0")] == {"k": 2.0} and got[("o", "3")] == {"x": "v", "k": 3.0}
