@@ -97,8 +97,9 @@ def keep_maximal_spans(spans: DataFrame, key: str = "path", start: str = "start"
 CREATION = r"new\s+([A-Za-z_][\w.]*)\s*(?:<[^<>()]*>)?\s*\(([^()]*)\)?"
 CALL = r"(?:([A-Za-z_][\w]*(?:\(\))?)\s*\.\s*)?([a-z_][\w]*)\s*\(([^()]*)\)?"
 CAST = r"\(\s*([A-Z][\w.]*)\s*\)\s*(?:[\w.]+\s*\.\s*)?([a-z_][\w]*)\s*\("
-ROUTE = (r"@(GET|POST|PUT|PATCH|DELETE)\s*\(\s*\"([^\"]*)\"\s*\)\s*(?:@\w+(?:\s*\([^)]*\))?\s*)*"
+ROUTE = (r"((?:@\w+(?:\s*\((?:[^()]|\([^()]*\))*\))?\s*)+)"
          r"[\w.<>\[\], ?]+?\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*)\)")
+VERB_ANNOTATION = r"@(GET|POST|PUT|PATCH|DELETE)\s*\(\s*\"([^\"]*)\"\s*\)"
 ROUTE_PARAM = r"@(\w+)\s*(?:\(\s*\"([^\"]*)\"\s*\))?\s*(?:final\s+)?([\w.]+(?:<[^>]*>)?)\s+\w+"
 FIELD = (r"(?m)^[ \t]*((?:@\w+(?:\([^)]*\))?\s*)*)(?:(public|protected|private)\s+)?((?:static|final|transient|volatile)\s+)*"
          r"([A-Za-z_][\w.]*)(?:<([^;=()]*)>)?(?:\[\])?\s+([A-Za-z_]\w*)\s*(?:=[^;]*)?;")
@@ -138,16 +139,21 @@ def extract_calls(texts: DataFrame, text_col: str = "content", keys=("project",
 
 def extract_routes(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
     """Annotated interface methods -> ``route(keys, iface, method, verb,
-    template, params ARRAY<STRUCT<ann,arg,type,pos>>)``. Parameters with one
-    annotation keep it; ``iface`` is the first interface declared in the text."""
+    template, params ARRAY<STRUCT<ann,arg,type,pos>>)``. Of several verb
+    annotations on a method the last one wins; parameters keep their single
+    annotation; ``iface`` is the first interface declared in the text."""
     f = texts.select(*keys, F.regexp_extract(F.col(text_col), r"interface\s+(\w+)", 1).alias("iface"),
                      F.explode(F.regexp_extract_all(F.col(text_col), F.lit(ROUTE), 0)).alias("_m"))
-    params = F.transform(F.split(F.regexp_extract("_m", ROUTE, 4), ","), lambda p, i: F.struct(
+    verbs = F.regexp_extract_all(F.regexp_extract("_m", ROUTE, 1), F.lit(VERB_ANNOTATION), 0)
+    last_verb = F.try_element_at(verbs, F.lit(-1))
+    params = F.transform(F.split(F.regexp_extract("_m", ROUTE, 3), ","), lambda p, i: F.struct(
         F.regexp_extract(p, ROUTE_PARAM, 1).alias("ann"), F.regexp_extract(p, ROUTE_PARAM, 2).alias("arg"),
         F.regexp_extract(p, ROUTE_PARAM, 3).alias("type"), i.alias("pos")))
-    return f.select(*keys, "iface", F.regexp_extract("_m", ROUTE, 3).alias("method"),
-                    F.regexp_extract("_m", ROUTE, 1).alias("verb"), F.regexp_extract("_m", ROUTE, 2).alias("template"),
-                    F.filter(params, lambda p: p["ann"] != "").alias("params"))
+    return f.filter(F.size(verbs) > 0).select(
+        *keys, "iface", F.regexp_extract("_m", ROUTE, 2).alias("method"),
+        F.regexp_extract(last_verb, VERB_ANNOTATION, 1).alias("verb"),
+        F.regexp_extract(last_verb, VERB_ANNOTATION, 2).alias("template"),
+        F.filter(params, lambda p: p["ann"] != "").alias("params"))
 
 
 def extract_fields(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:

@@ -99,3 +99,10 @@ def test_report_roundtrip(spark):
                     "JSON:", '{"k":"<STRING>"}', '{"k":"A"}']
     back = rows(readers.read_report(lines), "section", "idx", "value")
     assert back == [("ENDPOINTS", 1, "http://a/x?q=A"), ("ENDPOINTS", 2, "http://a/y"), ("JSON", 1, '{"k":"A"}')]
+
+
+def test_routes_last_verb_wins(spark):
+    code = 'interface A {\n  @Headers("x: y")\n  @GET("a/b") @POST("c/d")\n  Call<X> m(@Path("id") int id);\n  @Override\n  void n();\n}'
+    t = spark.createDataFrame([("p", "A.java", code)], "project string, path string, content string")
+    r = facts.extract_routes(t).collect()
+    assert [(x["method"], x["verb"], x["template"]) for x in r] == [("m", "POST", "c/d")]
