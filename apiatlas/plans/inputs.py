@@ -1,8 +1,9 @@
 """Stand-in inputs: the driver's tables re-shaped into the fact-table schemas the
-jobs expect (candidate strings, definitions, uses, routes, ...).
+jobs expect (candidate strings, definitions, uses, routes, build files, ...).
 
-These functions only rename and re-shape columns; none of them does any part
-of a job's work. Every job must be right on any data of the same schema.
+These functions project, rename and, where a fact has a coarser grain than a
+table row, group the driver's tables; none of them performs the job that
+consumes it. Every job must be right on any data of the same schema.
 """
 
 from __future__ import annotations

@@ -3,7 +3,6 @@
 import json
 
 from conftest import rows
-from pyspark.sql import functions as F
 
 from apiatlas.operators import facts, jsonmodel, libraries, resolve, samples, stats
 from apiatlas.operators import urls as U

@@ -3,7 +3,6 @@ plain single-group computation (brute force in Python)."""
 
 import random
 
-from pyspark.sql import functions as F
 
 from apiatlas.operators import facts
 from apiatlas.operators.urls import product_fold
