@@ -308,7 +308,8 @@ def effective_fields(class_fields: DataFrame, enums: DataFrame | None = None) ->
         .withColumn("ref_class", F.when(F.col("shape") == "object", short(F.col("type")))
                     .when(F.col("shape").isin("array", "map") & F.col("tag").isNull(), short(F.col("elem"))))
     if enum_types is not None:
-        shaped = shaped.join(F.broadcast(enum_types), F.col("ref_class") == F.col("_enum"), "left") \
+        # enum classes are corpus data: no broadcast hint, AQE picks the join from runtime sizes
+        shaped = shaped.join(enum_types, F.col("ref_class") == F.col("_enum"), "left") \
             .withColumn("tag", F.when(F.col("_enum").isNotNull(), F.lit("STRING")).otherwise(F.col("tag"))) \
             .withColumn("ref_class", F.when(F.col("_enum").isNotNull(), None).otherwise(F.col("ref_class"))) \
             .withColumn("shape", F.when((F.col("shape") == "object") & F.col("_enum").isNotNull(), "leaf")

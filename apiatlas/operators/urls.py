@@ -299,10 +299,15 @@ def _step_pieces(step: Column, alts: Column, alts2: Column) -> Column:
 def fold_builder_steps(steps: DataFrame, max_alternatives: int | None = None) -> DataFrame:
     """Ordered URL-builder calls per builder -> URL candidates.
 
-    ``steps(project, path, builder, pos, step, alts ARRAY<STRING>[, alts2])``;
+    ``steps(project, path, builder, pos, step, alts ARRAY<STRING>[, alts2][, is_init])``;
     each call maps its alternatives to pieces, pieces multiply in call order,
-    unknown calls are skipped, then the first '&' becomes '?'.
+    unknown calls are skipped, then the first '&' becomes '?'. A declared
+    builder (steps flagged ``is_init`` come from its initialiser) with no later
+    call yields nothing.
     """
+    if "is_init" in steps.columns:
+        used = steps.filter(~F.coalesce(F.col("is_init"), F.lit(False))).select("project", "path", "builder").distinct()
+        steps = steps.join(used, ["project", "path", "builder"], "left_semi")
     alts2 = F.col("alts2") if "alts2" in steps.columns else F.array().cast("array<string>")
     pieces = steps.select("project", "path", "builder", "pos",
                           _step_pieces(F.col("step"), F.col("alts"), alts2).alias("pieces")) \

@@ -231,3 +231,12 @@ def test_fold_json_puts_arrays_and_reassignment(spark):
     got = {(r["object"], r["doc_no"]): json.loads(r["doc"]) for r in jsonmodel.fold_json_puts(puts).collect()}
     assert got[("arr", "0")] == ["a", 1.0, True]
     assert got[("o", "0")] == {"k": 2.0} and got[("o", "3")] == {"x": "v", "k": 3.0}
+
+
+def test_builder_initialiser_only_yields_nothing(spark):
+    steps = spark.createDataFrame([
+        ("p", "F", "b1", 0, "parse", ["http://a.com"], None, True),
+        ("p", "F", "b2", 0, "parse", ["http://b.com"], None, True), ("p", "F", "b2", 1, "addPathSegment", ["x"], None, False)],
+        "project string, path string, builder string, pos int, step string, alts array<string>, alts2 array<string>, "
+        "is_init boolean")
+    assert rows(U.fold_builder_steps(steps), "builder", "text") == [("b2", "http://b.com/x")]
