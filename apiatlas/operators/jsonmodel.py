@@ -29,10 +29,21 @@ def is_json_candidate(text) -> F.Column:
 
 
 # --------------------------------------------------------------------------- J1
-def build_json_models(candidates: DataFrame, text_col: str = "text", unescape: bool = True) -> DataFrame:
+LENIENT_JSON = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"}
+
+
+def parse_json_text(text, lenient: bool = False) -> F.Column:
+    """Text -> VARIANT (NULL when invalid). ``lenient`` also accepts unquoted
+    field names and single-quoted strings, as hand-written JSON in code often has."""
+    return F.from_json(text, "variant", LENIENT_JSON) if lenient else F.try_parse_json(text)
+
+
+def build_json_models(candidates: DataFrame, text_col: str = "text", unescape: bool = True,
+                      lenient: bool = False) -> DataFrame:
     """Strings -> valid JSON models, de-duplicated per project.
 
-    A candidate must pass F3 and parse (``try_parse_json``); duplicates are
+    A candidate must pass F3 and parse (``try_parse_json``, or the lenient
+    reader with ``lenient=True``); duplicates are
     found on the canonical form (``to_json`` of the VARIANT: compact, keys
     sorted), the first occurrence by ``ord`` is kept. Output
     ``(project, model_id, canonical, path, library, first_ord, n_occurrences)``.
@@ -40,7 +51,7 @@ def build_json_models(candidates: DataFrame, text_col: str = "text", unescape: b
     t = enc.unescape_java(F.col(text_col)) if unescape else F.col(text_col)
     c = candidates.select("project", "path", "library", "ord", t.alias("_t")) \
         .filter(is_json_candidate(F.col("_t"))) \
-        .withColumn("_v", F.try_parse_json("_t")) \
+        .withColumn("_v", parse_json_text(F.col("_t"), lenient)) \
         .filter(F.col("_v").isNotNull()) \
         .select("project", "path", "library", "ord", F.to_json("_v").alias("canonical"))
     g = c.groupBy("project", "canonical").agg(

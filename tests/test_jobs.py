@@ -240,3 +240,11 @@ def test_builder_initialiser_only_yields_nothing(spark):
         "project string, path string, builder string, pos int, step string, alts array<string>, alts2 array<string>, "
         "is_init boolean")
     assert rows(U.fold_builder_steps(steps), "builder", "text") == [("b2", "http://b.com/x")]
+
+
+def test_json_models_lenient(spark):
+    cands = spark.createDataFrame([("p", "f", "l", "{a: 1, 'b': 'x'}", 1), ("p", "f", "l", '{"a":1,"b":"x"}', 2)],
+                                  "project string, path string, library string, text string, ord long")
+    assert jsonmodel.build_json_models(cands).count() == 1
+    lenient = jsonmodel.build_json_models(cands, lenient=True).collect()
+    assert len(lenient) == 1 and lenient[0]["n_occurrences"] == 2 and lenient[0]["first_ord"] == 1
