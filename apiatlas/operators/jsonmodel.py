@@ -158,7 +158,8 @@ def json_skeleton(fields: DataFrame, with_values: bool = False, both: bool = Fal
 # --------------------------------------------------------------------------- J4
 def _render_put_value(vt, v) -> F.Column:
     return (F.when(v.isNull() | (v == "null"), F.lit("null"))
-            .when(vt == "number", F.coalesce(v.try_cast("double").cast("string"), json_string(v)))
+            .when(vt.isin("int", "integer", "long"), F.coalesce(v.try_cast("bigint").cast("string"), json_string(v)))
+            .when(vt.isin("number", "double", "float"), F.coalesce(v.try_cast("double").cast("string"), json_string(v)))
             .when(vt == "boolean", F.lower(v))
             .when(vt == "json", v)
             .otherwise(json_string(v)))
@@ -171,8 +172,8 @@ def fold_json_puts(puts: DataFrame) -> DataFrame:
     ``put(key, value)`` builds an object, the last value per key winning
     (``max_by`` on the order key, partial aggregation first); ``put(value)``
     (key NULL) appends to an array in ``pos`` order. ``null`` text becomes JSON
-    null and values are typed by ``value_type`` (number / boolean / string /
-    json). With ``is_new``, a re-assignment starts a new document: each put
+    null and values are typed by ``value_type`` (int / number / boolean /
+    string / json). With ``is_new``, a re-assignment starts a new document: each put
     belongs to the nearest ``is_new`` put at or before it, found through an
     equi-join with those few marker rows of its object (no per-object window).
     Output ``(project, object, doc_no, n_keys, doc)``; ``doc_no`` is the
@@ -221,13 +222,14 @@ def nest_json_values(puts: DataFrame, max_depth: int = 15) -> DataFrame:
     from apiatlas.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     from apiatlas.session import materialize
-    last = materialize(puts.groupBy("project", "object", "key")
-                       .agg(F.max_by(F.struct("value", "value_type"), "pos").alias("lv"))
-                       .select("project", "object", "key", F.col("lv.value").alias("value"),
-                               F.col("lv.value_type").alias("value_type")))
+    p = puts.select("project", "object", "pos", "key", "value", "value_type")
+    keyed = p.filter(F.col("key").isNotNull()).groupBy("project", "object", "key") \
+        .agg(F.max_by(F.struct("pos", "value", "value_type"), "pos").alias("lv")) \
+        .select("project", "object", "lv.pos", "key", "lv.value", "lv.value_type")
+    # array elements (key NULL) all stay, in their order
+    last = materialize(keyed.unionByName(p.filter(F.col("key").isNull())))
     refs = last.filter(F.col("value_type") == "object")
-    done = fold_json_puts(last.join(refs.select("project", "object").distinct(), ["project", "object"], "left_anti")
-                          .withColumn("pos", F.lit(0)))
+    done = fold_json_puts(last.join(refs.select("project", "object").distinct(), ["project", "object"], "left_anti"))
     done = done.checkpoint(eager=True)
     for _ in range(max_depth):
         pending = refs.join(done.select("project", "object"), ["project", "object"], "left_anti") \
@@ -244,7 +246,7 @@ def nest_json_values(puts: DataFrame, max_depth: int = 15) -> DataFrame:
                   ["project", "value"], "left")
         rows = rows.withColumn("value", F.when(F.col("value_type") == "object", F.col("_doc")).otherwise(F.col("value"))) \
             .withColumn("value_type", F.when(F.col("value_type") == "object", F.lit("json")).otherwise(F.col("value_type"))) \
-            .withColumn("pos", F.lit(0)).drop("_doc")
+            .drop("_doc")
         done = done.unionByName(fold_json_puts(rows)).checkpoint(eager=True)
     return done
 
