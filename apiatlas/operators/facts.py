@@ -178,3 +178,31 @@ def extract_fields(texts: DataFrame, text_col: str = "content", keys=("project",
                     F.coalesce(F.nullif(F.regexp_extract("_m", FIELD, 2), F.lit("")), F.lit("default")).alias("visibility"),
                     anns.alias("annotations")) \
         .filter(~mods.contains("static"))
+
+
+CLASS_DECL = r"^\s*(?:(?:public|protected|private|abstract|final|static)\s+)*(?:class|interface|enum)\s+(\w+)"
+METHOD_DECL = (r"^\s*(?:(?:public|protected|private|static|final|synchronized|abstract)\s+)*"
+               r"(?:[\w.<>\[\], ?]+\s+)?(\w+)\s*\([^;{]*\)\s*(?:throws\s+[\w., ]+)?\s*\{?\s*$")
+
+
+def extract_blocks(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
+    """Method/constructor and class blocks per file (input of R12):
+    ``(keys, kind, name, start_line, end_line)``. Line based: a class spans
+    from its declaration to the end of the file, a method from its signature
+    line to the line before the next declaration (or the end of the file).
+    The window runs per file (one document)."""
+    keys = list(keys)
+    lines = texts.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "_l"))
+    last = lines.groupBy(*keys).agg(F.max("line").alias("_last"))
+    cls = F.regexp_extract("_l", CLASS_DECL, 1)
+    meth = F.regexp_extract("_l", METHOD_DECL, 1)
+    decl = lines.select(*keys, "line", F.when(cls != "", F.lit("class")).when(
+        (meth != "") & ~meth.isin("if", "for", "while", "switch", "catch", "return", "new", "synchronized"),
+        F.lit("method")).alias("kind"), F.when(cls != "", cls).otherwise(meth).alias("name")) \
+        .filter(F.col("kind").isNotNull())
+    w = Window.partitionBy(*keys).orderBy("line")
+    nxt = F.lead("line").over(w)
+    return decl.join(last, keys).select(
+        *keys, "kind", "name", F.col("line").alias("start_line"),
+        F.when(F.col("kind") == "class", F.col("_last"))
+        .otherwise(F.coalesce(nxt - 1, F.col("_last"))).alias("end_line"))

@@ -24,8 +24,8 @@ def read_corpus(spark: SparkSession, root: str, glob: str = "*.java") -> DataFra
     One row per file (``wholetext``); Spark splits the listing across tasks.
     ``glob="build.gradle"`` gives the build files (S2).
     """
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", glob).text(root)
+    # text() has its own wholetext flag (default False) that overrides options
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     rel = _relative(F.col("_metadata.file_path"), root)
     return df.select(F.substring_index(rel, "/", 1).alias("project"), rel.alias("path"),
                      F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))

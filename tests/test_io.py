@@ -24,12 +24,14 @@ def _tree(base, files):
 
 def test_read_corpus_lists_and_packages(spark):
     base = tempfile.mkdtemp(prefix="corpus-")
-    _tree(base, {"app1/src/A.java": 'String u = "http://a.com/x";', "app1/build.gradle": "compileSdkVersion 23",
+    _tree(base, {"app1/src/A.java": 'class A {\n  String u = "http://a.com/x";\n}\n',
+                 "app1/build.gradle": "compileSdkVersion 23",
                  "app2/deep/er/B.java": "class B {}", "app2/notes.txt": "x", "apks/x.apk": "PK..",
                  "packages.csv": "package_name,version\norg.a.b,12\norg.c.d,3\n"})
     corpus = readers.read_corpus(spark, base)
     got = rows(corpus, "project", "path", "name")
     assert got == [("app1", "app1/src/A.java", "A.java"), ("app2", "app2/deep/er/B.java", "B.java")]
+    assert corpus.filter("name = 'A.java'").first()["content"].count("\n") == 3  # whole file, one row
     assert rows(readers.read_corpus(spark, base, glob="build.gradle"), "project", "content") == [
         ("app1", "compileSdkVersion 23")]
     lst = readers.list_files(spark, base, ".apk")
