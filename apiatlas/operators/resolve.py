@@ -8,7 +8,9 @@ name (and arity where given).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from apiatlas.operators.urls import product_fold
@@ -162,11 +164,15 @@ def resolve_iterative(starts: DataFrame, defs: DataFrame, max_depth: int = 15) -
     found = []
     for step in range(max_depth + 1):
         frontier = raw.repartition(n, "project", "cur").dropDuplicates(["project", "start", "cur"])
+        goes_on = (F.col("value_kind") == "name") & ~F.array_contains("visited", F.col("ref"))
+        obs = Observation(f"r10_{uuid.uuid4().hex}")
+        # the size of the next frontier is observed in the same job that writes this round
         j = frontier.join(d, ["project", "cur"]) \
-            .select("project", "start", "depth", "visited", "value_kind", "value", "ref").checkpoint(eager=True)
+            .select("project", "start", "depth", "visited", "value_kind", "value", "ref") \
+            .observe(obs, F.count_if(goes_on).alias("n")).checkpoint(eager=True)
         found.append(j.filter(F.col("value_kind") == "literal").select("project", "start", "value", "depth"))
-        cont = j.filter((F.col("value_kind") == "name") & ~F.array_contains("visited", F.col("ref")))
-        if step == max_depth or cont.isEmpty():
+        cont = j.filter(goes_on)
+        if step == max_depth or obs.get["n"] == 0:
             break
         raw = cont.select("project", "start", F.col("ref").alias("cur"), (F.col("depth") + 1).alias("depth"),
                           F.array_append("visited", F.col("ref")).alias("visited"))
@@ -224,11 +230,13 @@ def alias_through_params(edges: DataFrame, max_depth: int = 15) -> DataFrame:
     roots = []
     for step in range(max_depth + 1):
         frontier = raw.repartition(n, "project", "cur").dropDuplicates(["project", "var", "cur"])
-        j = frontier.join(e, ["project", "cur"], "left").checkpoint(eager=True)
         stop = F.col("up").isNull() | F.array_contains("visited", F.col("up")) | F.lit(step == max_depth)
+        obs = Observation(f"r9_{uuid.uuid4().hex}")
+        j = frontier.join(e, ["project", "cur"], "left").observe(obs, F.count_if(~stop).alias("n")) \
+            .checkpoint(eager=True)
         roots.append(j.filter(stop).select("project", "var", F.col("cur").alias("root"), "depth"))
         cont = j.filter(~stop)
-        if step == max_depth or cont.isEmpty():
+        if step == max_depth or obs.get["n"] == 0:
             break
         raw = cont.select("project", "var", F.col("up").alias("cur"), (F.col("depth") + 1).alias("depth"),
                           F.array_append("visited", F.col("up")).alias("visited"))
