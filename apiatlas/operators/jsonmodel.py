@@ -188,23 +188,20 @@ def fold_json_puts(puts: DataFrame) -> DataFrame:
     else:
         puts = puts.withColumn("doc_no", F.lit("0"))
     keys = ["project", "object", "doc_no"]
-    keyed = puts.filter(F.col("key").isNotNull())
-    last = keyed.groupBy(*keys, "key").agg(F.max_by(F.struct("value", "value_type"), "pos").alias("lv"))
-    pairs = last.select(*keys, "key", F.concat(json_string(F.col("key")), F.lit(":"),
-                                               _render_put_value(F.col("lv.value_type"), F.col("lv.value"))).alias("kv"))
-    objects = pairs.groupBy(*keys).agg(
-        F.count("*").alias("n_keys"),
-        F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "kv"))),
-                                                      lambda e: e["kv"]), ","), F.lit("}")).alias("doc"))
-    elems = puts.filter(F.col("key").isNull()).select(
-        *keys, "pos", _render_put_value(F.col("value_type"), F.col("value")).alias("ev"))
-    arrays = elems.groupBy(*keys).agg(
-        F.lit(0).cast("long").alias("n_keys"),
-        F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ev"))),
-                                                      lambda e: e["ev"]), ","), F.lit("]")).alias("doc"))
+    # one pass: the last value per key, every array element on its own (key NULL, its position)
+    step = puts.withColumn("_epos", F.when(F.col("key").isNull(), F.col("pos")))
+    last = step.groupBy(*keys, "key", "_epos").agg(F.max_by(F.struct("value", "value_type"), "pos").alias("lv")) \
+        .select(*keys, "key", "_epos", _render_put_value(F.col("lv.value_type"), F.col("lv.value")).alias("rv"))
+    docs = last.groupBy(*keys).agg(
+        F.count_if(F.col("key").isNotNull()).alias("n_keys"),
+        F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct(
+            "key", F.concat(json_string(F.col("key")), F.lit(":"), F.col("rv")).alias("kv"))))).alias("_kv"),
+        F.array_sort(F.collect_list(F.when(F.col("key").isNull(), F.struct("_epos", "rv")))).alias("_ev"))
     # an object that got both kinds of put keeps its keyed form
-    arrays = arrays.join(objects.select(*keys), keys, "left_anti")
-    return objects.unionByName(arrays).select("project", "object", "doc_no", "n_keys", "doc")
+    doc = F.when(F.col("n_keys") > 0, F.concat(F.lit("{"), F.array_join(F.transform("_kv", lambda e: e["kv"]), ","),
+                                                F.lit("}"))) \
+        .otherwise(F.concat(F.lit("["), F.array_join(F.transform("_ev", lambda e: e["rv"]), ","), F.lit("]")))
+    return docs.select("project", "object", "doc_no", F.col("n_keys").cast("long").alias("n_keys"), doc.alias("doc"))
 
 
 # --------------------------------------------------------------------------- J5
