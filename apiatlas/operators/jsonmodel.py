@@ -110,7 +110,8 @@ def explode_json_fields(models: DataFrame, json_col: str = "canonical", max_dept
 
 # --------------------------------------------------------------------------- J3
 def json_skeleton(fields: DataFrame, with_values: bool = False, both: bool = False) -> DataFrame:
-    """Render each model from its nodes, bottom-up, one depth level per round.
+    """Render each model from its nodes, bottom-up, one depth level per round
+    (the nodes are first written once, partitioned by depth).
 
     Without values leaves render as their tag (``"<NUMBER_INT>"``; NULL stays
     ``null``); with values they render as JSON literals (strings quoted through
@@ -119,6 +120,11 @@ def json_skeleton(fields: DataFrame, with_values: bool = False, both: bool = Fal
     ``(project, model_id, skeleton)``; with ``both`` the two renderings come
     from one pass as ``skeleton`` and ``populated``.
     """
+    from apiatlas.session import write_table
+    # the node table is written once, laid out by depth: every level below reads
+    # only its own partition instead of recomputing the (recursive) node walk
+    fields = write_table(fields.select("project", "model_id", "path", "parent_path", "key", "idx", "depth",
+                                       "jtype", "value"), ["depth"])
     max_depth = fields.agg(F.max("depth")).first()[0] or 0
     tag = F.when(F.col("jtype") == "NULL", F.lit("null")).otherwise(
         F.concat(F.lit('"<'), F.col("jtype"), F.lit('>"')))

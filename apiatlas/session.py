@@ -81,3 +81,17 @@ def cache_partitioned(df, keys: list[str]):
     out = df.repartition(shuffle_partitions(df.sparkSession), *keys).persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
+
+
+def write_table(df, partition_by: list[str] | None = None):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read
+    it back (lineage cut, survives executor loss). ``partition_by`` lays the
+    files out by those columns, so later filters on them prune partitions."""
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return spark.read.parquet(path)
