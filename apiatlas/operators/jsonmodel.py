@@ -7,7 +7,9 @@ aggregation, one level per round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from apiatlas.functions import encoding as enc
@@ -397,11 +399,13 @@ def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int
             (F.col("fdepth") + 2).alias("depth"), F.coalesce(F.col("tag"), F.lit("OBJECT")).alias("jtype"),
             F.when(F.col("tag").isNull(), F.col("ref_class")).alias("expand"),
             F.when(F.col("tag").isNull(), F.lit("object")).alias("mode"))
+        obs = Observation(f"j6_{uuid.uuid4().hex}")
         new = elements.select(*cols).unionByName(fields.select(*cols)).unionByName(arr_leaf.select(*cols)) \
-            .unionByName(map_el.select(*cols)).unionByName(map_val.select(*cols)).checkpoint(eager=True)
+            .unionByName(map_el.select(*cols)).unionByName(map_val.select(*cols)) \
+            .observe(obs, F.count_if(F.col("expand").isNotNull()).alias("n")).checkpoint(eager=True)
         levels.append(new)
         frontier = new.filter(F.col("expand").isNotNull())
-        if frontier.isEmpty():
+        if obs.get["n"] == 0:
             break
     allnodes = levels[0]
     for lv in levels[1:]:

@@ -18,6 +18,7 @@ from apiatlas.functions import encoding as enc
 from apiatlas.operators import facts, jsonmodel, libraries, resolve, samples, stats
 from apiatlas.operators import urls as U
 from apiatlas.plans import dims
+from apiatlas.session import write_table
 from apiatlas.sources import readers, sinks
 
 BASE_URL_CALL = r'baseUrl\(\s*"([^"]*)"\s*\)'
@@ -27,7 +28,8 @@ GSON_LIBRARY = "com.google.code.gson"
 def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFrame | None = None,
                    max_depth: int = 15) -> dict[str, DataFrame]:
     """``corpus(project, path, content)`` (and optional build files) -> results."""
-    lits = facts.extract_literals(corpus)
+    # literals feed both the URL and the JSON branch: extracted once, written once
+    lits = write_table(facts.extract_literals(corpus))
     text = enc.unescape_java(F.col("literal"))
     order = F.struct("path", "line", "pos")
     # string literals: URL candidates first; the others are JSON candidates
