@@ -8,10 +8,16 @@ small fixed dimension shipped with the function.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# ship this module's code with the UDF, so Python workers need no apiatlas install
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 try:  # optional accelerator
     import ahocorasick  # type: ignore
 except ImportError:  # pragma: no cover
