@@ -105,3 +105,18 @@ def test_routes_last_verb_wins(spark):
     t = spark.createDataFrame([("p", "A.java", code)], "project string, path string, content string")
     r = facts.extract_routes(t).collect()
     assert [(x["method"], x["verb"], x["template"]) for x in r] == [("m", "POST", "c/d")]
+
+
+def test_extract_imports_and_files_without_snippets(spark):
+    texts = spark.createDataFrame([
+        ("p", "A.java", "import okhttp3.OkHttpClient;\nimport java.util.List;\nimport static com.squareup.okhttp3.X.y;"),
+        ("p", "B.java", "import java.net.HttpURLConnection;\nclass B {}"),
+        ("p", "C.java", "class C {}")], "project string, path string, content string")
+    imps = rows(facts.extract_imports(texts, dims.library_dim(spark)), "path", "import", "library")
+    assert ("A.java", "com.squareup.okhttp3.X.y", "com.squareup.okhttp3") in imps
+    assert ("B.java", "java.net.HttpURLConnection", "java.net.HttpURLConnection") in imps
+    assert not [r for r in imps if r[1] in ("java.util.List", "okhttp3.OkHttpClient")]
+    snippets = spark.createDataFrame([("p", "A.java")], "project string, path string")
+    left = rows(libraries.files_without_snippets(facts.extract_imports(texts, dims.library_dim(spark)), snippets),
+                "path", "library")
+    assert left == [("B.java", "java.net.HttpURLConnection")]
