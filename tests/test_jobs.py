@@ -248,3 +248,18 @@ def test_json_models_lenient(spark):
     assert jsonmodel.build_json_models(cands).count() == 1
     lenient = jsonmodel.build_json_models(cands, lenient=True).collect()
     assert len(lenient) == 1 and lenient[0]["n_occurrences"] == 2 and lenient[0]["first_ord"] == 1
+
+
+def test_urls_from_candidates_and_assembly_forms(spark):
+    exprs = spark.createDataFrame([("p", "e1", ["not a url", "https://a.com/x"]), ("p", "e2", ["ftp://x", "y"])],
+                                  "project string, expr_id string, alternatives array<string>")
+    got = rows(U.urls_from_candidates(exprs), "expr_id", "any_url", "n_urls")
+    assert got == [("e1", True, 1), ("e2", False, 0)]
+    parts = spark.createDataFrame([
+        ("one", 1, 0, ["http://a.com/x", "http://b.com"]),
+        ("two", 2, 0, ["http://c.com"]), ("two", 2, 1, ["/p", "/q"]),
+        ("missing", 3, 0, ["http"]), ("missing", 3, 2, ["/f"])],
+        "expr_id string, n_args int, arg_pos int, alternatives array<string>")
+    got = rows(U.assemble_urls(parts))
+    assert got == [("one", "http://a.com/x"), ("one", "http://b.com"), ("two", "http://c.com/p"),
+                   ("two", "http://c.com/q")]
