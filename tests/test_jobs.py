@@ -263,3 +263,15 @@ def test_urls_from_candidates_and_assembly_forms(spark):
     got = rows(U.assemble_urls(parts))
     assert got == [("one", "http://a.com/x"), ("one", "http://b.com"), ("two", "http://c.com/p"),
                    ("two", "http://c.com/q")]
+
+
+def test_resolve_return_and_field_access(spark):
+    calls = spark.createDataFrame([("p", "A.url", "c1"), ("p", "A.none", "c2")], "project string, callee string, expr_id string")
+    rets = spark.createDataFrame([("p", "A.url", "r1"), ("p", "A.url", "r2"), ("q", "A.url", "r3")],
+                                 "project string, callee string, expr_id string")
+    assert rows(resolve.resolve_return(calls, rets), "call_id", "return_id") == [("c1", "r1"), ("c1", "r2")]
+    acc = spark.createDataFrame([("p", "Api", "BASE", "a1"), ("p", "Other", "BASE", "a2")],
+                                "project string, class string, name string, expr_id string")
+    defs = spark.createDataFrame([("p", "Api", "BASE", "field", "init", "d1"), ("p", "Api", "BASE", "field", "assign", "d2")],
+                                 "project string, class string, name string, kind string, role string, expr_id string")
+    assert rows(resolve.resolve_field_access(acc, defs), "access_id", "def_id") == [("a1", "d1")]
