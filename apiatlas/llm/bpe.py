@@ -18,6 +18,7 @@ import json
 import re
 import struct
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -197,7 +198,7 @@ def encode_decode(df: DataFrame, vocabulary: str, text: Column | None = None,
     spec = df.sparkSession.sparkContext.broadcast(load_spec(vocabulary))
 
     @F.arrow_udf(RESULT)
-    def codec(batches):
+    def codec(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Codec(spec.value)
         for batch in batches:
             packed, texts = [], []
