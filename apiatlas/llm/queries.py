@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiatlas.llm import bpe, url_rules
+from apiatlas.llm import bpe, jaccard_join, url_rules
 
 #: Where the public vocabulary files lie; read on the driver only.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -32,9 +32,15 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle-set size and its component of links at 0.75."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe_encode_decode,
     op2_url_filter,
+    op10_ngram_jaccard_join,
 )}
 
 ORACLE: dict[str, str] = {
