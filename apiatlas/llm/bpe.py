@@ -85,7 +85,7 @@ class Memo(dict):
 class Codec:
     """Encoder and decoder over one vocabulary. ``remember`` bounds each memo."""
 
-    def __init__(self, spec: dict, remember: int = 250_000):
+    def __init__(self, spec: dict, remember: int = 160_000):
         self.vocab = spec["vocab"]
         self.ranks: dict = {}
         for rank, (left, right) in enumerate(spec["merges"]):
