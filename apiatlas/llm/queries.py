@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiatlas.llm import bpe, jaccard_join, url_rules
+from apiatlas.llm import bpe, jaccard_join, line_windows, url_rules
 
 #: Where the public vocabulary files lie; read on the driver only.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -32,6 +32,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the later occurrences of repeated three-line windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_windows.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle-set size and its component of links at 0.75."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
@@ -40,10 +46,26 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_bpe_encode_decode,
     op2_url_filter,
+    op9_line_dedup,
     op10_ngram_jaccard_join,
 )}
 
 ORACLE: dict[str, str] = {
+    "op9_line_dedup": r'''
+        WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+                     unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+        w AS (SELECT doc_id, text, pos, line,
+                     lead(line, 1) OVER o AS line2, lead(line, 2) OVER o AS line3, lead(pos, 1) OVER o AS pos2, lead(pos, 2) OVER o AS pos3
+              FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW o AS (PARTITION BY doc_id, text ORDER BY pos)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id NULLS LAST, text, pos) AS nth
+              FROM w WHERE pos3 IS NOT NULL),
+        c AS (SELECT DISTINCT doc_id, text, unnest([pos, pos2, pos3]) AS pos FROM n WHERE nth > 1),
+        kept AS (SELECT l.doc_id, l.text, count(*) AS n_lines, count(c.pos) AS n_removed,
+                        coalesce(string_agg(CASE WHEN c.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS cleaned
+                 FROM l LEFT JOIN c ON l.doc_id IS NOT DISTINCT FROM c.doc_id AND l.text = c.text AND l.pos = c.pos GROUP BY ALL)
+        SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, cleaned AS text
+        FROM documents LEFT JOIN kept ON documents.doc_id IS NOT DISTINCT FROM kept.doc_id AND documents.text = kept.text''',
     "op2_url_filter": '''
         WITH rules(verdict, rule, r_host, r_path) AS (VALUES
             ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
