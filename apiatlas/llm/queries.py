@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiatlas.llm import bpe, jaccard_join, line_windows, url_rules
+from apiatlas.llm import bpe, jaccard_join, line_windows, mixing, url_rules
 
 #: Where the public vocabulary files lie; read on the driver only.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -32,6 +32,15 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, from the draws of all shards."""
+    draws = mixing.draw_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return (draws.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"),
+                                     F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+                                     F.sum(F.when(F.col("shard").isNotNull(), F.col("words")).otherwise(0)).alias("taken"))
+            .select("doc_id", "size", "source_size", "target", "taken"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the later occurrences of repeated three-line windows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -46,6 +55,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_bpe_encode_decode,
     op2_url_filter,
+    op3_mix_sources,
     op9_line_dedup,
     op10_ngram_jaccard_join,
 )}
