@@ -11,10 +11,11 @@ order. Orders only decide how much work there is, never which links are found.
 2. A second pass emits each document's prefix under the first order; exact copies are left
    out as early as their task. Tokens that one document alone holds fall away, and lists
    with the same members are kept once.
-3. Every document is compared with one leader, that of most of its lists; links join
-   documents into components. Then all remaining pairs of a list whose components still
-   differ are compared, so no link between different texts is lost, while a large group of
-   copies costs one comparison a member instead of one a pair.
+3. A document that shares enough tokens with the leader of most of its lists is compared
+   with it; links join documents into components. Then all pairs of a list whose components
+   still differ are counted, and those that share enough prefix tokens to be similar are
+   compared. So no link between different texts is lost, while a large group of copies
+   costs one comparison a member instead of one a pair.
 4. Before two sets are compared, the pair must share a prefix token under every one of the
    orders; then the overlap is counted from the whole texts.
 
@@ -52,6 +53,8 @@ SKETCH_BITS = 20
 PIECE = 1 << 14
 #: Rows that one task may hold of a token's list: more frequent tokens are salted.
 LIST_SPLIT = 20_000
+#: Bits, as a power of two, of the bitmap of ids whose texts are compared (2 MB in all).
+ID_BITS = 24
 
 
 def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -202,6 +205,18 @@ def _lists(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lists, across
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose doc_id isn't among ``ids``: a bitmap of hashed ids,
+    of a fixed number of bits, keeps texts that no pair needs out of the shuffles."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)) + 1
+    bitmap = write_table(ids.groupBy(F.bitmap_bucket_number(at).alias("part"))
+                         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), place % 8)), F.lit(2)) == 1
+    return rows.join(F.broadcast(bitmap), (F.bitmap_bucket_number(at) == F.col("part")) & hit).select(*rows.columns)
+
+
 def _verified(pairs: DataFrame, ids_and_texts: DataFrame, levels) -> DataFrame:
     """The pairs (u, v) whose texts are similar."""
 
@@ -217,23 +232,39 @@ def _verified(pairs: DataFrame, ids_and_texts: DataFrame, levels) -> DataFrame:
                 out.append(similar(shingles(a, hashes), own, level))
             yield pa.array(out, pa.bool_())
 
-    one = ids_and_texts.toDF("u", "text_u")
-    two = ids_and_texts.toDF("v", "text_v")
+    wanted = _only(ids_and_texts, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
+    one = wanted.toDF("u", "text_u")
+    two = wanted.toDF("v", "text_v")
     return (pairs.join(one, "u").join(two, "v").filter(check("text_u", "text_v")).select("u", "v").distinct())
 
 
+def rest_of(n: str) -> str:
+    """SQL of the number of tokens behind the prefix of a set of ``n``."""
+    return f"({n} - ({n} - (({NUM} * {n} + {DEN - 1}) div {DEN}) + 1))"
+
+
+def can_link(c: str, a: str, b: str) -> str:
+    """SQL of the bound: ``c`` shared prefix tokens, and behind the prefix that ends first at
+    most its set's other tokens, allow enough overlap of sets of ``a`` and ``b`` tokens."""
+    return (f"({DEN} * least({a}, {b}) >= {NUM} * greatest({a}, {b}) AND "
+            f"{NUM + DEN} * ({c} + greatest({rest_of(a)}, {rest_of(b)})) >= {NUM} * ({a} + {b}))")
+
+
 def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of one list in different components. In each list the members of its largest
-    component are not compared with each other; the others meet all members."""
+    """Pairs of one list in different components that can still be similar. In each list the
+    members of its largest component are not compared with each other; the others meet all
+    members. The lists' weights add up to all prefix tokens that a pair shares."""
     mixed = members.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("list")
     open_lists = write_table(members.join(mixed, "list"))
     largest = (open_lists.groupBy("list", "comp").agg(F.count("*").alias("k"))
                .groupBy("list").agg(F.max_by("comp", F.struct("k", "comp")).alias("top")))
     marked = open_lists.join(largest, "list").withColumn("inside", F.col("comp") == F.col("top"))
-    a = marked.filter("NOT inside").select("list", F.col("doc").alias("a"), F.col("comp").alias("ca"))
-    b = marked.select("list", F.col("doc").alias("b"), F.col("comp").alias("cb"), "inside")
-    met = a.join(b, "list").filter("ca != cb AND (inside OR a < b)")
-    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    a = marked.filter("NOT inside").select("list", "weight", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+    b = marked.select("list", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), "inside")
+    met = a.join(b, "list").filter(f"ca != cb AND (inside OR a < b) AND {DEN} * least(na, nb) >= {NUM} * greatest(na, nb)")
+    return (met.groupBy(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+            .agg(F.sum("weight").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+            .filter(can_link("c", "na", "nb")).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,9 +285,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rep = stars.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("rep"))
 
     lists, across = _lists(_index(named, levels, usual))
+    size = write_table(held.groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n")))
     led = (lists.groupBy("doc", "leader").agg(F.sum("weight").alias("w"))
-           .groupBy("doc").agg(F.max_by("leader", F.struct("w", -F.col("leader"))).alias("v"))
-           .select(F.col("doc").alias("u"), "v"))
+           .groupBy("doc").agg(F.max_by(F.struct("leader", "w"), F.struct("w", -F.col("leader"))).alias("best"))
+           .select(F.col("doc").alias("u"), F.col("best.leader").alias("v"), F.col("best.w").alias("w")).filter("u != v")
+           .join(size.toDF("u", "nu"), "u").join(size.toDF("v", "nv"), "v").filter(can_link("w", "nu", "nv")).select("u", "v"))
     tried = led.union(across)
     x = tried.join(rep, tried["u"] == rep["member"], "left").select(F.coalesce("rep", "u").alias("u"), "v")
     y = x.join(rep, x["v"] == rep["member"], "left").select("u", F.coalesce("rep", "v").alias("v"))
@@ -264,9 +297,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     comps = write_table(connected_components(stars.union(_verified(first, named, levels))))
 
     # what is left of each list: pairs of different components that weren't compared yet
-    reps = lists.join(rep, F.col("doc") == F.col("member"), "left").select("list", F.coalesce("rep", "doc").alias("doc")).distinct()
-    members = write_table(reps.join(comps, F.col("doc") == F.col("node"), "left").select(
-        "list", "doc", F.coalesce("component", "doc").alias("comp")))
+    reps = (lists.join(rep, F.col("doc") == F.col("member"), "left")
+            .groupBy("list", F.coalesce("rep", "doc").alias("doc")).agg(F.max("weight").alias("weight")))
+    members = write_table(reps.join(size, "doc").join(comps, F.col("doc") == F.col("node"), "left").select(
+        "list", "doc", "weight", "n", F.coalesce("component", "doc").alias("comp")))
     second = write_table(_cross_pairs(members).join(first, ["u", "v"], "left_anti"))
     more = write_table(_verified(second, named, levels))
     if not more.isEmpty():
