@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiatlas.llm import bpe, jaccard_join, line_windows, mixing, url_rules
+from apiatlas.llm import bpe, jaccard_join, line_windows, mixing, toxicity, url_rules
+from apiatlas.llm.common import crc_mod
 
 #: Where the public vocabulary files lie; read on the driver only.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -41,6 +42,15 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labelled ids outside crc32 mod 5 = 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = crc_mod(F.col("doc_id"), 5)
+    out = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"), rest != 0)
+    return out.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the later occurrences of repeated three-line windows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,6 +66,7 @@ QUERIES = {f.__name__: f for f in (
     op1_bpe_encode_decode,
     op2_url_filter,
     op3_mix_sources,
+    op5_toxicity,
     op9_line_dedup,
     op10_ngram_jaccard_join,
 )}
