@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiatlas.llm import bpe, jaccard_join, line_windows, mixing, toxicity, url_rules
+from apiatlas.llm import bpe, jaccard_join, line_windows, mixing, quality_ftrl, toxicity, url_rules
 from apiatlas.llm.common import crc_mod
 
 #: Where the public vocabulary files lie; read on the driver only.
@@ -42,6 +42,15 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from the labelled ids outside crc32 mod 3 = 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = crc_mod(F.col("doc_id"), 3)
+    out = quality_ftrl.quality_scores(docs, table(spark, sf_dir, "labels"), rest != 1)
+    return out.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from the labelled ids outside crc32 mod 5 = 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +75,7 @@ QUERIES = {f.__name__: f for f in (
     op1_bpe_encode_decode,
     op2_url_filter,
     op3_mix_sources,
+    op4_quality_classifier,
     op5_toxicity,
     op9_line_dedup,
     op10_ngram_jaccard_join,
