@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiatlas.llm import bpe, jaccard_join, line_windows, mixing, quality_ftrl, quality_gbt, toxicity, url_rules
+from apiatlas.llm import bpe, html_consensus, jaccard_join, line_windows, mixing, quality_ftrl, quality_gbt, toxicity, url_rules
 from apiatlas.llm.common import crc_mod
 
 #: Where the public vocabulary files lie; read on the driver only.
@@ -60,6 +60,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    out = html_consensus.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts, the base rules and the trees' verdict."""
     return quality_gbt.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -82,6 +88,7 @@ QUERIES = {f.__name__: f for f in (
     op3_mix_sources,
     op4_quality_classifier,
     op5_toxicity,
+    op6_html_extraction,
     op7_quality_rules,
     op9_line_dedup,
     op10_ngram_jaccard_join,
