@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiatlas.llm import bpe, html_consensus, jaccard_join, line_windows, mixing, quality_ftrl, quality_gbt, toxicity, url_rules
+from apiatlas.llm import bpe, html_consensus, jaccard_join, line_windows, mixing, pivot_index, quality_ftrl, quality_gbt, toxicity, url_rules
 from apiatlas.llm.common import crc_mod
 
 #: Where the public vocabulary files lie; read on the driver only.
@@ -71,6 +71,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.98 within its label, and its component."""
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the later occurrences of repeated three-line windows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -90,6 +95,7 @@ QUERIES = {f.__name__: f for f in (
     op5_toxicity,
     op6_html_extraction,
     op7_quality_rules,
+    op8_embedding_near_dedup,
     op9_line_dedup,
     op10_ngram_jaccard_join,
 )}
