@@ -75,13 +75,12 @@ def counter_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def prefix(tokens: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
-    """The first tokens of a set under one order: by the sketch's level, then by a hash."""
+    """The first tokens of a set in one order: by the sketch's level, then by a hash."""
     p = prefix_length(len(tokens))
-    if p >= len(tokens):
-        return tokens
     h = mix64(tokens + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     key = (levels[counter_of(tokens)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-    return tokens[np.argpartition(key, p - 1)[:p]]
+    first = np.argpartition(key, p - 1)[:p] if p < len(tokens) else np.arange(len(tokens))
+    return tokens[first[np.argsort(key[first])]]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -160,14 +159,15 @@ def _levels(scan: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def _index(ids_and_texts: DataFrame, levels, usual: float) -> DataFrame:
-    """(token, salt, doc) of every prefix under the first order. Copies within one task are
-    left out: their class is known by its digest. salt is 0 but for frequent tokens."""
+    """(token, salt, doc, pos) of every prefix in the first order, pos being the token's place
+    in it. Copies within one task are left out: their class is known by its digest. salt is 0
+    but for frequent tokens."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         level = levels.value
         for batch in batches:
-            ids, tokens, salts = [], [], []
+            ids, tokens, salts, places = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = shingles(text.as_py(), hashes)
                 digest = xxhash.xxh3_128_digest(own.tobytes())
@@ -176,6 +176,7 @@ def _index(ids_and_texts: DataFrame, levels, usual: float) -> DataFrame:
                 seen.add(digest)
                 first = prefix(own, level, ORDERS[0])
                 tokens.append(first)
+                places.append(np.arange(len(first), dtype=np.int32))
                 ids.append(np.full(len(first), doc, np.int64))
                 own_level = level[counter_of(first)]
                 split = np.where(own_level > 0, usual * 2.0 ** (own_level / 4) // LIST_SPLIT, 0).astype(np.int64)
@@ -183,26 +184,35 @@ def _index(ids_and_texts: DataFrame, levels, usual: float) -> DataFrame:
                 salts.append(np.where(split > 1, 1 + at % np.maximum(split, 1), 0))
             if ids:
                 yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)),
-                                       pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(ids))],
-                                      names=["token", "salt", "doc"])
+                                       pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(ids)),
+                                       pa.array(np.concatenate(places))], names=["token", "salt", "doc", "pos"])
 
-    return ids_and_texts.mapInArrow(index, "token long, salt int, doc long")
+    return ids_and_texts.mapInArrow(index, "token long, salt int, doc long, pos int")
 
 
-def _lists(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(list, doc, leader, weight) of every token held by several documents, one list for
-    all tokens with the same members; and links to try between the leaders of salted lists."""
+def _lists(index: DataFrame) -> DataFrame:
+    """(list, doc, weight, pos) of the tokens held by several documents, one list for all
+    tokens with the same members: weight counts these tokens, pos is the first one's place."""
     w = Window.partitionBy("token", "salt")
-    shared = (index.withColumns({"leader": F.min("doc").over(w), "members": F.count("*").over(w),
+    shared = (index.withColumns({"low": F.min("doc").over(w), "members": F.count("*").over(w),
                                  "mark": F.sum(F.xxhash64("doc") % F.lit(1 << 40)).over(w)})
               .filter("members > 1 OR salt > 0")
-              .withColumn("list", F.when(F.col("salt") == 0, F.xxhash64("members", "mark", "leader")).otherwise(F.col("token"))))
-    lists = write_table(shared.groupBy("list", "doc").agg(F.min("leader").alias("leader"), F.count("*").alias("weight"),
-                                                          (F.max("salt") > 0).alias("salted")))
-    tops = lists.filter("salted").select("list", "leader").distinct()
-    across = tops.join(tops.groupBy("list").agg(F.min("leader").alias("first")), "list").select(
-        F.col("leader").alias("u"), F.col("first").alias("v"))
-    return lists, across
+              .withColumn("list", F.when(F.col("salt") == 0, F.xxhash64("members", "mark", "low")).otherwise(F.col("token"))))
+    return shared.groupBy("list", "doc").agg(F.count("*").alias("weight"), F.min("pos").alias("pos"))
+
+
+def _leaders(members: DataFrame) -> DataFrame:
+    """(u, v): each document and the leader of most of its lists, if they share enough
+    tokens. A list's leader is the member that shares most tokens with others at all: the
+    text that a group's near copies were made from rather than one of them."""
+    sizes = members.groupBy("list").agg(F.count("*").alias("k"))
+    known = write_table(members.join(sizes.filter("k > 1"), "list").groupBy("doc").agg(F.sum(F.col("weight") * F.col("k")).alias("degree")))
+    lead = members.join(known, "doc").groupBy("list").agg(
+        F.max_by(F.struct("doc", "n"), F.struct("degree", -F.col("doc"))).alias("lead"))
+    met = members.join(write_table(lead), "list").filter("doc != lead.doc")
+    return (met.groupBy("doc", F.col("lead.doc").alias("v")).agg(F.sum("weight").alias("c"), F.max("n").alias("na"), F.max("lead.n").alias("nb"))
+            .filter(can_link("c", "na", "nb"))
+            .groupBy(F.col("doc").alias("u")).agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v")))
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -259,9 +269,10 @@ def _cross_pairs(members: DataFrame) -> DataFrame:
     largest = (open_lists.groupBy("list", "comp").agg(F.count("*").alias("k"))
                .groupBy("list").agg(F.max_by("comp", F.struct("k", "comp")).alias("top")))
     marked = open_lists.join(largest, "list").withColumn("inside", F.col("comp") == F.col("top"))
-    a = marked.filter("NOT inside").select("list", "weight", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    b = marked.select("list", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), "inside")
-    met = a.join(b, "list").filter(f"ca != cb AND (inside OR a < b) AND {DEN} * least(na, nb) >= {NUM} * greatest(na, nb)")
+    a = marked.filter("NOT inside").selectExpr("list", "weight", "doc AS a", "comp AS ca", "n AS na", "n - pos AS ra")
+    b = marked.selectExpr("list", "doc AS b", "comp AS cb", "n AS nb", "n - pos AS rb", "inside")
+    # the first token that a pair shares has all its other common tokens behind it, on both sides
+    met = a.join(b, "list").filter(f"ca != cb AND (inside OR a < b) AND {NUM + DEN} * least(ra, rb) >= {NUM} * (na + nb)")
     return (met.groupBy(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
             .agg(F.sum("weight").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
             .filter(can_link("c", "na", "nb")).select("u", "v"))
@@ -280,27 +291,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # equal sets: one class, named by its smallest doc_id
     held = sizes.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = held.join(held.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest")
-    stars = write_table(classes.filter("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct())
-    rep = stars.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("rep"))
-
-    lists, across = _lists(_index(named, levels, usual))
-    size = write_table(held.groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n")))
-    led = (lists.groupBy("doc", "leader").agg(F.sum("weight").alias("w"))
-           .groupBy("doc").agg(F.max_by(F.struct("leader", "w"), F.struct("w", -F.col("leader"))).alias("best"))
-           .select(F.col("doc").alias("u"), F.col("best.leader").alias("v"), F.col("best.w").alias("w")).filter("u != v")
-           .join(size.toDF("u", "nu"), "u").join(size.toDF("v", "nv"), "v").filter(can_link("w", "nu", "nv")).select("u", "v"))
-    tried = led.union(across)
-    x = tried.join(rep, tried["u"] == rep["member"], "left").select(F.coalesce("rep", "u").alias("u"), "v")
-    y = x.join(rep, x["v"] == rep["member"], "left").select("u", F.coalesce("rep", "v").alias("v"))
-    first = write_table(y.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    firsts = write_table(held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).filter("k > 1"))
+    stars = write_table(held.join(firsts, "digest").filter("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    rep = write_table(stars.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("rep")))
+    size = held.groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n"))
+
+    lists = _lists(_index(named, levels, usual)).join(rep, F.col("doc") == F.col("member"), "left")
+    members = write_table(lists.groupBy("list", F.coalesce("rep", "doc").alias("doc"))
+                          .agg(F.max("weight").alias("weight"), F.min("pos").alias("pos")).join(size, "doc"))
+    first = write_table(_leaders(members).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     comps = write_table(connected_components(stars.union(_verified(first, named, levels))))
 
     # what is left of each list: pairs of different components that weren't compared yet
-    reps = (lists.join(rep, F.col("doc") == F.col("member"), "left")
-            .groupBy("list", F.coalesce("rep", "doc").alias("doc")).agg(F.max("weight").alias("weight")))
-    members = write_table(reps.join(size, "doc").join(comps, F.col("doc") == F.col("node"), "left").select(
-        "list", "doc", "weight", "n", F.coalesce("component", "doc").alias("comp")))
+    members = write_table(members.join(comps, F.col("doc") == F.col("node"), "left").select(
+        "list", "doc", "weight", "pos", "n", F.coalesce("component", "doc").alias("comp")))
     second = write_table(_cross_pairs(members).join(first, ["u", "v"], "left_anti"))
     more = write_table(_verified(second, named, levels))
     if not more.isEmpty():
