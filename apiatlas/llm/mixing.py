@@ -36,6 +36,7 @@ REPEATS = 3
 #: Words of a block, and blocks of an output shard.
 BLOCK_WORDS = 1 << 14
 SHARD_BLOCKS = 64
+SLICES = 16
 SEED = 20
 #: Cells of a source's hash range: the stream's places are summed cell by cell.
 CELL_BITS = 16
@@ -185,7 +186,8 @@ def first_words(text: Column, size: Column, words: Column) -> Column:
 
 
 def mixed_documents(draws: DataFrame, text: str = "text") -> DataFrame:
-    """The mix itself: one row for each draw with the words it takes, shard by shard, each
-    shard shuffled within itself."""
+    """The mix itself: one row for each draw with the words it takes, dealt out by shard (a
+    shard in ``SLICES`` random slices, so that few large shards make no few large tasks) and
+    shuffled within."""
     return (draws.filter(F.col("words") > 0).withColumn(text, first_words(F.col(text), F.col("size"), F.col("words")))
-            .repartition("shard").sortWithinPartitions("shard", "spot"))
+            .repartition("shard", F.pmod("spot", F.lit(SLICES))).sortWithinPartitions("shard", "spot"))
