@@ -149,7 +149,7 @@ def _levels(scan: DataFrame) -> tuple[np.ndarray, float]:
     pieces = (scan.filter("piece IS NOT NULL").select("piece", "counters")
               .withColumn("salt", F.pmod(F.xxhash64("counters"), F.lit(16))))
     total = np.zeros(((1 << SKETCH_BITS) // PIECE, PIECE), np.int64)
-    for row in _sum_pieces(_sum_pieces(pieces, "piece", "salt"), "piece").toLocalIterator():
+    for row in _sum_pieces(_sum_pieces(pieces, "piece", "salt"), "piece").collect():  # a fixed number of rows
         total[row["piece"]] = np.frombuffer(row["counters"], np.int64)
     total = total.reshape(-1)
     middle = float(np.median(total))

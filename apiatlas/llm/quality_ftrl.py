@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
         shards = known.groupBy("shard").applyInArrow(train, "z binary, n binary")
         total_z, total_n, k = np.zeros(size), np.zeros(size), 0
-        for row in shards.toLocalIterator():
+        for row in shards.collect():  # a fixed number of rows of fixed size
             total_z += np.frombuffer(row["z"], np.float32)
             total_n += np.frombuffer(row["n"], np.float32)
             k += 1

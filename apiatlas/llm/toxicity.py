@@ -145,7 +145,7 @@ def log_odds(counts: DataFrame, total_t: float, total_n: float) -> dict:
     # only a token held by several toxic documents' worth of evidence gets this far from its
     # stem, so the model is bounded by the sample
     gap = F.abs(F.greatest("w", F.lit(0.0)) - F.greatest("parent", F.lit(0.0))) > APART
-    return {r["token"]: r["w"] for r in every.filter(gap).toLocalIterator()}
+    return {r["token"]: r["w"] for r in every.filter(gap).collect()}
 
 
 class Model:
