@@ -8,13 +8,11 @@ name (and arity where given).
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apiatlas.operators.urls import product_fold
-from apiatlas.session import cache_partitioned, ensure_checkpoint_dir, shuffle_partitions
+from apiatlas.session import RoundTable, write_table
 
 # Declared type -> placeholder for an unresolved value.
 TYPE_PLACEHOLDER = {"String": "<STRING>", "Double": "<DOUBLE>", "Float": "<DOUBLE>",
@@ -109,24 +107,24 @@ def expand_concat(parts: DataFrame, resolved: DataFrame, quote_unknown: bool = F
                   max_alternatives: int | None = None) -> DataFrame:
     """``a + b + ...`` (or ``a.concat(b)``) -> every combination.
 
-    ``parts(expr_id, pos, part_kind, literal, ref[, declared_type])`` with
+    ``parts(project, expr_id, pos, part_kind, literal, ref[, declared_type])`` with
     part_kind ``literal`` | ``ref`` (anything else, e.g. another operator,
-    drops the expression); ``resolved(ref, alternatives ARRAY<STRING>)``.
+    drops the expression); ``resolved(project, ref, alternatives ARRAY<STRING>)``.
     An unresolved part drops the expression, or with ``quote_unknown`` (J8)
-    becomes its quoted type placeholder.
+    becomes its quoted type placeholder. Output ``(project, expr_id, value)``.
     """
     dt = F.col("declared_type") if "declared_type" in parts.columns else F.lit(None).cast("string")
-    p = parts.select("expr_id", "pos", "part_kind", "literal", "ref", dt.alias("declared_type")) \
-        .join(resolved.select("ref", "alternatives"), "ref", "left")
+    p = parts.select("project", "expr_id", "pos", "part_kind", "literal", "ref", dt.alias("declared_type")) \
+        .join(resolved.select("project", "ref", "alternatives"), ["project", "ref"], "left")
     unknown = F.array(F.concat(F.lit('"'), type_placeholder(F.col("declared_type")), F.lit('"')))
     alts = (F.when(F.col("part_kind") == "literal", F.array("literal"))
             .when(F.col("part_kind") == "ref", F.coalesce(
                 F.when(F.size("alternatives") > 0, F.col("alternatives")),
                 unknown if quote_unknown else F.lit(None).cast("array<string>"))))
     p = p.withColumn("alts", alts)
-    bad = p.filter(F.col("alts").isNull() | (F.size("alts") == 0)).select("expr_id").distinct()
-    good = p.join(bad, "expr_id", "left_anti")
-    return product_fold(good, ["expr_id"], "pos", "alts", max_alternatives)
+    bad = p.filter(F.col("alts").isNull() | (F.size("alts") == 0)).select("project", "expr_id").distinct()
+    good = p.join(bad, ["project", "expr_id"], "left_anti")
+    return product_fold(good, ["project", "expr_id"], "pos", "alts", max_alternatives)
 
 
 # --------------------------------------------------------------------------- R8
@@ -140,47 +138,41 @@ def fold_appends(appends: DataFrame, max_alternatives: int | None = None) -> Dat
     return product_fold(appends, ["project", "builder"], "pos", "alts", max_alternatives)
 
 
+def reach(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Everything reachable: ``starts(project, start, cur)`` along ``edges(project, cur, nxt)``
+    -> ``(project, start, cur, depth)`` with the fewest steps.
+
+    One round per step: only the pairs found in the last round are joined with the edges, and
+    pairs that were found before are taken out by an anti-join with the table of all
+    pairs so far, which each round extends by its own part. The rounds end when one finds
+    nothing new, so cycles end and chains of any length are followed; ``max_depth``
+    ends them earlier on request. The joins' exchanges are Spark's own, so a hot ``cur`` can
+    be split at run time.
+    """
+    e = write_table(edges.filter(F.col("nxt").isNotNull()).select("project", "cur", "nxt").distinct())
+    seen = RoundTable(starts.sparkSession, "depth")
+    new = seen.add(starts.select("project", "start", "cur").distinct())
+    while max_depth is None or seen.rounds <= max_depth:
+        step = new.join(e, ["project", "cur"]).select("project", "start", F.col("nxt").alias("cur")).distinct()
+        new = seen.add(step.join(seen.all(), ["project", "start", "cur"], "left_anti"))
+        if new.isEmpty():
+            break
+    return seen.all()
+
+
 # --------------------------------------------------------------------------- R10
-def resolve_iterative(starts: DataFrame, defs: DataFrame, max_depth: int = 15) -> DataFrame:
-    """Follow name -> definition edges until literals, up to ``max_depth`` hops.
+def resolve_iterative(starts: DataFrame, defs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Follow name -> definition edges until literals, however far that is.
 
     ``starts(project, start, name)``; ``defs(project, name, value_kind, value, ref)``
-    where value_kind ``literal`` ends a path and ``name`` continues at ``ref``.
-    The definitions are hash-partitioned on (project, name) once and cached;
-    each round shuffles only the frontier to the same partitioning (its
-    de-duplication on (project, start, name) then needs no other exchange),
-    joins, and writes the joined rows with a reliable ``checkpoint()`` into
-    the shared checkpoint folder, from which both the literals found and the
-    next frontier are read. A ``visited`` array stops cycles. Output
-    ``(project, start, value, depth)`` with the fewest hops.
+    where value_kind ``literal`` ends a path and ``name`` continues at ``ref``. Output
+    ``(project, start, value, depth)`` with the fewest hops. ``max_depth`` (default: none)
+    bounds the hops.
     """
-    spark = starts.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = shuffle_partitions(spark)
-    d = cache_partitioned(defs.select("project", F.col("name").alias("cur"), "value_kind", "value", "ref"),
-                          ["project", "cur"])
-    raw = starts.select("project", "start", F.col("name").alias("cur"), F.lit(0).alias("depth"),
-                        F.array("name").alias("visited"))
-    found = []
-    for step in range(max_depth + 1):
-        frontier = raw.repartition(n, "project", "cur").dropDuplicates(["project", "start", "cur"])
-        goes_on = (F.col("value_kind") == "name") & ~F.array_contains("visited", F.col("ref"))
-        obs = Observation(f"r10_{uuid.uuid4().hex}")
-        # the size of the next frontier is observed in the same job that writes this round
-        j = frontier.join(d, ["project", "cur"]) \
-            .select("project", "start", "depth", "visited", "value_kind", "value", "ref") \
-            .observe(obs, F.count_if(goes_on).alias("n")).checkpoint(eager=True)
-        found.append(j.filter(F.col("value_kind") == "literal").select("project", "start", "value", "depth"))
-        cont = j.filter(goes_on)
-        if step == max_depth or obs.get["n"] == 0:
-            break
-        raw = cont.select("project", "start", F.col("ref").alias("cur"), (F.col("depth") + 1).alias("depth"),
-                          F.array_append("visited", F.col("ref")).alias("visited"))
-    d.unpersist()
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.groupBy("project", "start", "value").agg(F.min("depth").alias("depth"))
+    edges = defs.filter(F.col("value_kind") == "name").select("project", F.col("name").alias("cur"), F.col("ref").alias("nxt"))
+    ends = defs.filter(F.col("value_kind") == "literal").select("project", F.col("name").alias("cur"), "value")
+    seen = reach(starts.select("project", "start", F.col("name").alias("cur")), edges, max_depth)
+    return seen.join(ends, ["project", "cur"]).groupBy("project", "start", "value").agg(F.min("depth").alias("depth"))
 
 
 # --------------------------------------------------------------------------- R12
@@ -208,40 +200,23 @@ def enclosing_block(positions: DataFrame, blocks: DataFrame, bucket_width: int,
 
 
 # --------------------------------------------------------------------------- R9
-def alias_through_params(edges: DataFrame, max_depth: int = 15) -> DataFrame:
+def alias_through_params(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """An object passed as an argument is the same object as the callee's
     parameter. ``edges(project, caller_var, callee_var)`` (ids such as
     ``Class.method.name``); every variable is mapped to the root variables it
-    stems from by following edges callee -> caller. Same round structure as
-    R10: cached, hash-partitioned edges; one frontier shuffle, one join and
-    one reliable checkpoint per round; a ``visited`` array against cycles. A
-    variable with several callers has several roots. Output
-    ``(project, var, root, depth)``; builder/put/append facts keyed by ``var``
-    are then regrouped by ``root``.
+    stems from by following edges callee -> caller as far as they go. A variable with
+    several callers has several roots; one that only leads into cycles has the smallest
+    variable it reaches as its root. Output ``(project, var, root, depth)``;
+    builder/put/append facts keyed by ``var`` are then regrouped by ``root``. With
+    ``max_depth`` (default: none) variables further away are no roots at all.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = shuffle_partitions(spark)
-    e = cache_partitioned(edges.select("project", F.col("callee_var").alias("cur"), F.col("caller_var").alias("up"))
-                          .distinct(), ["project", "cur"])
-    raw = e.select("project", F.col("cur").alias("var")).union(e.select("project", F.col("up").alias("var"))) \
-        .distinct().select("project", "var", F.col("var").alias("cur"), F.lit(0).alias("depth"),
-                           F.array("var").alias("visited"))
-    roots = []
-    for step in range(max_depth + 1):
-        frontier = raw.repartition(n, "project", "cur").dropDuplicates(["project", "var", "cur"])
-        stop = F.col("up").isNull() | F.array_contains("visited", F.col("up")) | F.lit(step == max_depth)
-        obs = Observation(f"r9_{uuid.uuid4().hex}")
-        j = frontier.join(e, ["project", "cur"], "left").observe(obs, F.count_if(~stop).alias("n")) \
-            .checkpoint(eager=True)
-        roots.append(j.filter(stop).select("project", "var", F.col("cur").alias("root"), "depth"))
-        cont = j.filter(~stop)
-        if step == max_depth or obs.get["n"] == 0:
-            break
-        raw = cont.select("project", "var", F.col("up").alias("cur"), (F.col("depth") + 1).alias("depth"),
-                          F.array_append("visited", F.col("up")).alias("visited"))
-    e.unpersist()
-    out = roots[0]
-    for r in roots[1:]:
-        out = out.unionByName(r)
-    return out.groupBy("project", "var", "root").agg(F.min("depth").alias("depth"))
+    e = write_table(edges.select("project", F.col("callee_var").alias("cur"), F.col("caller_var").alias("nxt")).distinct())
+    every = e.select("project", F.col("cur").alias("start")).union(e.select("project", F.col("nxt").alias("start"))).distinct()
+    seen = reach(every.select("project", "start", F.col("start").alias("cur")), e, max_depth)
+    roots = seen.join(e.select("project", "cur").distinct(), ["project", "cur"], "left_anti")
+    if max_depth is None:
+        looped = seen.join(roots.select("project", "start").distinct(), ["project", "start"], "left_anti") \
+            .groupBy("project", "start").agg(F.min(F.struct("cur", "depth")).alias("m")) \
+            .select("project", F.col("m.cur").alias("cur"), "start", F.col("m.depth").alias("depth"))
+        roots = roots.select("project", "cur", "start", "depth").union(looped)
+    return roots.select("project", F.col("start").alias("var"), F.col("cur").alias("root"), "depth")

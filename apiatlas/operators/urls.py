@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apiatlas.functions import encoding as enc
 from apiatlas.functions import urlparts as up
+from apiatlas.session import write_table
 
 QUERY_T = "array<struct<key:string,value:string>>"
 
@@ -117,34 +118,25 @@ def merge_partials(partials: DataFrame) -> DataFrame:
 def finalize_catalog(partials: DataFrame) -> DataFrame:
     """U2, step 2: partial rows -> one row per (project, base_url, endpoint).
 
-    The partials (already one row per distinct endpoint/key) are shuffled once
-    by (project, base_url); the endpoint aggregation and the base-level
-    attributes (a window over the same key) reuse that partitioning, so the
-    source is read once and no join is needed.
+    The partials (one row per distinct endpoint and key) are written once; endpoints are
+    aggregated by their own key, bases by theirs with map-side partial aggregation, and the
+    few base rows are joined back. No task gathers a base's endpoints: the join's exchanges
+    are Spark's own, so a base with a third of all endpoints is split at run time.
     """
-    by_base = partials.repartition("project", "base_url")
-    lvl2 = by_base.groupBy("project", "base_url", "endpoint").agg(
-        F.min("first_ord").alias("first_ord"),
-        F.min_by("first_path", "first_ord").alias("first_path"),
-        F.min_by("first_library", "first_ord").alias("first_library"),
-        F.max("last_ep_ord").alias("last_ep_ord"),
-        F.max_by("last_ep_library", "last_ep_ord").alias("last_ep_library"),
+    partials = write_table(partials)
+    has = F.col("endpoint").isNotNull()
+    ends = partials.groupBy("project", "base_url", "endpoint").agg(
         F.min_by("fragments", "first_ord").alias("fragments"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("verbs")))).alias("http_methods"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("verbs")))).alias("http_methods"),
         F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(),
                                            F.struct("key", "value")))).alias("queries"),
         F.first("scheme").alias("scheme"), F.first("authority").alias("authority"))
-    w = Window.partitionBy("project", "base_url")
-    has = F.col("endpoint").isNotNull()
-    with_base = lvl2.select(
-        "*",
-        F.min_by("first_path", "first_ord").over(w).alias("base_first_path"),
-        F.coalesce(F.max_by("last_ep_library", "last_ep_ord").over(w),
-                   F.min_by("first_library", "first_ord").over(w)).alias("library"),
-        F.max(has.cast("int")).over(w).alias("_has_ep"))
-    return with_base.filter(has | (F.col("_has_ep") == 0)).select(
-        "project", "base_url", "scheme", "authority", "library",
-        F.col("base_first_path").alias("first_path"), "endpoint",
+    bases = partials.groupBy("project", "base_url").agg(
+        F.min_by("first_path", "first_ord").alias("first_path"),
+        F.coalesce(F.max_by("last_ep_library", "last_ep_ord"), F.min_by("first_library", "first_ord")).alias("library"),
+        F.max(has.cast("int")).alias("_has_ep"))
+    return write_table(ends).join(bases, ["project", "base_url"]).filter(has | (F.col("_has_ep") == 0)).select(
+        "project", "base_url", "scheme", "authority", "library", "first_path", "endpoint",
         F.when(has, F.col("queries")).otherwise(F.array().cast(QUERY_T)).alias("queries"),
         F.when(has, F.col("fragments")).otherwise(F.array().cast("array<string>")).alias("fragments"),
         F.when(has, F.col("http_methods")).otherwise(F.array().cast("array<string>")).alias("http_methods"))
@@ -162,8 +154,7 @@ def build_url_catalog(candidates: DataFrame) -> DataFrame:
 
     Plan: one scan + projection, a key-level aggregation with map-side
     partial aggregation (a hot base costs one row per distinct endpoint/key
-    per map task, never one per occurrence), then one shuffle of those
-    partials by base for the endpoint aggregation and the base-level window.
+    per map task, never one per occurrence), then ``finalize_catalog``.
     """
     return finalize_catalog(catalog_partials(candidates))
 
@@ -182,9 +173,10 @@ def urls_from_candidates(exprs: DataFrame, key_cols=("project", "expr_id")) -> D
     """Every alternative string of an expression goes through U1; reports per
     expression whether any alternative was a URL. Input has ``alternatives ARRAY<STRING>``."""
     keys = list(key_cols)
-    alts = exprs.select(*keys, F.explode("alternatives").alias("text"))
+    alts = exprs.select(*keys, F.explode_outer("alternatives").alias("text"))
     d = decompose_urls(alts, keep_invalid=True)
-    return d.groupBy(*keys).agg(F.bool_or("is_url").alias("any_url"),
+    # an expression without alternatives keeps its row: no URL
+    return d.groupBy(*keys).agg(F.coalesce(F.bool_or("is_url"), F.lit(False)).alias("any_url"),
                                 F.count_if(F.col("is_url")).alias("n_urls"))
 
 
@@ -192,11 +184,11 @@ def urls_from_candidates(exprs: DataFrame, key_cols=("project", "expr_id")) -> D
 def assemble_urls(parts: DataFrame) -> DataFrame:
     """U4: URL constructor arguments -> candidate strings (cartesian over alternatives).
 
-    Input ``(expr_id, n_args, arg_pos, alternatives ARRAY<STRING>)``; 1 arg = spec,
+    Input ``(project, expr_id, n_args, arg_pos, alternatives ARRAY<STRING>)``; 1 arg = spec,
     2 = context+spec, 3 = protocol://host+file, 4 = protocol://host:port+file.
-    A missing or empty argument drops the expression. Output ``(expr_id, text)``.
+    A missing or empty argument drops the expression. Output ``(project, expr_id, text)``.
     """
-    grouped = parts.groupBy("expr_id").agg(
+    grouped = parts.groupBy("project", "expr_id").agg(
         F.first("n_args").alias("n_args"),
         F.count("*").alias("n_seen"),
         F.array_sort(F.collect_list(F.struct("arg_pos", "alternatives"))).alias("args"))
@@ -216,7 +208,7 @@ def assemble_urls(parts: DataFrame) -> DataFrame:
 
     texts = reduce(lambda c, n: c.when(F.col("n_args") == n, product_with(n)),
                    [2, 3, 4], F.when(F.col("n_args") == 1, product_with(1)))
-    return ok.select("expr_id", F.explode(texts).alias("text"))
+    return ok.select("project", "expr_id", F.explode(texts).alias("text"))
 
 
 # --------------------------------------------------------------------------- U5
@@ -372,9 +364,10 @@ def attach_http_method(requests: DataFrame, builder_urls: DataFrame) -> DataFram
         "project", "request", F.col("pos").alias("url_pos"), F.col("arg").alias("url_var"))
     verbs = requests.filter(F.col("call").isin("post", "patch", "put", "delete")).select(
         "project", "request", F.col("pos").alias("verb_pos"), F.upper("call").alias("verb"))
+    after = F.when(F.col("verb_pos") > F.col("url_pos"), F.col("verb_pos"))
+    # min_by leaves out rows without an order: a chain whose verbs all precede url keeps its URL
     chosen = url_calls.join(verbs, ["project", "request"], "left") \
-        .filter(F.col("verb_pos").isNull() | (F.col("verb_pos") > F.col("url_pos"))) \
-        .groupBy("project", "request", "url_var").agg(F.min_by("verb", "verb_pos").alias("verb"))
+        .groupBy("project", "request", "url_var").agg(F.min_by("verb", after).alias("verb"))
     return builder_urls.join(chosen.withColumnRenamed("url_var", "builder"), ["project", "builder"], "inner") \
         .select("project", "builder", "request", "text", "verb")
 

@@ -282,7 +282,7 @@ SELECT 'tpch' AS project, l_orderkey AS builder, string_agg(l_returnflag, '' ORD
 FROM lineitem GROUP BY l_orderkey"""
 
 ORACLE["expand_concat"] = r"""
-SELECT 'n' || CAST(n.n_nationkey AS VARCHAR) AS expr_id, f.f || '-' || s.s || '@' || n.n_name AS value
+SELECT 'tpch' AS project, 'n' || CAST(n.n_nationkey AS VARCHAR) AS expr_id, f.f || '-' || s.s || '@' || n.n_name AS value
 FROM nation n, (SELECT DISTINCT l_returnflag AS f FROM lineitem) f, (SELECT DISTINCT l_linestatus AS s FROM lineitem) s"""
 
 ORACLE["resolve_local"] = r"""
@@ -340,7 +340,7 @@ walk(start, cur, depth) AS (
   SELECT 'v' || CAST(p_partkey AS VARCHAR), 'v' || CAST(p_partkey AS VARCHAR), 0 FROM part
   UNION ALL
   SELECT w.start, d.ref, w.depth + 1 FROM walk w JOIN defs d ON d.name = w.cur
-  WHERE d.vk = 'name' AND w.depth < 15)
+  WHERE d.vk = 'name')
 SELECT 'tpch' AS project, w.start, d.value, min(w.depth) AS depth
 FROM walk w JOIN defs d ON d.name = w.cur AND d.vk = 'literal'
 GROUP BY w.start, d.value"""
@@ -521,9 +521,9 @@ WITH u AS (SELECT page_id, regexp_extract(url, '^([^:]+)://', 1) AS proto,
                   regexp_extract(url, '^[^:]+://([^/?#]+)', 1) AS host,
                   regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS base,
                   regexp_extract(url, '^[^:]+://[^/?#]+(.*)$', 1) AS file FROM pages)
-SELECT 'a' || CAST(page_id AS VARCHAR) AS expr_id, proto || '://' || host || file AS text FROM u
-UNION ALL SELECT 'b' || CAST(page_id AS VARCHAR), base || file FROM u
-UNION ALL SELECT 'b' || CAST(page_id AS VARCHAR), base || '/' FROM u"""
+SELECT 'pages' AS project, 'a' || CAST(page_id AS VARCHAR) AS expr_id, proto || '://' || host || file AS text FROM u
+UNION ALL SELECT 'pages', 'b' || CAST(page_id AS VARCHAR), base || file FROM u
+UNION ALL SELECT 'pages', 'b' || CAST(page_id AS VARCHAR), base || '/' FROM u"""
 
 
 def _encode_sql(x: str, escapes: str) -> str:
@@ -583,7 +583,7 @@ nodes AS (SELECT callee_var AS v FROM e UNION SELECT caller_var FROM e),
 walk(var, cur, depth) AS (
   SELECT v, v, 0 FROM nodes
   UNION ALL
-  SELECT w.var, e.caller_var, w.depth + 1 FROM walk w JOIN e ON e.callee_var = w.cur WHERE w.depth < 15)
+  SELECT w.var, e.caller_var, w.depth + 1 FROM walk w JOIN e ON e.callee_var = w.cur)
 SELECT 'tpch' AS project, var, cur AS root, min(depth) AS depth
 FROM walk w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.callee_var = w.cur)
 GROUP BY var, cur"""

@@ -113,7 +113,7 @@ def q_expand_concat(spark, sf):
     resolved = li.agg(F.collect_set("l_returnflag").alias("f"), F.collect_set("l_linestatus").alias("s")) \
         .select(F.explode(F.array(F.struct(F.lit("flag").alias("ref"), F.col("f").alias("alternatives")),
                                   F.struct(F.lit("status").alias("ref"), F.col("s").alias("alternatives"))))
-                .alias("r")).select("r.*")
+                .alias("r")).select(F.lit("tpch").alias("project"), "r.*")
     nat = nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("expr_id"), "n_name")
     lit = lambda v: F.lit(v).cast("string")
 
@@ -131,7 +131,8 @@ def q_expand_concat(spark, sf):
         .select("expr_id", F.explode(F.array(
             part(0, "literal", F.col("r_name"), lit(None)),
             part(1, "ref", lit(None), lit("undefined")))).alias("p")).select("expr_id", "p.*")
-    return resolve.expand_concat(parts.unionByName(reg), resolved)
+    parts = parts.unionByName(reg).withColumn("project", F.lit("tpch"))
+    return resolve.expand_concat(parts, resolved)
 
 
 def _order_defs_uses(spark, sf):
@@ -221,7 +222,7 @@ def q_resolve_iterative(spark, sf):
         F.concat(F.lit("L"), F.col("p_partkey").cast("string")).alias("value"), F.lit(None).cast("string").alias("ref"))
     defs = refs.unionByName(roots).unionByName(lits)
     starts = p.select(F.lit("tpch").alias("project"), name.alias("start"), name.alias("name"))
-    return resolve.resolve_iterative(starts, defs, max_depth=15)
+    return resolve.resolve_iterative(starts, defs)
 
 
 # ------------------------------------------------------------------ JSON
@@ -352,7 +353,7 @@ def q_assemble_urls(spark, sf):
     two = p.select(F.concat(F.lit("b"), pid).alias("expr_id"), F.lit(2).alias("n_args"), F.explode(F.array(
         F.struct(F.lit(0).alias("arg_pos"), F.array(F.regexp_extract("url", I.URL_BASE, 1)).alias("alternatives")),
         F.struct(F.lit(1).alias("arg_pos"), F.array(file_part, F.lit("/")).alias("alternatives")))).alias("a"))
-    parts = three.unionByName(two).select("expr_id", "n_args", "a.arg_pos", "a.alternatives")
+    parts = three.unionByName(two).select(F.lit("pages").alias("project"), "expr_id", "n_args", "a.arg_pos", "a.alternatives")
     return U.assemble_urls(parts)
 
 
@@ -425,7 +426,7 @@ def q_nest_json_values(spark, sf):
 def q_schema_from_fields(spark, sf):
     cf = I.part_class_fields(spark, sf)
     roots = cf.select("project", "class").distinct()
-    return jsonmodel.schema_from_fields(cf, roots, max_depth=15)
+    return jsonmodel.schema_from_fields(cf, roots)
 
 
 def q_request_body_models(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: AQE re-plans joins/partition counts at runtime and
 # splits skewed join partitions; the UI server stays off.
@@ -41,14 +41,16 @@ def get_spark(master: str | None = None, app: str = "apiatlas",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster that setting names shared storage and is used as is. Only when
-    it is unset (local runs, tests) a scratch folder is made and set.
+    On a cluster that setting names shared storage and is used as is; without it a job
+    that needs the folder stops. Only a local session (tests) gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="apiatlas-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
@@ -62,8 +64,7 @@ def shuffle_partitions(spark) -> int:
 def materialize(df, keys: list[str] | None = None):
     """Write ``df`` once to the shared checkpoint folder (reliable checkpoint,
     lineage cut), hash-partitioned on ``keys`` when given. The written copy
-    does not carry the partitioning into later plans; see ``cache_partitioned``
-    for a side that is joined again and again."""
+    does not carry the partitioning into later plans."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     if keys:
@@ -71,18 +72,6 @@ def materialize(df, keys: list[str] | None = None):
     return df.checkpoint(eager=True)
 
 
-def cache_partitioned(df, keys: list[str]):
-    """Hash-partition ``df`` on ``keys`` (explicit partition count) and keep it
-    cached (memory, spilling to disk). Cached blocks keep their partitioning,
-    so every later join on ``keys`` with a frame partitioned the same way runs
-    without an exchange on this side; a lost executor's blocks are recomputed
-    from the (short) lineage. Release with ``df.unpersist()``."""
-    from pyspark import StorageLevel
-    out = df.repartition(shuffle_partitions(df.sparkSession), *keys).persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
-
-
 def write_table(df, partition_by: list[str] | None = None):
     """Write ``df`` once as parquet under the shared checkpoint folder and read
     it back (lineage cut, survives executor loss). ``partition_by`` lays the
@@ -95,3 +84,28 @@ def write_table(df, partition_by: list[str] | None = None):
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.parquet(path)
+
+
+class RoundTable:
+    """A table that a job extends round by round, under the shared checkpoint folder: each
+    round is written once, into a folder of its own, and ``all()`` reads what was written so
+    far with the round's number in column ``name``."""
+
+    def __init__(self, spark: SparkSession, name: str = "round"):
+        import uuid
+        self.spark, self.name, self.rounds = spark, name, 0
+        self.path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+        self.schema = None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        from pyspark.sql import functions as F
+        folder = os.path.join(self.path, f"{self.name}={self.rounds}")
+        df.write.parquet(folder)
+        self.schema = self.schema or df.schema
+        out = self.spark.read.schema(self.schema).parquet(folder).withColumn(self.name, F.lit(self.rounds))
+        self.rounds += 1
+        return out
+
+    def all(self) -> DataFrame:
+        from pyspark.sql import types as T
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(self.name, T.IntegerType())])).parquet(self.path)

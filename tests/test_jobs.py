@@ -68,13 +68,13 @@ def test_product_fold_and_cap(spark):
 
 def test_expand_concat_drops_unresolved_and_quotes(spark):
     parts = spark.createDataFrame([
-        ("e1", 0, "literal", "http://", None, None), ("e1", 1, "ref", None, "host", None),
-        ("e2", 0, "literal", "{\"a\":", None, None), ("e2", 1, "ref", None, "missing", "int"),
-        ("e2", 2, "literal", "}", None, None), ("e3", 0, "op", None, None, None)],
-        "expr_id string, pos int, part_kind string, literal string, ref string, declared_type string")
-    resolved = spark.createDataFrame([("host", ["a.com", "b.com"])], "ref string, alternatives array<string>")
-    assert rows(resolve.expand_concat(parts, resolved)) == [("e1", "http://a.com"), ("e1", "http://b.com")]
-    q = rows(resolve.expand_concat(parts, resolved, quote_unknown=True))
+        ("p", "e1", 0, "literal", "http://", None, None), ("p", "e1", 1, "ref", None, "host", None),
+        ("p", "e2", 0, "literal", "{\"a\":", None, None), ("p", "e2", 1, "ref", None, "missing", "int"),
+        ("p", "e2", 2, "literal", "}", None, None), ("p", "e3", 0, "op", None, None, None)],
+        "project string, expr_id string, pos int, part_kind string, literal string, ref string, declared_type string")
+    resolved = spark.createDataFrame([("p", "host", ["a.com", "b.com"])], "project string, ref string, alternatives array<string>")
+    assert rows(resolve.expand_concat(parts, resolved), "expr_id", "value") == [("e1", "http://a.com"), ("e1", "http://b.com")]
+    q = rows(resolve.expand_concat(parts, resolved, quote_unknown=True), "expr_id", "value")
     assert ("e2", '{"a":"<INTEGER>"}') in q and not [r for r in q if r[0] == "e3"]
 
 
@@ -256,11 +256,11 @@ def test_urls_from_candidates_and_assembly_forms(spark):
     got = rows(U.urls_from_candidates(exprs), "expr_id", "any_url", "n_urls")
     assert got == [("e1", True, 1), ("e2", False, 0)]
     parts = spark.createDataFrame([
-        ("one", 1, 0, ["http://a.com/x", "http://b.com"]),
-        ("two", 2, 0, ["http://c.com"]), ("two", 2, 1, ["/p", "/q"]),
-        ("missing", 3, 0, ["http"]), ("missing", 3, 2, ["/f"])],
-        "expr_id string, n_args int, arg_pos int, alternatives array<string>")
-    got = rows(U.assemble_urls(parts))
+        ("p", "one", 1, 0, ["http://a.com/x", "http://b.com"]),
+        ("p", "two", 2, 0, ["http://c.com"]), ("p", "two", 2, 1, ["/p", "/q"]),
+        ("p", "missing", 3, 0, ["http"]), ("p", "missing", 3, 2, ["/f"])],
+        "project string, expr_id string, n_args int, arg_pos int, alternatives array<string>")
+    got = rows(U.assemble_urls(parts), "expr_id", "text")
     assert got == [("one", "http://a.com/x"), ("one", "http://b.com"), ("two", "http://c.com/p"),
                    ("two", "http://c.com/q")]
 

@@ -43,9 +43,9 @@ def test_okhttp_builders_into_catalog(spark):
 
 
 def test_url_constructor_with_port(spark):
-    parts = spark.createDataFrame([("e", 4, 0, ["http"]), ("e", 4, 1, ["apiurl4.com"]), ("e", 4, 2, ["80"]),
-                                   ("e", 4, 3, ["/some/path"])],
-                                  "expr_id string, n_args int, arg_pos int, alternatives array<string>")
+    parts = spark.createDataFrame([("app", "e", 4, 0, ["http"]), ("app", "e", 4, 1, ["apiurl4.com"]), ("app", "e", 4, 2, ["80"]),
+                                   ("app", "e", 4, 3, ["/some/path"])],
+                                  "project string, expr_id string, n_args int, arg_pos int, alternatives array<string>")
     texts = [r["text"] for r in U.assemble_urls(parts).collect()]
     cat = _catalog(spark, [("app", "A.java", 1, "noLib.URL", t, 1, None) for t in texts])
     assert ("http://apiurl4.com:80", "some/path") in cat
@@ -82,10 +82,10 @@ def test_string_json_models(spark):
 
 
 def test_string_concat_into_url(spark):
-    parts = spark.createDataFrame([("e", 0, "ref", None, "base"), ("e", 1, "literal", "/path2", None)],
-                                  "expr_id string, pos int, part_kind string, literal string, ref string")
-    resolved = spark.createDataFrame([("base", ["https://someapi.com/some/endpoint"])],
-                                     "ref string, alternatives array<string>")
+    parts = spark.createDataFrame([("app", "e", 0, "ref", None, "base"), ("app", "e", 1, "literal", "/path2", None)],
+                                  "project string, expr_id string, pos int, part_kind string, literal string, ref string")
+    resolved = spark.createDataFrame([("app", "base", ["https://someapi.com/some/endpoint"])],
+                                     "project string, ref string, alternatives array<string>")
     vals = [r["value"] for r in resolve.expand_concat(parts, resolved).collect()]
     cat = _catalog(spark, [("app", "A.java", 1, "noLib.StringLiteralExpr", v, 1, None) for v in vals])
     assert ("https://someapi.com", "some/endpoint/path2") in cat
