@@ -1,15 +1,12 @@
 """JSON jobs J1-J4 (+J6 schema from class fields): build, explode, render JSON models.
 
-Documents are Spark VARIANT values; the tree walk is a recursive CTE over
-``variant_explode`` (one narrow step per level), and rendering is bottom-up
-aggregation, one level per round.
+Documents are Spark VARIANT values; the tree walk explodes one level per round,
+and rendering is bottom-up aggregation, one level per round.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apiatlas.functions import encoding as enc
@@ -22,7 +19,8 @@ PLACEHOLDER_TAG = {"<STRING>": "STRING", "<DOUBLE>": "NUMBER_DOUBLE", "<FLOAT>":
 
 def json_string(col) -> F.Column:
     """A string as a quoted, escaped JSON string literal."""
-    return F.regexp_extract(F.to_json(F.array(col)), r"^\[(.*)\]$", 1)
+    quoted = F.to_json(F.array(col))
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
 
 def is_json_candidate(text) -> F.Column:
@@ -63,7 +61,19 @@ def build_json_models(candidates: DataFrame, text_col: str = "text", unescape: b
 
 
 # --------------------------------------------------------------------------- J2
-def explode_json_fields(models: DataFrame, json_col: str = "canonical", max_depth: int = 64) -> DataFrame:
+PLAIN_KEY = "^[A-Za-z_][A-Za-z0-9_]*$"
+
+
+def child_path(parent, key, idx) -> F.Column:
+    """A node's path: ``parent.key`` or ``parent[idx]``. Keys that are no plain name are
+    quoted and escaped, so two nodes of a document never share a path."""
+    escaped = F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    step = F.when(F.rlike(key, F.lit(PLAIN_KEY)), key).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
+    return F.when(key.isNull(), F.concat(parent, F.lit("["), idx.cast("string"), F.lit("]"))) \
+        .otherwise(F.concat(parent, F.lit("."), step))
+
+
+def explode_json_fields(models: DataFrame, json_col: str = "canonical", max_depth: int | None = None) -> DataFrame:
     """Walk every model into typed nodes.
 
     Output ``(project, model_id, path, parent_path, key, idx, depth, jtype, value)``;
@@ -71,27 +81,29 @@ def explode_json_fields(models: DataFrame, json_col: str = "canonical", max_dept
     OBJECT, ARRAY, STRING, BOOLEAN, NULL, NUMBER_INT (integral and within
     32-bit range), NUMBER_DOUBLE (anything else numeric); placeholder strings
     such as ``"<INTEGER>"`` become typed unknowns (value NULL).
+
+    One round per level over the containers of the level above (``variant_explode`` of their
+    own rows, no shuffle), each level written once; the rounds end with the deepest document.
+    ``max_depth`` (default: none) stops the walk earlier on request.
     """
-    spark = models.sparkSession
-    # the depth bound limits the walk; Spark's default cap on recursive-CTE rows
-    # (1M) would cut results on real corpora, so it is lifted for this session
-    if spark.conf.get("spark.sql.cteRecursionRowLimit", "-1") != "-1":
-        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    roots = models.select("project", "model_id", F.try_parse_json(json_col).alias("v")).filter("v IS NOT NULL")
-    nodes = spark.sql(f"""
-        WITH RECURSIVE walk(project, model_id, path, parent_path, key, idx, depth, v) AS (
-          SELECT project, model_id, '$', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS INT), 0, v
-          FROM {{roots}}
-          UNION ALL
-          SELECT w.project, w.model_id,
-                 CASE WHEN c.key IS NULL THEN concat(w.path, '[', CAST(c.pos AS STRING), ']')
-                      ELSE concat(w.path, '.', c.key) END,
-                 w.path, c.key, CASE WHEN c.key IS NULL THEN c.pos END, w.depth + 1, c.value
-          FROM walk w, LATERAL variant_explode(w.v) c
-          WHERE w.depth < {int(max_depth)}
-        )
-        SELECT project, model_id, path, parent_path, key, idx, depth, v FROM walk
-    """, roots=roots)
+    from apiatlas.session import RoundTable
+    levels = RoundTable(models.sparkSession, "depth")
+    now = levels.add(models.select(
+        "project", "model_id", F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent_path"),
+        F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("idx"),
+        F.try_parse_json(json_col).alias("v")).filter("v IS NOT NULL"))
+    while max_depth is None or levels.rounds <= max_depth:
+        kind = F.schema_of_variant("v")
+        inner = now.filter(kind.startswith("OBJECT<") & (kind != "OBJECT<>") | kind.startswith("ARRAY<"))
+        if inner.isEmpty():
+            break
+        kids = inner.select("project", "model_id", F.col("path").alias("parent_path"), "v") \
+            .lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("v").outer())) \
+            .select("project", "model_id", "parent_path", "pos", F.col("key"), F.col("value").alias("v"))
+        now = levels.add(kids.select(
+            "project", "model_id", child_path(F.col("parent_path"), F.col("key"), F.col("pos")).alias("path"), "parent_path", "key",
+            F.when(F.col("key").isNull(), F.col("pos")).alias("idx"), "v"))
+    nodes = levels.all()
     s = F.schema_of_variant("v")
     as_str = F.try_variant_get("v", "$", "string")
     as_dbl = F.try_variant_get("v", "$", "double")
@@ -213,47 +225,42 @@ def fold_json_puts(puts: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- J5
-def nest_json_values(puts: DataFrame, max_depth: int = 15) -> DataFrame:
+def nest_json_values(puts: DataFrame) -> DataFrame:
     """A put whose value is another built object (``value_type = 'object'``,
     ``value`` = that object's id) embeds the other object's document.
 
-    Objects are rendered innermost first: each round renders the objects
-    whose referenced objects all have documents already (join + J4
-    aggregation), up to ``max_depth`` rounds; reference cycles never render.
-    Lineage is cut with a reliable checkpoint per round.
-    Output ``(project, object, n_keys, doc)``.
+    Objects are rendered innermost first: a round renders the objects whose referenced
+    objects have documents already (join + J4 aggregation) and counts the references that
+    its documents settle; each round's documents are written once. The rounds end when no
+    object becomes ready, however deep they nest; objects on a reference cycle, or on a
+    reference to an object without puts, never render. Output ``(project, object, n_keys, doc)``.
     """
-    spark = puts.sparkSession
-    from apiatlas.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    from apiatlas.session import materialize
+    from apiatlas.session import RoundTable, write_table
+    key = ["project", "object"]
     p = puts.select("project", "object", "pos", "key", "value", "value_type")
     keyed = p.filter(F.col("key").isNotNull()).groupBy("project", "object", "key") \
         .agg(F.max_by(F.struct("pos", "value", "value_type"), "pos").alias("lv")) \
         .select("project", "object", "lv.pos", "key", "lv.value", "lv.value_type")
     # array elements (key NULL) all stay, in their order
-    last = materialize(keyed.unionByName(p.filter(F.col("key").isNull())))
-    refs = last.filter(F.col("value_type") == "object")
-    done = fold_json_puts(last.join(refs.select("project", "object").distinct(), ["project", "object"], "left_anti"))
-    done = done.checkpoint(eager=True)
-    for _ in range(max_depth):
-        pending = refs.join(done.select("project", "object"), ["project", "object"], "left_anti") \
-            .select("project", "object").distinct()
-        # a pending object is ready when every referenced object has a document
-        missing = refs.join(pending, ["project", "object"], "left_semi") \
-            .join(done.select("project", F.col("object").alias("value"), F.lit(1).alias("_ok")),
-                  ["project", "value"], "left").filter(F.col("_ok").isNull()).select("project", "object").distinct()
-        ready = pending.join(missing, ["project", "object"], "left_anti")
-        if ready.isEmpty():
-            break
-        rows = last.join(ready, ["project", "object"], "left_semi") \
-            .join(done.select("project", F.col("object").alias("value"), F.col("doc").alias("_doc")),
-                  ["project", "value"], "left")
-        rows = rows.withColumn("value", F.when(F.col("value_type") == "object", F.col("_doc")).otherwise(F.col("value"))) \
-            .withColumn("value_type", F.when(F.col("value_type") == "object", F.lit("json")).otherwise(F.col("value_type"))) \
-            .drop("_doc")
-        done = done.unionByName(fold_json_puts(rows)).checkpoint(eager=True)
-    return done
+    last = write_table(keyed.unionByName(p.filter(F.col("key").isNull())))
+    refs = write_table(last.filter(F.col("value_type") == "object").select("project", "object", F.col("value").alias("target")).distinct())
+    needs = refs.groupBy(*key).agg(F.count("*").alias("needs"))
+    docs, settled = RoundTable(puts.sparkSession), RoundTable(puts.sparkSession)
+    done = docs.add(fold_json_puts(last.join(needs, key, "left_anti")))
+    while not done.isEmpty():
+        # references that point to documents of the last round; an object whose count is full is ready
+        new = settled.add(refs.join(done.select("project", F.col("object").alias("target")), ["project", "target"])
+                          .groupBy(*key).agg(F.count("*").alias("k")))
+        ready = new.select(*key).distinct().join(settled.all().groupBy(*key).agg(F.sum("k").alias("k")), key) \
+            .join(needs, key).filter("k = needs").select(*key)
+        rows = last.join(ready, key, "left_semi") \
+            .join(docs.all().select("project", F.col("object").alias("value"), F.lit("object").alias("value_type"),
+                                    F.col("doc").alias("_doc")), ["project", "value", "value_type"], "left")
+        inner = F.col("value_type") == "object"
+        rows = rows.withColumns({"value": F.when(inner, F.col("_doc")).otherwise(F.col("value")),
+                                 "value_type": F.when(inner, F.lit("json")).otherwise(F.col("value_type"))}).drop("_doc")
+        done = docs.add(fold_json_puts(rows))
+    return docs.all().select(*key, "n_keys", "doc")
 
 
 # --------------------------------------------------------------------------- J6
@@ -305,7 +312,8 @@ def effective_fields(class_fields: DataFrame, enums: DataFrame | None = None) ->
         .filter(~F.coalesce(F.col("is_transient"), F.lit(False))) \
         .filter((F.col("_exp") == 0) | exposed_ok) \
         .withColumn("key", F.coalesce(rename, F.col("field")))
-    enum_types = (enums.select(F.col("class").alias("_enum")) if enums is not None else None)
+    enum_types = (enums.select("project", F.col("class").alias("ref_class"), F.lit(1).alias("_enum")).distinct()
+                  if enums is not None else None)
     simple = lambda t: _lookup(SIMPLE_TAGS, t)
     short = lambda t: F.regexp_replace(t, r"^.*\.", "")
     is_coll = F.col("type").isin(COLLECTION_TYPES) | F.concat(F.lit("java.util."), F.col("type")).isin(COLLECTION_TYPES) \
@@ -327,7 +335,7 @@ def effective_fields(class_fields: DataFrame, enums: DataFrame | None = None) ->
                     .when(F.col("shape").isin("array", "map") & F.col("tag").isNull(), short(F.col("elem"))))
     if enum_types is not None:
         # enum classes are corpus data: no broadcast hint, AQE picks the join from runtime sizes
-        shaped = shaped.join(enum_types, F.col("ref_class") == F.col("_enum"), "left") \
+        shaped = shaped.join(enum_types, ["project", "ref_class"], "left") \
             .withColumn("tag", F.when(F.col("_enum").isNotNull(), F.lit("STRING")).otherwise(F.col("tag"))) \
             .withColumn("ref_class", F.when(F.col("_enum").isNotNull(), None).otherwise(F.col("ref_class"))) \
             .withColumn("shape", F.when((F.col("shape") == "object") & F.col("_enum").isNotNull(), "leaf")
@@ -335,46 +343,50 @@ def effective_fields(class_fields: DataFrame, enums: DataFrame | None = None) ->
     return shaped.select("project", "class", "field", "key", "shape", "tag", "ref_class")
 
 
-def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int = 15,
+def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int | None = None,
                        enums: DataFrame | None = None) -> DataFrame:
     """Class-field table -> JSON skeleton per root class.
 
     ``roots(project, class)``; fields come from ``effective_fields``. The tree
     is expanded one class level per round (equi-join of the frontier's
-    referenced class with the field table, frontier only, reliable checkpoint
-    per round) up to ``max_depth`` rounds. A nested class is an object; a
+    referenced class with the field table, frontier only, each round written
+    once) until no class is left to expand; a class that is already on its own path
+    is not expanded again and renders as an empty object. ``max_depth`` (default: none)
+    ends the rounds earlier on request. A nested class is an object; a
     collection of a class lists one ``{key: value}`` object per field; a
     ``Map<String, V>`` is ``[{"": V}]``. Rendering is J3 (keys sorted).
     Output ``(project, class, skeleton)``.
     """
     spark = class_fields.sparkSession
-    from apiatlas.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    from apiatlas.session import materialize
+    from apiatlas.session import RoundTable, materialize
     ef = materialize(effective_fields(class_fields, enums), ["project", "class"])
-    cols = ["project", "root", "path", "parent_path", "key", "idx", "depth", "jtype", "expand", "mode"]
+    cols = ["project", "root", "path", "parent_path", "key", "idx", "depth", "jtype", "expand", "mode", "trail"]
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
     frontier = roots.select("project", F.col("class").alias("root"), F.lit("$").alias("path"),
                             none_s.alias("parent_path"), none_s.alias("key"), none_i.alias("idx"),
                             F.lit(0).alias("depth"), F.lit("OBJECT").alias("jtype"),
-                            F.col("class").alias("expand"), F.lit("object").alias("mode"))
-    levels = [frontier]
-    for _ in range(max_depth):
+                            F.col("class").alias("expand"), F.lit("object").alias("mode"), F.array("class").alias("trail"))
+    levels = RoundTable(spark)
+    frontier = levels.add(frontier.select(*cols))
+    while (max_depth is None or levels.rounds <= max_depth) and not frontier.isEmpty():
         k = frontier.alias("f").join(ef.alias("e"), (F.col("f.project") == F.col("e.project"))
                                      & (F.col("f.expand") == F.col("e.class"))) \
             .select(F.col("f.project").alias("project"), "root", F.col("f.path").alias("parent"),
-                    F.col("f.depth").alias("pdepth"), "mode", F.col("e.key").alias("key"), "shape", "tag", "ref_class")
+                    F.col("f.depth").alias("pdepth"), "mode", "trail", F.col("e.key").alias("key"), "shape", "tag", "ref_class")
         k = k.withColumn("eidx", (F.row_number().over(Window.partitionBy("project", "root", "parent")
                                                       .orderBy("key")) - 1).cast("int"))
         as_el = F.col("mode") == "elements"
         k = k.withColumn("fparent", F.when(as_el, F.concat("parent", F.lit("["), F.col("eidx").cast("string"),
                                                           F.lit("]"))).otherwise(F.col("parent"))) \
             .withColumn("fdepth", F.col("pdepth") + 1 + as_el.cast("int")) \
-            .withColumn("fpath", F.concat("fparent", F.lit("."), "key"))
+            .withColumn("fpath", child_path(F.col("fparent"), F.col("key"), F.lit(0))) \
+            .withColumn("again", F.array_contains("trail", F.col("ref_class"))) \
+            .withColumn("ref_class", F.when(~F.coalesce("again", F.lit(False)), F.col("ref_class"))) \
+            .withColumn("trail", F.when(F.col("ref_class").isNotNull(), F.array_append("trail", F.col("ref_class"))).otherwise(F.col("trail")))
         elements = k.filter(as_el).select(
             "project", "root", F.col("fparent").alias("path"), F.col("parent").alias("parent_path"),
             none_s.alias("key"), F.col("eidx").alias("idx"), (F.col("pdepth") + 1).alias("depth"),
-            F.lit("OBJECT").alias("jtype"), none_s.alias("expand"), none_s.alias("mode"))
+            F.lit("OBJECT").alias("jtype"), none_s.alias("expand"), none_s.alias("mode"), "trail")
         shape = F.col("shape")
         fields = k.select(
             "project", "root", F.col("fpath").alias("path"), F.col("fparent").alias("parent_path"), "key",
@@ -384,32 +396,25 @@ def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int
             F.when(shape == "object", F.col("ref_class"))
             .when((shape == "array") & F.col("tag").isNull(), F.col("ref_class")).alias("expand"),
             F.when(shape == "object", F.lit("object"))
-            .when((shape == "array") & F.col("tag").isNull(), F.lit("elements")).alias("mode"))
+            .when((shape == "array") & F.col("tag").isNull(), F.lit("elements")).alias("mode"), "trail")
         arr_leaf = k.filter((shape == "array") & F.col("tag").isNotNull()).select(
             "project", "root", F.concat("fpath", F.lit("[0]")).alias("path"), F.col("fpath").alias("parent_path"),
             none_s.alias("key"), F.lit(0).alias("idx"), (F.col("fdepth") + 1).alias("depth"),
-            F.col("tag").alias("jtype"), none_s.alias("expand"), none_s.alias("mode"))
+            F.col("tag").alias("jtype"), none_s.alias("expand"), none_s.alias("mode"), "trail")
         map_el = k.filter(shape == "map").select(
             "project", "root", F.concat("fpath", F.lit("[0]")).alias("path"), F.col("fpath").alias("parent_path"),
             none_s.alias("key"), F.lit(0).alias("idx"), (F.col("fdepth") + 1).alias("depth"),
-            F.lit("OBJECT").alias("jtype"), none_s.alias("expand"), none_s.alias("mode"))
+            F.lit("OBJECT").alias("jtype"), none_s.alias("expand"), none_s.alias("mode"), "trail")
         map_val = k.filter(shape == "map").select(
             "project", "root", F.concat("fpath", F.lit("[0].")).alias("path"),
             F.concat("fpath", F.lit("[0]")).alias("parent_path"), F.lit("").alias("key"), none_i.alias("idx"),
             (F.col("fdepth") + 2).alias("depth"), F.coalesce(F.col("tag"), F.lit("OBJECT")).alias("jtype"),
             F.when(F.col("tag").isNull(), F.col("ref_class")).alias("expand"),
-            F.when(F.col("tag").isNull(), F.lit("object")).alias("mode"))
-        obs = Observation(f"j6_{uuid.uuid4().hex}")
+            F.when(F.col("tag").isNull(), F.lit("object")).alias("mode"), "trail")
         new = elements.select(*cols).unionByName(fields.select(*cols)).unionByName(arr_leaf.select(*cols)) \
-            .unionByName(map_el.select(*cols)).unionByName(map_val.select(*cols)) \
-            .observe(obs, F.count_if(F.col("expand").isNotNull()).alias("n")).checkpoint(eager=True)
-        levels.append(new)
-        frontier = new.filter(F.col("expand").isNotNull())
-        if obs.get["n"] == 0:
-            break
-    allnodes = levels[0]
-    for lv in levels[1:]:
-        allnodes = allnodes.unionByName(lv)
+            .unionByName(map_el.select(*cols)).unionByName(map_val.select(*cols))
+        frontier = levels.add(new).filter(F.col("expand").isNotNull())
+    allnodes = levels.all()
     fields_df = allnodes.select("project", F.concat_ws("#", "project", "root").alias("model_id"), "path",
                                 "parent_path", "key", "idx", "depth", "jtype",
                                 F.lit(None).cast("string").alias("value"))
@@ -419,7 +424,7 @@ def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int
 
 # --------------------------------------------------------------------------- J7
 def request_body_models(body_texts: DataFrame, body_routes: DataFrame | None = None,
-                        class_fields: DataFrame | None = None, max_depth: int = 15) -> DataFrame:
+                        class_fields: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """Request bodies -> models. Text bodies (second argument of a body
     ``create(type, text)``) go through J1 with library ``OkHttp``; route
     ``@Body`` parameter types go through J6 with the route's converter library.

@@ -26,7 +26,7 @@ GSON_LIBRARY = "com.google.code.gson"
 
 
 def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFrame | None = None,
-                   max_depth: int = 15) -> dict[str, DataFrame]:
+                   max_depth: int | None = None) -> dict[str, DataFrame]:
     """``corpus(project, path, content)`` (and optional build files) -> results."""
     # literals feed both the URL and the JSON branch: extracted once, written once
     lits = write_table(facts.extract_literals(corpus))
@@ -95,7 +95,7 @@ def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFram
 
 
 def analyze_projects(spark: SparkSession, root: str, out_dir: str | None = None,
-                     max_depth: int = 15) -> dict[str, DataFrame]:
+                     max_depth: int | None = None) -> dict[str, DataFrame]:
     """Every sub-folder of ``root`` is a project (``*.java`` sources, ``build.gradle``)."""
     corpus = readers.read_corpus(spark, root, "*.java")
     builds = readers.read_corpus(spark, root, "build.gradle").withColumn(
