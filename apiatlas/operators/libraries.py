@@ -6,40 +6,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apiatlas.functions import keywords as kwscan
-
 LEGACY_HTTP = "org.apache.http.legacy"
 ANDROID_CORE = "android.core"
 UNKNOWN_VARIABLE_VALUE = "UNKNOWN_VARIABLE_VALUE"
-# keyword dimensions up to this size are scanned with one automaton per text;
-# larger ones use the broadcast nested-loop containment join
-MAX_SCAN_KEYWORDS = 100_000
 
 
-def match_keywords(texts: DataFrame, keyword_dim: DataFrame, text_col: str = "content",
+def match_keywords(texts: DataFrame, keywords: list[tuple[str, str]], text_col: str = "content",
                    keys=("project", "path"), first_only: bool = False) -> DataFrame:
     """case-insensitive keyword containment.
 
-    ``keyword_dim(library, keyword, lib_order, kw_order)`` is a fixed ~60-row
-    table. With the automaton available (and the dimension below
-    ``MAX_SCAN_KEYWORDS``) every text is scanned once for all keywords and
-    the hits meet the broadcast dimension in an equi-join; otherwise the text
-    side streams through a broadcast nested-loop containment join. Either
-    way cost is linear in the corpus. Output one row per
-    (keys, library) with the matching keyword count, or with ``first_only``
-    the first library in dictionary order.
+    ``keywords`` are (library, keyword) pairs in dictionary order: a fixed list, so each text
+    is tested against literals in one projection, without a join; only hits are
+    aggregated. Output one row per (keys, library) with the matching keyword count, or with
+    ``first_only`` the first library in dictionary order.
     """
     keys = list(keys)
-    lt = texts.select(*keys, F.lower(F.col(text_col)).alias("_lt"))
-    kw = F.broadcast(keyword_dim.select("library", "lib_order", F.lower("keyword").alias("_kw")))
-    small = keyword_dim.limit(MAX_SCAN_KEYWORDS + 1).count() <= MAX_SCAN_KEYWORDS
-    if small and kwscan.available():
-        # one automaton pass per text, then an equi-join on the matched keyword
-        words = [r[0] for r in keyword_dim.select("keyword").collect()]
-        found = lt.select(*keys, F.explode(kwscan.contained_keywords_udf(words)("_lt")).alias("_kw"))
-        hits = found.join(kw, "_kw", "inner")
-    else:
-        hits = lt.join(kw, F.col("_lt").contains(F.col("_kw")), "inner").drop("_lt")
+    order = {lib: i for i, lib in enumerate(dict.fromkeys(lib for lib, _ in keywords))}
+    listed = F.array(*[F.struct(F.lit(lib).alias("library"), F.lit(order[lib]).alias("lib_order"), F.lit(kw.lower()).alias("kw"))
+                       for lib, kw in keywords])
+    found = F.filter(listed, lambda s: F.contains(F.col("_lt"), s["kw"]))
+    hits = texts.select(*keys, F.lower(F.col(text_col)).alias("_lt")).select(*keys, F.inline(found))
     per_lib = hits.groupBy(*keys, "library").agg(F.min("lib_order").alias("lib_order"),
                                                  F.count("*").alias("n_keywords"))
     if not first_only:
@@ -67,8 +53,7 @@ def extract_dependencies(build_files: DataFrame, library_dim: DataFrame) -> Data
     coords = f.select("project", "ord", F.posexplode(F.regexp_extract_all("_c", F.lit(r"""['"]([^'"\n]+)['"]"""), 1))
                       .alias("pos", "coord")) \
         .select("project", "ord", "pos", F.split("coord", ":").alias("t"))
-    libs = F.broadcast(library_dim.select("library"))
-    known = coords.join(libs, F.col("t")[0] == F.col("library"), "inner")
+    known = coords.join(library_dim.select("library"), F.col("t")[0] == F.col("library"), "inner")
     deps = known.select("project", "ord", "pos", "library",
                         F.when(F.size("t") == 3, F.col("t")[2])
                         .when(F.col("library").contains(LEGACY_HTTP), F.lit("0")).alias("version")) \
@@ -92,10 +77,10 @@ def match_available_version(project_libs: DataFrame, available: DataFrame, libra
     fallback joins folders with the fixed library dimension (broadcast, 21
     rows) first, so it is one row per library before meeting the projects.
     """
-    exact = available.select(F.col("folder").alias("exact_folder"))
+    exact = available.select(F.col("folder").alias("exact_folder")).distinct()
     j = project_libs.join(exact, F.concat_ws("-", "library", "version") == F.col("exact_folder"), "left")
-    fallback = available.join(F.broadcast(library_dim.select("library")),
-                              F.col("folder").contains(F.col("library")), "inner") \
+    available = available.select("folder").distinct()
+    fallback = available.join(library_dim.select("library"), F.col("folder").contains(F.col("library")), "inner") \
         .groupBy("library").agg(F.max("folder").alias("fallback_folder"))
     return j.join(fallback, "library", "left").select(
         "project", "library", "version",
@@ -103,28 +88,34 @@ def match_available_version(project_libs: DataFrame, available: DataFrame, libra
         F.col("exact_folder").isNotNull().alias("exact"))
 
 
-def match_call_rules(call_sites: DataFrame, rules: DataFrame) -> DataFrame:
+def match_call_rules(call_sites: DataFrame, rules: DataFrame, imports: DataFrame | None = None,
+                     keys=("project", "path")) -> DataFrame:
     """L3: call sites -> library by rule.
 
-    Equi-join with the fixed rule table (broadcast) on (kind, name), then the
-    rule's residual test: the expression's ``result_type``, the ``scope_type``
-    or one of ``arg_types`` must equal the rule type, and ``args`` must reach
-    ``min_args``. A type test applies only when the fact row carries that type
-    (regex facts carry none); one row per (site, library).
+    Equi-join with the rule table on (kind, name), then the rule's residual test: the
+    expression's ``result_type``, the ``scope_type`` or one of ``arg_types`` must equal the
+    rule type, and ``args`` must reach ``min_args``. A row whose fact carries no such type
+    (regex facts carry none) matches a typed rule only if its file (``keys``) imports the
+    rule's library (``imports(*keys, library)``, job P6); without imports it
+    doesn't. One row per (site, library).
     """
-    cs = call_sites
+    cs, keys = call_sites, list(keys)
     for c, t in (("result_type", "string"), ("scope_type", "string"), ("arg_types", "array<string>")):
         if c not in cs.columns:
             cs = cs.withColumn(c, F.lit(None).cast(t))
-    r = F.broadcast(rules.withColumnRenamed("library", "rule_library").withColumnRenamed("type", "rule_type"))
-    j = cs.join(r, ["kind", "name"], "inner")
-    m = F.col("match")
+    r = rules.withColumnRenamed("library", "rule_library").withColumnRenamed("type", "rule_type")
+    j = cs.join(r, ["kind", "name"], "inner").withColumn("library", F.coalesce("rule_library", "rule_type"))
+    if imports is None:
+        j = j.withColumn("_imported", F.lit(False))
+    else:
+        known = imports.select(*keys, "library").distinct().withColumn("_imported", F.lit(True))
+        j = j.join(known, [*keys, "library"], "left").withColumn("_imported", F.coalesce("_imported", F.lit(False)))
+    m, own = F.col("match"), F.col("_imported")
     type_ok = (m.isNull()
-               | ((m == "result") & (F.col("result_type").isNull() | (F.col("result_type") == F.col("rule_type"))))
-               | ((m == "scope") & (F.col("scope_type").isNull() | (F.col("scope_type") == F.col("rule_type"))))
-               | ((m == "arg") & (F.col("arg_types").isNull()
-                                  | F.array_contains(F.col("arg_types"), F.col("rule_type")))))
+               | ((m == "result") & F.coalesce(F.col("result_type") == F.col("rule_type"), own))
+               | ((m == "scope") & F.coalesce(F.col("scope_type") == F.col("rule_type"), own))
+               | ((m == "arg") & F.when(F.col("arg_types").isNull(), own)
+                  .otherwise(F.array_contains(F.col("arg_types"), F.col("rule_type")))))
     args_ok = F.col("min_args").isNull() | (F.size(F.coalesce("args", F.array().cast("array<string>")))
                                              >= F.col("min_args"))
-    return j.filter(type_ok & args_ok).select(
-        *[c for c in call_sites.columns], F.coalesce("rule_library", "rule_type").alias("library")).distinct()
+    return j.filter(type_ok & args_ok).select(*call_sites.columns, "library").distinct()

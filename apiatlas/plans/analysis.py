@@ -61,7 +61,8 @@ def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFram
 
     string_vars = facts.collect_string_vars(corpus)
     calls = facts.extract_calls(corpus)
-    matched = libraries.match_call_rules(calls, dims.call_rule_dim(spark))
+    matched = libraries.match_call_rules(calls, dims.call_rule_dim(spark),
+                                         facts.extract_imports(corpus, dims.library_dim(spark)))
     blocks = facts.extract_blocks(corpus)
     sites = matched.select("project", "path", "line", "library", "kind", "name") \
         .withColumn("id", F.concat_ws(":", "project", "path", F.col("line").cast("string"), "name"))

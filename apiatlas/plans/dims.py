@@ -37,6 +37,20 @@ LIBRARY_KEYWORDS = [
     ("com.squareup.moshi", []),
 ]
 
+# The same kind of dictionary for prose (licence lines, secrets, function words) and for the
+# properties of events: the driver's texts hold no networking code.
+PROSE_KEYWORDS = [
+    ("licence.apache", ["Apache License", "Licensed under"]),
+    ("licence.rights", ["all rights reserved"]),
+    ("secret", ["TOKEN =", "api_key", "password"]),
+    ("lang.en", [" the ", " and ", " of "]),
+    ("lang.de", [" der ", " und "]),
+    ("lang.fr", [" les ", " une "]),
+    ("lang.es", [" los ", " una "]),
+    ("markup", ["<div", "</p>"]),
+]
+EVENT_KEYWORDS = [("prop.k", ['"k"']), ("value.nine", ['"k": 9}', '"k": 99}']), ("value.missing", ["null"])]
+
 # Extraction libraries that model counts always list (zero-filled).
 MODEL_LIBRARIES = ["com.google.code.gson", "com.squareup.moshi", "org.json",
                    "noLib.StringLiteralExpr", "noLib.BinaryExpr"]
@@ -45,17 +59,15 @@ MODEL_LIBRARIES = ["com.google.code.gson", "com.squareup.moshi", "org.json",
 HTTP_METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE"]
 
 
-def library_dim(spark: SparkSession) -> DataFrame:
+def library_dim(spark: SparkSession, table: list | None = None) -> DataFrame:
     """L4: (library, lib_order) — one row per library id."""
-    return spark.createDataFrame([(lib, i) for i, (lib, _) in enumerate(LIBRARY_KEYWORDS)],
+    return spark.createDataFrame([(lib, i) for i, (lib, _) in enumerate(table or LIBRARY_KEYWORDS)],
                                  "library string, lib_order int")
 
 
-def library_keyword_dim(spark: SparkSession) -> DataFrame:
-    """L4: (library, keyword, lib_order, kw_order) — libraries without keywords have no row."""
-    return spark.createDataFrame(
-        [(lib, kw, i, j) for i, (lib, kws) in enumerate(LIBRARY_KEYWORDS) for j, kw in enumerate(kws)],
-        "library string, keyword string, lib_order int, kw_order int")
+def keyword_pairs(table: list) -> list[tuple[str, str]]:
+    """L4: (library, keyword) in dictionary order; libraries without keywords have none."""
+    return [(lib, kw) for lib, kws in table for kw in kws]
 
 
 def model_library_dim(spark: SparkSession) -> DataFrame:
@@ -97,6 +109,11 @@ CALL_RULES = [
 ]
 
 
-def call_rule_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CALL_RULES, "kind string, name string, match string, type string, "
+# Call rules by name alone, for the script calls of web pages.
+PAGE_RULES = [("call", "track", None, None, 1, "page.analytics"), ("call", "track", None, None, 2, "page.analytics.two"),
+              ("creation", "Date", None, None, None, "page.dates")]
+
+
+def call_rule_dim(spark: SparkSession, rules: list | None = None) -> DataFrame:
+    return spark.createDataFrame(rules or CALL_RULES, "kind string, name string, match string, type string, "
                                              "min_args int, library string")

@@ -138,11 +138,12 @@ def part_build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_library_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Available library folders: ``<group>-<size>`` of the SMALL parts."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_type") == "SMALL")
+    """Available library folders, one for every part: ``<group>-<size>``, for parts with an
+    odd key ``<group>-<size>-beta``."""
+    p = table(spark, sf_dir, "part")
     brand_no = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
-    return p.select(F.concat(part_group(brand_no), F.lit("-"), F.col("p_size").cast("string")).alias("folder")) \
-        .distinct()
+    tail = F.when(F.col("p_partkey") % 2 == 1, F.lit("-beta")).otherwise(F.lit(""))
+    return p.select(F.concat(part_group(brand_no), F.lit("-"), F.col("p_size").cast("string"), tail).alias("folder")).distinct()
 
 
 def page_builder_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +167,9 @@ def page_builder_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     F.lit(None).cast("array<string>").alias("alts2")).alias("s"))
     qp = p.filter(qs != "").select(b.alias("builder"), F.posexplode(F.split(qs, "&")).alias("i", "kv")) \
         .select("builder", F.struct((F.col("i") + 1000).alias("pos"), F.lit("addQueryParameter").alias("step"),
-                                    F.array(F.split("kv", "=")[0]).alias("alts"),
-                                    F.array(F.split("kv", "=")[1]).alias("alts2")).alias("s"))
+                                    F.array(F.substring_index("kv", "=", 1)).alias("alts"),
+                                    F.array(F.when(F.contains("kv", F.lit("=")), F.expr("substr(kv, instr(kv, '=') + 1)"))
+                                            .otherwise(F.lit(""))).alias("alts2")).alias("s"))
     fr = p.filter(F.col("url").contains("#")).select(b.alias("builder"), F.struct(
         F.lit(100000).alias("pos"), F.lit("fragment").alias("step"), F.array(frag).alias("alts"),
         F.lit(None).cast("array<string>").alias("alts2")).alias("s"))
@@ -179,14 +181,15 @@ def part_class_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class fields: one class per part type, one field per part name in it.
     The field type follows the smallest size: String, int, Double, a list of
     the next type's class, or the next type's class itself (types in name
-    order; the last type has no next class, so nesting is at most six deep);
+    order; the last type has no next class);
     Brand#1 parts are transient, Brand#2 parts carry a SerializedName."""
     p = table(spark, sf_dir, "part")
-    types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    nxt = F.create_map(*[x for i, t in enumerate(types[:-1]) for x in (F.lit(t), F.lit(types[i + 1]))])
-    g = p.groupBy("p_type", "p_name").agg(F.min("p_size").alias("s"), F.min("p_brand").alias("b"))
+    types = p.select("p_type").distinct()
+    after = types.select(F.col("p_type").alias("later"))
+    nxt = types.join(after, F.col("later") > F.col("p_type")).groupBy("p_type").agg(F.min("later").alias("nxt"))
+    g = p.groupBy("p_type", "p_name").agg(F.min("p_size").alias("s"), F.min("p_brand").alias("b")).join(nxt, "p_type", "left")
     cls = F.initcap(F.lower("p_type"))
-    next_cls = F.initcap(F.lower(F.try_element_at(nxt, F.col("p_type"))))
+    next_cls = F.initcap(F.lower("nxt"))
     typ = (F.when(F.col("s") <= 10, "String").when(F.col("s") <= 20, "int")
            .when((F.col("s") <= 30) | next_cls.isNull(), "Double")
            .when(F.col("s") <= 40, "List").otherwise(next_cls))

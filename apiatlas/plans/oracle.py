@@ -107,16 +107,16 @@ STRING_LITERAL = r'"((?:[^"\\]|\\.)*)"'
 STRING_ASSIGNMENT = r'(?:String\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
 
 
-def _keywords_values() -> str:
+def _keywords_values(table) -> str:
     rows = []
-    for i, (lib, kws) in enumerate(dims.LIBRARY_KEYWORDS):
+    for i, (lib, kws) in enumerate(table):
         for kw in kws:
             rows.append(f"('{lib}', '{kw}', {i})")
     return "kw(library, keyword, lib_order) AS (VALUES " + ", ".join(rows) + ")"
 
 
-def _libraries_values() -> str:
-    return "libdim(library) AS (VALUES " + ", ".join(f"('{lib}')" for lib, _ in dims.LIBRARY_KEYWORDS) + ")"
+def _libraries_values(table=None) -> str:
+    return "libdim(library) AS (VALUES " + ", ".join(f"('{lib}')" for lib, _ in table or dims.LIBRARY_KEYWORDS) + ")"
 
 
 EVENT_MODELS = r"""
@@ -250,7 +250,7 @@ m1 AS (SELECT project, regexp_extract(m, '""" + STRING_ASSIGNMENT + r"""', 1) AS
 SELECT project, name, count(DISTINCT value) AS n_values, string_agg(DISTINCT value, '|' ORDER BY value) AS vals
 FROM m1 GROUP BY project, name"""
 
-ORACLE["match_keywords"] = "WITH " + _keywords_values() + r"""
+ORACLE["match_keywords"] = "WITH " + _keywords_values(dims.PROSE_KEYWORDS) + r"""
 SELECT d.source AS project, CAST(d.doc_id AS VARCHAR) AS path, kw.library, count(*) AS n_keywords
 FROM documents d JOIN kw ON contains(lower(d.text), lower(kw.keyword))
 GROUP BY d.source, d.doc_id, kw.library"""
@@ -387,7 +387,7 @@ UNION ALL
 SELECT rb.project, rb.populated_url, m.method, b.body
 FROM rb JOIN bodies b ON b.project = rb.project, m WHERE m.method <> 'GET'"""
 
-ORACLE["library_usage"] = "WITH " + _keywords_values() + "," + _libraries_values() + r""",
+ORACLE["library_usage"] = "WITH " + _keywords_values(dims.PROSE_KEYWORDS) + "," + _libraries_values(dims.PROSE_KEYWORDS) + r""",
 hits AS (SELECT DISTINCT d.source AS project, kw.library FROM documents d
          JOIN kw ON contains(lower(d.text), lower(kw.keyword)))
 SELECT l.library, count(DISTINCT h.project) AS n_projects
@@ -400,7 +400,7 @@ n AS (SELECT library, count(*) AS c FROM models GROUP BY library)
 SELECT coalesce(f.library, n.library) AS library, coalesce(n.c, 0) AS n_models
 FROM fixed f FULL OUTER JOIN n ON n.library = f.library"""
 
-ORACLE["project_counters"] = "WITH " + EVENT_MODELS + "," + _keywords_values() + r""",
+ORACLE["project_counters"] = "WITH " + EVENT_MODELS + "," + _keywords_values(dims.EVENT_KEYWORDS) + r""",
 p AS (SELECT DISTINCT event_type AS project FROM events),
 libs AS (SELECT e.event_type AS project, count(DISTINCT kw.library) AS n_libs
          FROM events e JOIN kw ON contains(lower(e.props), lower(kw.keyword)) GROUP BY e.event_type),
@@ -459,14 +459,14 @@ ORACLE["extract_calls"] = "WITH " + CALLS + "\nSELECT page_id, line, pos, kind,
 def _rules_values() -> str:
     def q(v):
         return "NULL" if v is None else (str(v) if isinstance(v, int) else f"'{v}'")
-    rows = ", ".join("(" + ", ".join(q(x) for x in r) + ")" for r in dims.CALL_RULES)
+    rows = ", ".join("(" + ", ".join(q(x) for x in r) + ")" for r in dims.CALL_RULES + dims.PAGE_RULES)
     return f"rules(kind, name, match, type, min_args, library) AS (VALUES {rows})"
 
 
 ORACLE["match_call_rules"] = "WITH " + CALLS + ", " + _rules_values() + r"""
 SELECT DISTINCT c.page_id, c.line, c.pos, c.kind, c.name, coalesce(r.library, r.type) AS library
 FROM calls c JOIN rules r ON r.kind = c.kind AND r.name = c.name
-WHERE r.min_args IS NULL OR c.n_args >= r.min_args"""
+WHERE r.match IS NULL AND (r.min_args IS NULL OR c.n_args >= r.min_args)"""
 
 
 def _library_list() -> str:
@@ -492,8 +492,8 @@ deps AS (
 ORACLE["extract_dependencies"] = "WITH " + PART_DEPS + "\nSELECT project, library, version FROM deps"
 
 ORACLE["match_available_version"] = "WITH " + PART_DEPS + ", " + _libraries_values() + r""",
-folders AS (SELECT DISTINCT pg.grp || '-' || CAST(pg.p_size AS VARCHAR) AS folder FROM pg JOIN part ON part.p_partkey = pg.ord
-            WHERE part.p_type = 'SMALL'),
+folders AS (SELECT DISTINCT pg.grp || '-' || CAST(pg.p_size AS VARCHAR)
+                    || CASE WHEN pg.ord % 2 = 1 THEN '-beta' ELSE '' END AS folder FROM pg),
 fb AS (SELECT l.library, max(f.folder) AS fallback FROM folders f JOIN libdim l ON contains(f.folder, l.library)
        GROUP BY l.library)
 SELECT d.project, d.library, d.version, coalesce(f.folder, fb.fallback) AS folder, f.folder IS NOT NULL AS exact
@@ -535,7 +535,7 @@ def _encode_sql(x: str, escapes: str) -> str:
 
 
 _QK = _encode_sql("split_part(kv, '=', 1)", _enc.QUERY_COMPONENT_ESCAPES)
-_QV = _encode_sql("string_split(kv, '=')[2]", _enc.QUERY_COMPONENT_ESCAPES)
+_QV = _encode_sql("CASE WHEN contains(kv, '=') THEN substr(kv, strpos(kv, '=') + 1) ELSE '' END", _enc.QUERY_COMPONENT_ESCAPES)
 
 ORACLE["fold_builder_steps"] = r"""
 WITH u AS (SELECT page_id, url, regexp_extract(url, '^([^:]+)://', 1) AS scheme,
@@ -645,8 +645,7 @@ SELECT project, model_id, r AS skeleton FROM r0"""
 ORACLE["schema_from_fields"] = r"""
 WITH RECURSIVE
 g AS (SELECT p_type, p_name, min(p_size) AS s, min(p_brand) AS b FROM part GROUP BY p_type, p_name),
-nt(t, nxt) AS (VALUES ('ECONOMY', 'LARGE'), ('LARGE', 'MEDIUM'), ('MEDIUM', 'PROMO'), ('PROMO', 'SMALL'),
-                      ('SMALL', 'STANDARD'), ('STANDARD', NULL)),
+nt AS (SELECT p_type AS t, lead(p_type) OVER (ORDER BY p_type) AS nxt FROM (SELECT DISTINCT p_type FROM part)),
 cf AS (
   SELECT upper(substr(g.p_type, 1, 1)) || lower(substr(g.p_type, 2)) AS class,
          CASE WHEN g.b = 'Brand#2' THEN upper(replace(g.p_name, ' ', '_')) ELSE replace(g.p_name, ' ', '_') END AS key,

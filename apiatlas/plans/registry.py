@@ -67,7 +67,7 @@ def q_collect_string_vars(spark, sf):
 
 
 def q_match_keywords(spark, sf):
-    m = libraries.match_keywords(I.document_texts(spark, sf), dims.library_keyword_dim(spark))
+    m = libraries.match_keywords(I.document_texts(spark, sf), dims.keyword_pairs(dims.PROSE_KEYWORDS))
     return m.select("project", "path", "library", F.col("n_keywords").cast("long").alias("n_keywords"))
 
 
@@ -292,8 +292,8 @@ def q_request_plan(spark, sf):
 
 # ------------------------------------------------------------------ statistics
 def q_library_usage(spark, sf):
-    m = libraries.match_keywords(I.document_texts(spark, sf), dims.library_keyword_dim(spark))
-    return stats.library_usage(m, dims.library_dim(spark))
+    m = libraries.match_keywords(I.document_texts(spark, sf), dims.keyword_pairs(dims.PROSE_KEYWORDS))
+    return stats.library_usage(m, dims.library_dim(spark, dims.PROSE_KEYWORDS))
 
 
 def q_models_per_library(spark, sf):
@@ -302,7 +302,7 @@ def q_models_per_library(spark, sf):
 
 def q_project_counters(spark, sf):
     cands = I.event_candidates(spark, sf)
-    libs = libraries.match_keywords(cands.withColumnRenamed("text", "content"), dims.library_keyword_dim(spark))
+    libs = libraries.match_keywords(cands.withColumnRenamed("text", "content"), dims.keyword_pairs(dims.EVENT_KEYWORDS))
     return stats.project_counters(cands.select("project"), libs, _event_models(spark, sf))
 
 
@@ -319,7 +319,7 @@ def q_extract_calls(spark, sf):
 
 def q_match_call_rules(spark, sf):
     c = facts.extract_calls(I.page_texts(spark, sf), keys=("page_id",))
-    m = libraries.match_call_rules(c, dims.call_rule_dim(spark))
+    m = libraries.match_call_rules(c, dims.call_rule_dim(spark, dims.CALL_RULES + dims.PAGE_RULES))
     return m.select("page_id", "line", "pos", "kind", "name", "library")
 
 

@@ -65,12 +65,13 @@ def number_within(df: DataFrame, group: list[str], order: list[str], num_partiti
 def report_lines(report: DataFrame) -> DataFrame:
     """Report entries -> numbered text lines ``(project, line_no, value)``: per
     section its marker, then raw and populated lines alternating (entries
-    ordered by ``ord``). Entry numbers come from ``number_within`` (no project
+    ordered by ``ord``); a String variable is one line. Entry numbers come from ``number_within`` (no project
     is gathered into one task); section offsets from per-section counts."""
     sec = F.create_map(*[x for k, v in SECTION_ORDER.items() for x in (F.lit(k), F.lit(v))])
     entries = report.withColumn("sec_no", F.try_element_at(sec, F.col("section")))
     numbered = number_within(entries, ["project", "sec_no"], ["ord"])
-    sizes = entries.groupBy("project", "sec_no").agg((F.count("*") * 2 + 1).alias("_lines"))
+    per_entry = F.when(F.col("section") == "STRING VARIABLES", 1).otherwise(2)
+    sizes = entries.groupBy("project", "sec_no").agg((F.sum(per_entry) + 1).alias("_lines"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_lines").over(
         Window.partitionBy("project").orderBy("sec_no").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)) + 1)
@@ -79,10 +80,10 @@ def report_lines(report: DataFrame) -> DataFrame:
                                                                      for x in (F.lit(v), F.lit(k))]),
                                                       F.col("sec_no")), F.lit(":")).alias("value"))
     body = numbered.join(starts.select("project", "sec_no", "_start"), ["project", "sec_no"]) \
-        .select("project", "_start", "rn", F.explode(F.array(
+        .select("project", "_start", "rn", per_entry.alias("_per"), F.explode(F.slice(F.array(
             F.struct(F.lit(1).alias("k"), F.col("raw").alias("value")),
-            F.struct(F.lit(2).alias("k"), F.coalesce("populated", "raw").alias("value")))).alias("e")) \
-        .select("project", (F.col("_start") + (F.col("rn") - 1) * 2 + F.col("e.k")).cast("long").alias("line_no"),
+            F.struct(F.lit(2).alias("k"), F.coalesce("populated", "raw").alias("value"))), F.lit(1), per_entry)).alias("e")) \
+        .select("project", (F.col("_start") + (F.col("rn") - 1) * F.col("_per") + F.col("e.k")).cast("long").alias("line_no"),
                 F.col("e.value").alias("value"))
     return markers.unionByName(body)
 
@@ -94,7 +95,7 @@ def write_report(report: DataFrame, out_dir: str) -> None:
 
 def write_snippets(snippets: DataFrame, library_dim: DataFrame, out_dir: str) -> None:
     """One log per library; snippets of unknown libraries are dropped (semi-join)."""
-    snippets.join(F.broadcast(library_dim.select("library")), "library", "left_semi") \
+    snippets.join(library_dim.select("library"), "library", "left_semi") \
         .write.mode("overwrite").partitionBy("library").json(out_dir)
 
 

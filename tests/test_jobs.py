@@ -15,7 +15,7 @@ def test_match_keywords_overlapping_and_case(spark):
         ("p", "b.java", "nothing to see"),
         ("q", "c.java", "SSLSocketFactory f = ...; new okhttpclient()"),
     ], "project string, path string, content string")
-    got = rows(libraries.match_keywords(texts, dims.library_keyword_dim(spark)), "path", "library", "n_keywords")
+    got = rows(libraries.match_keywords(texts, dims.keyword_pairs(dims.LIBRARY_KEYWORDS)), "path", "library", "n_keywords")
     # AsyncHttpClient also contains HttpClient (two libraries list it); Glide and GlideApp overlap
     assert ("a.java", "com.github.bumptech.glide", 2) in got
     assert ("a.java", "com.loopj.android", 1) in got and ("a.java", "com.koushikdutta.async", 1) in got
@@ -23,7 +23,7 @@ def test_match_keywords_overlapping_and_case(spark):
     assert ("c.java", "javax.net.ssl.SSLSocket", 2) in got and ("c.java", "java.net.Socket", 2) in got
     assert ("c.java", "com.squareup.okhttp3", 1) in got
     assert not [r for r in got if r[0] == "b.java"]
-    first = rows(libraries.match_keywords(texts, dims.library_keyword_dim(spark), first_only=True),
+    first = rows(libraries.match_keywords(texts, dims.keyword_pairs(dims.LIBRARY_KEYWORDS), first_only=True),
                  "path", "library")
     assert ("c.java", "com.squareup.okhttp3") in first
 

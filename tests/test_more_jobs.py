@@ -36,7 +36,9 @@ def test_extract_calls_routes_fields(spark):
     assert [(p["ann"], p["type"]) for p in r["createUser"]["params"]] == [("Body", "User")]
     f = {x["field"]: x for x in facts.extract_fields(t).collect()}
     assert f["cache"]["is_transient"] and f["name"]["annotations"][0]["value"] == "user_name"
-    lib = rows(libraries.match_call_rules(facts.extract_calls(t), dims.call_rule_dim(spark)), "name", "library")
+    imports = spark.createDataFrame([("p", "Api.java", x) for x in ("java.net.URLConnection", "java.net.HttpURLConnection", "com.squareup.okhttp3")],
+                                    "project string, path string, library string")
+    lib = rows(libraries.match_call_rules(facts.extract_calls(t), dims.call_rule_dim(spark), imports), "name", "library")
     assert ("openConnection", "java.net.URLConnection") in lib and ("Builder", "com.squareup.okhttp3") in lib
     assert ("HttpURLConnection", "java.net.HttpURLConnection") in lib
 
@@ -59,7 +61,7 @@ def test_schema_from_fields(spark):
         ("p", "Exp", "c", "String", [], False, False, [("Expose", "serialize", "false")])],
         f"project string, class string, field string, type string, type_args array<string>, is_enum boolean, "
         f"is_transient boolean, annotations {ann}")
-    enums = spark.createDataFrame([("Kind",)], "class string")
+    enums = spark.createDataFrame([("p", "Kind"), ("p", "Kind"), ("q", "Kind")], "project string, class string")
     roots = spark.createDataFrame([("p", "User"), ("p", "Exp")], "project string, class string")
     got = {r["class"]: json.loads(r["skeleton"]) for r in jsonmodel.schema_from_fields(cf, roots, enums=enums).collect()}
     assert got["User"] == {"is_vip": "<BOOLEAN>", "nameGSON": "<STRING>", "id": "<NUMBER_INT>", "kind": "<STRING>",
