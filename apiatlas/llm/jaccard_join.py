@@ -268,11 +268,14 @@ def _cross_pairs(members: DataFrame) -> DataFrame:
     open_lists = write_table(members.join(mixed, "list"))
     largest = (open_lists.groupBy("list", "comp").agg(F.count("*").alias("k"))
                .groupBy("list").agg(F.max_by("comp", F.struct("k", "comp")).alias("top")))
-    marked = open_lists.join(largest, "list").withColumn("inside", F.col("comp") == F.col("top"))
-    a = marked.filter("NOT inside").selectExpr("list", "weight", "doc AS a", "comp AS ca", "n AS na", "n - pos AS ra")
-    b = marked.selectExpr("list", "doc AS b", "comp AS cb", "n AS nb", "n - pos AS rb", "inside")
+    # no pair shares more prefix tokens than the smaller of what its members share with anyone
+    share = open_lists.groupBy("doc").agg(F.sum("weight").alias("share"))
+    marked = open_lists.join(largest, "list").join(share, "doc").withColumn("inside", F.col("comp") == F.col("top"))
+    a = marked.filter("NOT inside").selectExpr("list", "weight", "doc AS a", "comp AS ca", "n AS na", "n - pos AS ra", "share AS sa")
+    b = marked.selectExpr("list", "doc AS b", "comp AS cb", "n AS nb", "n - pos AS rb", "share AS sb", "inside")
     # the first token that a pair shares has all its other common tokens behind it, on both sides
-    met = a.join(b, "list").filter(f"ca != cb AND (inside OR a < b) AND {NUM + DEN} * least(ra, rb) >= {NUM} * (na + nb)")
+    met = a.join(b, "list").filter(f"ca != cb AND (inside OR a < b) AND {NUM + DEN} * least(ra, rb) >= {NUM} * (na + nb) "
+                                   f"AND {can_link('least(sa, sb)', 'na', 'nb')}")
     return (met.groupBy(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
             .agg(F.sum("weight").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
             .filter(can_link("c", "na", "nb")).select("u", "v"))
