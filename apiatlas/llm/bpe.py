@@ -31,6 +31,8 @@ from apiatlas.llm.common import fresh, ship
 ship(__name__)
 
 END = "</w>"
+#: Documents whose results are built and sent at once.
+SLICE = 128
 RESULT = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
 
@@ -85,7 +87,7 @@ class Memo(dict):
 class Codec:
     """Encoder and decoder over one vocabulary. ``remember`` bounds each memo."""
 
-    def __init__(self, spec: dict, remember: int = 160_000):
+    def __init__(self, spec: dict, remember: int = 100_000):
         self.vocab = spec["vocab"]
         self.ranks: dict = {}
         for rank, (left, right) in enumerate(spec["merges"]):
@@ -201,13 +203,10 @@ def encode_decode(df: DataFrame, vocabulary: str, text: Column | None = None,
     def codec(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Codec(spec.value)
         for batch in batches:
-            packed, texts = [], []
-            for value in batch:
-                got = own.encode(value.as_py())
-                packed.append(got)
-                texts.append(own.decode(got))
-            yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(texts, pa.string())],
-                                             names=["ids", "decoded"])
+            for at in range(0, len(batch), SLICE):  # the results of one slice are all that a task holds
+                packed = [own.encode(value.as_py()) for value in batch.slice(at, SLICE)]
+                yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(map(own.decode, packed), pa.string())],
+                                                 names=["ids", "decoded"])
 
     (tmp,) = fresh(df, "__bpe")
     out = df.withColumn(tmp, codec(F.col("text") if text is None else text))

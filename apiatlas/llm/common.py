@@ -49,7 +49,7 @@ class WordHashes(dict):
     """Cache word (bytes) -> 64-bit hash; emptied when it reaches ``limit`` entries,
     so a task's memory stays bounded whatever the vocabulary."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000):
+    def __init__(self, seed: int = 0, limit: int = 200_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 

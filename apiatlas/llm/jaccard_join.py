@@ -109,13 +109,14 @@ def _scan(ids_and_texts: DataFrame) -> DataFrame:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             sizes, digests, seen = [], [], []
-            for text in batch.column(1):
+            for k, text in enumerate(batch.column(1), 1):
                 own = shingles(text.as_py(), hashes)
                 sizes.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 seen.append(counter_of(own))
-            if seen:
-                np.add.at(sketch, np.concatenate(seen), np.uint32(1))
+                if k % 500 == 0 or k == len(batch):
+                    np.add.at(sketch, np.concatenate(seen), np.uint32(1))
+                    seen.clear()
             n = len(sizes)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                                    pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
@@ -167,25 +168,26 @@ def _index(ids_and_texts: DataFrame, levels, usual: float) -> DataFrame:
         hashes, seen = WordHashes(), set()
         level = levels.value
         for batch in batches:
-            ids, tokens, salts, places = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = shingles(text.as_py(), hashes)
-                digest = xxhash.xxh3_128_digest(own.tobytes())
-                if not len(own) or digest in seen:
-                    continue
-                seen.add(digest)
-                first = prefix(own, level, ORDERS[0])
-                tokens.append(first)
-                places.append(np.arange(len(first), dtype=np.int32))
-                ids.append(np.full(len(first), doc, np.int64))
-                own_level = level[counter_of(first)]
-                split = np.where(own_level > 0, usual * 2.0 ** (own_level / 4) // LIST_SPLIT, 0).astype(np.int64)
-                at = xxhash.xxh32_intdigest(str(doc))
-                salts.append(np.where(split > 1, 1 + at % np.maximum(split, 1), 0))
-            if ids:
-                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)),
-                                       pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(ids)),
-                                       pa.array(np.concatenate(places))], names=["token", "salt", "doc", "pos"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids, tokens, salts, places = [], [], [], []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    own = shingles(text.as_py(), hashes)
+                    digest = xxhash.xxh3_128_digest(own.tobytes())
+                    if not len(own) or digest in seen:
+                        continue
+                    seen.add(digest)
+                    first = prefix(own, level, ORDERS[0])
+                    tokens.append(first)
+                    places.append(np.arange(len(first), dtype=np.int32))
+                    ids.append(np.full(len(first), doc, np.int64))
+                    own_level = level[counter_of(first)]
+                    split = np.where(own_level > 0, usual * 2.0 ** (own_level / 4) // LIST_SPLIT, 0).astype(np.int64)
+                    salts.append(np.where(split > 1, 1 + xxhash.xxh32_intdigest(str(doc)) % np.maximum(split, 1), 0))
+                if ids:
+                    yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)),
+                                           pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))],
+                                          names=["token", "salt", "doc", "pos"])
 
     return ids_and_texts.mapInArrow(index, "token long, salt int, doc long, pos int")
 

@@ -62,7 +62,7 @@ def shape(piece: str) -> int:
 class Pieces(dict):
     """Memo piece -> (hash << 8 | shape); emptied when full."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

@@ -41,6 +41,8 @@ SAMPLE = 20_000
 #: Letters of a stem, shortest first, and the prior's strength in documents.
 STEMS = (3, 4, 5)
 STRENGTH = 10.0
+#: Words that a counting task holds before it passes them on.
+FLUSH = 100_000
 #: What every token loses, so that segments end.
 DRIFT = 1.0
 #: A token enters the model when its score differs so much from its stem's.
@@ -59,7 +61,7 @@ PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("sco
 class Scores(dict):
     """Memo token -> score: its own weight, else that of its longest known stem."""
 
-    def __init__(self, weights: dict, limit: int = 300_000):
+    def __init__(self, weights: dict, limit: int = 150_000):
         super().__init__()
         self.weights, self.limit = weights, limit
 
@@ -105,15 +107,21 @@ def token_counts(sample: DataFrame) -> DataFrame:
     """(token, t, n): the toxic and the other documents that hold a word (a word that one
     document repeats tells no more about others)."""
 
+    def rows(both: tuple) -> pa.RecordBatch:
+        words = [*(both[0].keys() | both[1].keys())]
+        return pa.record_batch([pa.array(words, pa.string()), pa.array([both[1][w] for w in words], pa.int64()),
+                                pa.array([both[0][w] for w in words], pa.int64())], names=["token", "t", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Counter(), Counter()
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
                 if (text := text.as_py()) is not None:
                     both[y].update(set(TOKEN.findall(text.lower())))
-        words = [*(both[0].keys() | both[1].keys())]
-        yield pa.record_batch([pa.array(words, pa.string()), pa.array([both[1][w] for w in words], pa.int64()),
-                               pa.array([both[0][w] for w in words], pa.int64())], names=["token", "t", "n"])
+                if len(both[0]) + len(both[1]) > FLUSH:  # counts are added up behind: a task holds no more words
+                    yield rows(both)
+                    both = Counter(), Counter()
+        yield rows(both)
 
     return (sample.select("text", "y").mapInArrow(count, "token string, t long, n long")
             .groupBy("token").agg(F.sum("t").alias("t"), F.sum("n").alias("n")))
