@@ -13,19 +13,48 @@ from pyspark.sql import functions as F
 from apiatlas.functions import encoding as enc
 
 # A double-quoted literal with backslash escapes.
-STRING_LITERAL = r'"((?:[^"\\]|\\.)*)"'
+STRING_LITERAL = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 # `[String] name = "value"` (the type word is optional in free text).
-STRING_ASSIGNMENT = r'(?:String\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
+STRING_ASSIGNMENT = r'(?:String\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 IMPORT_LINE = r"(?m)^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*(?:\.\*)?)\s*;"
 
 
+# The whole text as pieces: comments, string and character literals, anything else.
+PIECE = (r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\""
+         r"|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]{0,4})'|[^/\"']++|[\s\S]")
+
+
+def tokenised(texts: DataFrame, text_col: str = "content") -> DataFrame:
+    """``texts`` with ``_pieces`` (the text cut into comments, literals and the rest),
+    ``_code`` (the text without comments and character literals, lines kept) and ``_masked``
+    (``_code`` with each string literal replaced by the number of its piece). A narrow
+    projection that P1, P3, P4 and P5 share; they add it themselves where it is missing."""
+    if "_pieces" in texts.columns:
+        return texts
+    comment = lambda t: F.when(F.startswith(t, F.lit("//")), F.lit("")).when(
+        F.startswith(t, F.lit("/*")), F.regexp_replace(t, r"[^\n]", "")).when(
+        F.startswith(t, F.lit("'")) & (F.length(t) > 1), F.lit("' '"))
+    quoted = lambda t: F.startswith(t, F.lit('"')) & (F.length(t) > 1)
+    p = texts.withColumn("_pieces", F.regexp_extract_all(F.col(text_col), F.lit(PIECE), F.lit(0)))
+    return p.withColumns({
+        "_code": F.array_join(F.transform("_pieces", lambda t: F.coalesce(comment(t), t)), ""),
+        "_masked": F.array_join(F.transform("_pieces", lambda t, i: F.coalesce(
+            comment(t), F.when(quoted(t), F.concat(F.lit('"'), i.cast("string"), F.lit('"'))), t)), "")})
+
+
+def unmasked(text):
+    """``text`` of a masked source with its string literals put back."""
+    return F.aggregate(F.regexp_extract_all(text, F.lit(r'"(\d+)"'), F.lit(1)), text, lambda acc, k: F.replace(
+        acc, F.concat(F.lit('"'), k, F.lit('"')), F.get("_pieces", k.cast("int"))))
+
+
 def extract_literals(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
-    """Every string literal, with 0-based line number and position in its line.
+    """Every string literal outside comments, with 0-based line number and position in its line.
 
     Output ``(*keys, line, pos, literal, kind)``; ``kind`` is ``url`` when the
     unescaped literal starts with an accepted scheme, else ``text``.
     """
-    lines = texts.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "_l"))
+    lines = tokenised(texts, text_col).select(*keys, F.posexplode(F.split("_code", "\n")).alias("line", "_l"))
     lits = lines.select(*keys, "line", F.posexplode(F.regexp_extract_all("_l", F.lit(STRING_LITERAL), 1))
                         .alias("pos", "literal"))
     un = enc.unescape_java(F.col("literal"))
@@ -58,11 +87,11 @@ def extract_imports(texts: DataFrame, library_dim: DataFrame, text_col: str = "c
                     keys=("project", "path")) -> DataFrame:
     """Import names that contain a known library id -> (keys, import, library).
 
-    The library dimension is a fixed 21-row table, broadcast for the
-    containment (non-equi) join."""
+    The library dimension is a fixed 21-row table; Spark checks its size and broadcasts it
+    for the containment (non-equi) join."""
     imps = texts.select(*keys, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(IMPORT_LINE), 1))
                         .alias("import"))
-    libs = F.broadcast(library_dim.select("library").distinct())
+    libs = library_dim.select("library")
     return imps.join(libs, F.col("import").contains(F.col("library")), "inner")
 
 
@@ -94,90 +123,155 @@ def keep_maximal_spans(spans: DataFrame, key: str = "path", start: str = "start"
 
 
 # ------------------------------------------------------------------ P3-P5
-CREATION = r"new\s+([A-Za-z_][\w.]*)\s*(?:<[^<>()]*>)?\s*\(([^()]*)\)?"
-CALL = r"(?:([A-Za-z_][\w]*(?:\(\))?)\s*\.\s*)?([a-z_][\w]*)\s*\(([^()]*)\)?"
+CREATION = r"new\s+([A-Za-z_][\w.]*)\s*(?:<[^<>()]*>)?\s*\("
+CALL = r"(?:([A-Za-z_][\w]*(?:\(\))?)\s*\.\s*)?([a-z_][\w]*)\s*\("
 CAST = r"\(\s*([A-Z][\w.]*)\s*\)\s*(?:[\w.]+\s*\.\s*)?([a-z_][\w]*)\s*\("
-ROUTE = (r"((?:@\w+(?:\s*\((?:[^()]|\([^()]*\))*\))?\s*)+)"
-         r"[\w.<>\[\], ?]+?\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*)\)")
-VERB_ANNOTATION = r"@(GET|POST|PUT|PATCH|DELETE)\s*\(\s*\"([^\"]*)\"\s*\)"
-ROUTE_PARAM = r"@(\w+)\s*(?:\(\s*\"([^\"]*)\"\s*\))?\s*(?:final\s+)?([\w.]+(?:<[^>]*>)?)\s+\w+"
-FIELD = (r"(?m)^[ \t]*((?:@\w+(?:\([^)]*\))?\s*)*)(?:(public|protected|private)\s+)?((?:static|final|transient|volatile)\s+)*"
-         r"([A-Za-z_][\w.]*)(?:<([^;=()]*)>)?(?:\[\])?\s+([A-Za-z_]\w*)\s*(?:=[^;]*)?;")
-ANNOTATION = r"@(\w+)(?:\(([^)]*)\))?"
+NO_CALL = ("if", "for", "while", "switch", "catch", "return", "new", "synchronized")
 
 
-def _args(col):
-    return F.when(F.trim(col) == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.split(col, ","), lambda a: F.trim(a)))
+def _balanced(depth: int) -> str:
+    """A run without an unmatched parenthesis, nested up to ``depth`` times."""
+    return r"[^()]*+" if depth == 0 else rf"(?:[^()]++|\({_balanced(depth - 1)}\))*+"
 
 
-def extract_calls(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
-    """Call, creation and cast sites per line -> ``call_site(keys, line, kind,
-    name, scope, scope_type, args, arg_types)``. A regex projection, line by line:
-    arguments are the text up to the first closing parenthesis; types are unknown
-    (NULL) unless a real parser supplies the table."""
-    lines = texts.select(*keys, F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "_l"))
+NESTED = rf"\({_balanced(6)}\)"
+ROUTE = (r"((?:@\w+(?:\s*\((?:[^()]++|\([^()]*+\))*+\))?\s*)+)"
+         r"[\w.<>\[\], ?]+?\s+(\w+)\s*\(((?:[^()]++|\([^()]*+\))*+)\)")
+VERB_ANNOTATION = r"@(GET|POST|PUT|PATCH|DELETE)\s*\(\s*(?:value\s*=\s*)?\"(\d+)\"[^)]*\)"
+ROUTE_PARAM = r"@(\w+)\s*(?:\(\s*(?:value\s*=\s*)?(?:\"(\d+)\")?[^)]*\))?\s*(?:final\s+)?([\w.]+(?:<.*>)?(?:\[\])?)\s+\w+\s*$"
+# a comma between parameters: not inside type arguments or an annotation's parentheses
+PARAM_COMMA = r",(?![^<]*>)(?![^()]*\))"
+FIELD = (r"(?m)^[ \t]*((?:@\w+(?:\([^)]*\))?\s*)*)(?:(public|protected|private)\s+)?((?:(?:static|final|transient|volatile)\s+)*)"
+         r"([A-Za-z_][\w.]*)(?:<([^;=()]*)>)?(?:\[\])*\s+([A-Za-z_]\w*)\s*(?:=[^;]*)?(?:;|\z)")
+ANNOTATION = r"@(\w+)(?:\(([^)]*)\))?"
+TYPE_DECL = r"\b(?:class|interface|enum)\s+(\w+)"
+# words that never are a field's type
+NO_TYPE = ("return", "throw", "new", "package", "import", "class", "interface", "enum", "else", "case", "extends", "implements",
+           "assert", "goto", "break", "continue", "instanceof")
+
 
-    def sites(pattern, kind, name_idx, scope_idx, args_idx):
-        m = lines.select(*keys, "line", F.posexplode(F.regexp_extract_all("_l", F.lit(pattern), 0)).alias("pos", "_m"))
-        name = F.regexp_extract("_m", pattern, name_idx)
-        return m.select(*keys, "line", "pos", F.lit(kind).alias("kind"),
-                        F.substring_index(name, ".", -1).alias("name"),
-                        (F.regexp_extract("_m", pattern, scope_idx) if scope_idx else F.lit("")).alias("scope"),
-                        F.lit(None).cast("string").alias("scope_type"),
-                        (_args(F.regexp_extract("_m", pattern, args_idx)) if args_idx
-                         else F.array().cast("array<string>")).alias("args"),
-                        F.lit(None).cast("array<string>").alias("arg_types"))
-
-    creations = sites(CREATION, "creation", 1, None, 2)
-    calls = sites(CALL, "call", 2, 1, 3).filter(~F.col("name").isin("if", "for", "while", "switch", "catch",
-                                                                     "return", "new", "synchronized"))
-    casts = sites(CAST, "cast", 1, 2, None)
-    return creations.unionByName(calls).unionByName(casts) \
-        .withColumn("scope", F.when(F.col("scope") == "", None).otherwise(F.col("scope")))
+def extract_calls(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
+    """Call, creation and cast sites per line -> ``call_site(keys, line, pos, kind,
+    name, scope, scope_type, args, arg_types)``, from the text without comments; calls inside
+    another call's arguments are sites of their own. One scan: the three kinds come from one
+    projection. ``args`` are the arguments between top-level commas, with the arguments of calls
+    inside them left out (parentheses nested up to seven times; an argument list that goes on in
+    the next line is read to the end of its line). Types are unknown (NULL) unless a real
+    parser supplies the table."""
+    keys = list(keys)
+    lines = tokenised(texts, text_col).select(*keys, "_pieces", F.posexplode(F.split("_masked", "\n")).alias("line", "_l")) \
+        .filter(F.contains("_l", F.lit("(")))
+
+    def found(pattern, kind, name_idx, scope_idx, with_args):
+        heads = F.regexp_extract_all("_l", F.lit(pattern), F.lit(0))
+        if not with_args:
+            return F.transform(heads, lambda h, i: F.struct(
+                F.lit(kind).alias("kind"), i.alias("pos"), F.substring_index(F.regexp_extract(h, pattern, name_idx), ".", -1).alias("name"),
+                F.regexp_extract(h, pattern, scope_idx).alias("scope"), F.lit("").alias("inner")))
+        tails = F.split("_l", pattern, -1)
+
+        def site(h, i):
+            tail = F.get(tails, i + 1)
+            own = F.regexp_extract(tail, "^(" + _balanced(6) + r")\)", 1)
+            # arguments that hold further heads: what follows, to the end of the line
+            rest = F.concat(tail, F.array_join(F.zip_with(
+                F.slice(heads, i + 2, F.size(heads)), F.slice(tails, i + 3, F.size(tails)),
+                lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), ""))
+            inner = F.when(F.rlike(tail, F.lit("^" + _balanced(6) + r"\)")), own) \
+                .otherwise(F.regexp_extract(rest, "^(" + _balanced(6) + ")", 1))
+            return F.struct(F.lit(kind).alias("kind"), i.alias("pos"),
+                            F.substring_index(F.regexp_extract(h, pattern, name_idx), ".", -1).alias("name"),
+                            (F.regexp_extract(h, pattern, scope_idx) if scope_idx else F.lit("")).alias("scope"), inner.alias("inner"))
+        return F.transform(heads, site)
+
+    calls = F.filter(found(CALL, "call", 2, 1, True), lambda c: ~c["name"].isin(*NO_CALL))
+    every = F.concat(found(CREATION, "creation", 1, None, True), calls, found(CAST, "cast", 1, 2, False))
+    flat = F.regexp_replace("inner", NESTED, "()")
+    args = F.when(F.trim("inner") == "", F.array().cast("array<string>")).otherwise(
+        F.transform(F.split(flat, ","), lambda a: F.trim(unmasked(a))))
+    return lines.select(*keys, "line", "_pieces", F.inline(every)).select(
+        *keys, "line", "pos", "kind", "name", F.when(F.col("scope") != "", F.col("scope")).alias("scope"),
+        F.lit(None).cast("string").alias("scope_type"), args.alias("args"), F.lit(None).cast("array<string>").alias("arg_types"))
+
+
+def _literal(number):
+    """The contents of the string literal with a piece's number."""
+    piece = F.get("_pieces", number.try_cast("int"))
+    return F.substring(piece, F.lit(2), F.length(piece) - 2)
 
 
 def extract_routes(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
     """Annotated interface methods -> ``route(keys, iface, method, verb,
     template, params ARRAY<STRUCT<ann,arg,type,pos>>)``. Of several verb
     annotations on a method the last one wins; parameters keep their single
-    annotation; ``iface`` is the first interface declared in the text."""
-    f = texts.select(*keys, F.regexp_extract(F.col(text_col), r"interface\s+(\w+)", 1).alias("iface"),
-                     F.explode(F.regexp_extract_all(F.col(text_col), F.lit(ROUTE), 0)).alias("_m"))
-    verbs = F.regexp_extract_all(F.regexp_extract("_m", ROUTE, 1), F.lit(VERB_ANNOTATION), 0)
+    annotation; ``iface`` is the interface declared last before the method."""
+    t = tokenised(texts, text_col).select(*keys, "_pieces", F.explode(F.slice(
+        F.split("_masked", r"\binterface\s+"), 2, 1 << 30)).alias("_body"))
+    f = t.select(*keys, "_pieces", F.regexp_extract("_body", r"^(\w+)", 1).alias("iface"),
+                 F.explode(F.regexp_extract_all("_body", F.lit(ROUTE), F.lit(0))).alias("_m"))
+    verbs = F.regexp_extract_all(F.regexp_extract("_m", ROUTE, 1), F.lit(VERB_ANNOTATION), F.lit(0))
     last_verb = F.try_element_at(verbs, F.lit(-1))
-    params = F.transform(F.split(F.regexp_extract("_m", ROUTE, 3), ","), lambda p, i: F.struct(
-        F.regexp_extract(p, ROUTE_PARAM, 1).alias("ann"), F.regexp_extract(p, ROUTE_PARAM, 2).alias("arg"),
+    params = F.transform(F.split(F.regexp_extract("_m", ROUTE, 3), PARAM_COMMA), lambda p, i: F.struct(
+        F.regexp_extract(p, ROUTE_PARAM, 1).alias("ann"), F.coalesce(_literal(F.regexp_extract(p, ROUTE_PARAM, 2)), F.lit("")).alias("arg"),
         F.regexp_extract(p, ROUTE_PARAM, 3).alias("type"), i.alias("pos")))
     return f.filter(F.size(verbs) > 0).select(
         *keys, "iface", F.regexp_extract("_m", ROUTE, 2).alias("method"),
         F.regexp_extract(last_verb, VERB_ANNOTATION, 1).alias("verb"),
-        F.regexp_extract(last_verb, VERB_ANNOTATION, 2).alias("template"),
+        _literal(F.regexp_extract(last_verb, VERB_ANNOTATION, 2)).alias("template"),
         F.filter(params, lambda p: p["ann"] != "").alias("params"))
 
 
+def _type_bodies(masked):
+    """What stands directly in the braces of each type: array of (class, text), in order. A
+    stack of the open braces' types (empty for other braces) says where a stretch stands."""
+    out = "array<struct<class:string,text:string>>"
+    stretch = F.regexp_extract_all(masked, F.lit(r"[^{}]*+[{}]|[^{}]++"), F.lit(0))
+
+    def step(state, s):
+        body = F.regexp_replace(s, r"[{}]\z", "")
+        top = F.coalesce(F.try_element_at(state["stack"], F.lit(-1)), F.lit(""))
+        head = F.regexp_extract(body, r"[^;]*\z", 0)
+        name = F.when(F.rlike(head, F.lit(r"\benum\s")), F.lit("")).otherwise(F.regexp_extract(head, TYPE_DECL, 1))
+        stack = F.when(F.endswith(s, F.lit("{")), F.array_append(state["stack"], name)) \
+            .when(F.endswith(s, F.lit("}")), F.slice(state["stack"], 1, F.greatest(F.size(state["stack"]) - 1, F.lit(0)))) \
+            .otherwise(state["stack"])
+        return F.struct(stack.alias("stack"), F.when(top != "", F.array_append(state["out"], F.struct(
+            top.alias("class"), body.alias("text")))).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast(out).alias("out"))
+    return F.aggregate(stretch, start, step, lambda state: state["out"])
+
+
 def extract_fields(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
     """P5: field declarations -> ``class_field(keys, class, field, type, type_args,
-    is_transient, visibility, annotations ARRAY<STRUCT<name,key,value>>)``.
-    ``class`` is the first class declared in the text (one class per file)."""
-    f = texts.select(*keys, F.regexp_extract(F.col(text_col), r"class\s+(\w+)", 1).alias("class"),
-                     F.explode(F.regexp_extract_all(F.col(text_col), F.lit(FIELD), 0)).alias("_m"))
-    anns = F.transform(F.regexp_extract_all(F.regexp_extract("_m", FIELD, 1), F.lit(ANNOTATION), 0), lambda a: F.struct(
+    is_enum, is_transient, visibility, annotations ARRAY<STRUCT<name,key,value>>)``. A field
+    belongs to the type whose braces it stands in directly, so locals are none; static
+    fields are left out; ``is_enum`` says that the file declares the field's type as an enum."""
+    t = tokenised(texts, text_col).select(
+        *keys, "_pieces", F.regexp_extract_all("_masked", F.lit(r"\benum\s+(\w+)"), F.lit(1)).alias("_enums"),
+        F.inline(_type_bodies(F.col("_masked"))))
+    f = t.select(*keys, "_pieces", "_enums", "class", F.explode(F.regexp_extract_all("text", F.lit(FIELD), F.lit(0))).alias("_m"))
+    anns = F.transform(F.regexp_extract_all(F.regexp_extract("_m", FIELD, 1), F.lit(ANNOTATION), F.lit(0)), lambda a: F.struct(
         F.regexp_extract(a, ANNOTATION, 1).alias("name"),
         F.when(F.regexp_extract(a, ANNOTATION, 2).contains("="),
                F.trim(F.regexp_extract(a, r"\(\s*(\w+)\s*=", 1))).alias("key"),
-        F.regexp_extract(F.regexp_extract(a, ANNOTATION, 2), r"(?:=\s*)?\"?([^\")]*)\"?\s*$", 1).alias("value")))
-    mods = F.regexp_extract("_m", FIELD, 3)
-    targs = F.regexp_extract("_m", FIELD, 5)
-    return f.select(*keys, "class", F.regexp_extract("_m", FIELD, 6).alias("field"),
-                    F.regexp_extract("_m", FIELD, 4).alias("type"),
-                    F.when(targs == "", F.array().cast("array<string>"))
-                    .otherwise(F.transform(F.split(targs, ","), lambda a: F.trim(a))).alias("type_args"),
-                    F.lit(False).alias("is_enum"),
-                    F.col("_m").rlike(r"(^|\s)transient\s").alias("is_transient"),
-                    F.coalesce(F.nullif(F.regexp_extract("_m", FIELD, 2), F.lit("")), F.lit("default")).alias("visibility"),
-                    anns.alias("annotations")) \
-        .filter(~mods.contains("static"))
+        F.coalesce(_literal(F.regexp_extract(a, r'"(\d+)"', 1)),
+                   F.regexp_extract(F.regexp_extract(a, ANNOTATION, 2), r"(?:=\s*)?([^\")=]*)\s*$", 1)).alias("value")))
+    targs, kind = F.regexp_extract("_m", FIELD, 5), F.regexp_extract("_m", FIELD, 4)
+    return f.filter(~kind.isin(*NO_TYPE) & ~F.rlike(F.regexp_extract("_m", FIELD, 3), F.lit(r"\bstatic\b"))).select(
+        *keys, "class", F.regexp_extract("_m", FIELD, 6).alias("field"), kind.alias("type"),
+        F.when(targs == "", F.array().cast("array<string>"))
+        .otherwise(F.transform(F.split(targs, ",(?![^<]*>)"), lambda a: F.trim(a))).alias("type_args"),
+        F.array_contains("_enums", kind).alias("is_enum"),
+        F.rlike(F.regexp_extract("_m", FIELD, 3), F.lit(r"\btransient\b")).alias("is_transient"),
+        F.coalesce(F.nullif(F.regexp_extract("_m", FIELD, 2), F.lit("")), F.lit("default")).alias("visibility"),
+        anns.alias("annotations"))
+
+
+def extract_enums(texts: DataFrame, text_col: str = "content", project_col: str = "project") -> DataFrame:
+    """``(project, class)`` of every enum declared in the texts (input of J6)."""
+    return tokenised(texts, text_col).select(F.col(project_col).alias("project"), F.explode(
+        F.regexp_extract_all("_masked", F.lit(r"\benum\s+(\w+)"), F.lit(1))).alias("class")).distinct()
 
 
 CLASS_DECL = r"^\s*(?:(?:public|protected|private|abstract|final|static)\s+)*(?:class|interface|enum)\s+(\w+)"

@@ -28,6 +28,8 @@ GSON_LIBRARY = "com.google.code.gson"
 def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFrame | None = None,
                    max_depth: int | None = None) -> dict[str, DataFrame]:
     """``corpus(project, path, content)`` (and optional build files) -> results."""
+    # comments, literals and code are told apart once, for all extractors
+    corpus = write_table(facts.tokenised(corpus))
     # literals feed both the URL and the JSON branch: extracted once, written once
     lits = write_table(facts.extract_literals(corpus))
     text = enc.unescape_java(F.col("literal"))
@@ -54,7 +56,7 @@ def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFram
     body_types = routes.select("project", F.explode("params").alias("p")) \
         .filter(F.col("p.ann") == "Body").select("project", F.regexp_replace("p.type", r"<.*$", "").alias("class")) \
         .distinct()
-    class_models = jsonmodel.schema_from_fields(fields_tbl, body_types, max_depth=max_depth) \
+    class_models = jsonmodel.schema_from_fields(fields_tbl, body_types, max_depth=max_depth, enums=facts.extract_enums(corpus)) \
         .select("project", F.col("class").alias("model_id"), F.col("skeleton").alias("canonical"),
                 F.lit(GSON_LIBRARY).alias("library"))
     models = text_models.select("project", "model_id", "canonical", "library").unionByName(class_models)

@@ -429,25 +429,29 @@ def _n_args(x: str) -> str:
     return f"CASE WHEN trim({x}) = '' THEN 0 ELSE len(string_split({x}, ',')) END"
 
 
+# The pages hold no comments and no calls inside arguments: plain patterns say the same there.
+_CREATION = r"new\s+([A-Za-z_][\w.]*)\s*(?:<[^<>()]*>)?\s*\(([^()]*)\)?"
+_CALL = r"(?:([A-Za-z_][\w]*(?:\(\))?)\s*\.\s*)?([a-z_][\w]*)\s*\(([^()]*)\)?"
+
 CALLS = r"""
 l0 AS (SELECT page_id, string_split(html, chr(10)) AS ls FROM pages),
 l1 AS (SELECT page_id, unnest(ls) AS lt, generate_subscripts(ls, 1) - 1 AS line FROM l0),
-c0 AS (SELECT page_id, line, regexp_extract_all(lt, '""" + _facts.CREATION + r"""') AS cm,
-              regexp_extract_all(lt, '""" + _facts.CALL + r"""') AS km,
+c0 AS (SELECT page_id, line, regexp_extract_all(lt, '""" + _CREATION + r"""') AS cm,
+              regexp_extract_all(lt, '""" + _CALL + r"""') AS km,
               regexp_extract_all(lt, '""" + _facts.CAST + r"""') AS sm FROM l1),
 cr AS (SELECT page_id, line, unnest(cm) AS m, generate_subscripts(cm, 1) - 1 AS pos FROM c0),
 ca AS (SELECT page_id, line, unnest(km) AS m, generate_subscripts(km, 1) - 1 AS pos FROM c0),
 cs AS (SELECT page_id, line, unnest(sm) AS m, generate_subscripts(sm, 1) - 1 AS pos FROM c0),
 calls AS (
   SELECT page_id, line, pos, 'creation' AS kind,
-         string_split(regexp_extract(m, '""" + _facts.CREATION + r"""', 1), '.')[-1] AS name,
-         CAST(NULL AS VARCHAR) AS scope, """ + _n_args("regexp_extract(m, '" + _facts.CREATION + "', 2)") + r""" AS n_args
+         string_split(regexp_extract(m, '""" + _CREATION + r"""', 1), '.')[-1] AS name,
+         CAST(NULL AS VARCHAR) AS scope, """ + _n_args("regexp_extract(m, '" + _CREATION + "', 2)") + r""" AS n_args
   FROM cr
   UNION ALL
-  SELECT page_id, line, pos, 'call', regexp_extract(m, '""" + _facts.CALL + r"""', 2),
-         nullif(regexp_extract(m, '""" + _facts.CALL + r"""', 1), ''),
-         """ + _n_args("regexp_extract(m, '" + _facts.CALL + "', 3)") + r"""
-  FROM ca WHERE regexp_extract(m, '""" + _facts.CALL + r"""', 2) NOT IN """ + _CALL_KEYWORDS + r"""
+  SELECT page_id, line, pos, 'call', regexp_extract(m, '""" + _CALL + r"""', 2),
+         nullif(regexp_extract(m, '""" + _CALL + r"""', 1), ''),
+         """ + _n_args("regexp_extract(m, '" + _CALL + "', 3)") + r"""
+  FROM ca WHERE regexp_extract(m, '""" + _CALL + r"""', 2) NOT IN """ + _CALL_KEYWORDS + r"""
   UNION ALL
   SELECT page_id, line, pos, 'cast', string_split(regexp_extract(m, '""" + _facts.CAST + r"""', 1), '.')[-1],
          nullif(regexp_extract(m, '""" + _facts.CAST + r"""', 2), ''), 0

@@ -10,6 +10,7 @@ from apiatlas.plans.analysis import analyze_projects
 
 NET = '''package app.net;
 import okhttp3.OkHttpClient;
+import java.net.URLConnection;
 public class Net {
     public static final String BASE = "https://someapi.com/some/endpoint";
     private String body = "{\\"jstestkey1\\":\\"testvalue1\\"}";
