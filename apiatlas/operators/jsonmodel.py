@@ -194,17 +194,24 @@ def fold_json_puts(puts: DataFrame) -> DataFrame:
     (key NULL) appends to an array in ``pos`` order. ``null`` text becomes JSON
     null and values are typed by ``value_type`` (int / number / boolean /
     string / json). With ``is_new``, a re-assignment starts a new document: each put
-    belongs to the nearest ``is_new`` put at or before it, found through an
-    equi-join with those few marker rows of its object (no per-object window).
+    belongs to the nearest ``is_new`` put at or before it. The puts are range-partitioned on
+    (object, pos); each partition takes its own running marker, and the last marker
+    of an object's earlier partitions is carried in, so no object is one task.
     Output ``(project, object, doc_no, n_keys, doc)``; ``doc_no`` is the
     position of the document's first put (0 before any re-assignment).
     """
     if "is_new" in puts.columns:
-        markers = puts.filter(F.col("is_new")).select("project", "object", F.col("pos").alias("_mpos"))
-        sect = puts.join(markers, ["project", "object"], "left") \
-            .groupBy(*[c for c in puts.columns]).agg(
-                F.max(F.when(F.col("_mpos") <= F.col("pos"), F.col("_mpos"))).alias("doc_no"))
-        puts = sect.withColumn("doc_no", F.coalesce(F.col("doc_no").cast("string"), F.lit("0")))
+        from apiatlas.session import materialize, shuffle_partitions
+        own = ["project", "object"]
+        ranged = materialize(puts.repartitionByRange(shuffle_partitions(puts.sparkSession), *own, "pos")
+                             .withColumn("_pid", F.spark_partition_id()))
+        marker = F.max(F.when(F.col("is_new"), F.col("pos")))
+        last = ranged.groupBy("_pid", *own).agg(marker.alias("_last"))
+        carry = last.withColumn("_carry", F.max("_last").over(
+            Window.partitionBy(*own).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+        here = marker.over(Window.partitionBy("_pid", *own).orderBy("pos"))
+        puts = ranged.withColumn("_here", here).join(carry, ["_pid", *own]) \
+            .withColumn("doc_no", F.coalesce(F.coalesce("_here", "_carry").cast("string"), F.lit("0"))).drop("_pid", "_here", "_carry")
     else:
         puts = puts.withColumn("doc_no", F.lit("0"))
     keys = ["project", "object", "doc_no"]

@@ -20,20 +20,42 @@ def fill_placeholders(df: DataFrame, cols: list[str]) -> DataFrame:
     return df
 
 
+#: Buckets a project's variables are dealt to, so that one project's pairs meet in many tasks.
+NAME_BUCKETS = 16
+
+
+def _similarity_bound(a: Column, b: Column) -> Column:
+    """A number that the Jaro-Winkler similarity of two names never exceeds: the characters of
+    one that occur in the other bound the matches, and the prefix bonus needs an equal first
+    character."""
+    held = lambda x, y: F.size(F.filter(F.split(x, ""), lambda c: F.contains(y, c)))
+    la, lb = F.length(a), F.length(b)
+    m = F.least(held(a, b), held(b, a), la, lb)
+    jaro = F.when(m > 0, (m / la + m / lb + 1) / 3).otherwise(F.lit(0.0))
+    return F.when(a == b, F.lit(1.0)).when(F.left(a, F.lit(1)) == F.left(b, F.lit(1)), jaro + 0.4 * (1 - jaro)).otherwise(jaro)
+
+
 def most_similar_names(keys: DataFrame, string_vars: DataFrame) -> DataFrame:
     """Top-1 String variable per (project, key) by Jaro-Winkler, ties -> smallest name.
 
-    Distinct keys meet distinct variable names of the same project through an
-    equi-join on ``project`` (never a cross join); the score is one Arrow-batched
-    UDF call per pair batch, and the top-1 is a partial ``min_by`` aggregate.
-    Output ``(project, key, var_name, score, var_value)`` with the smallest value
-    of the chosen variable.
+    Distinct keys meet distinct variable names of the same project through an equi-join on
+    (project, bucket): variables are dealt to buckets, keys go to all of them, so a large
+    project is no single task. An upper bound computed in the JVM comes first: each key's most
+    promising name is scored, then only names whose bound reaches that score. The top-1
+    is a partial ``min_by`` aggregate. Output ``(project, key, var_name, score, var_value)``
+    with the smallest value of the chosen variable.
     """
-    k = keys.select("project", "key").distinct()
+    k = keys.select("project", "key").distinct() \
+        .withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(NAME_BUCKETS - 1))))
     v = string_vars.select("project", F.col("name").alias("var_name"),
-                           F.try_element_at(F.sort_array("values"), F.lit(1)).alias("var_value"))
-    pairs = k.join(v, "project").withColumn("score", jaro_winkler_udf("key", "var_name"))
-    best = pairs.groupBy("project", "key").agg(
+                           F.try_element_at(F.sort_array("values"), F.lit(1)).alias("var_value"),
+                           F.pmod(F.hash("name"), F.lit(NAME_BUCKETS)).alias("_bucket"))
+    pairs = k.join(v, ["project", "_bucket"]).withColumn("_bound", _similarity_bound(F.col("key"), F.col("var_name")))
+    first = pairs.groupBy("project", "key").agg(F.max_by("var_name", F.struct("_bound", "var_name")).alias("_first")) \
+        .withColumn("_least", jaro_winkler_udf("key", "_first")).drop("_first")
+    near = pairs.join(first, ["project", "key"]).filter(F.col("_bound") >= F.col("_least") - 1e-9) \
+        .withColumn("score", jaro_winkler_udf("key", "var_name"))
+    best = near.groupBy("project", "key").agg(
         F.min_by(F.struct("var_name", "score", "var_value"), F.struct((-F.col("score")).alias("s"), "var_name"))
         .alias("b"))
     return best.select("project", "key", "b.var_name", "b.score", "b.var_value")

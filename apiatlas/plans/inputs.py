@@ -204,3 +204,37 @@ def part_class_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("type_args"),
                     F.lit(False).alias("is_enum"), (F.col("b") == "Brand#1").alias("is_transient"),
                     ann.alias("annotations"))
+
+
+def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source file per part (project = p_brand): an import, a comment, a class with a
+    renamed field, a static one, a local, and an interface with one route."""
+    p = table(spark, sf_dir, "part")
+    n, name = F.col("p_partkey").cast("string"), F.regexp_replace("p_name", " ", "_")
+    lib = F.element_at(F.array(*[F.lit(x) for x in library_ids()]), (F.col("p_partkey") % len(library_ids()) + 1).cast("int"))
+    text = F.concat(
+        F.lit("package p;\nimport "), lib, F.lit(".X;\n// import java.net.Socket; String gone;\npublic class Part"), n,
+        F.lit(" {\n  static final int SIZE = "), F.col("p_size").cast("string"), F.lit(";\n  @SerializedName(\""), F.col("p_name"),
+        F.lit("\") private "), F.when(F.col("p_size") > 25, "int").otherwise("String"), F.lit(" "), name,
+        F.lit(";\n  void run() { String local = \"x\"; return; }\n}\ninterface Api"), n,
+        F.lit(" {\n  @GET(\"parts/{id}/"), F.lower("p_type"), F.lit("\")\n  Call<Part> get"), n,
+        F.lit("(@Path(\"id\") int id, @QueryMap Map<String, String> m, @Query(\"size\") "),
+        F.when(F.col("p_size") % 2 == 0, "Integer").otherwise("String"), F.lit(" size);\n}\n"))
+    return p.select(F.col("p_brand").alias("project"), F.concat(F.lit("Part"), n, F.lit(".java")).alias("path"), text.alias("content"))
+
+
+def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request chains: one per order, its line numbers as calls in order; line 2 names the URL
+    variable of the order, the others are verbs by their (smallest) return flag."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
+    call = F.when(F.col("l_linenumber") == 2, "url").when(F.col("l_returnflag") == "A", "post") \
+        .when(F.col("l_returnflag") == "R", "delete").otherwise("header")
+    return li.select(F.lit("tpch").alias("project"), F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("pos"),
+                     call.alias("call"), F.when(F.col("l_linenumber") == 2, F.concat(F.lit("b"), F.col("l_orderkey").cast("string"))).alias("arg"))
+
+
+def order_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL text of each order's builder."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.lit("tpch").alias("project"), F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("builder"),
+                    F.concat(F.lit("http://shop.com/c/"), F.col("o_custkey").cast("string")).alias("text"))

@@ -371,13 +371,15 @@ WITH t AS (
 SELECT p_partkey, text, """ + FILL.format(x="text") + r""" AS filled FROM t"""
 
 ORACLE["fuzzy_fill_queries"] = r"""
-WITH k AS (SELECT DISTINCT p_name AS key FROM part),
-v AS (SELECT p_type AS var_name, min(p_brand) AS var_value FROM part GROUP BY p_type),
-s AS (SELECT k.key, v.var_name, v.var_value,
-             row_number() OVER (PARTITION BY k.key
-                                ORDER BY jaro_winkler_similarity(k.key, v.var_name) DESC, v.var_name) AS rn
-      FROM k, v)
-SELECT 'tpch' AS project, key, var_name, var_value FROM s WHERE rn = 1"""
+WITH q AS (SELECT DISTINCT p_brand AS project, p_name AS key,
+                  CASE WHEN p_size % 3 = 0 THEN '<STRING>' WHEN p_size % 3 = 1 THEN '<INTEGER>' ELSE 'fixed' END AS value FROM part),
+v AS (SELECT p_brand AS project, p_type AS var_name, min(p_name) AS var_value FROM part GROUP BY p_brand, p_type),
+s AS (SELECT q.project, q.key, v.var_value,
+             row_number() OVER (PARTITION BY q.project, q.key
+                                ORDER BY jaro_winkler_similarity(q.key, v.var_name) DESC, v.var_name) AS rn
+      FROM (SELECT DISTINCT project, key FROM q) q JOIN v USING (project))
+SELECT q.project, q.key, CASE value WHEN '<STRING>' THEN s.var_value WHEN '<INTEGER>' THEN '0' ELSE value END AS value
+FROM q LEFT JOIN s ON s.project = q.project AND s.key = q.key AND s.rn = 1"""
 
 ORACLE["request_plan"] = "WITH " + PAGE_CAND + "," + DECOMPOSE + "," + CATALOG + "," + REBUILD + r""",
 bodies AS (SELECT DISTINCT project, '{"lang":"' || regexp_replace(library, '^lang:', '') || '"}' AS body FROM cand),
@@ -594,20 +596,43 @@ GROUP BY var, cur"""
 
 ORACLE["nest_json_values"] = r"""
 WITH lv AS (
-  SELECT user_id, event_type, value,
-         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+  SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type, value,
+         row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d'), event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
 ud AS (
-  SELECT user_id, count(*) AS n_keys,
+  SELECT user_id, day, count(*) AS n_keys,
          '{' || string_agg('"' || event_type || '":' || CAST(value AS VARCHAR), ',' ORDER BY event_type) || '}' AS doc
-  FROM lv WHERE rn = 1 GROUP BY user_id),
-tu AS (SELECT DISTINCT event_type, user_id FROM events),
-td AS (
-  SELECT 't_' || tu.event_type AS object, count(*) AS n_keys,
-         '{' || string_agg('"user_' || CAST(tu.user_id AS VARCHAR) || '":' || ud.doc, ','
-                           ORDER BY 'user_' || CAST(tu.user_id AS VARCHAR)) || '}' AS doc
-  FROM tu JOIN ud ON ud.user_id = tu.user_id GROUP BY tu.event_type)
-SELECT 'events' AS project, 'u' || CAST(user_id AS VARCHAR) AS object, n_keys, doc FROM ud
-UNION ALL SELECT 'events', object, n_keys, doc FROM td"""
+  FROM lv WHERE rn = 1 GROUP BY user_id, day)
+SELECT 'events' AS project, 'u' || CAST(user_id AS VARCHAR) || '_' || day AS object, n_keys, doc FROM ud
+UNION ALL
+SELECT 'events', 'u' || CAST(user_id AS VARCHAR), count(*), '{' || string_agg('"' || day || '":' || doc, ',' ORDER BY day) || '}'
+FROM ud GROUP BY user_id"""
+
+ORACLE["fold_reassigned_puts"] = r"""
+WITH m AS (SELECT user_id, event_id, event_type, value,
+                  max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS mark FROM events),
+r AS (SELECT *, coalesce(CAST(mark AS VARCHAR), '0') AS doc_no,
+             row_number() OVER (PARTITION BY user_id, mark, event_type ORDER BY event_id DESC) AS rn FROM m)
+SELECT 'events' AS project, user_id AS object, doc_no, count(*) AS n_keys,
+       '{' || string_agg('"' || event_type || '":' || CAST(value AS VARCHAR), ',' ORDER BY event_type) || '}' AS doc
+FROM r WHERE rn = 1 GROUP BY user_id, doc_no"""
+
+ORACLE["extract_routes"] = r"""
+SELECT p_brand AS project, 'Part' || p_partkey || '.java' AS path, 'Api' || p_partkey AS iface, 'get' || p_partkey AS method, 'GET' AS verb,
+       'parts/{id}/' || lower(p_type) AS template,
+       'Path:id:int:0;QueryMap::Map<String, String>:1;Query:size:' || CASE WHEN p_size % 2 = 0 THEN 'Integer' ELSE 'String' END || ':2' AS params
+FROM part"""
+
+ORACLE["extract_fields"] = r"""
+SELECT p_brand AS project, 'Part' || p_partkey || '.java' AS path, 'Part' || p_partkey AS class, replace(p_name, ' ', '_') AS field,
+       CASE WHEN p_size > 25 THEN 'int' ELSE 'String' END AS type, false AS is_transient, 'private' AS visibility, p_name AS renamed
+FROM part"""
+
+ORACLE["attach_http_method"] = r"""
+WITH c AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber),
+v AS (SELECT l_orderkey, arg_min(CASE flag WHEN 'A' THEN 'POST' ELSE 'DELETE' END, l_linenumber) AS verb FROM c
+      WHERE l_linenumber > 2 AND flag IN ('A', 'R') GROUP BY l_orderkey)
+SELECT 'tpch' AS project, 'b' || c.l_orderkey AS builder, c.l_orderkey AS request, 'http://shop.com/c/' || o.o_custkey AS text, v.verb
+FROM c JOIN orders o ON o.o_orderkey = c.l_orderkey LEFT JOIN v ON v.l_orderkey = c.l_orderkey WHERE c.l_linenumber = 2"""
 
 ORACLE["request_body_models"] = "WITH " + EVENT_MODELS + r"""
 SELECT project, canonical AS model, 'OkHttp' AS library, 'text' AS kind FROM models"""
@@ -689,3 +714,9 @@ fields AS (SELECT 'tpch' AS project, 'tpch#' || root AS model_id, path, parent_p
            FROM nodes),
 """ + _skeleton_levels(24) + r"""
 SELECT project, regexp_replace(model_id, '^[^#]*#', '') AS class, r AS skeleton FROM r0"""
+
+
+ORACLE["extract_imports"] = "WITH " + _libraries_values() + r""",
+i AS (SELECT p_brand AS project, 'Part' || p_partkey || '.java' AS path,
+             """ + _library_list() + r"""[p_partkey % """ + str(len(dims.LIBRARY_KEYWORDS)) + r""" + 1] || '.X' AS import FROM part)
+SELECT i.project, i.path, i.import, l.library FROM i JOIN libdim l ON contains(i.import, l.library)"""

@@ -274,11 +274,11 @@ def q_fill_placeholders(spark, sf):
 
 def q_fuzzy_fill_queries(spark, sf):
     p = I.table(spark, sf, "part")
-    keys = p.select(F.lit("tpch").alias("project"), F.col("p_name").alias("key")).distinct()
-    svars = p.groupBy(F.lit("tpch").alias("project"), F.col("p_type").alias("name")) \
-        .agg(F.sort_array(F.collect_set("p_brand")).alias("values"))
-    best = samples.most_similar_names(keys, svars)
-    return best.select("project", "key", "var_name", "var_value")
+    value = F.when(F.col("p_size") % 3 == 0, "<STRING>").when(F.col("p_size") % 3 == 1, "<INTEGER>").otherwise("fixed")
+    pairs = p.select(F.col("p_brand").alias("project"), F.col("p_name").alias("key"), value.alias("value")).distinct()
+    svars = p.groupBy(F.col("p_brand").alias("project"), F.col("p_type").alias("name")) \
+        .agg(F.sort_array(F.collect_set("p_name")).alias("values"))
+    return samples.fuzzy_fill_queries(pairs, svars).select("project", "key", "value")
 
 
 def q_request_plan(spark, sf):
@@ -323,6 +323,27 @@ def q_match_call_rules(spark, sf):
     return m.select("page_id", "line", "pos", "kind", "name", "library")
 
 
+def q_extract_routes(spark, sf):
+    r = facts.extract_routes(I.part_sources(spark, sf))
+    return r.select("project", "path", "iface", "method", "verb", "template", F.array_join(F.transform("params", lambda p: F.concat_ws(
+        ":", p["ann"], p["arg"], p["type"], p["pos"].cast("string"))), ";").alias("params"))
+
+
+def q_extract_fields(spark, sf):
+    f = facts.extract_fields(I.part_sources(spark, sf))
+    return f.select("project", "path", "class", "field", "type", "is_transient", "visibility",
+                    F.col("annotations")[0]["value"].alias("renamed"))
+
+
+def q_extract_imports(spark, sf):
+    return facts.extract_imports(I.part_sources(spark, sf), dims.library_dim(spark)).select("project", "path", "import", "library")
+
+
+def q_attach_http_method(spark, sf):
+    m = U.attach_http_method(I.order_requests(spark, sf), I.order_urls(spark, sf))
+    return m.select("project", "builder", "request", "text", "verb")
+
+
 def q_extract_dependencies(spark, sf):
     return libraries.extract_dependencies(I.part_build_files(spark, sf), dims.library_dim(spark))
 
@@ -411,18 +432,29 @@ def q_alias_through_params(spark, sf):
 
 # ------------------------------------------------------------------ more JSON
 def q_nest_json_values(spark, sf):
+    """Per user and day an object of that day's last values; per user one object of its days."""
     ev = I.table(spark, sf, "events")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(I.epoch_seconds(ev, "ts") / 86400).cast("int")).cast("string")
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    leaf = ev.select(F.lit("events").alias("project"), user.alias("object"), F.struct("ts", "event_id").alias("pos"),
+    inner = F.concat_ws("_", user, day)
+    leaf = ev.select(F.lit("events").alias("project"), inner.alias("object"), F.struct("ts", "event_id").alias("pos"),
                      F.col("event_type").alias("key"), F.col("value").cast("string").alias("value"),
                      F.lit("number").alias("value_type"))
-    refs = ev.select(F.lit("events").alias("project"), F.concat(F.lit("t_"), F.col("event_type")).alias("object"),
-                     F.struct("ts", "event_id").alias("pos"), F.concat(F.lit("user_"), F.col("user_id").cast("string"))
-                     .alias("key"), user.alias("value"), F.lit("object").alias("value_type"))
+    refs = ev.select(F.lit("events").alias("project"), user.alias("object"), F.struct("ts", "event_id").alias("pos"),
+                     day.alias("key"), inner.alias("value"), F.lit("object").alias("value_type"))
     return jsonmodel.nest_json_values(leaf.unionByName(refs)).select(
         "project", "object", F.col("n_keys").cast("long").alias("n_keys"), "doc")
 
 
+def q_fold_reassigned_puts(spark, sf):
+    """J4s: an error event starts a user's document anew."""
+    ev = I.table(spark, sf, "events")
+    puts = ev.select(F.lit("events").alias("project"), F.col("user_id").alias("object"), F.col("event_id").alias("pos"),
+                     F.col("event_type").alias("key"), F.col("value").cast("string").alias("value"), F.lit("number").alias("value_type"),
+                     (F.col("event_type") == "error").alias("is_new"))
+    return jsonmodel.fold_json_puts(puts).select("project", "object", "doc_no", "n_keys", "doc")
+
+
 def q_schema_from_fields(spark, sf):
     cf = I.part_class_fields(spark, sf)
     roots = cf.select("project", "class").distinct()
@@ -478,6 +510,11 @@ QUERIES: dict[str, Query] = {
     "project_counters": q_project_counters,
     "project_summary": q_project_summary,
     "extract_calls": q_extract_calls,
+    "extract_routes": q_extract_routes,
+    "extract_fields": q_extract_fields,
+    "extract_imports": q_extract_imports,
+    "attach_http_method": q_attach_http_method,
+    "fold_reassigned_puts": q_fold_reassigned_puts,
     "match_call_rules": q_match_call_rules,
     "extract_dependencies": q_extract_dependencies,
     "match_available_version": q_match_available_version,
