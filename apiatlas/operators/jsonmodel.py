@@ -429,6 +429,32 @@ def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int
     return sk.select("project", F.regexp_replace("model_id", r"^[^#]*#", "").alias("class"), "skeleton")
 
 
+# --------------------------------------------------------------------------- J6c
+GSON, MOSHI = "com.google.code.gson", "com.squareup.moshi"
+# Types of the scope of a serializer call, and converter factories of route builders.
+SERIALIZER_TYPES = {"com.google.gson.Gson": GSON, "Gson": GSON, "com.google.gson.GsonBuilder": GSON, "GsonBuilder": GSON,
+                    "com.squareup.moshi.JsonAdapter": MOSHI, "JsonAdapter": MOSHI, "com.squareup.moshi.Moshi": MOSHI, "Moshi": MOSHI}
+CONVERTER_FACTORIES = {"GsonConverterFactory": GSON, "MoshiConverterFactory": MOSHI}
+
+
+def converter_libraries(builder_calls: DataFrame) -> DataFrame:
+    """``builder_calls(project, client, pos, call, arg_scope)`` -> ``(project, client,
+    library)``: the serializer of the client's last ``addConverterFactory`` call with a known
+    factory; clients without one have no row."""
+    library = F.when(F.col("call") == "addConverterFactory", _lookup(CONVERTER_FACTORIES, F.col("arg_scope")))
+    return builder_calls.select("project", "client", "pos", library.alias("library")).filter("library IS NOT NULL") \
+        .groupBy("project", "client").agg(F.max_by("library", "pos").alias("library"))
+
+
+def serializer_models(calls: DataFrame, class_fields: DataFrame, enums: DataFrame | None = None) -> DataFrame:
+    """J6 with J6c: ``calls(project, class, scope_type)`` of serializers -> ``(project, class,
+    library, skeleton)``, one row per class and library; calls on other types are left out."""
+    tagged = calls.select("project", "class", _lookup(SERIALIZER_TYPES, F.col("scope_type")).alias("library")) \
+        .filter("library IS NOT NULL").distinct()
+    schemas = schema_from_fields(class_fields, tagged.select("project", "class").distinct(), enums=enums)
+    return tagged.join(schemas, ["project", "class"]).select("project", "class", "library", "skeleton")
+
+
 # --------------------------------------------------------------------------- J7
 def request_body_models(body_texts: DataFrame, body_routes: DataFrame | None = None,
                         class_fields: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:

@@ -21,8 +21,11 @@ from apiatlas.plans import dims
 from apiatlas.session import write_table
 from apiatlas.sources import readers, sinks
 
+# a statement that sets a base URL, and a converter factory in it
 BASE_URL_CALL = r'baseUrl\(\s*"([^"]*)"\s*\)'
-GSON_LIBRARY = "com.google.code.gson"
+BASE_URL_STATEMENT = r'[^;{}]*baseUrl\(\s*"[^"]*"\s*\)[^;{}]*'
+CONVERTER = r"addConverterFactory\(\s*(\w+)"
+GSON_LIBRARY = jsonmodel.GSON
 
 
 def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFrame | None = None,
@@ -41,8 +44,14 @@ def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFram
     # annotated routes joined with the base URLs set on the builders of the same project
     routes = facts.extract_routes(corpus).withColumn("client", F.col("project")) \
         .withColumn("ord", F.struct("path", F.lit(0).alias("line"), F.lit(0).alias("pos")))
-    bases = corpus.select("project", F.explode(F.regexp_extract_all("content", F.lit(BASE_URL_CALL), 1)).alias("url")) \
-        .distinct().withColumn("client", F.col("project")).withColumn("converter", F.lit(None).cast("string"))
+    builders = corpus.select("project", F.col("project").alias("client"), F.explode(
+        F.regexp_extract_all("_code", F.lit(BASE_URL_STATEMENT), F.lit(0))).alias("text"))
+    bases = builders.select("project", "client", F.regexp_extract("text", BASE_URL_CALL, 1).alias("url")).distinct()
+    # a project's routes are not tied to one builder: they serialise with every converter that it sets
+    factories = builders.select("project", F.explode(F.regexp_extract_all("text", F.lit(CONVERTER), F.lit(1))).alias("arg_scope"))
+    converters = jsonmodel.converter_libraries(factories.select(
+        "project", F.col("arg_scope").alias("client"), F.lit(0).alias("pos"), F.lit("addConverterFactory").alias("call"), "arg_scope")) \
+        .select("project", "library").distinct()
     route_cands = U.join_base_urls(U.expand_routes(routes), bases).select(
         "project", "path", F.lit(0).alias("line"), "library", "text", "ord", "verb")
     candidates = url_cands.unionByName(route_cands)
@@ -57,8 +66,9 @@ def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFram
         .filter(F.col("p.ann") == "Body").select("project", F.regexp_replace("p.type", r"<.*$", "").alias("class")) \
         .distinct()
     class_models = jsonmodel.schema_from_fields(fields_tbl, body_types, max_depth=max_depth, enums=facts.extract_enums(corpus)) \
+        .join(converters, "project", "left") \
         .select("project", F.col("class").alias("model_id"), F.col("skeleton").alias("canonical"),
-                F.lit(GSON_LIBRARY).alias("library"))
+                F.coalesce("library", F.lit(GSON_LIBRARY)).alias("library"))
     models = text_models.select("project", "model_id", "canonical", "library").unionByName(class_models)
 
     string_vars = facts.collect_string_vars(corpus)
@@ -105,7 +115,7 @@ def analyze_projects(spark: SparkSession, root: str, out_dir: str | None = None,
         "ord", F.struct("path"))
     res = analyze_corpus(spark, corpus, builds, max_depth)
     if out_dir:
-        text_models = res["models"].filter(F.col("library") != GSON_LIBRARY)
+        text_models = res["models"].filter(~F.col("library").isin(jsonmodel.GSON, jsonmodel.MOSHI))
         fields = samples.fuzzy_fill_json(jsonmodel.explode_json_fields(text_models), res["string_vars"])
         rendered = jsonmodel.json_skeleton(fields, both=True)
         report = sinks.build_report(urls=res["urls"], models=rendered, string_vars=res["string_vars"])

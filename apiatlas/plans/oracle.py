@@ -720,3 +720,21 @@ ORACLE["extract_imports"] = "WITH " + _libraries_values() + r""",
 i AS (SELECT p_brand AS project, 'Part' || p_partkey || '.java' AS path,
              """ + _library_list() + r"""[p_partkey % """ + str(len(dims.LIBRARY_KEYWORDS)) + r""" + 1] || '.X' AS import FROM part)
 SELECT i.project, i.path, i.import, l.library FROM i JOIN libdim l ON contains(i.import, l.library)"""
+
+
+ORACLE["converter_libraries"] = r"""
+WITH c AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT 'tpch' AS project, l_orderkey AS client,
+       arg_max(CASE flag WHEN 'A' THEN 'com.google.code.gson' ELSE 'com.squareup.moshi' END, l_linenumber) AS library
+FROM c WHERE l_linenumber % 4 <> 0 AND flag IN ('A', 'R') GROUP BY l_orderkey"""
+
+ORACLE["serializer_models"] = r"""
+WITH t AS (SELECT DISTINCT upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS class,
+                  CASE p_size % 5 WHEN 0 THEN 'com.google.code.gson' ELSE 'com.squareup.moshi' END AS library
+           FROM part WHERE p_size % 5 IN (0, 1))
+SELECT s.project, s.class, t.library, s.skeleton FROM (""" + ORACLE["schema_from_fields"] + r""") s JOIN t ON t.class = s.class"""
+
+ORACLE["request_body_class_models"] = r"""
+SELECT project, model, library, kind FROM (""" + ORACLE["request_body_models"] + r""")
+UNION ALL
+SELECT project, skeleton, 'com.squareup.moshi', 'class' FROM (""" + ORACLE["schema_from_fields"] + ")"

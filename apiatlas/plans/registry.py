@@ -461,6 +461,34 @@ def q_schema_from_fields(spark, sf):
     return jsonmodel.schema_from_fields(cf, roots)
 
 
+def q_converter_libraries(spark, sf):
+    li = I.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
+    calls = li.select(F.lit("tpch").alias("project"), F.col("l_orderkey").alias("client"), F.col("l_linenumber").alias("pos"),
+                      F.when(F.col("l_linenumber") % 4 == 0, "baseUrl").otherwise("addConverterFactory").alias("call"),
+                      F.when(F.col("flag") == "A", "GsonConverterFactory").when(F.col("flag") == "R", "MoshiConverterFactory")
+                      .otherwise("ScalarsConverterFactory").alias("arg_scope"))
+    return jsonmodel.converter_libraries(calls)
+
+
+def _part_serializer_calls(spark, sf):
+    p = I.table(spark, sf, "part")
+    scope = F.when(F.col("p_size") % 5 == 0, "Gson").when(F.col("p_size") % 5 == 1, "com.squareup.moshi.Moshi").otherwise("Parcel")
+    return p.filter(F.col("p_type").isNotNull()).select(F.lit("tpch").alias("project"), F.initcap(F.lower("p_type")).alias("class"),
+                                                        scope.alias("scope_type"))
+
+
+def q_serializer_models(spark, sf):
+    return jsonmodel.serializer_models(_part_serializer_calls(spark, sf), I.part_class_fields(spark, sf))
+
+
+def q_request_body_class_models(spark, sf):
+    """J7 with both branches: body texts and the classes of body parameters."""
+    cands = I.event_candidates(spark, sf).select("project", "path", "text", "ord")
+    types = I.table(spark, sf, "part").select(F.lit("tpch").alias("project"), F.initcap(F.lower("p_type")).alias("type"),
+                                              F.lit(jsonmodel.MOSHI).alias("library")).distinct()
+    return jsonmodel.request_body_models(cands, types, I.part_class_fields(spark, sf))
+
+
 def q_request_body_models(spark, sf):
     cands = I.event_candidates(spark, sf).select("project", "path", "text", "ord")
     return jsonmodel.request_body_models(cands)
@@ -511,6 +539,9 @@ QUERIES: dict[str, Query] = {
     "project_summary": q_project_summary,
     "extract_calls": q_extract_calls,
     "extract_routes": q_extract_routes,
+    "converter_libraries": q_converter_libraries,
+    "serializer_models": q_serializer_models,
+    "request_body_class_models": q_request_body_class_models,
     "extract_fields": q_extract_fields,
     "extract_imports": q_extract_imports,
     "attach_http_method": q_attach_http_method,
