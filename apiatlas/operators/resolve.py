@@ -220,3 +220,58 @@ def alias_through_params(edges: DataFrame, max_depth: int | None = None) -> Data
             .select("project", F.col("m.cur").alias("cur"), "start", F.col("m.depth").alias("depth"))
         roots = roots.select("project", "cur", "start", "depth").union(looped)
     return roots.select("project", F.col("start").alias("var"), F.col("cur").alias("root"), "depth")
+
+
+# --------------------------------------------------------------------------- R1-R7 and R11 together
+def resolve_values(exprs: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
+    """All values of expressions through any mix of the rules above.
+
+    ``exprs(project, expr_id, kind, value, declared_type)`` with kind ``literal`` (its value),
+    ``concat`` (its parts), or anything else, which stands for what it is linked to;
+    ``links(project, use_id, def_id)`` unites the results of R1-R5; ``parts(project, expr_id,
+    pos, part_id)`` are the operands of concatenations, in order.
+
+    Links are followed to their ends (``reach``): literals, concatenations, and expressions
+    without any link, which become the placeholder of their declared type (R11) or have no
+    value. Concatenations nest to any depth: each round expands those whose operands lead to
+    finished ones only, and the rounds end when none becomes ready; a concatenation that
+    needs itself, or an operand without value, has no value. Output
+    ``(project, expr_id, value)``, one row per value.
+    """
+    key = ["project", "expr_id"]
+    edges = links.select("project", F.col("use_id").alias("cur"), F.col("def_id").alias("nxt"))
+    starts = exprs.select("project", F.col("expr_id").alias("start"), F.col("expr_id").alias("cur"))
+    concats = exprs.filter(F.col("kind") == "concat").select(*key)
+    ends = reach(starts, edges).select("project", F.col("start").alias("expr_id"), F.col("cur").alias("end"))
+    linked = links.select("project", F.col("use_id").alias("expr_id")).distinct()
+    plain = exprs.filter(F.col("kind") == "literal").select(*key, "value").union(
+        exprs.filter(~F.col("kind").isin("literal", "concat")).join(linked, key, "left_anti")
+        .select(*key, type_placeholder(F.col("declared_type")).alias("value"))).filter("value IS NOT NULL")
+
+    values = RoundTable(exprs.sparkSession)
+    values.add(plain.distinct())
+    ends = write_table(ends)
+    operands = write_table(parts.join(concats, key, "left_semi"))
+    # the concatenations that a concatenation needs, once each
+    needs = write_table(operands.join(ends.withColumnsRenamed({"expr_id": "part_id"}), ["project", "part_id"])
+                        .join(concats.withColumnRenamed("expr_id", "end"), ["project", "end"], "left_semi")
+                        .select(*key, "end").distinct())
+    finished, pending = RoundTable(exprs.sparkSession), concats
+    while True:
+        if finished.rounds:
+            open_needs = needs.join(finished.all().select("project", F.col("expr_id").alias("end")), ["project", "end"], "left_anti")
+            pending = concats.join(finished.all(), key, "left_anti")
+        else:
+            open_needs = needs
+        ready = finished.add(pending.join(open_needs, key, "left_anti").select(*key))
+        if ready.isEmpty():
+            break
+        rows = operands.join(ready.select(*key), key, "left_semi")
+        found = ends.join(values.all().select("project", F.col("expr_id").alias("end"), "value"), ["project", "end"])
+        resolved = rows.select("project", "part_id").distinct().join(
+            found.select("project", F.col("expr_id").alias("part_id"), "value"), ["project", "part_id"]) \
+            .groupBy("project", F.col("part_id").alias("ref")).agg(F.array_sort(F.collect_set("value")).alias("alternatives"))
+        values.add(expand_concat(rows.select(*key, "pos", F.lit("ref").alias("part_kind"), F.lit(None).cast("string").alias("literal"),
+                                             F.col("part_id").alias("ref")), resolved).select(*key, "value").distinct())
+    every = values.all().select("project", F.col("expr_id").alias("end"), "value")
+    return ends.join(every, ["project", "end"]).select(*key, "value").distinct()

@@ -738,3 +738,9 @@ ORACLE["request_body_class_models"] = r"""
 SELECT project, model, library, kind FROM (""" + ORACLE["request_body_models"] + r""")
 UNION ALL
 SELECT project, skeleton, 'com.squareup.moshi', 'class' FROM (""" + ORACLE["schema_from_fields"] + ")"
+
+
+ORACLE["resolve_values"] = r"""
+SELECT DISTINCT 'tpch' AS project, 'url' || o_orderkey AS expr_id,
+       'http://' || lower(n_name) || '/c' || c_custkey || CASE WHEN o_orderkey % 3 = 0 THEN '<INTEGER>' ELSE '<STRING>' END AS value
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 3 IN (0, 1)"""

@@ -225,6 +225,26 @@ def q_resolve_iterative(spark, sf):
     return resolve.resolve_iterative(starts, defs)
 
 
+def q_resolve_values(spark, sf):
+    """URLs of orders: base of the customer's nation + path of the customer + the order's query."""
+    c, o, n = (I.table(spark, sf, t) for t in ("customer", "orders", "nation"))
+    i = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
+    none = F.lit(None).cast("string")
+    rows = lambda df, e, kind, value=none, typ=none: df.select(
+        F.lit("tpch").alias("project"), e.alias("expr_id"), F.lit(kind).alias("kind"), value.alias("value"), typ.alias("declared_type"))
+    exprs = rows(n, i("n", "n_nationkey"), "literal", F.concat(F.lit("http://"), F.lower("n_name"), F.lit("/"))) \
+        .union(rows(c, i("base", "c_custkey"), "name")).union(rows(c, i("path", "c_custkey"), "concat")) \
+        .union(rows(c, i("lit", "c_custkey"), "literal", i("c", "c_custkey"))).union(rows(o, i("url", "o_orderkey"), "concat")) \
+        .union(rows(o, i("q", "o_orderkey"), "param", none, F.when(F.col("o_orderkey") % 3 == 0, "int").when(F.col("o_orderkey") % 3 == 1, "String")))
+    link = lambda df, a, b: df.select(F.lit("tpch").alias("project"), a.alias("use_id"), b.alias("def_id"))
+    links = link(c, i("base", "c_custkey"), i("n", "c_nationkey"))
+    part = lambda df, e, pos, p: df.select(F.lit("tpch").alias("project"), e.alias("expr_id"), F.lit(pos).alias("pos"), p.alias("part_id"))
+    parts = part(c, i("path", "c_custkey"), 0, i("base", "c_custkey")).union(part(c, i("path", "c_custkey"), 1, i("lit", "c_custkey"))) \
+        .union(part(o, i("url", "o_orderkey"), 0, i("path", "o_custkey"))).union(part(o, i("url", "o_orderkey"), 1, i("q", "o_orderkey")))
+    out = resolve.resolve_values(exprs, links, parts)
+    return out.join(o.select(i("url", "o_orderkey").alias("expr_id")), "expr_id", "left_semi")
+
+
 # ------------------------------------------------------------------ JSON
 def _event_models(spark, sf):
     return jsonmodel.build_json_models(I.event_candidates(spark, sf))
@@ -525,6 +545,7 @@ QUERIES: dict[str, Query] = {
     "resolve_field": q_resolve_field,
     "resolve_param": q_resolve_param,
     "resolve_iterative": q_resolve_iterative,
+    "resolve_values": q_resolve_values,
     "build_json_models": q_build_json_models,
     "explode_json_fields": q_explode_json_fields,
     "field_usage": q_field_usage,
