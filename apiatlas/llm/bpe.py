@@ -69,25 +69,31 @@ def split_symbols(token: str) -> list[str]:
 
 
 class Memo(dict):
-    """Remembers ``make(key)`` for keys up to 64 characters; emptied at ``limit`` entries."""
+    """Remembers ``make(key)`` for keys up to 64 characters, in two generations of ``limit``
+    entries: when the young one is full it becomes the old one, and what is asked for again
+    comes back from there. So frequent words stay and memory is bounded."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
 class Codec:
     """Encoder and decoder over one vocabulary. ``remember`` bounds each memo."""
 
-    def __init__(self, spec: dict, remember: int = 100_000):
+    def __init__(self, spec: dict, remember: int = 220_000):
         self.vocab = spec["vocab"]
         self.ranks: dict = {}
         for rank, (left, right) in enumerate(spec["merges"]):
@@ -162,8 +168,8 @@ class Codec:
         parts[-1] += END
         inside = self.inside
         cuts = [i for i, (a, b) in enumerate(zip(parts, parts[1:]), 1) if a not in inside or b not in inside[a]]
-        if not cuts:
-            return self.fragments["".join(parts)]
+        if not cuts:  # the pre-token itself is remembered
+            return self._merge("".join(parts))
         return b"".join(self.fragments["".join(parts[a:b])] for a, b in zip([0, *cuts], [*cuts, len(parts)]))
 
     def _chunk(self, chunk: str) -> bytes:
@@ -173,6 +179,8 @@ class Codec:
             norm = chunk.lower()
         else:  # the library lower-cases each character for itself: no final sigma
             norm = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
+        if norm.isalpha():  # one run of letters is one pre-token
+            return self.pretokens[norm]
         return b"".join(map(self.pretokens.__getitem__, self.pattern.findall(norm)))
 
     def encode(self, text: str) -> bytes:
