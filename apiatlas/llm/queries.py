@@ -101,6 +101,30 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE: dict[str, str] = {
+    "op8_embedding_near_dedup": '''
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b
+                  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach(u, w) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.u, l.w FROM reach r JOIN links l ON l.u = r.w),
+        comp AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u),
+        n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+        SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+        FROM v JOIN comp ON comp.u = v.vec_id LEFT JOIN n ON n.u = v.vec_id''',
+    "op10_ngram_jaccard_join": r'''
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                               'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3),
+                               lambda i: array_to_string(words[i:i + 4], ' ')) WHEN len(words) > 0 THEN [array_to_string(words, ' ')]
+                               ELSE [] END) AS toks FROM w),
+        t AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS tok FROM s),
+        common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+                   FROM t a JOIN t b ON a.tok = b.tok AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT u, v FROM common WHERE 100 * c >= 75 * (na + nb - c)),
+        reach(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+        comp AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+        SELECT s.doc_id, len(toks) AS n_shingles, component_id FROM s JOIN comp ON comp.u = s.doc_id''',
     "op9_line_dedup": r'''
         WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
         l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
