@@ -21,9 +21,11 @@ order. Orders only decide how much work there is, never which links are found.
 
 Cases: null or empty texts (or texts without words) have an empty set and link with
 nothing; texts of fewer than five words have one shingle, the whole sequence; repeated
-rows and equal texts fall in one component; rows with one doc_id count as one document
-with several texts; rows with a null doc_id get their set size, a null component and link
-with nothing; an empty table gives no rows; other columns pass through.
+rows and equal texts fall in one component; rows that share a doc_id but not the text count
+as one document, and which pairs are compared is judged by its largest text's size (a
+doc_id should name one text); rows with a null doc_id get their set size, a null component
+and link with nothing; an empty table gives no rows; other columns are not carried, but
+``keep_one_each`` keeps them.
 """
 
 from __future__ import annotations
