@@ -162,30 +162,32 @@ def extract_calls(texts: DataFrame, text_col: str = "content", keys=("project",
     lines = tokenised(texts, text_col).select(*keys, "_pieces", F.posexplode(F.split("_masked", "\n")).alias("line", "_l")) \
         .filter(F.contains("_l", F.lit("(")))
 
-    def found(pattern, kind, name_idx, scope_idx, with_args):
-        heads = F.regexp_extract_all("_l", F.lit(pattern), F.lit(0))
-        if not with_args:
-            return F.transform(heads, lambda h, i: F.struct(
-                F.lit(kind).alias("kind"), i.alias("pos"), F.substring_index(F.regexp_extract(h, pattern, name_idx), ".", -1).alias("name"),
-                F.regexp_extract(h, pattern, scope_idx).alias("scope"), F.lit("").alias("inner")))
-        tails = F.split("_l", pattern, -1)
-
+    # the heads of each kind and what stands between them, found once a line
+    lines = lines.select("*", F.regexp_extract_all("_l", F.lit(CREATION), F.lit(0)).alias("_new"),
+                         F.regexp_extract_all("_l", F.lit(CALL), F.lit(0)).alias("_call"),
+                         F.regexp_extract_all("_l", F.lit(CAST), F.lit(0)).alias("_cast")) \
+        .filter((F.size("_new") > 0) | (F.size("_call") > 0) | (F.size("_cast") > 0)) \
+        .select("*", F.split("_l", CREATION, -1).alias("_after_new"), F.split("_l", CALL, -1).alias("_after_call"))
+
+    def sites(heads, tails, pattern, kind, name_idx, scope_idx):
         def site(h, i):
             tail = F.get(tails, i + 1)
-            own = F.regexp_extract(tail, "^(" + _balanced(6) + r")\)", 1)
             # arguments that hold further heads: what follows, to the end of the line
             rest = F.concat(tail, F.array_join(F.zip_with(
                 F.slice(heads, i + 2, F.size(heads)), F.slice(tails, i + 3, F.size(tails)),
                 lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), ""))
-            inner = F.when(F.rlike(tail, F.lit("^" + _balanced(6) + r"\)")), own) \
+            inner = F.when(F.rlike(tail, F.lit("^" + _balanced(6) + r"\)")), F.regexp_extract(tail, "^(" + _balanced(6) + r")\)", 1)) \
                 .otherwise(F.regexp_extract(rest, "^(" + _balanced(6) + ")", 1))
             return F.struct(F.lit(kind).alias("kind"), i.alias("pos"),
                             F.substring_index(F.regexp_extract(h, pattern, name_idx), ".", -1).alias("name"),
                             (F.regexp_extract(h, pattern, scope_idx) if scope_idx else F.lit("")).alias("scope"), inner.alias("inner"))
         return F.transform(heads, site)
 
-    calls = F.filter(found(CALL, "call", 2, 1, True), lambda c: ~c["name"].isin(*NO_CALL))
-    every = F.concat(found(CREATION, "creation", 1, None, True), calls, found(CAST, "cast", 1, 2, False))
+    casts = F.transform("_cast", lambda h, i: F.struct(
+        F.lit("cast").alias("kind"), i.alias("pos"), F.substring_index(F.regexp_extract(h, CAST, 1), ".", -1).alias("name"),
+        F.regexp_extract(h, CAST, 2).alias("scope"), F.lit("").alias("inner")))
+    calls = F.filter(sites(F.col("_call"), F.col("_after_call"), CALL, "call", 2, 1), lambda c: ~c["name"].isin(*NO_CALL))
+    every = F.concat(sites(F.col("_new"), F.col("_after_new"), CREATION, "creation", 1, None), calls, casts)
     flat = F.regexp_replace("inner", NESTED, "()")
     args = F.when(F.trim("inner") == "", F.array().cast("array<string>")).otherwise(
         F.transform(F.split(flat, ","), lambda a: F.trim(unmasked(a))))
