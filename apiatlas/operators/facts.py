@@ -123,8 +123,8 @@ def keep_maximal_spans(spans: DataFrame, key: str = "path", start: str = "start"
 
 
 # ------------------------------------------------------------------ P3-P5
-CREATION = r"new\s+([A-Za-z_][\w.]*)\s*(?:<[^<>()]*>)?\s*\("
-CALL = r"(?:([A-Za-z_][\w]*(?:\(\))?)\s*\.\s*)?([a-z_][\w]*)\s*\("
+CREATION = r"\bnew\s+([A-Za-z_][\w.]*)\s*(?:<[^<>()]*>)?\s*\("
+CALL = r"(?:\b([A-Za-z_]\w*+(?:\(\))?)\s*\.\s*)?\b([a-z_]\w*+)\s*\("
 CAST = r"\(\s*([A-Z][\w.]*)\s*\)\s*(?:[\w.]+\s*\.\s*)?([a-z_][\w]*)\s*\("
 NO_CALL = ("if", "for", "while", "switch", "catch", "return", "new", "synchronized")
 

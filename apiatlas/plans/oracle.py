@@ -432,8 +432,8 @@ def _n_args(x: str) -> str:
 
 
 # The pages hold no comments and no calls inside arguments: plain patterns say the same there.
-_CREATION = r"new\s+([A-Za-z_][\w.]*)\s*(?:<[^<>()]*>)?\s*\(([^()]*)\)?"
-_CALL = r"(?:([A-Za-z_][\w]*(?:\(\))?)\s*\.\s*)?([a-z_][\w]*)\s*\(([^()]*)\)?"
+_CREATION = r"\bnew\s+([A-Za-z_][\w.]*)\s*(?:<[^<>()]*>)?\s*\(([^()]*)\)?"
+_CALL = r"(?:\b([A-Za-z_][\w]*(?:\(\))?)\s*\.\s*)?\b([a-z_][\w]*)\s*\(([^()]*)\)?"
 
 CALLS = r"""
 l0 AS (SELECT page_id, string_split(html, chr(10)) AS ls FROM pages),
