@@ -267,22 +267,28 @@ def can_link(c: str, a: str, b: str) -> str:
 def _cross_pairs(members: DataFrame) -> DataFrame:
     """Pairs of one list in different components that can still be similar. In each list the
     members of its largest component are not compared with each other; the others meet all
-    members. The lists' weights add up to all prefix tokens that a pair shares."""
+    members. The place of its first common token makes a pair a candidate; then all prefix
+    tokens that the candidates share are counted, whichever lists they stand in."""
     mixed = members.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("list")
     open_lists = write_table(members.join(mixed, "list"))
     largest = (open_lists.groupBy("list", "comp").agg(F.count("*").alias("k"))
                .groupBy("list").agg(F.max_by("comp", F.struct("k", "comp")).alias("top")))
-    # no pair shares more prefix tokens than the smaller of what its members share with anyone
-    share = open_lists.groupBy("doc").agg(F.sum("weight").alias("share"))
-    marked = open_lists.join(largest, "list").join(share, "doc").withColumn("inside", F.col("comp") == F.col("top"))
-    a = marked.filter("NOT inside").selectExpr("list", "weight", "doc AS a", "comp AS ca", "n AS na", "n - pos AS ra", "share AS sa")
-    b = marked.selectExpr("list", "doc AS b", "comp AS cb", "n AS nb", "n - pos AS rb", "share AS sb", "inside")
-    # the first token that a pair shares has all its other common tokens behind it, on both sides
+    # what a document shares with anyone: in the lists that begin before this one, and from this one on
+    own = Window.partitionBy("doc")
+    shares = open_lists.withColumn("before", F.coalesce(F.sum("weight").over(
+        own.orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("on", F.sum("weight").over(own) - F.col("before"))
+    marked = shares.join(largest, "list").withColumn("inside", F.col("comp") == F.col("top"))
+    a = marked.filter("NOT inside").selectExpr("list", "doc AS a", "comp AS ca", "n AS na", "n - pos AS ra", "before AS pa", "on AS oa")
+    b = marked.selectExpr("list", "doc AS b", "comp AS cb", "n AS nb", "n - pos AS rb", "before AS pb", "on AS ob", "inside")
+    # the first token that a pair shares has all its other common tokens behind it, on both sides;
+    # no pair shares more before a list, and from it on, than either member shares there with anyone
     met = a.join(b, "list").filter(f"ca != cb AND (inside OR a < b) AND {NUM + DEN} * least(ra, rb) >= {NUM} * (na + nb) "
-                                   f"AND {can_link('least(sa, sb)', 'na', 'nb')}")
-    return (met.groupBy(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-            .agg(F.sum("weight").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-            .filter(can_link("c", "na", "nb")).select("u", "v"))
+                                   f"AND {can_link('least(pa, pb) + least(oa, ob)', 'na', 'nb')}")
+    candidates = met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    tokens = write_table(open_lists.groupBy("doc").agg(F.max("n").alias("n"), F.flatten(F.collect_list(F.transform(
+        F.sequence(F.lit(1), F.col("weight")), lambda k: F.xxhash64("list", k)))).alias("tokens")))
+    both = candidates.join(tokens.toDF("u", "na", "ta"), "u").join(tokens.toDF("v", "nb", "tb"), "v")
+    return both.withColumn("c", F.size(F.array_intersect("ta", "tb"))).filter(can_link("c", "na", "nb")).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -63,6 +63,20 @@ def test_cases(spark):
                   (None, "same text of five words"), (22, "first text that is here now"), (22, "one")])
 
 
+def test_chains_of_versions(spark):
+    # 76 shingles a version, two words changed each time: neighbours share 66, similarity 0.767
+    rnd = random.Random(5)
+    docs = []
+    for c in range(20):
+        words = [f"c{c}w{i}" for i in range(80)]
+        for v in range(10):
+            docs.append(" ".join(words))
+            for k in (rnd.randint(5, 35), rnd.randint(42, 74)):
+                words[k] = f"c{c}v{v}k{k}"
+    rnd.shuffle(docs)
+    check(spark, list(enumerate(docs)))
+
+
 def test_salted_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIST_SPLIT", 4)
     rnd = random.Random(4)
