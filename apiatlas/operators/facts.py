@@ -150,17 +150,46 @@ NO_TYPE = ("return", "throw", "new", "package", "import", "class", "interface",
            "assert", "goto", "break", "continue", "instanceof")
 
 
+def _stretches(text):
+    """``text`` cut behind each parenthesis."""
+    return F.regexp_extract_all(text, F.lit(r"[^()]*+[()]|[^()]++"), F.lit(0))
+
+
+def _step(s):
+    """What a stretch adds to the number of open parentheses."""
+    return F.when(F.endswith(s, F.lit("(")), F.lit(1)).when(F.endswith(s, F.lit(")")), F.lit(-1)).otherwise(F.lit(0))
+
+
+def _to_close(text):
+    """``text`` up to the parenthesis that closes one opened before it; NULL if none does."""
+    start = F.struct(F.lit(1).alias("open"), F.lit(0).alias("size"))
+    return F.aggregate(_stretches(text), start, lambda state, s: F.when(state["open"] == 0, state).otherwise(F.struct(
+        (state["open"] + _step(s)).alias("open"), (state["size"] + F.length(s)).alias("size"))),
+        lambda state: F.when(state["open"] == 0, F.substring(text, F.lit(1), state["size"] - 1)))
+
+
+def _without_nested(text):
+    """``text`` without what stands inside its parentheses, however deep."""
+    start = F.struct(F.lit(0).alias("open"), F.lit("").alias("out"))
+    return F.aggregate(_stretches(text), start, lambda state, s: F.struct(
+        (state["open"] + _step(s)).alias("open"),
+        F.when(state["open"] == 0, F.concat(state["out"], s))
+        .when((state["open"] == 1) & F.endswith(s, F.lit(")")), F.concat(state["out"], F.lit(")")))
+        .otherwise(state["out"]).alias("out")), lambda state: state["out"])
+
+
 def extract_calls(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
     """Call, creation and cast sites per line -> ``call_site(keys, line, pos, kind,
     name, scope, scope_type, args, arg_types)``, from the text without comments; calls inside
     another call's arguments are sites of their own. One scan: the three kinds come from one
     projection. ``args`` are the arguments between top-level commas, with the arguments of calls
-    inside them left out (parentheses nested up to seven times; an argument list that goes on in
-    the next line is read to the end of its line). Types are unknown (NULL) unless a real
-    parser supplies the table."""
+    inside them left out, nested to any depth and over any number of lines; a site's head stands
+    in one line, and a list that nothing closes is read to the end of its line. Types are unknown
+    (NULL) unless a real parser supplies the table."""
     keys = list(keys)
-    lines = tokenised(texts, text_col).select(*keys, "_pieces", F.posexplode(F.split("_masked", "\n")).alias("line", "_l")) \
-        .filter(F.contains("_l", F.lit("(")))
+    lines = tokenised(texts, text_col).select(*keys, "_pieces", F.split("_masked", "\n").alias("_ls")) \
+        .select("*", F.posexplode("_ls").alias("line", "_l")).filter(F.contains("_l", F.lit("(")))
+    closed = "^(" + _balanced(6) + r")\)"
 
     # the heads of each kind and what stands between them, found once a line
     lines = lines.select("*", F.regexp_extract_all("_l", F.lit(CREATION), F.lit(0)).alias("_new"),
@@ -176,8 +205,12 @@ def extract_calls(texts: DataFrame, text_col: str = "content", keys=("project",
             rest = F.concat(tail, F.array_join(F.zip_with(
                 F.slice(heads, i + 2, F.size(heads)), F.slice(tails, i + 3, F.size(tails)),
                 lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), ""))
-            inner = F.when(F.rlike(tail, F.lit("^" + _balanced(6) + r"\)")), F.regexp_extract(tail, "^(" + _balanced(6) + r")\)", 1)) \
-                .otherwise(F.regexp_extract(rest, "^(" + _balanced(6) + ")", 1))
+            # or what follows to the end of the text, where the line doesn't close them
+            after = F.concat(rest, F.lit("\n"), F.array_join(F.slice("_ls", F.col("line") + 2, F.size("_ls")), "\n"))
+            inner = F.when(F.rlike(tail, F.lit(closed)), F.regexp_extract(tail, closed, 1)) \
+                .when(F.rlike(rest, F.lit(closed)), F.regexp_extract(rest, closed, 1)) \
+                .when(F.rlike(after, F.lit(closed)), F.regexp_extract(after, closed, 1)) \
+                .otherwise(F.coalesce(_to_close(after), F.regexp_extract(rest, "^(" + _balanced(6) + ")", 1)))
             return F.struct(F.lit(kind).alias("kind"), i.alias("pos"),
                             F.substring_index(F.regexp_extract(h, pattern, name_idx), ".", -1).alias("name"),
                             (F.regexp_extract(h, pattern, scope_idx) if scope_idx else F.lit("")).alias("scope"), inner.alias("inner"))
@@ -189,8 +222,10 @@ def extract_calls(texts: DataFrame, text_col: str = "content", keys=("project",
     calls = F.filter(sites(F.col("_call"), F.col("_after_call"), CALL, "call", 2, 1), lambda c: ~c["name"].isin(*NO_CALL))
     every = F.concat(sites(F.col("_new"), F.col("_after_new"), CREATION, "creation", 1, None), calls, casts)
     flat = F.regexp_replace("inner", NESTED, "()")
-    args = F.when(F.trim("inner") == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.split(flat, ","), lambda a: F.trim(unmasked(a))))
+    flat = F.when(F.rlike(flat, F.lit(r"\((?!\))")), _without_nested(F.col("inner"))).otherwise(flat)
+    space = F.lit(" \t\r\n\f")
+    args = F.when(F.trim("inner", space) == "", F.array().cast("array<string>")).otherwise(
+        F.transform(F.split(flat, ","), lambda a: F.trim(unmasked(a), space)))
     return lines.select(*keys, "line", "_pieces", F.inline(every)).select(
         *keys, "line", "pos", "kind", "name", F.when(F.col("scope") != "", F.col("scope")).alias("scope"),
         F.lit(None).cast("string").alias("scope_type"), args.alias("args"), F.lit(None).cast("array<string>").alias("arg_types"))

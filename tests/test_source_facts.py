@@ -46,6 +46,14 @@ def test_calls(spark):
     assert got["creation", "HashMap"] == (None, []) and ("call", "gone") not in got
 
 
+def test_arguments_over_lines_and_deep(spark):
+    deep = "(" * 12 + "x, y" + ")" * 12
+    code = "client.post(\n    url, // first, of two\n    f(a,\n      b));\nput(" + deep + ", z, g(\n" + deep + "));\nopen(k, l\nnone"
+    df = spark.createDataFrame([("p", "A.java", code)], "project string, path string, content string")
+    got = {r["name"]: (r["line"], r["args"]) for r in facts.extract_calls(df).collect()}
+    assert got == {"post": (0, ["url", "f()"]), "f": (2, ["a", "b"]), "put": (4, ["()", "z", "g()"]), "g": (4, ["()"]), "open": (6, ["k", "l"])}
+
+
 def test_fields(spark):
     got = {(r["class"], r["field"]): r for r in facts.extract_fields(source(spark)).collect()}
     assert set(got) == {("A", "names"), ("A", "name"), ("A", "numbers"), ("A", "kind"), ("A", "q"), ("A", "last"),
