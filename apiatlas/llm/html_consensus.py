@@ -2,8 +2,10 @@
 
 1. Every page's containers are scored: the length of the text below each, link text left
    out, page furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-   styles, reader comments; by tag, role, class or id) not counted. The deepest container
-   with most of the page's text is the page's candidate.
+   styles, reader comments; by tag, role, class or id) not counted. The page's candidate is
+   found by going down from the page as long as one container holds all the text; beside it
+   may stand only divs without headings that hold a fortieth of the text or less together
+   (such a small div is left out). An article or main element is not gone below.
 2. Its generalised path (tags and classes, digits made equal) is the page's vote; votes are
    counted for each host by Spark, and the path with most votes wins.
 3. Every page is extracted again from the elements on its host's winning path, or from its
@@ -35,8 +37,8 @@ from apiatlas.session import write_table
 
 ship(__name__)
 
-#: A candidate holds at least this share of its page's text.
-SHARE = 0.6
+#: Divs beside a candidate hold at most one part in so many of the text.
+ASIDE = 40
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>
     |<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S | re.X)
 NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -49,6 +51,7 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
     form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr
     ul""".split())
 CONTAINER = frozenset("article body center div html main section table tbody td tr".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 FURNITURE_TAGS = frozenset("aside button footer form input label menu nav select textarea dialog".split())
 #: Words of classes, ids and roles that mark page furniture.
 FURNITURE = frozenset("""ad ads advert adverts advertisement advertising aside banner breadcrumb breadcrumbs comment comments
@@ -68,6 +71,8 @@ class Page:
         self.paths: list = [""]  # of the containers; 0 stands for the page
         self.parents: list = [-1]
         self.weights: list = [0]  # text below, links left out
+        self.tags: list = [""]
+        self.headings: list = [0]  # length of the headings below
         self.stack: list = []  # (tag, container, furniture, in_link, in_article) of open elements
         self.open: dict = {}
         self.parts: list = []
@@ -75,6 +80,7 @@ class Page:
         self._read(source)
         for k in range(len(self.weights) - 1, 0, -1):
             self.weights[self.parents[k]] += self.weights[k]
+            self.headings[self.parents[k]] += self.headings[k]
 
     def _state(self) -> tuple:
         return self.stack[-1] if self.stack else ("", 0, False, False, False)
@@ -89,6 +95,8 @@ class Page:
                 container = self._state()[1]
                 self.blocks.append((text, container))
                 self.weights[container] += max(0, len(text) - self.links)
+                if any(self.open.get(t) for t in HEADINGS):
+                    self.headings[container] += len(text)
         self.parts, self.links = [], 0
 
     def _pop_to(self, k: int) -> None:
@@ -139,6 +147,8 @@ class Page:
             self.paths.append(f"{self.paths[container]}>{tag}{classes}")
             self.parents.append(container)
             self.weights.append(0)
+            self.tags.append(tag)
+            self.headings.append(0)
             container = len(self.paths) - 1
         self.stack.append((tag, container, own, link or tag == "a", article or tag in ("article", "main")))
         self.open[tag] = self.open.get(tag, 0) + 1
@@ -182,11 +192,19 @@ class Page:
         self._end_block()
 
     def candidate(self) -> int:
-        """The deepest container that holds most of the page's text; 0 if there is none."""
-        total = self.weights[0]
+        """The deepest container, above the inside of articles, that holds all of the page's
+        text but small divs; 0 if there is none."""
+        divs = [0] * len(self.weights)  # text in a container's own divs
+        for k in range(1, len(self.weights)):
+            if self.tags[k] == "div":
+                divs[self.parents[k]] += self.weights[k]
         best = 0
         for k in range(1, len(self.weights)):  # parents come before their children
-            if self.parents[k] == best and total and self.weights[k] >= SHARE * total:
+            if self.parents[k] != best or not self.weights[k] or self.tags[best] in ("article", "main"):
+                continue
+            beside = self.weights[best] - self.weights[k]
+            in_divs = divs[best] - (self.weights[k] if self.tags[k] == "div" else 0)
+            if beside == in_divs and ASIDE * beside <= self.weights[best] and self.headings[best] == self.headings[k]:
                 best = k
         return best
 

@@ -16,6 +16,19 @@ def test_article():
     assert page.text(None) == TEXT and page.paths[page.candidate()] == ">html>body>article"
 
 
+def test_nothing_of_an_article_is_left_out():
+    long = "long text " * 30
+    for source in (f"<body><article><h1>head</h1><p>lead</p><div class=body><p>{long}</p></div></article>",
+                   f"<body><div><h1>head</h1><div class=body><p>{long}</p></div></div>",
+                   f"<body><div class=top><h2>head</h2></div><div class=body><p>{long}</p></div>",
+                   f"<body><div class=one><p>{long * 7}</p></div><div class=two><p>{long * 3}</p></div>",
+                   f"<body><section><p>{long}</p></section><p>end</p>",
+                   f"<body><main><p>before</p><table><tr><td>{long}</table><p>after</p></main>",
+                   f"<body><div><p>before</p><table><tr><td>{long}<tr><td>x</table></div>"):
+        whole = Page(source)
+        assert whole.text(None) == "\n".join(text for text, _ in whole.blocks), source
+
+
 def test_odd_markup():
     for source, text in (("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\nb"), ("a < b <c", "a < b <c"), ('<p title="a>b">t</p>', "t"),
                          ("<div><p>x</div></p></i>y", "x\ny"), ("<article><header><h1>T</h1></header>x<aside>q</aside></article>", "T\nx"),
