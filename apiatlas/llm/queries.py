@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiatlas.llm import bpe, html_consensus, jaccard_join, line_windows, mixing, pivot_index, quality_ftrl, quality_gbt, toxicity, url_rules
+import public_tokenizers
+from apiatlas.llm import bpe, centroid_threshold, html_consensus, jaccard_join, line_windows, mixing, pivot_index, quality_ftrl
+from apiatlas.llm import quality_gbt, suffix_decontam, token_alignment, toxicity, url_rules
 from apiatlas.llm.common import crc_mod
 
 #: Where the public vocabulary files lie; read on the driver only.
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 #: The URL rules of the contract (fixed values).
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -87,6 +90,26 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster of 8 after 10 rounds, with exact distances and inertias."""
+    out = centroid_threshold.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dims=64)
+    return centroid_threshold.with_inertia(*out).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside occurrences of the benchmark's ten-word windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_decontam.match_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = suffix_decontam.hit_words(F.col("runs"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest")
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's aligned groups and links of two tokenizers, scored by corpus-wide pair counts."""
+    return token_alignment.align(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe_encode_decode,
     op2_url_filter,
@@ -98,9 +121,61 @@ QUERIES = {f.__name__: f for f in (
     op8_embedding_near_dedup,
     op9_line_dedup,
     op10_ngram_jaccard_join,
+    op11_centroid_clustering,
+    op12_benchmark_decontamination,
+    op13_cross_tokenizer_alignment,
 )}
 
+
+def _rounds_sql(rounds: int) -> str:
+    """The centroids after each round, as one common table expression a round."""
+    near = """a{r} AS MATERIALIZED (SELECT rid, min(cluster) AS cluster, any_value(distance) AS distance FROM (
+            SELECT rid, cluster, distance, min(distance) OVER (PARTITION BY rid) AS least FROM (
+              SELECT rid, cluster, CAST(sum((x - m) * (x - m)) AS BIGINT) AS distance FROM long JOIN c{r} USING (dim) GROUP BY rid, cluster))
+            WHERE distance = least GROUP BY rid)"""
+    mean = """c{n} AS MATERIALIZED (SELECT cluster, dim, coalesce(s, m) AS m FROM c{r} LEFT JOIN (
+            SELECT cluster, dim, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS s
+            FROM long JOIN a{r} USING (rid) GROUP BY cluster, dim) USING (cluster, dim))"""
+    parts = [near.format(r=0)]
+    for r in range(rounds):
+        parts += [mean.format(r=r, n=r + 1), near.format(r=r + 1)]
+    return ",\n        ".join(parts)
+
+
 ORACLE: dict[str, str] = {
+    "op11_centroid_clustering": f"""
+        WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(CAST(embedding AS DOUBLE[]),
+                                   lambda e: CAST(floor(1024 * e) AS BIGINT)) AS v FROM embeddings
+                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        long AS MATERIALIZED (SELECT rid, unnest(range(64)) AS dim, unnest(v) AS x FROM kept),
+        c0 AS (SELECT cluster, unnest(range(64)) AS dim, unnest(v) AS m FROM (
+               SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS cluster, v FROM kept) WHERE cluster < 8),
+        {_rounds_sql(10)},
+        names AS (SELECT cluster, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM c10 GROUP BY cluster)
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM kept JOIN a10 USING (rid) JOIN names USING (cluster)""",
+    "op12_benchmark_decontamination": r'''
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+        iw AS (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(len(w) - least(10, len(w)) + 1)) AS p FROM i WHERE len(w) > 0),
+        windows AS MATERIALIZED (SELECT DISTINCT item_id, m, p AS q, array_to_string(w[p + 1:p + m], ' ') AS win FROM iw),
+        sizes AS (SELECT DISTINCT m FROM windows),
+        dw AS (SELECT rid, w, m, unnest(range(len(w) - m + 1)) AS p FROM d JOIN sizes ON len(w) >= m),
+        found AS MATERIALIZED (SELECT rid, p, m, item_id, p - q AS diagonal
+                  FROM (SELECT rid, p, m, array_to_string(w[p + 1:p + m], ' ') AS win FROM dw) AS x JOIN windows USING (m, win)),
+        hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(p, p + m)) AS p FROM (SELECT DISTINCT rid, p, m FROM found)) GROUP BY rid),
+        ids AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY rid),
+        starts AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY rid, item_id, diagonal ORDER BY p), 2) > 1 AS fresh FROM found),
+        runs AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY rid, item_id, diagonal ORDER BY p) AS run FROM starts),
+        far AS (SELECT rid, max(size) AS longest FROM (
+                SELECT rid, max(p + m) - min(p) AS size FROM runs GROUP BY rid, item_id, diagonal, run) GROUP BY rid)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest
+        FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid) LEFT JOIN far USING (rid)''',
     "op8_embedding_near_dedup": '''
         WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
