@@ -6,9 +6,9 @@ at all such places, the fragments are encoded each for itself (and remembered: s
 fragments repeat far more often than words), and their ids are concatenated.
 
 Cases: null and empty text give no ids and the empty text; texts of any length are
-encoded whole; repeated rows each get their own result; the strings of the
-vocabulary's special tokens become those tokens, as in the library; other columns pass
-through untouched, whatever their names.
+encoded whole; repeated rows each get their own result; an empty table gives no rows; the
+strings of the vocabulary's special tokens become those tokens, as in the library; other
+columns pass through untouched, but input columns named as the two results are replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apiatlas.llm.common import fresh, ship
+from apiatlas.llm.common import fresh, release, ship
 
 ship(__name__)
 
 END = "</w>"
 #: Documents whose results are built and sent at once.
 SLICE = 128
+#: Runs of characters whose ids a task remembers, in each of two generations.
+REMEMBER = 90_000
 RESULT = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
 
@@ -91,9 +93,10 @@ class Memo(dict):
 
 
 class Codec:
-    """Encoder and decoder over one vocabulary. ``remember`` bounds each memo."""
+    """Encoder and decoder over one vocabulary. ``remember`` bounds the memo of whole runs, the
+    memos of their parts hold a third of it each; an entry takes some hundred bytes at most."""
 
-    def __init__(self, spec: dict, remember: int = 220_000):
+    def __init__(self, spec: dict, remember: int = REMEMBER):
         self.vocab = spec["vocab"]
         self.ranks: dict = {}
         for rank, (left, right) in enumerate(spec["merges"]):
@@ -106,8 +109,8 @@ class Codec:
         self.inside = self._inner_pairs()
         self.texts = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.packed = {t: struct.pack("<I", i) for t, i in self.vocab.items()}
-        self.fragments = Memo(self._merge, remember)
-        self.pretokens = Memo(self._pretoken, remember)
+        self.fragments = Memo(self._merge, remember // 3)
+        self.pretokens = Memo(self._pretoken, remember // 3)
         self.chunks = Memo(self._chunk, remember)
 
     def _inner_pairs(self) -> dict:
@@ -215,6 +218,8 @@ def encode_decode(df: DataFrame, vocabulary: str, text: Column | None = None,
                 packed = [own.encode(value.as_py()) for value in batch.slice(at, SLICE)]
                 yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(map(own.decode, packed), pa.string())],
                                                  names=["ids", "decoded"])
+        own = packed = batch = None
+        release()
 
     (tmp,) = fresh(df, "__bpe")
     out = df.withColumn(tmp, codec(F.col("text") if text is None else text))

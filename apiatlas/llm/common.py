@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -19,6 +22,16 @@ def ship(module_name: str) -> None:
 
 ship(__name__)
 
+def release() -> None:
+    """Give the memory that a task no longer uses back to the system. Spark keeps Python
+    workers for later tasks, and what their allocators hold on to would add up over stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may have none
+    if trim:
+        trim(0)
+
+
 #: A word of every text contract here: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from apiatlas.llm.common import WordHashes, fresh, mix64, ship, window_hashes
+from apiatlas.llm.common import WordHashes, fresh, mix64, release, ship, window_hashes
 from apiatlas.llm.components import connected_components
 from apiatlas.session import write_table
 
@@ -55,6 +55,8 @@ SKETCH_BITS = 20
 PIECE = 1 << 14
 #: Rows that one task may hold of a token's list: more frequent tokens are salted.
 LIST_SPLIT = 20_000
+#: Digests by which a task leaves out copies; beyond them it starts anew and emits more.
+REMEMBER = 100_000
 #: Bits, as a power of two, of the bitmap of ids whose texts are compared (2 MB in all).
 ID_BITS = 24
 
@@ -128,6 +130,8 @@ def _scan(ids_and_texts: DataFrame) -> DataFrame:
             part = used[at:at + 16]
             yield pa.record_batch([pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()),
                                    pa.array(part, pa.int32()), pa.array([pieces[k].tobytes() for k in part], pa.binary())], names=names)
+        hashes = sketch = pieces = None
+        release()
 
     return ids_and_texts.mapInArrow(scan, "doc_id long, n long, digest binary, piece int, counters binary")
 
@@ -178,6 +182,8 @@ def _index(ids_and_texts: DataFrame, levels, usual: float) -> DataFrame:
                     digest = xxhash.xxh3_128_digest(own.tobytes())
                     if not len(own) or digest in seen:
                         continue
+                    if len(seen) >= REMEMBER:
+                        seen.clear()
                     seen.add(digest)
                     first = prefix(own, level, ORDERS[0])
                     tokens.append(first)
@@ -190,6 +196,8 @@ def _index(ids_and_texts: DataFrame, levels, usual: float) -> DataFrame:
                     yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)),
                                            pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))],
                                           names=["token", "salt", "doc", "pos"])
+        hashes = seen = batch = part = None
+        release()
 
     return ids_and_texts.mapInArrow(index, "token long, salt int, doc long, pos int")
 
@@ -245,6 +253,8 @@ def _verified(pairs: DataFrame, ids_and_texts: DataFrame, levels) -> DataFrame:
                     last, own = b, shingles(b, hashes)
                 out.append(similar(shingles(a, hashes), own, level))
             yield pa.array(out, pa.bool_())
+        hashes = own = left = right = None
+        release()
 
     wanted = _only(ids_and_texts, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
     one = wanted.toDF("u", "text_u")

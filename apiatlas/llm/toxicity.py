@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apiatlas.llm.common import document_labels, fresh, hash_sample, ship
+from apiatlas.llm.common import document_labels, fresh, hash_sample, release, ship
 from apiatlas.session import write_table
 
 ship(__name__)
@@ -232,21 +232,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.record_batch([pa.array([o[k] for o in out], kind) for k, kind in enumerate(
                 (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64())))],
                 names=["y", "m", "found", "value", "k"])
+        scores = batch = out = None
+        release()
 
-    # a row for each sampled document, so the sample's size bounds what comes to the driver
     seen = write_table(known.mapInArrow(best, "y int, m long, found array<double>, value array<double>, k array<long>"))
     clean = seen.filter("y = 0")
     spread = clean.select(F.explode(F.arrays_zip("value", "k")).alias("z")).groupBy("z.value").agg(F.sum("z.k").alias("k")).toPandas()
     if len(spread):
         model.decay = _decay(spread["value"].to_numpy(), (spread["k"] / spread["k"].sum()).to_numpy())
-    rows = seen.select("y", "m", "found").toPandas()
-    m = np.maximum(1, rows["m"].to_numpy())
-    top = np.array([max(f, default=0.0) for f in rows["found"]])
-    usable = (rows["y"].to_numpy() == 0) & (m > 1)
-    if usable.any():  # the Gumbel law's mean: ln K + Euler's constant
-        model.log_k = float(np.mean(model.decay * top[usable] - np.log(m[usable]))) - 0.5772156649015329
-    x = np.array([sum(max(0.0, model.decay * s - model.log_k - np.log(k)) for s in f) for f, k in zip(rows["found"], m)])
-    model.slope, model.offset = _logistic(np.log1p(x), rows["y"].to_numpy().astype(float))
+    places = F.log(F.greatest("m", F.lit(1)).cast("double"))
+    top = F.coalesce(F.array_max("found"), F.lit(0.0))
+    mean = clean.filter("m > 1").agg(F.avg(F.lit(model.decay) * top - places)).first()[0]
+    if mean is not None:  # the Gumbel law's mean: ln K + Euler's constant
+        model.log_k = float(mean) - 0.5772156649015329
+    evidence = F.aggregate("found", F.lit(0.0), lambda acc, s: acc + F.greatest(
+        F.lit(0.0), F.lit(model.decay) * s - F.lit(model.log_k) - places))
+    # two numbers for each sampled document, so the sample's size bounds what comes to the driver
+    rows = seen.select("y", F.log1p(evidence).alias("x")).orderBy("x", "y").toPandas()
+    model.slope, model.offset = _logistic(rows["x"].to_numpy(), rows["y"].to_numpy().astype(float))
+    shared.destroy()
     return model
 
 
@@ -277,6 +281,8 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text",
                 else:
                     spans.append([])
             yield pa.StructArray.from_arrays([pa.array(points, pa.float64()), pa.array(spans, PASSAGES)], names=["score", "passages"])
+        scores = batch = points = spans = None
+        release()
 
     (tmp,) = fresh(docs, "__toxic")
     out = docs.withColumn(tmp, judge(F.col(text)))
