@@ -14,7 +14,7 @@ from apiatlas.functions import encoding as enc
 
 # A double-quoted literal with backslash escapes.
 STRING_LITERAL = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
-# `[String] name = "value"` (the type word is optional in free text).
+# `[String] name = "value"` in free text, where the type word is optional.
 STRING_ASSIGNMENT = r'(?:String\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 IMPORT_LINE = r"(?m)^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*(?:\.\*)?)\s*;"
 
@@ -63,24 +63,32 @@ def extract_literals(texts: DataFrame, text_col: str = "content", keys=("project
     return lits.withColumn("kind", F.when(is_url, "url").otherwise("text"))
 
 
-def collect_string_vars(texts: DataFrame, text_col: str = "content", project_col: str = "project") -> DataFrame:
-    """``name = "value"`` assignments -> one row per (project, name) with the
+# A declaration of String variables in masked code, and those of its variables that a literal alone initialises.
+STRING_DECLARATION = r"\bString\s+[A-Za-z_$][\w$]*\s*=[^;{}]*"
+LITERAL_VARIABLE = r'([A-Za-z_$][\w$]*)\s*=\s*"(\d+)"\s*(?:,|\z)'
+
+
+def collect_string_vars(texts: DataFrame, text_col: str = "content", project_col: str = "project", pattern: str | None = None) -> DataFrame:
+    """String declarations with a literal -> one row per (project, name) with the
     sorted set of values. Partial aggregation dedupes values before the shuffle."""
-    # every match needs '=': the cheap containment test skips the regex on most texts
-    m = texts.filter(F.col(text_col).contains("=")).select(
-        F.col(project_col).alias("project"),
-        F.explode(F.regexp_extract_all(F.col(text_col), F.lit(STRING_ASSIGNMENT), 0)).alias("_m"))
-    pairs = m.select("project", F.regexp_extract("_m", STRING_ASSIGNMENT, 1).alias("name"),
-                     F.regexp_extract("_m", STRING_ASSIGNMENT, 2).alias("value"))
+    pairs = string_var_sites(texts, text_col, (project_col,), pattern).withColumnRenamed(project_col, "project")
     return pairs.groupBy("project", "name").agg(F.sort_array(F.collect_set("value")).alias("values"))
 
 
-def string_var_sites(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
-    """The (project, path, name, value) sites behind P2, one row per assignment."""
-    m = texts.filter(F.col(text_col).contains("=")).select(
-        *keys, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(STRING_ASSIGNMENT), 0)).alias("_m"))
-    return m.select(*keys, F.regexp_extract("_m", STRING_ASSIGNMENT, 1).alias("name"),
-                    F.regexp_extract("_m", STRING_ASSIGNMENT, 2).alias("value"))
+def string_var_sites(texts: DataFrame, text_col: str = "content", keys=("project", "path"), pattern: str | None = None) -> DataFrame:
+    """The (project, path, name, value) sites behind P2, one row per variable: variables of a declaration
+    of type ``String`` (not of arrays) whose initialiser is one string literal and no more. Comments,
+    annotations and assignments hold none. With ``pattern`` (two groups: name and value) its matches in
+    the raw text are the sites instead, for texts that are no source code."""
+    # every match needs '=': the cheap containment test skips the regex on most texts
+    texts = texts.filter(F.col(text_col).contains("="))
+    if pattern is not None:
+        m = texts.select(*keys, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).alias("_m"))
+        return m.select(*keys, F.regexp_extract("_m", pattern, 1).alias("name"), F.regexp_extract("_m", pattern, 2).alias("value"))
+    m = tokenised(texts, text_col).select(*keys, "_pieces", F.explode(F.regexp_extract_all("_masked", F.lit(STRING_DECLARATION), F.lit(0))).alias("_d"))
+    # arguments of calls in the declaration are none of its variables
+    m = m.select(*keys, "_pieces", F.explode(F.regexp_extract_all(_without_nested(F.col("_d")), F.lit(LITERAL_VARIABLE), F.lit(0))).alias("_m"))
+    return m.select(*keys, F.regexp_extract("_m", LITERAL_VARIABLE, 1).alias("name"), _literal(F.regexp_extract("_m", LITERAL_VARIABLE, 2)).alias("value"))
 
 
 def extract_imports(texts: DataFrame, library_dim: DataFrame, text_col: str = "content",
@@ -317,8 +325,8 @@ METHOD_DECL = (r"^\s*(?:(?:public|protected|private|static|final|synchronized|ab
 
 
 def extract_blocks(texts: DataFrame, text_col: str = "content", keys=("project", "path")) -> DataFrame:
-    """Method/constructor and class blocks per file (input of R12):
-    ``(keys, kind, name, start_line, end_line)``. Line based: a class spans
+    """Method/constructor and class blocks per file, in texts of any braces (``program.extract_blocks``
+    gives the real ends in sources): ``(keys, kind, name, start_line, end_line)``. Line based: a class spans
     from its declaration to the end of the file, a method from its signature
     line to the line before the next declaration (or the end of the file).
     The window runs per file (one document)."""

@@ -128,13 +128,67 @@ def expand_concat(parts: DataFrame, resolved: DataFrame, quote_unknown: bool = F
 
 
 # --------------------------------------------------------------------------- R8
-def fold_appends(appends: DataFrame, max_alternatives: int | None = None) -> DataFrame:
+def call_paths(passes: DataFrame) -> DataFrame:
+    """The places at which an object is handed on, directly or through other methods.
+
+    ``passes(project, var, pos, callee_var)``: at ``pos`` of its method an object variable is
+    an argument, and ``callee_var`` is the callee's parameter. Output ``(project, root, var, place
+    ARRAY<INT>)``: the events of parameter ``var`` happen to the object of variable ``root`` at
+    ``place``, the positions of the calls from the root's method inwards. A root is a variable
+    that no call hands on. Every chain of calls is a path of its own, so a method that is called
+    twice replays twice; a path ends where it would come back to a variable on it.
+
+    Paths double in length each round, so the rounds are logarithmic in the deepest chain; each
+    round is one equi-join written once.
+    """
+    step = passes.filter("var IS NOT NULL AND callee_var IS NOT NULL").select(
+        "project", F.col("var").alias("first"), F.col("callee_var").alias("last"), F.array(F.col("pos").cast("int")).alias("place"),
+        F.array("callee_var").alias("met")).filter("first != last").distinct()
+    spark = passes.sparkSession
+    paths, longest = RoundTable(spark), write_table(step)
+    paths.add(longest)
+    while True:
+        tails = paths.all().drop(paths.name).select("project", F.col("first").alias("last"), F.col("last").alias("end"),
+                                                    F.col("place").alias("inner"), F.col("met").alias("then"))
+
+        def joined(heads: DataFrame, with_: DataFrame) -> DataFrame:
+            both = heads.join(with_, ["project", "last"])
+            return both.filter(~F.arrays_overlap("met", "then") & ~F.array_contains("then", F.col("first"))).select(
+                "project", "first", F.col("end").alias("last"), F.concat("place", "inner").alias("place"), F.concat("met", "then").alias("met"))
+
+        # all paths so far have at most n calls, the longest exactly n: together up to 2 n, the longest twice exactly 2 n
+        new = paths.add(joined(longest, tails))
+        if new.isEmpty():
+            break
+        n = 2 ** (paths.rounds - 1)
+        longest = new.drop(paths.name).filter(F.size("place") == n)
+    called = step.select("project", F.col("last").alias("first")).distinct()
+    return paths.all().join(called, ["project", "first"], "left_anti").select(
+        "project", F.col("first").alias("root"), F.col("last").alias("var"), "place").distinct()
+
+
+def events_of_roots(events: DataFrame, passes: DataFrame, var: str = "var") -> DataFrame:
+    """``events(project, var, pos, ...)`` with ``var`` replaced by the variables whose object it is (itself,
+    and for a parameter the roots that reach it), and ``pos`` by the event's place in the
+    root's execution order, an array compared element by element."""
+    handed = write_table(call_paths(passes)).select("project", F.col("var").alias(var), F.col("root").alias("_root"), F.col("place").alias("_place"))
+    own = events.withColumn("pos", F.array(F.col("pos").cast("int")))
+    there = own.join(handed, ["project", var]).withColumns({var: F.col("_root"), "pos": F.concat("_place", "pos")}).drop("_root", "_place")
+    # a parameter that someone passes is no object of its own
+    return own.join(handed.select("project", var).distinct(), ["project", var], "left_anti").unionByName(there)
+
+
+def fold_appends(appends: DataFrame, passes: DataFrame | None = None, max_alternatives: int | None = None) -> DataFrame:
     """Replay ordered ``append(x)`` calls per builder variable.
 
     ``appends(project, builder, pos, alts ARRAY<STRING>)`` -> one row per
-    resulting string. Chained appends are one string in call order. Default:
-    no cap on alternatives (the reference stops above 100: pass 100).
+    resulting string. Chained appends are one string in call order. With ``passes(project, var,
+    pos, callee_var)`` (see ``call_paths``) the appends that callees make to a builder passed to
+    them stand at the place of the call. Default: no cap on alternatives (the reference stops
+    above 100: pass 100).
     """
+    if passes is not None:
+        appends = events_of_roots(appends, passes, "builder")
     return product_fold(appends, ["project", "builder"], "pos", "alts", max_alternatives)
 
 

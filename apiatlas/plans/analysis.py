@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apiatlas.functions import encoding as enc
-from apiatlas.operators import facts, jsonmodel, libraries, resolve, samples, stats
+from apiatlas.operators import facts, jsonmodel, libraries, program, resolve, samples, stats
 from apiatlas.operators import urls as U
 from apiatlas.plans import dims
 from apiatlas.session import write_table
@@ -28,6 +28,11 @@ CONVERTER = r"addConverterFactory\(\s*(\w+)"
 GSON_LIBRARY = jsonmodel.GSON
 
 
+def _order(column: str):
+    """Order keys of one type, whichever extractor made them."""
+    return F.struct(F.col(f"{column}.path").alias("path"), F.col(f"{column}.line").cast("int").alias("line"), F.col(f"{column}.pos").cast("int").alias("pos"))
+
+
 def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFrame | None = None,
                    max_depth: int | None = None) -> dict[str, DataFrame]:
     """``corpus(project, path, content)`` (and optional build files) -> results."""
@@ -54,13 +59,20 @@ def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFram
         .select("project", "library").distinct()
     route_cands = U.join_base_urls(U.expand_routes(routes), bases).select(
         "project", "path", F.lit(0).alias("line"), "library", "text", "ord", "verb")
-    candidates = url_cands.unionByName(route_cands)
+    # what stands in no single literal: builders, concatenations, constructors
+    program_facts = program.Program(corpus)
+    source = program.source_candidates(program_facts)
+    texts = write_table(source["texts"].dropDuplicates(["project", "path", "line", "library", "text"]))
+    candidates = url_cands.unionByName(route_cands).unionByName(source["urls"].withColumn("ord", _order("ord"))) \
+        .unionByName(texts.select("project", "path", "line", "library", "text", _order("ord").alias("ord"), F.lit(None).cast("string").alias("verb")))
     catalog = U.build_url_catalog(candidates)
 
     json_cands = lits.filter(F.col("kind") == "text").select(
         "project", "path", F.lit("noLib.StringLiteralExpr").alias("library"), F.col("literal").alias("text"),
         order.alias("ord"))
-    text_models = jsonmodel.build_json_models(json_cands)
+    joined_cands = texts.select("project", "path", F.when(F.col("library") == "noLib.StringLiteralExpr", "noLib.BinaryExpr")
+                                .otherwise(F.col("library")).alias("library"), "text", _order("ord").alias("ord"))
+    text_models = jsonmodel.build_json_models(json_cands.unionByName(joined_cands))
     fields_tbl = facts.extract_fields(corpus)
     body_types = routes.select("project", F.explode("params").alias("p")) \
         .filter(F.col("p.ann") == "Body").select("project", F.regexp_replace("p.type", r"<.*$", "").alias("class")) \
@@ -72,10 +84,10 @@ def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFram
     models = text_models.select("project", "model_id", "canonical", "library").unionByName(class_models)
 
     string_vars = facts.collect_string_vars(corpus)
-    calls = facts.extract_calls(corpus)
+    calls = program.typed_calls(program_facts, corpus, [r[3] for r in dims.CALL_RULES if r[3]])
     matched = libraries.match_call_rules(calls, dims.call_rule_dim(spark),
                                          facts.extract_imports(corpus, dims.library_dim(spark)))
-    blocks = facts.extract_blocks(corpus)
+    blocks = program.extract_blocks(program_facts.facts)
     sites = matched.select("project", "path", "line", "library", "kind", "name") \
         .withColumn("id", F.concat_ws(":", "project", "path", F.col("line").cast("string"), "name"))
     enclosing = resolve.enclosing_block(

@@ -238,3 +238,22 @@ def order_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.lit("tpch").alias("project"), F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("builder"),
                     F.concat(F.lit("http://shop.com/c/"), F.col("o_custkey").cast("string")).alias("text"))
+
+
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source file per page (project = page_id mod 7) that takes its URL's base and path apart over a
+    constant, a method, a String builder handed to another method, a URL builder and a request."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url").filter(F.col("url").contains("://"))
+    n, base = F.col("page_id").cast("string"), F.regexp_extract("url", URL_BASE, 1)
+    host = F.regexp_extract("url", r"^[^:]+://([^/?#]+)", 1)
+    verb = F.element_at(F.array(*[F.lit(v) for v in ("post", "put", "delete")]), (F.col("page_id") % 3 + 1).cast("int"))
+    text = F.concat(
+        F.lit("package app.net;\nimport okhttp3.*;\nimport org.apache.http.client.HttpClient;\npublic class Page"), n,
+        F.lit(" {\n  // String gone = \"x\";\n  static final String BASE = \""), base, F.lit("\", KIND = \"k"), (F.col("page_id") % 5).cast("string"),
+        F.lit("\";\n  private String path(String tail) {\n    return \"/p/\" + tail;\n  }\n  void open(HttpClient client, RequestBody body) throws Exception {\n"
+              "    String whole = BASE + path(\""), n, F.lit("\");\n    StringBuilder sb = new StringBuilder();\n    sb.append(BASE).append(\"/\");\n"
+              "    tail(sb, \"id"), n, F.lit("\");\n    sb.append(\"?q=\" + KIND);\n    load(sb.toString());\n"
+              "    HttpUrl url = new HttpUrl.Builder().scheme(\"http\").host(\""), host, F.lit("\").addPathSegment(\"b c\").addQueryParameter(\"n\", \""), n,
+        F.lit("\").build();\n    client.execute(new Request.Builder().url(url)."), verb, F.lit("(body).build());\n  }\n"
+              "  private void tail(StringBuilder target, String name) {\n    target.append(name);\n  }\n}\n"))
+    return p.select((F.col("page_id") % 7).cast("string").alias("project"), F.concat(F.lit("Page"), n, F.lit(".java")).alias("path"), text.alias("content"))

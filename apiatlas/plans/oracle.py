@@ -744,3 +744,39 @@ ORACLE["resolve_values"] = r"""
 SELECT DISTINCT 'tpch' AS project, 'url' || o_orderkey AS expr_id,
        'http://' || lower(n_name) || '/c' || c_custkey || CASE WHEN o_orderkey % 3 = 0 THEN '<INTEGER>' ELSE '<STRING>' END AS value
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 3 IN (0, 1)"""
+
+
+# ------------------------------------------------------------------ facts of sources
+PAGE_SOURCES = r"""s AS (SELECT CAST(page_id % 7 AS VARCHAR) AS project, 'Page' || page_id || '.java' AS path, page_id,
+      regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS base, regexp_extract(url, '^[^:]+://([^/?#]+)', 1) AS host FROM pages WHERE contains(url, '://'))"""
+
+ORACLE["source_texts"] = "WITH " + PAGE_SOURCES + r""",
+t AS (SELECT *, base || '/id' || page_id || '?q=k' || (page_id % 5) AS built FROM s)
+SELECT project, path, 10 AS line, 'noLib.StringLiteralExpr' AS library, base || '/p/' || page_id AS text FROM s
+UNION ALL SELECT project, path, 7, 'noLib.StringLiteralExpr', '/p/' || page_id FROM s
+UNION ALL SELECT project, path, 14, 'noLib.StringLiteralExpr', '?q=k' || (page_id % 5) FROM s
+UNION ALL SELECT project, path, unnest([12, 13, 14, 15]), 'noLib.StringBuilder', built FROM t"""
+
+ORACLE["source_urls"] = "WITH " + PAGE_SOURCES + r"""
+SELECT project, path, 'OkHttp' AS library, 'http://' || host || '/b%20c?n=' || page_id AS text, ['POST', 'PUT', 'DELETE'][page_id % 3 + 1] AS verb FROM s"""
+
+ORACLE["source_blocks"] = "WITH " + PAGE_SOURCES + r""",
+b(kind, name, start_line, end_line, depth, parent) AS (VALUES ('class', NULL, 3, 22, 0, NULL), ('method', 'path', 6, 8, 1, 'Page'),
+     ('method', 'open', 9, 18, 1, 'Page'), ('method', 'tail', 19, 21, 1, 'Page'))
+SELECT project, path, kind, coalesce(name, 'Page' || page_id) AS name, start_line, end_line, depth, parent || page_id AS parent FROM s, b"""
+
+ORACLE["string_declarations"] = "WITH " + PAGE_SOURCES + r""",
+v AS (SELECT project, 'BASE' AS name, base AS value FROM s UNION ALL SELECT project, 'KIND', 'k' || (page_id % 5) FROM s)
+SELECT project, name, count(DISTINCT value) AS n_values, string_agg(DISTINCT value, '|' ORDER BY value) AS vals FROM v GROUP BY project, name"""
+
+ORACLE["typed_call_rules"] = "WITH " + PAGE_SOURCES + r""",
+c(kind, name, scope_type, result_type, library) AS (VALUES
+     ('call', 'execute', 'org.apache.http.client.HttpClient', NULL, 'org.apache.httpcomponents'),
+     ('creation', 'Builder', NULL, 'okhttp3.Request.Builder', 'com.squareup.okhttp3'))
+SELECT project, path, 17 AS line, kind, name, scope_type, result_type, library FROM s, c"""
+
+ORACLE["fold_appends_through_calls"] = r"""
+WITH e AS (SELECT o_custkey, -1 AS p1, 0 AS p2, 'C' AS t FROM (SELECT DISTINCT o_custkey FROM orders)
+UNION ALL SELECT o_custkey, o_orderkey, 0, o_orderstatus FROM orders
+UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, lower(l_returnflag) FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT 'tpch' AS project, 'cust' || o_custkey AS builder, string_agg(t, '' ORDER BY p1, p2, t) AS value FROM e GROUP BY o_custkey"""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiatlas.operators import facts, jsonmodel, libraries, resolve, samples, stats
+from apiatlas.operators import facts, jsonmodel, libraries, program, resolve, samples, stats
 from apiatlas.operators import urls as U
 from apiatlas.plans import dims
 from apiatlas.plans import inputs as I
@@ -61,7 +61,7 @@ def q_extract_literals(spark, sf):
 
 
 def q_collect_string_vars(spark, sf):
-    v = facts.collect_string_vars(I.document_texts(spark, sf))
+    v = facts.collect_string_vars(I.document_texts(spark, sf), pattern=facts.STRING_ASSIGNMENT)
     return v.select("project", "name", F.size("values").cast("long").alias("n_values"),
                     F.array_join("values", "|").alias("vals"))
 
@@ -74,7 +74,7 @@ def q_match_keywords(spark, sf):
 def q_files_without_snippets(spark, sf):
     docs = I.document_texts(spark, sf)
     imports = docs.select("project", "path", "library")
-    snippets = facts.string_var_sites(docs)
+    snippets = facts.string_var_sites(docs, pattern=facts.STRING_ASSIGNMENT)
     return libraries.files_without_snippets(imports, snippets)
 
 
@@ -106,6 +106,45 @@ def q_fold_appends(spark, sf):
     return resolve.fold_appends(app)
 
 
+def q_fold_appends_through_calls(spark, sf):
+    """Customers hand their builder to orders, orders to their lines; each appends what it knows."""
+    o, li = I.table(spark, sf, "orders"), I.table(spark, sf, "lineitem")
+    var = lambda kind, *keys: F.concat(F.lit(kind), F.concat_ws("_", *[F.col(k).cast("string") for k in keys]))
+    cust, order, line = var("cust", "o_custkey"), var("order", "o_orderkey"), var("line", "l_orderkey", "l_linenumber")
+    step = lambda df, v, pos, text: df.select(F.lit("tpch").alias("project"), v.alias("builder"), F.lit(pos).alias("pos"), F.array(text).alias("alts"))
+    appends = step(o.select("o_custkey").distinct(), cust, -1, F.lit("C")).unionByName(step(o, order, 0, F.col("o_orderstatus"))) \
+        .unionByName(step(li, line, 1, F.lower("l_returnflag")))
+    passes = o.select(F.lit("tpch").alias("project"), cust.alias("var"), F.col("o_orderkey").cast("int").alias("pos"), order.alias("callee_var")).unionByName(
+        li.select(F.lit("tpch").alias("project"), var("order", "l_orderkey").alias("var"), F.col("l_linenumber").cast("int").alias("pos"), line.alias("callee_var")))
+    return resolve.fold_appends(appends, passes)
+
+
+def q_source_texts(spark, sf):
+    out = program.source_candidates(program.Program(I.page_sources(spark, sf)))
+    return out["texts"].select("project", "path", "line", "library", "text").distinct()
+
+
+def q_source_urls(spark, sf):
+    out = program.source_candidates(program.Program(I.page_sources(spark, sf)))
+    return out["urls"].select("project", "path", "library", "text", "verb")
+
+
+def q_source_blocks(spark, sf):
+    return program.extract_blocks(program.source_facts(I.page_sources(spark, sf)))
+
+
+def q_string_declarations(spark, sf):
+    v = facts.collect_string_vars(I.page_sources(spark, sf))
+    return v.select("project", "name", F.size("values").cast("long").alias("n_values"), F.array_join("values", "|").alias("vals"))
+
+
+def q_typed_call_rules(spark, sf):
+    sources = I.page_sources(spark, sf)
+    calls = program.typed_calls(program.Program(sources), sources, [r[3] for r in dims.CALL_RULES if r[3]])
+    m = libraries.match_call_rules(calls, dims.call_rule_dim(spark))
+    return m.select("project", "path", "line", "kind", "name", "scope_type", "result_type", "library")
+
+
 def q_expand_concat(spark, sf):
     li = I.table(spark, sf, "lineitem")
     nation = I.table(spark, sf, "nation")
@@ -540,6 +579,12 @@ QUERIES: dict[str, Query] = {
     "keep_maximal_spans": q_keep_maximal_spans,
     "enclosing_block": q_enclosing_block,
     "fold_appends": q_fold_appends,
+    "fold_appends_through_calls": q_fold_appends_through_calls,
+    "source_texts": q_source_texts,
+    "source_urls": q_source_urls,
+    "source_blocks": q_source_blocks,
+    "string_declarations": q_string_declarations,
+    "typed_call_rules": q_typed_call_rules,
     "expand_concat": q_expand_concat,
     "resolve_local": q_resolve_local,
     "resolve_field": q_resolve_field,

@@ -33,7 +33,7 @@ def test_string_vars_and_literals(spark):
         ("p", "A.java", 'String url = "http://a.com/x";\nString k="v";  key = "w"'),
         ("p", "B.java", 'url = "http://b.com"; s = "esc \\" q"'),
     ], "project string, path string, content string")
-    got = {r["name"]: r["values"] for r in facts.collect_string_vars(texts).collect()}
+    got = {r["name"]: r["values"] for r in facts.collect_string_vars(texts, pattern=facts.STRING_ASSIGNMENT).collect()}
     assert got["url"] == ["http://a.com/x", "http://b.com"]
     assert got["k"] == ["v"] and got["key"] == ["w"] and got["s"] == ['esc \\" q']
     lits = rows(facts.extract_literals(texts), "path", "line", "pos", "literal", "kind")
