@@ -196,22 +196,28 @@ def reach(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
     """Everything reachable: ``starts(project, start, cur)`` along ``edges(project, cur, nxt)``
     -> ``(project, start, cur, depth)`` with the fewest steps.
 
-    One round per step: only the pairs found in the last round are joined with the edges, and
-    pairs that were found before are taken out by an anti-join with the table of all
-    pairs so far, which each round extends by its own part. The rounds end when one finds
-    nothing new, so cycles end and chains of any length are followed; ``max_depth``
-    ends them earlier on request. The joins' exchanges are Spark's own, so a hot ``cur`` can
-    be split at run time.
+    Path doubling: after round k all pairs up to 2^k - 1 steps apart are known, and the next
+    round joins them with the pairs exactly 2^k steps apart, which are then joined with
+    themselves. Pairs that were found before are taken out by an anti-join with the table of all
+    pairs so far, which each round extends by its own part; what is new in a round is the least
+    sum of steps. The rounds end when one finds nothing new: if nothing lies up to twice as far,
+    nothing lies further. So cycles end, and a chain takes the logarithm of its length;
+    ``max_depth`` bounds the steps on request. The joins' exchanges are Spark's own, so a hot
+    ``cur`` can be split at run time.
     """
-    e = write_table(edges.filter(F.col("nxt").isNotNull()).select("project", "cur", "nxt").distinct())
-    seen = RoundTable(starts.sparkSession, "depth")
-    new = seen.add(starts.select("project", "start", "cur").distinct())
-    while max_depth is None or seen.rounds <= max_depth:
-        step = new.join(e, ["project", "cur"]).select("project", "start", F.col("nxt").alias("cur")).distinct()
-        new = seen.add(step.join(seen.all(), ["project", "start", "cur"], "left_anti"))
-        if new.isEmpty():
-            break
-    return seen.all()
+    jump = write_table(edges.filter(F.col("nxt").isNotNull()).select("project", "cur", "nxt").distinct())
+    seen, steps = RoundTable(starts.sparkSession), 1
+    new = seen.add(starts.select("project", "start", "cur").distinct().withColumn("depth", F.lit(0)))
+    while not new.isEmpty() and (max_depth is None or steps <= max_depth):
+        known = seen.all().drop(seen.name)
+        step = known.join(jump, ["project", "cur"]).groupBy("project", "start", F.col("nxt").alias("cur")).agg(
+            (F.min("depth") + steps).alias("depth"))
+        if max_depth is not None:
+            step = step.filter(F.col("depth") <= max_depth)
+        new = seen.add(step.join(known, ["project", "start", "cur"], "left_anti").withColumn("depth", F.col("depth").cast("int")))
+        jump = write_table(jump.join(jump.toDF("project", "nxt", "then"), ["project", "nxt"]).select("project", "cur", F.col("then").alias("nxt")).distinct())
+        steps *= 2
+    return seen.all().drop(seen.name)
 
 
 # --------------------------------------------------------------------------- R10
