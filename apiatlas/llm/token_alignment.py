@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apiatlas.llm.bpe import byte_symbols
-from apiatlas.llm.common import ship
+from apiatlas.llm.common import release, ship
 from apiatlas.session import write_table
 
 ship(__name__)
@@ -43,7 +43,7 @@ ship(__name__)
 #: Pre-tokens of the public byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents of a chunk at most, the bytes of text that close one, and bytes aligned at once.
-CHUNK, CHUNK_BYTES, SLICE_BYTES = 4096, 16 << 20, 1 << 20
+CHUNK, CHUNK_BYTES, SLICE_BYTES = 4096, 8 << 20, 1 << 19
 #: 16-bit units of a plain bit set over a chunk; arrays are shorter.
 UNITS = CHUNK // 16
 ORD_BITS, ID_BITS = 12, 16
@@ -141,10 +141,12 @@ class Slice:
         ga, gb = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
         owner = np.searchsorted(np.cumsum(np.array(sizes, np.int64)), common)  # the document of every group
         self.n_groups = np.bincount(owner, minlength=n)
-        group, self.a, self.b, self.times = links_of(ga, a, gb, b, len(common))
-        self.doc = owner[group]
+        group, one_id, two_id, times = links_of(ga, a, gb, b, len(common))
+        doc = owner[group]
         self.n_links = np.zeros(n, np.int64)
-        np.add.at(self.n_links, self.doc, self.times)
+        np.add.at(self.n_links, doc, times)
+        # an id pair and a document of this slice in one number: what a chunk holds on to is small
+        self.links, self.times = (one_id << ID_BITS | two_id) << ORD_BITS | doc, times.astype(np.int32)
         self.digest = self._digests(sides, a, b, ga, gb, len(common))
 
     def _digests(self, sides, a, b, ga, gb, groups: int) -> list[str]:
@@ -233,12 +235,14 @@ def inverted_pairs(docs: DataFrame, spec, doc_id: str, text: str) -> DataFrame:
         yield rows(n, id_type, chunk=pa.array(np.full(n, name)), number=pa.array(np.arange(n)), doc_id=pa.concat_arrays(ids),
                    n_a=whole(lambda s: s.n_a), n_b=whole(lambda s: s.n_b), n_groups=whole(lambda s: s.n_groups), n_links=whole(lambda s: s.n_links),
                    groups_sha256=pa.array([d for _, s in slices for d in s.digest]))
-        keys = np.concatenate([(s.a << ID_BITS | s.b) << ORD_BITS | (s.doc + first) for first, s in slices])
+        keys = np.concatenate([s.links + first for first, s in slices])
         times = np.concatenate([s.times for _, s in slices])
+        slices.clear()
         if not len(keys):
             return
         order = np.argsort(keys)
         keys, times = keys[order], times[order]
+        del order
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, times = keys[starts], np.add.reduceat(times, starts)
         pair, number = keys >> ORD_BITS, keys & (CHUNK - 1)
@@ -273,6 +277,8 @@ def inverted_pairs(docs: DataFrame, spec, doc_id: str, text: str) -> DataFrame:
                     ids, slices, held, size, made = [], [], 0, 0, made + 1
         if held:
             yield from chunk(task | made, ids, slices, id_type)
+        sides = ids = slices = batch = sizes = bounds = None
+        release()
 
     schema = (f"chunk long, number int, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
               "a int, b int, bitmaps array<binary>")
