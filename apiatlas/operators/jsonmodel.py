@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apiatlas.functions import encoding as enc
+from apiatlas.session import write_table
 
 INT_MIN, INT_MAX = -(1 << 31), (1 << 31) - 1
 # String placeholders that stand for a typed unknown, and their tag.
@@ -350,23 +351,98 @@ def effective_fields(class_fields: DataFrame, enums: DataFrame | None = None) ->
     return shaped.select("project", "class", "field", "key", "shape", "tag", "ref_class")
 
 
+def _same_cycle(ef: DataFrame) -> DataFrame:
+    """(project, class, ref_class): references between classes of one cycle (each reaches the other)."""
+    from apiatlas.operators.resolve import reach
+    refs = ef.filter("ref_class IS NOT NULL").select("project", F.col("class").alias("cur"), F.col("ref_class").alias("nxt")).distinct()
+    own = refs.select("project", "cur").distinct()
+    inner = write_table(refs.join(own.withColumnRenamed("cur", "nxt"), ["project", "nxt"], "left_semi").select("project", "cur", "nxt"))
+    pairs = reach(own.select("project", F.col("cur").alias("start"), "cur"), inner).select("project", "start", "cur")
+    back = pairs.select("project", F.col("cur").alias("start"), F.col("start").alias("cur"))
+    return inner.join(pairs.join(back, ["project", "start", "cur"], "left_semi").toDF("project", "nxt", "cur"), ["project", "cur", "nxt"], "left_semi") \
+        .toDF("project", "class", "ref_class")
+
+
 def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int | None = None,
                        enums: DataFrame | None = None) -> DataFrame:
     """Class-field table -> JSON skeleton per root class.
 
-    ``roots(project, class)``; fields come from ``effective_fields``. The tree
-    is expanded one class level per round (equi-join of the frontier's
-    referenced class with the field table, frontier only, each round written
-    once) until no class is left to expand; a class that is already on its own path
-    is not expanded again and renders as an empty object. ``max_depth`` (default: none)
-    ends the rounds earlier on request. A nested class is an object; a
-    collection of a class lists one ``{key: value}`` object per field; a
-    ``Map<String, V>`` is ``[{"": V}]``. Rendering is J3 (keys sorted).
-    Output ``(project, class, skeleton)``.
+    ``roots(project, class)``; fields come from ``effective_fields``. A nested class is an object; a
+    collection of a class lists one ``{key: value}`` object per field; a ``Map<String, V>`` is
+    ``[{"": V}]``; keys are sorted; a class that is already on its own path renders as an empty
+    object. Output ``(project, class, skeleton)``.
+
+    Each class is rendered once, from the texts of the classes it refers to, however many paths
+    lead to it. What it renders to depends on the path only among the classes of its own cycle, so
+    it is a class together with those of them that are on the path which is rendered once. First
+    such pairs are found from the roots down, then rendered from the leaves up; a round is a few
+    equi-joins and is written once. With ``max_depth`` (default: none) the tree of paths is
+    expanded to that depth instead.
     """
+    from apiatlas.session import RoundTable
+    ef = write_table(effective_fields(class_fields, enums))
+    if max_depth is not None:
+        return _expanded_paths(ef, roots, max_depth)
     spark = class_fields.sparkSession
-    from apiatlas.session import RoundTable, materialize
-    ef = materialize(effective_fields(class_fields, enums), ["project", "class"])
+    cycles = write_table(_same_cycle(ef))
+    cyclic = cycles.select("project", F.col("class").alias("child")).distinct()
+    # a field's reference: into its own cycle, or to a class that begins a path of its own
+    fields = ef.join(cycles.withColumn("inner", F.lit(True)), ["project", "class", "ref_class"], "left") \
+        .join(cyclic.withColumnRenamed("child", "ref_class").withColumn("ref_cyclic", F.lit(True)), ["project", "ref_class"], "left")
+    fields = write_table(fields.groupBy("project", "class", "key").agg(F.min_by(  # of equal keys one
+        F.struct("shape", "tag", "ref_class", "inner", "ref_cyclic"), F.struct("shape", "tag", "ref_class")).alias("f")).select("project", "class", "key", "f.*"))
+    state = lambda cls, trail: F.concat_ws("\u0000", cls, trail)
+    empty = F.array().cast("array<string>")
+    begin = roots.select("project", "class").distinct().join(cyclic.withColumnRenamed("child", "class").withColumn("c", F.lit(True)), ["project", "class"], "left") \
+        .withColumn("trail", F.when(F.col("c"), F.array("class")).otherwise(empty)).select("project", "class", "trail", state(F.col("class"), F.col("trail")).alias("sid"))
+    states, kids = RoundTable(spark), RoundTable(spark)
+    new = states.add(begin)
+    while not new.isEmpty():
+        again = F.col("inner") & F.array_contains("trail", F.col("ref_class"))
+        trail = F.when(F.col("inner"), F.array_sort(F.array_append("trail", F.col("ref_class")))) \
+            .when(F.col("ref_cyclic"), F.array("ref_class")).otherwise(empty)
+        found = new.select("project", "class", "trail", "sid").join(fields, ["project", "class"]) \
+            .withColumn("child", F.when(~F.coalesce(again, F.lit(False)), F.col("ref_class"))).withColumn("child_trail", trail)
+        found = kids.add(found.select("project", "sid", "key", "shape", "tag", "child", "child_trail", F.when(
+            F.col("child").isNotNull(), state(F.col("child"), F.col("child_trail"))).alias("child_sid")))
+        new = states.add(found.filter("child IS NOT NULL").select("project", F.col("child").alias("class"), F.col("child_trail").alias("trail"),
+                                                                  F.col("child_sid").alias("sid")).distinct()
+                         .join(states.all().select("project", "sid"), ["project", "sid"], "left_anti").select("project", "class", "trail", "sid"))
+    every, links = states.all().select("project", "class", "sid"), kids.all()
+    texts, pending = RoundTable(spark), every
+    while True:
+        if texts.rounds:
+            done = texts.all().select("project", "sid")
+            pending = every.join(done, ["project", "sid"], "left_anti")
+            waiting = links.filter("child_sid IS NOT NULL").join(done.withColumnRenamed("sid", "child_sid"), ["project", "child_sid"], "left_anti")
+        else:
+            waiting = links.filter("child_sid IS NOT NULL")
+        ready = pending.join(waiting.select("project", "sid").distinct(), ["project", "sid"], "left_anti")
+        rows = links.join(ready.select("project", "sid"), ["project", "sid"], "left_semi")
+        if texts.rounds:
+            rows = rows.join(texts.all().select("project", F.col("sid").alias("child_sid"), "object", "elements"), ["project", "child_sid"], "left")
+        else:
+            rows = rows.withColumns({"object": F.lit(None).cast("string"), "elements": F.lit(None).cast("string")})
+        leaf, nested = F.concat(F.lit('"<'), F.col("tag"), F.lit('>"')), F.coalesce("object", F.lit("{}"))
+        value = F.when(F.col("shape") == "leaf", leaf).when(F.col("shape") == "object", nested) \
+            .when(F.col("shape") == "map", F.concat(F.lit('[{"":'), F.coalesce(leaf, nested), F.lit("}]"))) \
+            .when(F.col("tag").isNotNull(), F.concat(F.lit("["), leaf, F.lit("]"))).otherwise(F.coalesce("elements", F.lit("[]")))
+        pairs = F.sort_array(F.collect_list(F.struct("key", F.concat(json_string(F.col("key")), F.lit(":"), value).alias("pair"))))
+        made = rows.groupBy("project", "sid").agg(pairs.alias("pairs"))
+        join = lambda items: F.coalesce(F.array_join(items, ","), F.lit(""))
+        new = texts.add(ready.select("project", "sid").join(made, ["project", "sid"], "left").select(
+            "project", "sid", F.concat(F.lit("{"), join(F.transform("pairs", lambda p: p["pair"])), F.lit("}")).alias("object"),
+            F.concat(F.lit("["), join(F.transform("pairs", lambda p: F.concat(F.lit("{"), p["pair"], F.lit("}")))), F.lit("]")).alias("elements")))
+        if new.isEmpty():
+            break
+    return begin.join(texts.all().select("project", "sid", "object"), ["project", "sid"]).select("project", "class", F.col("object").alias("skeleton"))
+
+
+def _expanded_paths(ef: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """J6 to a depth: the tree is expanded one class level per round (equi-join of the frontier's
+    referenced class with the field table), a class on its own path not again, and rendered by J3."""
+    spark = ef.sparkSession
+    from apiatlas.session import RoundTable
     cols = ["project", "root", "path", "parent_path", "key", "idx", "depth", "jtype", "expand", "mode", "trail"]
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
     frontier = roots.select("project", F.col("class").alias("root"), F.lit("$").alias("path"),
@@ -375,7 +451,7 @@ def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int
                             F.col("class").alias("expand"), F.lit("object").alias("mode"), F.array("class").alias("trail"))
     levels = RoundTable(spark)
     frontier = levels.add(frontier.select(*cols))
-    while (max_depth is None or levels.rounds <= max_depth) and not frontier.isEmpty():
+    while levels.rounds <= max_depth and not frontier.isEmpty():
         k = frontier.alias("f").join(ef.alias("e"), (F.col("f.project") == F.col("e.project"))
                                      & (F.col("f.expand") == F.col("e.class"))) \
             .select(F.col("f.project").alias("project"), "root", F.col("f.path").alias("parent"),
