@@ -10,7 +10,8 @@
 * ``def``: a variable's declaration or assignment: ``what`` local, field, param or unknown (an
   assignment to no local), ``role`` init, assign or none, ``id`` its value, ``value`` visibility;
 * ``return``: ``id`` of the returned expression; ``cast``: ``name`` is the type, ``id`` its operand;
-* ``block``: a class or method: ``line`` to ``end_line``, ``depth``, ``value`` its visibility, ``args`` [parameters].
+* ``block``: a class or method: ``line`` to ``end_line``, ``depth``, ``value`` its visibility, a method's
+  ``type`` and ``args`` [parameters].
 
 ``cls`` and ``method`` name the enclosing class and method (``name/parameters``). Text that is no
 source gives few rows and never an error; brackets that nothing closes end with the text.
@@ -261,7 +262,7 @@ class Linear:
             return i if found else at
         name, then = self._token(after), self._token(after + 1)
         if then == "(" and frame.kind == "class":
-            return self._method(after, at, found)
+            return self._method(after, at, found, type_)
         if then not in ("=", ";", ",", ":", ")", "["):
             return i if found else at
         return self._variable(after, at, type_, found)
@@ -284,7 +285,7 @@ class Linear:
             return self._variable(i + 1, at, type_, found)
         return i + (self._token(i) == ":")
 
-    def _method(self, i: int, at: int, found: set) -> int:
+    def _method(self, i: int, at: int, found: set, returns: str | None = None) -> int:
         """A method or constructor whose name stands at ``i``."""
         name, end = self._token(i), self._skip(i + 1)
         params, k = [], i + 2
@@ -306,7 +307,7 @@ class Linear:
             return end + (self._token(end) == ";")
         out = self._open(end, "method", f"{name}/{len(params)}", at, visibility)
         frame = self.stack[-1]
-        frame.block["args"] = [len(params)]
+        frame.block["args"], frame.block["type"] = [len(params)], returns
         for n, (param, type_) in enumerate(params):
             frame.types[param] = type_
             self._row("def", at, id=None, what="param", role="none", name=param, type=type_, value=visibility, args=[n])

@@ -232,6 +232,106 @@ def fold_json_puts(puts: DataFrame) -> DataFrame:
     return docs.select("project", "object", "doc_no", F.col("n_keys").cast("long").alias("n_keys"), doc.alias("doc"))
 
 
+def fold_json_events(events: DataFrame) -> DataFrame:
+    """J4 and J4s with alternatives: the documents that an object's events can build.
+
+    ``events(project, object, pos, kind, key, alts ARRAY<STRUCT<value,value_type>>)`` in order of ``pos``:
+
+    * ``put``: ``put(key, value)``, or ``put(value)`` of an array (``key`` NULL);
+    * ``seed``: the object is created from one of the JSON texts ``alts``;
+    * ``new``: it is created empty, or assigned anew.
+
+    A seed or new object starts a document; what stood before stays a document of its own. Within a
+    document the last put of a key wins over earlier ones and over the seed's key; array elements follow
+    the seed's in order. Each key's alternatives multiply (``product.choices``): one row for each
+    combination, dealt to tasks by its number. A put without alternatives, whose value nobody
+    knows, is left out, and so is a seed text that is no JSON of the object's kind. Output ``(project,
+    object, doc_no, nth, doc)``, ``doc_no`` counting the object's documents from 0, keys sorted.
+
+    The document numbers are a running count over (object, pos), range-partitioned with the
+    counts of earlier partitions carried in, so no object is one task.
+    """
+    from apiatlas.operators import product
+    from apiatlas.session import materialize, shuffle_partitions
+    own = ["project", "object"]
+    ranged = materialize(events.repartitionByRange(shuffle_partitions(events.sparkSession), *own, "pos").withColumn("_pid", F.spark_partition_id()))
+    starts = F.col("kind").isin("seed", "new").cast("int")
+    before = ranged.groupBy("_pid", *own).agg(F.sum(starts).alias("_n")).withColumn("_carry", F.sum("_n").over(
+        Window.partitionBy(*own).orderBy("_pid")) - F.col("_n")).drop("_n")
+    here = F.sum(starts).over(Window.partitionBy("_pid", *own).orderBy("pos"))
+    numbered = ranged.withColumn("_here", here).join(before, ["_pid", *own]).withColumn("part", F.col("_here") + F.col("_carry")).drop("_pid", "_here", "_carry")
+
+    keys = [*own, "part"]
+    rendered = F.transform("alts", lambda a: F.struct(_render_put_value(a["value_type"], a["value"]).alias("text"), F.lit(None).cast("array<struct<key:string,value:string>>").alias("object"),
+                                                      F.lit(None).cast("array<string>").alias("items")))
+    # a seed's own keys or elements, as JSON texts
+    parsed = F.transform("alts", lambda a: F.try_parse_json(enc.unescape_java(a["value"])))
+    seeds = F.filter(F.transform(parsed, lambda v: F.struct(
+        F.lit(None).cast("string").alias("text"),
+        F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(
+            e["key"].alias("key"), F.to_json(e["value"]).alias("value"))).alias("object"),
+        F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.to_json(x)).alias("items"))),
+        lambda s: s["object"].isNotNull() | s["items"].isNotNull())
+    puts = numbered.filter("kind = 'put' AND size(alts) > 0").withColumn("at", F.when(F.col("key").isNull(), F.struct("pos")))
+    last = puts.groupBy(*keys, "key", "at").agg(F.max_by("alts", "pos").alias("alts")).select(*keys, "key", "at", rendered.alias("alts"))
+    first = numbered.filter("kind = 'seed'").select(*keys, F.lit(None).cast("string").alias("key"), F.lit(None).cast(last.schema["at"].dataType).alias("at"),
+                                                    seeds.alias("alts")).filter(F.size("alts") > 0)
+    # a document that nothing was put into still is one
+    every = numbered.select(*keys).distinct()
+    factors = last.unionByName(first).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "key", "alts"))).alias("factors"))
+    rows = every.join(factors, keys, "left").select(*keys, F.coalesce(F.transform("factors", lambda f: f["key"]), F.array().cast("array<string>")).alias("names"), F.coalesce(
+        F.transform("factors", lambda f: f["alts"]), F.array().cast(f"array<{last.schema['alts'].dataType.simpleString()}>")).alias("factors"))
+    # a part that starts with nothing and is followed by a start holds no document
+    rows = rows.filter((F.col("part") > 0) | (F.size("factors") > 0))
+    made = product.choices(rows, "factors")
+    pairs = F.arrays_zip(F.col("names").alias("name"), F.col("choice").alias("c"))
+    seed = F.try_element_at(F.filter("choice", lambda c: c["text"].isNull()), F.lit(1))
+    put = F.transform(F.filter(pairs, lambda p: p["name"].isNotNull()), lambda p: F.struct(p["name"].alias("key"), p["c"]["text"].alias("value")))
+    names = F.transform(put, lambda p: p["key"])
+    kept = F.filter(seed["object"], lambda e: ~F.array_contains(names, e["key"]))
+    entries = F.array_sort(F.concat(put, F.coalesce(kept, F.slice(put, 1, 0))))
+    whole = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_string(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
+    items = F.concat(F.coalesce(seed["items"], F.array().cast("array<string>")), F.transform(
+        F.filter(pairs, lambda p: p["name"].isNull() & p["c"]["text"].isNotNull()), lambda p: p["c"]["text"]))
+    is_array = (F.size(put) == 0) & (seed["items"].isNotNull() | (F.size(items) > 0))
+    doc = F.when(is_array, F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))).otherwise(whole)
+    least = made.groupBy(*own).agg(F.min("part").alias("least"))
+    return made.join(least, own).select("project", "object", (F.col("part") - F.col("least")).alias("doc_no"), "nth", doc.alias("doc"))
+
+
+def fold_nested_events(events: DataFrame) -> DataFrame:
+    """J5 over ``fold_json_events``: alternatives of ``value_type`` ``object`` name other objects, whose
+    documents take their place, each an alternative.
+
+    Objects are rendered innermost first: a round renders those whose referenced objects all have
+    documents, and is written once. The rounds end when none becomes ready; objects on a
+    reference cycle, or on a reference to an object without events, have no document.
+    """
+    from apiatlas.session import RoundTable
+    own = ["project", "object"]
+    events = write_table(events)
+    alts = events.select(*own, "pos", "kind", "key", F.explode_outer("alts").alias("alt"))
+    needs = write_table(alts.filter("alt.value_type = 'object'").select(*own, F.col("alt.value").alias("target")).distinct())
+    objects, docs = events.select(*own).distinct(), RoundTable(events.sparkSession)
+    while True:
+        if docs.rounds:
+            done = docs.all().select("project", F.col("object").alias("target"), F.col("doc").alias("inner")).distinct()
+            waiting = needs.join(done, ["project", "target"], "left_anti")
+            pending = objects.join(docs.all().select(*own).distinct(), own, "left_anti")
+        else:
+            done, waiting, pending = None, needs, objects
+        ready = pending.join(waiting.select(*own).distinct(), own, "left_anti")
+        rows = alts.join(ready, own, "left_semi").withColumn("target", F.when(F.col("alt.value_type") == "object", F.col("alt.value")))
+        if done is not None:
+            rows = rows.join(done, ["project", "target"], "left")
+        else:
+            rows = rows.withColumn("inner", F.lit(None).cast("string"))
+        alt = F.when(F.col("target").isNotNull(), F.struct(F.col("inner").alias("value"), F.lit("json").alias("value_type"))).otherwise(F.col("alt"))
+        whole = rows.groupBy(*own, "pos", "kind", "key").agg(F.array_sort(F.collect_set(alt)).alias("alts"))
+        if docs.add(fold_json_events(whole)).isEmpty():
+            return docs.all().drop(docs.name)
+
+
 # --------------------------------------------------------------------------- J5
 def nest_json_values(puts: DataFrame) -> DataFrame:
     """A put whose value is another built object (``value_type = 'object'``,

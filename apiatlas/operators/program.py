@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from apiatlas.functions import encoding as enc
 from apiatlas.functions import linearise as lin
-from apiatlas.operators import resolve
+from apiatlas.operators import jsonmodel, resolve
 from apiatlas.operators import urls as U
 from apiatlas.session import write_table
 
@@ -39,6 +39,7 @@ FACTS = ("project string, package string, path string, kind string, cls string,
 SLICE = 64
 # fixed values: object types whose events are replayed, and the URL builder's calls
 STRING_BUILDERS = ("StringBuilder", "StringBuffer")
+JSON_TYPES = ("JSONObject", "JSONArray")
 URL_BUILDER, URL_TYPE, REQUEST_BUILDER = "HttpUrl.Builder", "HttpUrl", "Request.Builder"
 URL_STEPS = ("scheme", "host", "port", "parse", "addPathSegment", "addPathSegments", "addEncodedPathSegment", "addEncodedPathSegments",
              "fragment", "encodedFragment", "addQueryParameter", "addEncodedQueryParameter")
@@ -124,9 +125,15 @@ class Program:
             "project", "path", method_key(F.col("cls"), F.col("method")).alias("callee"), F.col("args")[0].alias("arg_pos"), "name", "type",
             "var", F.col("value").alias("visibility"))
         self.null = null
+        self._links = None
 
     def links(self) -> DataFrame:
         """links(project, use_id, def_id): names to values and arguments, calls to returned values."""
+        if self._links is None:
+            self._links = write_table(self._all_links())
+        return self._links
+
+    def _all_links(self) -> DataFrame:
         values = self.defs.filter("expr_id IS NOT NULL").select("project", "var", F.col("expr_id").alias("def_id"), "role", "what", "id", "path")
         literals = self.exprs.filter("what = 'literal' AND type = 'null'").select("project", F.col("expr_id").alias("def_id"))
         values = values.join(literals, ["project", "def_id"], "left_anti")
@@ -236,6 +243,44 @@ class Program:
                           F.when(F.size("args") == 1, F.concat("path", F.lit("#"), F.get("args", F.lit(0)).cast("string"))).alias("arg_id")) \
             .join(arg, ["project", "arg_id"], "left").select("project", "request", "pos", "call", "arg")
 
+    def json_events(self, values: DataFrame) -> DataFrame:
+        """Events of JSON object and array variables (J4, J4s, J5), ready for ``fold_nested_events``: creations,
+        seeds from constructor texts, and puts in execution order, also those that callees make."""
+        kinds = F.col("object_type").isin(*JSON_TYPES)
+        # a call has the type that its method declares
+        methods = self.facts.filter("kind = 'block' AND what = 'method'").groupBy("project", method_key(F.col("cls"), F.col("name")).alias("callee")) \
+            .agg(F.min("type").alias("returns"))
+        returned = self.calls.filter("callee IS NOT NULL").select("project", "expr_id", "callee").join(methods, ["project", "callee"]).drop("callee")
+        typed = self.exprs.join(returned, ["project", "expr_id"], "left").select(
+            "project", "expr_id", "what", "name", "value", F.coalesce("type", "returns").alias("type")).join(
+            self.names.filter(simple(F.col("type")).isin(*JSON_TYPES)).select("project", "expr_id", F.col("var").alias("json_var")), ["project", "expr_id"], "left")
+        fields = self.defs.filter((F.col("what") == "field") & simple(F.col("type")).isin(*JSON_TYPES)).select("project", F.col("var")).distinct()
+        held = self.names.join(fields, ["project", "var"]).select("project", "expr_id", F.col("var").alias("field_var"))
+        typed = typed.join(held, ["project", "expr_id"], "left").withColumn("target", F.coalesce("json_var", "field_var"))
+        alt = lambda v, t: F.struct(v.cast("string").alias("value"), t.alias("value_type"))
+        known = values.join(typed.select("project", "expr_id", F.when(F.col("type").isin("null"), "string").otherwise(
+            F.lower(F.coalesce(simple(F.col("type")), F.lit("string")))).alias("value_type")), ["project", "expr_id"]).select(
+                "project", "expr_id", alt(F.col("value"), F.col("value_type")).alias("alt"))
+        null = typed.filter("what = 'literal' AND type = 'null'").select("project", "expr_id", alt(F.lit("null"), F.lit("string")).alias("alt"))
+        other = typed.filter("target IS NOT NULL").select("project", "expr_id", alt(F.col("target"), F.lit("object")).alias("alt"))
+        alts = write_table(known.unionByName(null).unionByName(other).groupBy("project", "expr_id").agg(F.array_sort(F.collect_set("alt")).alias("alts")))
+        arg = lambda n: F.concat("path", F.lit("#"), F.get("args", F.lit(n)).cast("string"))
+        puts = self.calls.filter(kinds & (F.col("name") == "put") & F.col("root_var").isNotNull() & F.size("args").isin(1, 2)).select(
+            "project", F.col("root_var").alias("object"), F.col("id").alias("pos"), F.size("args").alias("n"),
+            F.when(F.size("args") == 2, arg(0)).alias("key_id"), F.when(F.size("args") == 2, arg(1)).otherwise(arg(0)).alias("expr_id"))
+        keys = values.select("project", F.col("expr_id").alias("key_id"), F.col("value").alias("key"))
+        puts = puts.join(keys, ["project", "key_id"], "left").filter("n = 1 OR key IS NOT NULL").join(alts, ["project", "expr_id"], "left") \
+            .select("project", "object", "pos", F.lit("put").alias("kind"), "key", "alts")
+        made = self.defs.filter(F.col("id").isNotNull()).select("project", "path", "id", "var").join(
+            self.exprs.filter((F.col("what") == "new") & simple(F.col("name")).isin(*JSON_TYPES)).select("project", "path", "id", "args"), ["project", "path", "id"])
+        seeds = made.withColumn("expr_id", F.when(F.size("args") == 1, arg(0))).join(alts, ["project", "expr_id"], "left") \
+            .withColumn("texts", F.filter("alts", lambda a: a["value_type"] == "string")).select(
+                "project", F.col("var").alias("object"), F.col("id").alias("pos"), F.when(F.size("texts") > 0, "seed").otherwise("new").alias("kind"),
+                F.lit(None).cast("string").alias("key"), F.when(F.size("texts") > 0, F.col("texts")).alias("alts"))
+        empty = F.array().cast("array<struct<value:string,value_type:string>>")
+        every = puts.unionByName(seeds).withColumn("alts", F.coalesce("alts", empty))
+        return resolve.events_of_roots(every, self.passes(), "object")
+
     def url_variables(self) -> DataFrame:
         """(project, url_var, builder): URL variables and the builders or chains that make their values."""
         return self.defs.filter((simple(F.col("type")) == URL_TYPE) & F.col("id").isNotNull()).select("project", "path", "id", F.col("var").alias("url_var")) \
@@ -249,7 +294,7 @@ def source_candidates(program: Program) -> dict[str, DataFrame]:
     * ``urls(project, path, line, library, text, ord, verb)``: URL builders with the verbs of
       their requests (U7, U8) and URL constructors (U4), ready for the catalog;
     * ``texts(project, path, line, library, text, ord)``: values of concatenations and String
-      builders (R6-R8), URLs or JSON texts."""
+      builders (R6-R8), URLs or JSON texts, and documents of JSON objects (J4, J5)."""
     first = program.values()
     builders = write_table(program.builder_texts(first))
     values = write_table(program.values(builders))
@@ -282,7 +327,12 @@ def source_candidates(program: Program) -> dict[str, DataFrame]:
     held = builders.select("project", "expr_id", "value").withColumn("library", F.lit("noLib.StringBuilder"))
     texts = plus.unionByName(held).join(where, ["project", "expr_id"]).select(
         "project", "path", "line", "library", F.col("value").alias("text"), order(F.col("line"), F.col("pos")).alias("ord"))
-    return {"urls": ok.unionByName(urls), "texts": texts, "values": values}
+    docs = jsonmodel.fold_nested_events(program.json_events(values)).filter("doc LIKE '{_%}'").select("project", F.col("object").alias("var"), "doc").distinct()
+    first_def = program.defs.groupBy("project", "var").agg(F.min(F.struct("path", "line", "pos")).alias("at"))
+    objects = docs.join(first_def, ["project", "var"]).select(
+        "project", "at.path", "at.line", F.lit("org.json").alias("library"), F.col("doc").alias("text"), F.col("at").alias("ord"))
+    objects = objects.withColumn("ord", order(F.col("line"), F.col("ord.pos")))
+    return {"urls": ok.unionByName(urls), "texts": texts.unionByName(objects), "values": values}
 
 
 # What some library calls return, by the type they are called on.

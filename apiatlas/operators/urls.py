@@ -309,33 +309,21 @@ def fold_builder_steps(steps: DataFrame, max_alternatives: int | None = None) ->
                          enc.first_amp_to_question(F.col("value")).alias("text"))
 
 
-def _product(steps, max_alternatives: int | None, sep: str = "") -> Column:
-    """Ordered cartesian concatenation of an array of alternative lists."""
-    def mul(acc, a):
-        nxt = F.flatten(F.transform(acc, lambda x: F.transform(
-            a, lambda y: F.concat(x, F.lit(sep), y) if sep else F.concat(x, y))))
-        return F.slice(nxt, 1, max_alternatives) if max_alternatives else nxt
-
-    first = steps[0]
-    rest = F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(1)))
-    return F.when(F.size(steps) == 1, first).otherwise(F.aggregate(rest, first, mul))
-
-
 def product_fold(df: DataFrame, keys: list[str], pos_col: str, alts_col: str,
                  max_alternatives: int | None = None, sep: str = "",
                  num_partitions: int | None = None) -> DataFrame:
     """Ordered cartesian concatenation of per-step alternatives, one row per result.
 
-    Two levels, so a key with a huge number of steps is not gathered raw into
-    one task: the steps are range-partitioned on (keys, pos) and each
-    partition folds its run of steps of a key into one partial product; the
-    partials of a key (at most one per partition it spans) are then folded in
-    partition order. Concatenation is associative, and so is the optional
-    ``max_alternatives`` bound (the first N results only depend on the first N
-    of each factor). Equal positions are ordered by their alternatives, so
-    ties are deterministic. Default: no bound, whole results (the reference
+    Two levels, so a key with a huge number of steps is not gathered raw into one task: the steps
+    are range-partitioned on (keys, pos), and each partition joins its runs of steps with one
+    alternative into one factor; the factors of a key are then put together in partition
+    order. They stay factors: a key's combinations are numbered, dealt to tasks by their numbers
+    and made there (``product.choices``), so a key with millions of results is not one row.
+    ``max_alternatives`` keeps each key's first results. Equal positions are ordered by their
+    alternatives, so ties are deterministic. Default: no bound, whole results (the reference
     stops growing above 100).
     """
+    from apiatlas.operators import product
     from apiatlas.session import materialize
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -344,10 +332,10 @@ def product_fold(df: DataFrame, keys: list[str], pos_col: str, alts_col: str,
                          .withColumn("_pid", F.spark_partition_id()))
     part = ranged.groupBy(*keys, "_pid").agg(
         F.array_sort(F.collect_list(F.struct("_p", "_a"))).alias("_s")) \
-        .select(*keys, "_pid", _product(F.transform("_s", lambda x: x["_a"]), max_alternatives, sep).alias("_part"))
+        .select(*keys, "_pid", product.merged_runs(F.transform("_s", lambda x: x["_a"]), sep).alias("_part"))
     whole = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pid", "_part"))).alias("_s")) \
-        .select(*keys, _product(F.transform("_s", lambda x: x["_part"]), max_alternatives, sep).alias("_prod"))
-    return whole.select(*keys, F.explode("_prod").alias("value"))
+        .select(*keys, product.merged_runs(F.flatten(F.transform("_s", lambda x: x["_part"])), sep).alias("_factors"))
+    return product.choices(whole, "_factors", max_alternatives).select(*keys, F.array_join("choice", sep).alias("value"))
 
 
 # --------------------------------------------------------------------------- U8

@@ -199,3 +199,39 @@ def test_string_declarations(spark):
     df = spark.createDataFrame([("p", "A.java", code), ("p", "n", None)], "project string, path string, content string")
     assert {r["name"]: r["values"] for r in facts.collect_string_vars(df).collect()} == {
         "A": ["a"], "C": ["c"], "s": ['quo\\"te'], "t": ["two lines"], "u": ["u"]}
+
+
+JSON = '''package p;
+public class Json {
+  private JSONObject field = new JSONObject();
+  void puts(boolean b) throws JSONException {
+    JSONObject o = new JSONObject();
+    o.put("ojk1", "ojv1").put("ojk2", "ojv" + 2);
+    o.put("ojk3", true);
+    JSONObject n = new JSONObject();
+    n.put("ojk7", "ojv7"); n.put("ojk8", null); n.put("ojk9", 9); n.put("ojk9_1", number());
+    JSONArray a = new JSONArray();
+    a.put(true).put(20).put("ojv20");
+    JSONObject holder = new JSONObject();
+    holder.put("ojk20", a);
+    fill(holder, "ojk21");
+    JSONObject seeded = new JSONObject("{\\"ojk10\\":\\"ojv10\\"}");
+    seeded.put("ojk25", "ojv25");
+    seeded = new JSONObject();
+    seeded.put("ojk24", "ojv24");
+    field.put("ojk30", 1.5);
+  }
+  private void fill(JSONObject target, String key) { target.put(key, "filled"); }
+  int number() { return 91; }
+}
+'''
+
+
+def test_json_objects(spark):
+    import json
+    corpus = spark.createDataFrame([("app", "Json.java", JSON)], "project string, path string, content string")
+    texts = program.source_candidates(program.Program(corpus))["texts"].filter("library = 'org.json'").collect()
+    key = lambda d: json.dumps(d, sort_keys=True)
+    assert sorted({key(json.loads(r["text"])) for r in texts}) == sorted(key(d) for d in (
+        {"ojk1": "ojv1", "ojk2": "ojv2", "ojk3": True}, {"ojk7": "ojv7", "ojk8": None, "ojk9": 9, "ojk9_1": 91}, {"ojk20": [True, 20, "ojv20"], "ojk21": "filled"},
+        {"ojk10": "ojv10", "ojk25": "ojv25"}, {"ojk24": "ojv24"}, {"ojk30": 1.5}))
