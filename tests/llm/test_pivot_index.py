@@ -61,3 +61,48 @@ def test_kept_extra_columns_and_empty(spark):
     got = sorted((r["vec_id"], r["component_id"], r["kept"]) for r in p.near_duplicates(df).collect())
     assert got == [(3, 3, True), (5, 3, False), (8, 8, True)]
     assert p.near_duplicates(df.limit(0)).count() == 0
+
+
+def planted(rnd, n, dim, mean):
+    """n vectors of a given mean cosine, and for each a partner at cosine 0.981 to 1."""
+    top = np.zeros(dim)
+    top[0] = 1
+    spread = rnd.normal(size=(n, dim))
+    x = p.unit(np.sqrt(mean) * top + np.sqrt(1 - mean) * spread / np.linalg.norm(spread, axis=1, keepdims=True))
+    turn = rnd.normal(size=x.shape)
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    cosine = rnd.uniform(0.981, 1, (n, 1))
+    return x, cosine * x + np.sqrt(1 - cosine ** 2) * p.unit(turn)
+
+
+def test_recall_of_the_index_and_short_lists():
+    """Also where all vectors are alike: pivots spread after the mean is taken off."""
+    rnd = np.random.default_rng(12)
+    for dim, mean in ((8, 0.0), (64, 0.0), (64, 0.5), (128, 0.8), (768, 0.8), (64, 0.95)):
+        x, y = planted(rnd, 3000, dim, mean)
+        index = p.Index(x[:2000])
+        a, b = index.nearest(x), index.nearest(y)
+        common = (a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1)
+        assert (common >= index.shared).mean() >= 0.94, (dim, mean, index.shared)
+        if dim > 8 and mean < 0.9:
+            assert len(index.pivots) == p.PIVOTS and index.shared > 1
+            cells = [c for some in p.combinations(range(p.NEAREST), index.shared) for c in p.cell_of(np.sort(a, axis=1)[:, list(some)], dim).tolist()]
+            assert np.unique(cells, return_counts=True)[1].max() <= 60
+
+
+def test_planted_links_are_found(spark):
+    rnd = np.random.default_rng(13)
+    for mean in (0.0, 0.8):
+        x, y = planted(rnd, 400, 64, mean)
+        rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(1000 + i, v.tolist(), i % 3) for i, v in enumerate(y)]
+        want = brute(rows)
+        got = {str(r["vec_id"]): r["n_links"] for r in p.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+        links = sum(n for _, n, _ in want)
+        assert links >= 800 and all(got[i] <= n for i, n, _ in want) and sum(got.values()) >= 0.95 * links
+
+
+def test_many_small_lists_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(p, "NUMBERS", 200)
+    monkeypatch.setattr(p, "SMALL", 3)
+    rnd = np.random.default_rng(3)
+    check(spark, [(i, v, 1) for i, v in enumerate(group(rnd, 40, 0.08) + group(rnd, 30, 0.05) + [rnd.normal(size=24).tolist() for _ in range(60)])])
