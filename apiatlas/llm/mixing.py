@@ -1,40 +1,44 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 Built-in functions only.
 
-Each source's documents form a stream in the order of a seeded hash, repeated when its
-target asks for more than its own words. The stream is cut into blocks of equal length
-and the source's quota is the number of blocks that hold its target. The tree's root
-holds all quotas and all output shards; each node halves its shards and draws which part
-of each quota goes left, exactly as if its blocks had been shuffled (a multivariate
-hypergeometric draw: source by source, given what is left). A leaf is one shard with an
-exact quota of each source. Along the way each quota keeps its range of the source's
-permuted block numbers, so shards draw disjoint blocks; within a shard documents lie in
-hash order. Everything follows from the seed: reruns agree.
+Each source's documents form a stream in the order of a seeded hash, cut into blocks of equal
+length (a small target has shorter blocks, a part of it). A target that holds the stream once
+or more takes all its blocks as often; of what is left, so many blocks are drawn at random as
+hold it, the last one cut where the target ends. The source's quota is the number of blocks
+drawn, and a document's words are taken as far as it lies in them. The tree's root holds all
+quotas and all output shards; each node halves its shards and draws which part of each quota
+goes left, exactly as if its blocks had been shuffled (a multivariate hypergeometric draw:
+source by source, given what is left). A leaf is one shard with an exact quota of each source.
+Along the way each quota keeps its range of the source's permuted draws, so shards draw
+disjoint blocks; a document goes to the shard of its first block drawn, and within a shard
+documents lie in hash order. Everything follows from the seed: reruns agree.
 
 Weights repeat over the sources in code-point order, null last. Targets are shares of the
 total size by weight; a target stops at ``repeats`` times its source's size and the excess
 is shared again by weight until none is above.
 
 Cases: null and empty texts have size 0 and are never drawn; a null source is a source of
-its own; sources without words get target 0; repeated rows are documents of their own; one
-huge document is cut where its source's target ends; an empty table gives no rows; other
+its own; sources without words get target 0; repeated rows are documents of their own; of one
+huge document the words in drawn blocks are taken (``mixed_documents`` takes a document whole if
+that is most of it, else leaves it); an empty table gives no rows; other
 columns pass through, and input columns named like a result are replaced. A node's row
 holds one number a source: sources may be many thousands, documents any number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from apiatlas.llm.common import WORD, word_count
+from apiatlas.llm.common import word_count
 from apiatlas.session import write_table
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-#: Words of a block, and blocks of an output shard.
+#: Words of a block, at most one part in so many of a target, and blocks of an output shard.
 BLOCK_WORDS = 1 << 14
+PARTS = 256
 SHARD_BLOCKS = 64
 SLICES = 16
 SEED = 20
@@ -135,7 +139,7 @@ def draw_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
              weights=WEIGHTS, repeats: int = REPEATS, seed: int = SEED,
              block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """Every document's draws: ``docs`` with ``size``, ``source_size``, ``target`` and for
-    each draw ``shard``, ``words`` (the document's first words that it takes) and ``spot``
+    each draw ``shard``, ``words`` (how many of its words lie in blocks drawn) and ``spot``
     (the order within the shard); ``row`` names the input row. Documents that are never
     drawn have one row with null shard and 0 words."""
     h = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), F.col(text))
@@ -146,10 +150,15 @@ def draw_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
         F.sum("n").alias("n_docs"), F.sum("w").alias("source_size")), weights, repeats)
         .withColumn("want", F.round("target").cast("long"))
         .withColumn("shift", (CELL_BITS - F.least(F.lit(CELL_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_docs") / BUCKET))))).cast("int"))
-        .withColumn("q", F.expr(f"(want + {block_words - 1}) div {block_words}")))
-
-    blocks = targets.agg(F.sum("q")).first()[0] or 0
-    leaves = splitting_tree(targets.select("sid", "q"), max(1, -(-blocks // shard_blocks)), seed)
+        .selectExpr("*", f"greatest(1L, least({block_words}L, want div {PARTS}, source_size)) AS bw",
+                    f"if(source_size > 0, least({repeats}L, want div source_size), 0L) AS whole")
+        # equal blocks of a stream, and whether words are left behind them; blocks and words of the last, partial pass
+        .selectExpr("*", "source_size div bw AS blocks", "cast(source_size % bw > 0 as long) AS tail", "(want - whole * source_size) div bw AS part",
+                    "(want - whole * source_size) % bw AS cut")
+        .withColumn("q", F.expr("whole * (blocks + tail) + part + cast(cut > 0 as long)")))
+
+    words = targets.agg(F.sum("want")).first()[0] or 0
+    leaves = splitting_tree(targets.select("sid", "q"), max(1, -(-words // (shard_blocks * block_words))), seed)
     places = write_table(leaves.select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("q") - 1)).alias("place")))
 
     by = Window.partitionBy("sid").orderBy("bucket")
@@ -166,28 +175,28 @@ def draw_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "id")
     rows = rows.withColumns({"before": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"),
                              "nth": F.row_number().over(inside)}).join(starts, ["sid", "bucket"])
-    # epoch e of the stream holds the words [e * source_size, (e + 1) * source_size)
-    at = [F.lit(e) * F.col("source_size") + F.col("start") + F.col("before") for e in range(repeats)]
-    taken = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("want") - a)).cast("long") for a in at]
-    draws = F.filter(F.array(*[F.struct(F.lit(e).alias("e"), F.floor(a / block_words).alias("block"), t.alias("words"))
-                               for e, (a, t) in enumerate(zip(at, taken))]), lambda d: d["words"] > 0)
-    rows = (rows.withColumn("draw", F.explode_outer(draws))
-            .withColumn("place", F.expr(f"if(q > 0, (draw.block * {STEP}L + pmod(xxhash64({seed + 2}L, sid), q)) % q, null)"))
+    # pass e over the stream: all blocks of whole passes, the drawn ones of the partial one
+    rows = rows.withColumn("at", F.col("start") + F.col("before"))
+    drawn = f"pmod(b * {STEP}L + pmod(xxhash64({seed + 2}L, sid, e), greatest(blocks, 1L)), greatest(blocks, 1L))"
+    limit = "if(b = blocks, if(part = blocks, cut, 0L), if(nth < part, bw, if(nth = part, cut, 0L)))"
+    held = f"transform(array({drawn}), nth -> named_struct('nth', if(b = blocks, part, nth), 'upto', least(at + size, b * bw + {limit})))[0]"
+    partial = f"""aggregate(sequence(at div bw, (at + size - 1) div bw), named_struct('words', 0L, 'place', cast(null as long)),
+        (s, b) -> transform(array({held}), h -> transform(array(greatest(0L, h.upto - greatest(at, b * bw))), got -> named_struct(
+            'words', s.words + got, 'place', coalesce(s.place, if(got > 0, whole * (blocks + tail) + h.nth, null))))[0])[0])"""
+    draws = f"""filter(transform(sequence(0, {repeats}), e -> transform(array(if(size = 0 OR e > whole, named_struct('words', 0L, 'place', cast(null as long)),
+        if(e < whole, named_struct('words', size, 'place', e * (blocks + tail) + at div bw), {partial}))), d -> named_struct(
+            'e', e, 'words', d.words, 'place', d.place))[0]), d -> d.words > 0)"""
+    rows = (rows.withColumn("draw", F.explode_outer(F.expr(draws)))
+            .withColumn("place", F.expr(f"if(q > 0, (draw.place * {STEP}L + pmod(xxhash64({seed + 3}L, sid), q)) % q, null)"))
             .join(places, ["sid", "place"], "left"))
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", "target", "shard",
                        F.coalesce("draw.words", F.lit(0)).alias("words"),
                        F.xxhash64(F.lit(seed + 3), "h", "draw.e", "nth").alias("spot"), F.struct("sid", "bucket", "nth").alias("row"))
 
 
-def first_words(text: Column, size: Column, words: Column) -> Column:
-    """The text up to its ``words``-th word; a whole draw leaves it as it is."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    return F.when(words < size, F.array_join(F.slice(pieces, 1, words.cast("int")), "")).otherwise(text)
-
-
-def mixed_documents(draws: DataFrame, text: str = "text") -> DataFrame:
-    """The mix itself: one row for each draw with the words it takes, dealt out by shard (a
-    shard in ``SLICES`` random slices, so that few large shards make no few large tasks) and
-    shuffled within."""
-    return (draws.filter(F.col("words") > 0).withColumn(text, first_words(F.col(text), F.col("size"), F.col("words")))
+def mixed_documents(draws: DataFrame) -> DataFrame:
+    """The mix itself, in whole documents: one row for each draw that takes half of its document's words or
+    more, dealt out by shard (a shard in ``SLICES`` random slices, so that few large shards make no
+    few large tasks) and shuffled within; ``words`` is the document's size."""
+    return (draws.filter((F.col("words") > 0) & (2 * F.col("words") >= F.col("size"))).withColumn("words", F.col("size"))
             .repartition("shard", F.pmod("spot", F.lit(SLICES))).sortWithinPartitions("shard", "spot"))

@@ -41,8 +41,9 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws = mixing.draw_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return (draws.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"),
                                      F.first("source_size").alias("source_size"), F.first("target").alias("target"),
-                                     F.sum(F.when(F.col("shard").isNotNull(), F.col("words")).otherwise(0)).alias("taken"))
-            .select("doc_id", "size", "source_size", "target", "taken"))
+                                     F.sum(F.when(F.col("shard").isNotNull(), F.col("words")).otherwise(0)).alias("taken"),
+                                     F.sort_array(F.collect_list(F.when(F.col("shard").isNotNull(), F.struct("shard", "spot")))).alias("shards"))
+            .select("doc_id", "size", "source_size", "target", "taken", "shards"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

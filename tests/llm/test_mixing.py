@@ -86,8 +86,59 @@ def test_mixed_documents_hold_the_words(spark):
     rows = corpus(60)
     d = draws_of(spark, rows)
     mixed = mixing.mixed_documents(d).collect()
-    assert sum(len(r["text"].split()) for r in mixed) == d.agg(F.sum("words")).first()[0]
-    assert all(len(r["text"].split()) == r["words"] for r in mixed)
+    whole = {t for _, t, _ in rows}  # no document is cut
+    assert all(r["text"] in whole and len(r["text"].split()) == r["words"] == r["size"] for r in mixed)
+    drawn = sorted((r["row"], r["spot"]) for r in d.collect() if r["words"] and 2 * r["words"] >= r["size"])
+    assert sorted((r["row"], r["spot"]) for r in mixed) == drawn
+
+
+def plain_draws(rows, got, block_words, seed=mixing.SEED):
+    """Words of each row by walking every source's stream block by block. The stream's order and the blocks'
+    permutation come from Spark (``got`` holds each row's place and its source's numbers)."""
+    out = {}
+    for key, (at, size, source_size, want, shift) in got.items():
+        bw = max(1, min(block_words, want // mixing.PARTS, source_size))
+        whole, rest = divmod(want, source_size) if source_size else (0, 0)
+        whole = min(mixing.REPEATS, whole)
+        blocks, part, cut = source_size // bw, (want - whole * source_size) // bw, (want - whole * source_size) % bw
+        taken = whole * size
+        for w in range(at, at + size):
+            b = w // bw
+            nth = (b * mixing.STEP + shift % max(blocks, 1)) % max(blocks, 1) if b < blocks else part if part == blocks else part + 1
+            if b < blocks:
+                taken += nth < part or nth == part and w % bw < cut
+            else:
+                taken += part == blocks and w - blocks * bw < cut
+        out[key] = taken
+    return out
+
+
+@pytest.mark.parametrize("block_words", [7, 50])
+def test_blocks_drawn_decide_what_is_taken(spark, block_words):
+    rows = corpus(200)
+    d = mixing.draw_mix(spark.createDataFrame(rows, SCHEMA), block_words=block_words, shard_blocks=8)
+    one, places = {}, {}
+    for r in d.collect():
+        key = tuple(r["row"])
+        one.setdefault(key, [r["size"], 0, r["source_size"], round(r["target"])])[1] += r["words"]
+    for sid, bucket, nth in sorted(one):  # the stream: buckets, and rows within them, in order
+        places.setdefault(sid, []).append((sid, bucket, nth))
+    shifts = {}
+    for sid in places:
+        size, want = one[places[sid][0]][2:]
+        e = min(mixing.REPEATS, want // size) if size else 0
+        shifts[sid] = spark.sql(f"SELECT xxhash64({mixing.SEED + 2}L, CAST({sid} AS BIGINT), {e}) AS h").first()["h"]
+    got = {}
+    for sid, keys in places.items():
+        at = 0
+        for key in keys:
+            size, _, source_size, want = one[key]
+            got[key] = (at, size, source_size, want, shifts[sid])
+            at += size
+    assert {k: v[1] for k, v in one.items()} == plain_draws(rows, got, block_words)
+    other = mixing.draw_mix(spark.createDataFrame(rows, SCHEMA), block_words=3, shard_blocks=8)
+    words = lambda df: sorted((tuple(r["row"]), r["words"]) for r in df.collect())
+    assert words(other) != words(d)
 
 
 def test_clashes_and_empty(spark):

@@ -29,7 +29,9 @@ def test_stages_in_order(spark):
     assert after.exceptAll(before).count() == 0 and after.count() == after.select("doc_id").distinct().count()
     before, after = by_name["mix_sources"]
     words = F.coalesce(F.sum(F.size(F.expr("regexp_extract_all(text, '[^ \\\\t-\\\\r]+', 0)"))), F.lit(0))
-    assert abs(after.agg(words).first()[0] - before.agg(words).first()[0]) <= 20
+    total = before.agg(words).first()[0]  # documents are taken whole, so targets are met nearly
+    assert abs(after.agg(words).first()[0] - total) <= 0.05 * total and after.select("text").exceptAll(before.select("text")).select("text").distinct().join(
+        before.select("text").distinct(), "text", "left_anti").count() == 0
     before, after = by_name["bpe_encode_decode"]
     assert after.count() == before.count()
     r = after.first()
