@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     evidence = F.aggregate("found", F.lit(0.0), lambda acc, s: acc + F.greatest(
         F.lit(0.0), F.lit(model.decay) * s - F.lit(model.log_k) - places))
     # two numbers for each sampled document, so the sample's size bounds what comes to the driver
-    rows = seen.select("y", F.log1p(evidence).alias("x")).orderBy("x", "y").toPandas()
+    rows = seen.select("y", F.log1p(evidence).alias("x")).toPandas().sort_values(["x", "y"])
     model.slope, model.offset = _logistic(rows["x"].to_numpy(), rows["y"].to_numpy().astype(float))
     shared.destroy()
     return model
