@@ -780,3 +780,33 @@ WITH e AS (SELECT o_custkey, -1 AS p1, 0 AS p2, 'C' AS t FROM (SELECT DISTINCT o
 UNION ALL SELECT o_custkey, o_orderkey, 0, o_orderstatus FROM orders
 UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, lower(l_returnflag) FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT 'tpch' AS project, 'cust' || o_custkey AS builder, string_agg(t, '' ORDER BY p1, p2, t) AS value FROM e GROUP BY o_custkey"""
+
+
+# ------------------------------------------------------------------ files
+ORACLE["read_corpus"] = r"""
+SELECT CAST(page_id % 7 AS VARCHAR) AS project, count(*) AS n_lines, CAST(sum(length(url) + 1) AS BIGINT) AS n_chars
+FROM pages WHERE url IS NOT NULL GROUP BY 1"""
+
+ORACLE["list_files"] = r"""
+SELECT CAST(page_id % 7 AS VARCHAR) AS project, CAST(sum(octet_length(encode(url)) + 1) AS BIGINT) AS n_bytes
+FROM pages WHERE url IS NOT NULL GROUP BY 1"""
+
+ORACLE["read_packages"] = "SELECT replace(p_name, ' ', '.') AS package_name, CAST(p_size AS BIGINT) AS version FROM part"
+
+ORACLE["write_snippets"] = r"""
+SELECT source AS project, CAST(doc_id AS VARCHAR) AS path, lang AS library FROM documents
+WHERE lang IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) >= 200)"""
+
+ORACLE["write_models"] = "WITH " + EVENT_MODELS + r"""
+SELECT project, library, count(*) AS n_models FROM models GROUP BY project, library"""
+
+ORACLE["fuzzy_fill_json"] = r"""
+WITH f AS (SELECT p_brand AS project, CAST(p_partkey AS VARCHAR) AS model_id, p_name AS key,
+                  ['STRING', 'NUMBER_INT', 'BOOLEAN', 'NUMBER_DOUBLE'][p_size % 4 + 1] AS jtype, CASE WHEN p_partkey % 3 = 0 THEN 'known' END AS value FROM part),
+v AS (SELECT p_brand AS project, p_type AS var_name, min(p_name) AS var_value FROM part GROUP BY p_brand, p_type),
+s AS (SELECT k.project, k.key, v.var_value,
+             row_number() OVER (PARTITION BY k.project, k.key ORDER BY jaro_winkler_similarity(k.key, v.var_name) DESC, v.var_name) AS rn
+      FROM (SELECT DISTINCT project, key FROM f WHERE value IS NULL AND jtype = 'STRING') k JOIN v USING (project))
+SELECT f.project, model_id, f.key, jtype, CASE WHEN value IS NOT NULL THEN value WHEN jtype = 'STRING' THEN s.var_value
+       WHEN jtype = 'BOOLEAN' THEN 'true' WHEN jtype = 'NUMBER_INT' THEN '0' ELSE '0.0' END AS value
+FROM f LEFT JOIN s ON s.project = f.project AND s.key = f.key AND s.rn = 1"""

@@ -7,6 +7,7 @@ the matching oracle SQL (``apiatlas.plans.oracle``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from apiatlas.operators import facts, jsonmodel, libraries, program, resolve, sa
 from apiatlas.operators import urls as U
 from apiatlas.plans import dims
 from apiatlas.plans import inputs as I
+from apiatlas.session import ensure_checkpoint_dir
+from apiatlas.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,6 +148,63 @@ def q_typed_call_rules(spark, sf):
     return m.select("project", "path", "line", "kind", "name", "scope_type", "result_type", "library")
 
 
+# ------------------------------------------------------------------ files
+def _folder(spark) -> str:
+    """A new folder below the cluster's shared one."""
+    return f"{ensure_checkpoint_dir(spark)}/files/{uuid.uuid4().hex}"
+
+
+def _page_files(spark, sf) -> str:
+    """The URLs of pages as text files, a folder for each project (page_id mod 7)."""
+    root = _folder(spark)
+    p = I.table(spark, sf, "pages").filter("url IS NOT NULL")
+    p.select((F.col("page_id") % 7).cast("string").alias("project"), "url").write.partitionBy("project").text(root)
+    return root
+
+
+def q_read_corpus(spark, sf):
+    c = readers.read_corpus(spark, _page_files(spark, sf), "*.txt")
+    return c.groupBy(F.regexp_replace("project", "project=", "").alias("project")).agg(
+        F.sum(F.size(F.split("content", "\n")) - 1).alias("n_lines"), F.sum(F.length("content").cast("long")).alias("n_chars"))
+
+
+def q_list_files(spark, sf):
+    f = readers.list_files(spark, _page_files(spark, sf), ".txt")
+    return f.groupBy(F.regexp_extract("path", "project=([^/]+)/", 1).alias("project")).agg(F.sum("length").alias("n_bytes"))
+
+
+def q_read_packages(spark, sf):
+    path = _folder(spark)
+    I.table(spark, sf, "part").select(F.regexp_replace("p_name", " ", ".").alias("package_name"), F.col("p_size").alias("version")) \
+        .write.option("header", True).csv(path)
+    return readers.read_packages(spark, path)
+
+
+def q_write_snippets(spark, sf):
+    """Documents as snippets of their language's log; languages of fewer than 200 documents are no library."""
+    path = _folder(spark)
+    docs = I.document_texts(spark, sf).select("project", "path", "library")
+    known = docs.groupBy("library").agg(F.count("*").alias("n")).filter("n >= 200").select("library")
+    sinks.write_snippets(docs, known, path)
+    return spark.read.schema("project string, path string, library string").json(path).select("project", "path", "library")
+
+
+def q_write_models(spark, sf):
+    path = _folder(spark)
+    sinks.write_models(_event_models(spark, sf).select("project", "library", "canonical"), path)
+    m = spark.read.schema("project string, library string, canonical string").json(path)
+    return m.groupBy("project", "library").agg(F.count("canonical").alias("n_models"))
+
+
+def q_fuzzy_fill_json(spark, sf):
+    p = I.table(spark, sf, "part")
+    jtype = F.element_at(F.array(*[F.lit(t) for t in ("STRING", "NUMBER_INT", "BOOLEAN", "NUMBER_DOUBLE")]), (F.col("p_size") % 4 + 1).cast("int"))
+    fields = p.select(F.col("p_brand").alias("project"), F.col("p_partkey").cast("string").alias("model_id"), F.col("p_name").alias("key"),
+                      jtype.alias("jtype"), F.when(F.col("p_partkey") % 3 == 0, F.lit("known")).alias("value"))
+    svars = p.groupBy(F.col("p_brand").alias("project"), F.col("p_type").alias("name")).agg(F.sort_array(F.collect_set("p_name")).alias("values"))
+    return samples.fuzzy_fill_json(fields, svars).select("project", "model_id", "key", "jtype", "value")
+
+
 def q_expand_concat(spark, sf):
     li = I.table(spark, sf, "lineitem")
     nation = I.table(spark, sf, "nation")
@@ -585,6 +645,12 @@ QUERIES: dict[str, Query] = {
     "source_blocks": q_source_blocks,
     "string_declarations": q_string_declarations,
     "typed_call_rules": q_typed_call_rules,
+    "read_corpus": q_read_corpus,
+    "list_files": q_list_files,
+    "read_packages": q_read_packages,
+    "write_snippets": q_write_snippets,
+    "write_models": q_write_models,
+    "fuzzy_fill_json": q_fuzzy_fill_json,
     "expand_concat": q_expand_concat,
     "resolve_local": q_resolve_local,
     "resolve_field": q_resolve_field,

@@ -13,7 +13,8 @@ REPORT_SECTIONS = ["ENDPOINTS:", "JSON:", "STRING VARIABLES:", "JSON DETAILS:",
 
 
 def _relative(path_col, root: str):
-    root = root.rstrip("/")
+    # the root may be named with its scheme, in fewer slashes than the files'
+    root = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root.rstrip("/"))
     return F.regexp_replace(path_col, "^.*?" + re.escape(root) + "/", "")
 
 
