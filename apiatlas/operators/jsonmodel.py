@@ -176,6 +176,16 @@ def json_skeleton(fields: DataFrame, with_values: bool = False, both: bool = Fal
     return top.select("project", "model_id", F.col("r").alias("skeleton"))
 
 
+def corpus_schema(models: DataFrame, text_col: str = "canonical") -> DataFrame:
+    """J3 at corpus level: one schema for all JSON models of a project -> ``(project, schema)``.
+
+    The schemas of documents merge as they meet (``schema_of_variant_agg``, partial aggregates first):
+    a key of any document is a key, other types of one key become ``VARIANT``. Texts that are no JSON
+    have no part in it."""
+    doc = F.try_parse_json(F.col(text_col))
+    return models.filter(doc.isNotNull()).groupBy("project").agg(F.schema_of_variant_agg(doc).alias("schema"))
+
+
 # --------------------------------------------------------------------------- J4
 def _render_put_value(vt, v) -> F.Column:
     return (F.when(v.isNull() | (v == "null"), F.lit("null"))

@@ -109,7 +109,7 @@ def analyze_corpus(spark: SparkSession, corpus: DataFrame, build_files: DataFram
         "library_usage": stats.library_usage(deps, dims.library_dim(spark)),
         "project_counters": stats.project_counters(projects, deps, models),
         "models_per_library": stats.models_per_library(models, dims.model_library_dim(spark)),
-        "field_usage": stats.field_usage(fields),
+        "field_usage": stats.field_usage(fields), "schemas": jsonmodel.corpus_schema(text_models),
         "project_summary": stats.project_summary(models, catalog),
     }
     filled = samples.fuzzy_fill_queries(

@@ -810,3 +810,9 @@ s AS (SELECT k.project, k.key, v.var_value,
 SELECT f.project, model_id, f.key, jtype, CASE WHEN value IS NOT NULL THEN value WHEN jtype = 'STRING' THEN s.var_value
        WHEN jtype = 'BOOLEAN' THEN 'true' WHEN jtype = 'NUMBER_INT' THEN '0' ELSE '0.0' END AS value
 FROM f LEFT JOIN s ON s.project = f.project AND s.key = f.key AND s.rn = 1"""
+
+ORACLE["corpus_schema"] = r"""
+WITH f AS (SELECT p_brand || '/' || p_type AS project, bool_or(p_size % 3 = 0) AS num, bool_or(p_size % 3 = 1) AS dim, bool_or(p_size % 3 = 2) AS txt
+           FROM part GROUP BY 1)
+SELECT project, 'OBJECT<' || concat_ws(', ', CASE WHEN dim THEN 'dim: OBJECT<w: ARRAY<BIGINT>>' END, CASE WHEN num OR dim THEN 'name: STRING' END,
+       CASE WHEN num AND txt THEN 'size: VARIANT' WHEN num THEN 'size: BIGINT' WHEN txt THEN 'size: STRING' END) || '>' AS schema FROM f"""

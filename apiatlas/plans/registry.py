@@ -148,6 +148,16 @@ def q_typed_call_rules(spark, sf):
     return m.select("project", "path", "line", "kind", "name", "scope_type", "result_type", "library")
 
 
+def q_corpus_schema(spark, sf):
+    """Parts as documents of three shapes, whose sizes are numbers, objects or texts."""
+    p = I.table(spark, sf, "part")
+    name = F.concat(F.lit('{"name":"'), F.col("p_name"), F.lit('",'))
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(name, F.lit('"size":'), size, F.lit("}"))) \
+        .when(F.col("p_size") % 3 == 1, F.concat(name, F.lit('"dim":{"w":['), size, F.lit("]}}"))).otherwise(F.concat(F.lit('{"size":"'), size, F.lit('"}')))
+    return jsonmodel.corpus_schema(p.select(F.concat_ws("/", "p_brand", "p_type").alias("project"), text.alias("canonical")))
+
+
 # ------------------------------------------------------------------ files
 def _folder(spark) -> str:
     """A new folder below the cluster's shared one."""
@@ -645,6 +655,7 @@ QUERIES: dict[str, Query] = {
     "source_blocks": q_source_blocks,
     "string_declarations": q_string_declarations,
     "typed_call_rules": q_typed_call_rules,
+    "corpus_schema": q_corpus_schema,
     "read_corpus": q_read_corpus,
     "list_files": q_list_files,
     "read_packages": q_read_packages,
