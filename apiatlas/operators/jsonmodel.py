@@ -485,8 +485,8 @@ def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int
     Each class is rendered once, from the texts of the classes it refers to, however many paths
     lead to it. What it renders to depends on the path only among the classes of its own cycle, so
     it is a class together with those of them that are on the path which is rendered once. First
-    such pairs are found from the roots down, then rendered from the leaves up; a round is a few
-    equi-joins and is written once. With ``max_depth`` (default: none) the tree of paths is
+    such pairs are found along the cycles, then all are rendered from the leaves up; a round is a
+    few equi-joins and is written once. With ``max_depth`` (default: none) the tree of paths is
     expanded to that depth instead.
     """
     from apiatlas.session import RoundTable
@@ -503,10 +503,16 @@ def schema_from_fields(class_fields: DataFrame, roots: DataFrame, max_depth: int
         F.struct("shape", "tag", "ref_class", "inner", "ref_cyclic"), F.struct("shape", "tag", "ref_class")).alias("f")).select("project", "class", "key", "f.*"))
     state = lambda cls, trail: F.concat_ws("\u0000", cls, trail)
     empty = F.array().cast("array<string>")
-    begin = roots.select("project", "class").distinct().join(cyclic.withColumnRenamed("child", "class").withColumn("c", F.lit(True)), ["project", "class"], "left") \
-        .withColumn("trail", F.when(F.col("c"), F.array("class")).otherwise(empty)).select("project", "class", "trail", state(F.col("class"), F.col("trail")).alias("sid"))
+    def beginning(classes: DataFrame) -> DataFrame:
+        known = classes.select("project", "class").distinct().join(cyclic.withColumnRenamed("child", "class").withColumn("c", F.lit(True)), ["project", "class"], "left")
+        return known.withColumn("trail", F.when(F.col("c"), F.array("class")).otherwise(empty)).select(
+            "project", "class", "trail", state(F.col("class"), F.col("trail")).alias("sid"))
+
+    begin = beginning(roots)
     states, kids = RoundTable(spark), RoundTable(spark)
-    new = states.add(begin)
+    # every class begins a path; further rounds follow the cycles only
+    refs = fields.filter("ref_class IS NOT NULL").select("project", F.col("ref_class").alias("class"))
+    new = states.add(beginning(roots.select("project", "class").unionByName(fields.select("project", "class")).unionByName(refs)))
     while not new.isEmpty():
         again = F.col("inner") & F.array_contains("trail", F.col("ref_class"))
         trail = F.when(F.col("inner"), F.array_sort(F.array_append("trail", F.col("ref_class")))) \
