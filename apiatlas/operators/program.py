@@ -24,7 +24,7 @@ from apiatlas.functions import encoding as enc
 from apiatlas.functions import linearise as lin
 from apiatlas.operators import jsonmodel, resolve
 from apiatlas.operators import urls as U
-from apiatlas.session import write_table
+from apiatlas.session import write_large
 
 cloudpickle.register_pickle_by_value(sys.modules[lin.__name__])
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -92,7 +92,7 @@ class Program:
     """The facts of a corpus, written once, and the tables that are read off them."""
 
     def __init__(self, corpus: DataFrame):
-        self.facts = write_table(source_facts(corpus))
+        self.facts = write_large(source_facts(corpus))
         e = self.facts.filter("kind = 'expr'")
         null = F.lit(None).cast("string")
         self.exprs = e.withColumn("expr_id", key_of("id"))
@@ -109,7 +109,7 @@ class Program:
         calls = calls.join(fields.withColumnRenamed("var", "root_var"), ["project", "root_var"], "left")
         direct = F.col("scope") == F.col("root")
         cls = F.coalesce(F.col("value"), F.when(direct, F.col("field_type")))
-        self.calls = write_table(calls.withColumn("object_type", simple(F.coalesce("root_type", "field_type"))).withColumn(
+        self.calls = write_large(calls.withColumn("object_type", simple(F.coalesce("root_type", "field_type"))).withColumn(
             "callee", method_key(simple(cls), F.concat("name", F.lit("/"), F.size("args").cast("string")))).drop("field_type")
             .withColumn("chain", key_of("root")))
         made = self.exprs.filter("what = 'new'").select(
@@ -119,7 +119,7 @@ class Program:
         args = called.select("project", "path", "callee", F.col("id").alias("call"), F.col("cls").alias("caller_cls"), F.col("method").alias("caller_method"),
                              F.posexplode("args").alias("arg_pos", "arg"))
         what = self.exprs.select("project", "path", F.col("id").alias("arg"), F.col("what").alias("arg_what"), "name", "value", "type", "cls", "method")
-        self.args = write_table(args.join(what, ["project", "path", "arg"]).withColumn(
+        self.args = write_large(args.join(what, ["project", "path", "arg"]).withColumn(
             "arg_var", F.when(F.col("arg_what") == "name", variable(F.col("name"), F.col("value"), F.col("type")))).withColumn("expr_id", key_of("arg")))
         self.params = self.defs.filter("what = 'param'").select(
             "project", "path", method_key(F.col("cls"), F.col("method")).alias("callee"), F.col("args")[0].alias("arg_pos"), "name", "type",
@@ -130,7 +130,7 @@ class Program:
     def links(self) -> DataFrame:
         """links(project, use_id, def_id): names to values and arguments, calls to returned values."""
         if self._links is None:
-            self._links = write_table(self._all_links())
+            self._links = write_large(self._all_links())
         return self._links
 
     def _all_links(self) -> DataFrame:
@@ -158,7 +158,7 @@ class Program:
         """parts(project, expr_id, pos, part_id): operands of ``a + b`` and of ``a.concat(b)``."""
         plus = self.exprs.filter("what = 'concat'").select("project", "path", "expr_id", F.posexplode("args").alias("pos", "part"))
         concat = self._concat_calls().select("project", "path", "expr_id", F.posexplode(F.concat(F.array("scope"), F.slice("args", 1, 1))).alias("pos", "part"))
-        return plus.unionByName(concat).select("project", "expr_id", "pos", key_of("part").alias("part_id"))
+        return plus.unionByName(concat).select("project", "expr_id", "pos", key_of("part").alias("part_id")).hint("merge")
 
     def _concat_calls(self) -> DataFrame:
         return self.calls.filter("name = 'concat' AND size(args) = 1 AND scope IS NOT NULL")
@@ -193,7 +193,7 @@ class Program:
         known = appends.withColumn("alts", F.coalesce("alts", F.array().cast("array<string>")))
         # an append without a value drops the whole builder
         bad = resolve.events_of_roots(known.select("project", "builder", "pos", "alts"), self.passes(), "builder")
-        bad = write_table(bad)
+        bad = write_large(bad)
         lost = bad.filter(F.size("alts") == 0).select("project", "builder").distinct()
         folded = resolve.product_fold(bad.join(lost, ["project", "builder"], "left_anti"), ["project", "builder"], "pos", "alts")
         return self.names.join(folded.withColumnRenamed("builder", "var").withColumnRenamed("value", "text"), ["project", "var"]) \
@@ -220,7 +220,7 @@ class Program:
         steps = steps.withColumns({"expr_id": key(0), "second": key(1)}).join(alts, ["project", "expr_id"], "left") \
             .join(alts.toDF("project", "second", "alts2"), ["project", "second"], "left") \
             .select("project", "builder", "pos", "is_init", "step", "alts", "alts2", "path")
-        steps = write_table(resolve.events_of_roots(steps, self.passes(), "builder"))
+        steps = write_large(resolve.events_of_roots(steps, self.passes(), "builder"))
         # a step whose value nobody knows drops the builder's URL, and a path goes to the file that comes first
         two = F.col("step").isin("addQueryParameter", "addEncodedQueryParameter")
         lost = steps.filter(F.col("alts").isNull() | two & F.col("alts2").isNull()).select("project", "builder").distinct()
@@ -263,7 +263,7 @@ class Program:
                 "project", "expr_id", alt(F.col("value"), F.col("value_type")).alias("alt"))
         null = typed.filter("what = 'literal' AND type = 'null'").select("project", "expr_id", alt(F.lit("null"), F.lit("string")).alias("alt"))
         other = typed.filter("target IS NOT NULL").select("project", "expr_id", alt(F.col("target"), F.lit("object")).alias("alt"))
-        alts = write_table(known.unionByName(null).unionByName(other).groupBy("project", "expr_id").agg(F.array_sort(F.collect_set("alt")).alias("alts")))
+        alts = write_large(known.unionByName(null).unionByName(other).groupBy("project", "expr_id").agg(F.array_sort(F.collect_set("alt")).alias("alts")))
         arg = lambda n: F.concat("path", F.lit("#"), F.get("args", F.lit(n)).cast("string"))
         puts = self.calls.filter(kinds & (F.col("name") == "put") & F.col("root_var").isNotNull() & F.size("args").isin(1, 2)).select(
             "project", F.col("root_var").alias("object"), F.col("id").alias("pos"), F.size("args").alias("n"),
@@ -296,10 +296,10 @@ def source_candidates(program: Program) -> dict[str, DataFrame]:
     * ``texts(project, path, line, library, text, ord)``: values of concatenations and String
       builders (R6-R8), URLs or JSON texts, and documents of JSON objects (J4, J5)."""
     first = program.values()
-    builders = write_table(program.builder_texts(first))
-    values = write_table(program.values(builders))
+    builders = write_large(program.builder_texts(first))
+    values = write_large(program.values(builders))
 
-    built = write_table(program.url_builders(values))
+    built = write_large(program.url_builders(values))
     named = built.join(program.url_variables(), ["project", "builder"]).select("project", F.col("url_var").alias("builder"), "path", "text")
     verbs = U.attach_http_method(program.requests(), named).select("project", F.col("builder").alias("url_var"), "verb").distinct() \
         .join(program.url_variables(), ["project", "url_var"]).select("project", "builder", "verb").distinct()
@@ -350,7 +350,7 @@ def typed_calls(program: Program, corpus: DataFrame, known_types: list[str]) ->
     ``known_types``. ``arg_types`` has the types both as written and with packages. Unknown types are NULL."""
     every = F.regexp_extract_all("content", F.lit(IMPORT), F.lit(1))
     files = corpus.select("project", "path", F.filter(every, lambda i: ~F.endswith(i, F.lit("*"))).alias("single"),
-                          F.transform(F.filter(every, lambda i: F.endswith(i, F.lit("*"))), lambda i: F.substring_index(i, ".*", 1)).alias("wild"))
+                          F.transform(F.filter(every, lambda i: F.endswith(i, F.lit("*"))), lambda i: F.substring_index(i, ".*", 1)).alias("wild")).hint("merge")
     types = F.array(*[F.lit(t) for t in sorted({*known_types, *(t for t, _ in RESULT_TYPES)})])
 
     def full(t: Column) -> Column:

@@ -86,6 +86,13 @@ def write_table(df, partition_by: list[str] | None = None):
     return spark.read.parquet(path)
 
 
+def write_large(df):
+    """``write_table`` for tables that grow with the input: joins with them shuffle. Files of ids and
+    texts are many times smaller than their rows in memory, so a table whose files are below the
+    broadcast limit may still be too large for the driver."""
+    return write_table(df).hint("merge")
+
+
 class RoundTable:
     """A table that a job extends round by round, under the shared checkpoint folder: each
     round is written once, into a folder of its own, and ``all()`` reads what was written so
