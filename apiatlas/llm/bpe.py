@@ -34,7 +34,7 @@ END = "</w>"
 #: Documents whose results are built and sent at once.
 SLICE = 128
 #: Runs of characters whose ids a task remembers, in each of two generations.
-REMEMBER = 90_000
+REMEMBER = 240_000
 RESULT = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
 

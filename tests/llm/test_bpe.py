@@ -61,3 +61,17 @@ def test_extra_and_clashing_columns_and_empty(spark):
     assert out.columns == ["doc_id", "text", "__bpe", "other", "ids", "decoded"]
     assert out.select(bpe.token_count(F.col("ids"))).first()[0] == 2
     assert bpe.encode_decode(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_a_task_remembers_two_hundred_thousand_runs():
+    made = []
+
+    class Counting(bpe.Codec):
+        def _chunk(self, chunk):
+            made.append(chunk)
+            return b""
+
+    codec = Counting(bpe.load_spec(VOCABULARY))
+    for _ in range(2):
+        codec.encode(" ".join(map(str, range(200_000))))
+    assert len(made) == 200_000
