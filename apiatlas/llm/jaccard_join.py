@@ -15,7 +15,8 @@ order. Orders only decide how much work there is, never which links are found.
    with it; links join documents into components. Then all pairs of a list whose components
    still differ are counted, and those that share enough prefix tokens to be similar are
    compared. So no link between different texts is lost, while a large group of copies
-   costs one comparison a member instead of one a pair.
+   costs one comparison a member instead of one a pair. A pair of near copies shares many
+   lists; it is met in the first of them only.
 4. Before two sets are compared, the pair must share a prefix token under every one of the
    orders; then the overlap is counted from the whole texts.
 
@@ -55,6 +56,9 @@ SKETCH_BITS = 20
 PIECE = 1 << 14
 #: Rows that one task may hold of a token's list: more frequent tokens are salted.
 LIST_SPLIT = 20_000
+#: A pair that meets in lists of so many members is taken from the first of them that both hold,
+#: as far as a document's ``LOOK_BACK`` lists before each one tell.
+LONG_LIST, LOOK_BACK = 8, 64
 #: Digests by which a task leaves out copies; beyond them it starts anew and emits more.
 REMEMBER = 100_000
 #: Bits, as a power of two, of the bitmap of ids whose texts are compared (2 MB in all).
@@ -274,27 +278,46 @@ def can_link(c: str, a: str, b: str) -> str:
             f"{NUM + DEN} * ({c} + greatest({rest_of(a)}, {rest_of(b)})) >= {NUM} * ({a} + {b}))")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of one list in different components that can still be similar. In each list the
-    members of its largest component are not compared with each other; the others meet all
-    members. The place of its first common token makes a pair a candidate; then all prefix
-    tokens that the candidates share are counted, whichever lists they stand in."""
-    mixed = members.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("list")
-    open_lists = write_table(members.join(mixed, "list"))
+def _open_lists(members: DataFrame) -> DataFrame:
+    """The rows of lists whose members are of several components; ``long`` tells long lists."""
+    mixed = (members.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") >= LONG_LIST).alias("long"))
+             .filter("lo < hi").select("list", "long"))
+    return write_table(members.join(mixed, "list"))
+
+
+def _met(open_lists: DataFrame) -> DataFrame:
+    """(u, v) of pairs of one list in different components that can still be similar, judged by
+    the place of their first common token. In each list the members of its largest component are
+    not compared with each other; the others meet all members.
+
+    ``alone`` tells documents of one text: their lists follow each other in the order of all
+    tokens. Two of them meet in the first long list that they share, not in each of them."""
     largest = (open_lists.groupBy("list", "comp").agg(F.count("*").alias("k"))
                .groupBy("list").agg(F.max_by("comp", F.struct("k", "comp")).alias("top")))
     # what a document shares with anyone: in the lists that begin before this one, and from this one on
     own = Window.partitionBy("doc")
     shares = open_lists.withColumn("before", F.coalesce(F.sum("weight").over(
         own.orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("on", F.sum("weight").over(own) - F.col("before"))
+    back = F.collect_list(F.when(F.col("long"), F.col("list"))).over(own.orderBy("pos", "list").rowsBetween(-LOOK_BACK, -1))
+    shares = (shares.withColumns({"earlier": back, "alone": F.min("alone").over(own)})
+              .withColumn("earlier", F.when(F.col("long") & F.col("alone"), F.col("earlier")).otherwise(F.array().cast("array<bigint>"))))
     marked = shares.join(largest, "list").withColumn("inside", F.col("comp") == F.col("top"))
-    a = marked.filter("NOT inside").selectExpr("list", "doc AS a", "comp AS ca", "n AS na", "n - pos AS ra", "before AS pa", "on AS oa")
-    b = marked.selectExpr("list", "doc AS b", "comp AS cb", "n AS nb", "n - pos AS rb", "before AS pb", "on AS ob", "inside")
-    # the first token that a pair shares has all its other common tokens behind it, on both sides;
-    # no pair shares more before a list, and from it on, than either member shares there with anyone
+    a = marked.filter("NOT inside").selectExpr("list", "doc AS a", "comp AS ca", "n AS na", "n - pos AS ra", "before AS pa", "on AS oa",
+                                               "alone AS xa", "earlier AS ea")
+    b = marked.selectExpr("list", "doc AS b", "comp AS cb", "n AS nb", "n - pos AS rb", "before AS pb", "on AS ob",
+                          "alone AS xb", "earlier AS eb", "inside")
+    # the first token that a pair shares has all its other common tokens behind it, on both sides; no pair
+    # shares more before a list (nothing before its first), and from it on, than either member shares there with anyone
     met = a.join(b, "list").filter(f"ca != cb AND (inside OR a < b) AND {NUM + DEN} * least(ra, rb) >= {NUM} * (na + nb) "
-                                   f"AND {can_link('least(pa, pb) + least(oa, ob)', 'na', 'nb')}")
-    candidates = met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+                                   f"AND {can_link('if(xa AND xb, 0, least(pa, pb)) + least(oa, ob)', 'na', 'nb')} AND NOT arrays_overlap(ea, eb)")
+    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+
+
+def _cross_pairs(members: DataFrame) -> DataFrame:
+    """Pairs that meet in a list and share enough prefix tokens to be similar: all that they
+    share are counted, whichever lists they stand in."""
+    open_lists = _open_lists(members)
+    candidates = _met(open_lists).distinct()
     tokens = write_table(open_lists.groupBy("doc").agg(F.max("n").alias("n"), F.flatten(F.collect_list(F.transform(
         F.sequence(F.lit(1), F.col("weight")), lambda k: F.xxhash64("list", k)))).alias("tokens")))
     both = candidates.join(tokens.toDF("u", "na", "ta"), "u").join(tokens.toDF("v", "nb", "tb"), "v")
@@ -316,18 +339,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     held = sizes.filter("n > 0 AND doc_id IS NOT NULL")
     firsts = write_table(held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).filter("k > 1"))
     stars = write_table(held.join(firsts, "digest").filter("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    rep = write_table(stars.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("rep")))
-    size = held.groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n"))
+    size = held.groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n"), (F.min("digest") == F.max("digest")).alias("alone"))
+    rep = write_table(stars.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("rep"))
+                      .join(size.select(F.col("doc").alias("member"), F.col("alone").alias("sole")), "member"))
 
     lists = _lists(_index(named, levels, usual)).join(rep, F.col("doc") == F.col("member"), "left")
     members = write_table(lists.groupBy("list", F.coalesce("rep", "doc").alias("doc"))
-                          .agg(F.max("weight").alias("weight"), F.min("pos").alias("pos")).join(size, "doc"))
+                          .agg(F.max("weight").alias("weight"), F.min("pos").alias("pos"), F.coalesce(F.min("sole"), F.lit(True)).alias("sole"))
+                          .join(size, "doc").withColumn("alone", F.col("alone") & F.col("sole")).drop("sole"))
     first = write_table(_leaders(members).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     comps = write_table(connected_components(stars.union(_verified(first, named, levels))))
 
     # what is left of each list: pairs of different components that weren't compared yet
     members = write_table(members.join(comps, F.col("doc") == F.col("node"), "left").select(
-        "list", "doc", "weight", "pos", "n", F.coalesce("component", "doc").alias("comp")))
+        "list", "doc", "weight", "pos", "n", "alone", F.coalesce("component", "doc").alias("comp")))
     second = write_table(_cross_pairs(members).join(first, ["u", "v"], "left_anti"))
     more = write_table(_verified(second, named, levels))
     if not more.isEmpty():

@@ -103,3 +103,19 @@ def test_components(spark):
     df = spark.createDataFrame([*edges, (None, 3)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert got == {v: c for v, c in name.items() if v != c}
+
+
+def test_pairs_of_near_copies_meet_once(spark):
+    # 12 documents of 14 common tokens each, no two of one component: 66 pairs, which met 14 times each
+    rows = [(lst, doc, 1, lst, 40, True, doc) for doc in range(12) for lst in range(14)]
+    schema = "list long, doc long, weight long, pos int, n long, alone boolean, comp long"
+    members = spark.createDataFrame(rows, schema)
+    met = jaccard_join._met(jaccard_join._open_lists(members))
+    assert met.count() == 66 and met.distinct().count() == 66
+    assert jaccard_join._cross_pairs(members).count() == 66
+
+
+def test_ids_of_several_near_copies(spark):
+    rnd = random.Random(8)
+    texts = variants(rnd, 30, 100, 12)
+    check(spark, [(k % 24, t) for k, t in enumerate(texts)] + [(40 + k, texts[k]) for k in range(0, 30, 4)])
